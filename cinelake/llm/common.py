@@ -38,6 +38,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table written by ``materialize`` that no later plan reads."""
+    jvm = df.sparkSession._jvm
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """A 64-bit key of (id, text): rows with a null or repeated id stay apart unless they are equal in both."""
     return F.xxhash64(F.col(doc_id).cast("string"), F.lit("|"), F.col(text))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, lm, repeats
+from . import bpe, decontam, jaccard, lm, repeats
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *bpe.vocabulary())
 
 
+def op6_multi_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(table(spark, sf_dir, "documents"))
+
+
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -27,7 +31,7 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_bpe_round_trip, op8_positional_index, op9_suffix_trees, op10_backoff_automaton)}
+    return {f.__name__: f for f in (op5_bpe_round_trip, op6_multi_order_join, op8_positional_index, op9_suffix_trees, op10_backoff_automaton)}
 
 
 OP8_SQL = r"""
