@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, jaccard, lm, repeats
+from . import bpe, decontam, gam, jaccard, lm, quality, repeats, toxicity
 from .common import table
 
 
+def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
+def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *bpe.vocabulary())
 
@@ -31,7 +43,7 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_bpe_round_trip, op6_multi_order_join, op8_positional_index, op9_suffix_trees, op10_backoff_automaton)}
+    return {f.__name__: f for f in (op2_divergence_rules, op3_weak_supervision, op4_additive_model, op5_bpe_round_trip, op6_multi_order_join, op8_positional_index, op9_suffix_trees, op10_backoff_automaton)}
 
 
 OP8_SQL = r"""
