@@ -75,7 +75,8 @@ class Tokenizer:
     """Encodes by ranks read from a tiktoken file; ids are the ranks."""
 
     def __init__(self, lines: list[tuple[bytes, int]], pattern: str, perfect: PerfectHash | None = None):
-        self.find = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.find, self.scan = compiled.findall, compiled.finditer
         self.hash = perfect or PerfectHash([k for k, _ in lines])
         keys = [k for k, _ in lines]
         self.merges = dict(lines)

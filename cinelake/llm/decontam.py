@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import materialize, prepare, row_key
 
 #: Words of a segment; a longer document makes a segment of its own.
 SEGMENT_WORDS = 400_000
@@ -201,6 +201,13 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0) ->
     return index.select("doc_ids", "firsts", "lengths", "terms", "starts", "positions").mapInPandas(run, MATCHES)
 
 
+def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """``docs`` without the rows that hold an exact phrase of a test item."""
+    keyed = docs.withColumn("__key", row_key())
+    marked = matches(keyed.select(F.col("__key").alias("doc_id"), "text"), items, size).where(F.size("hits") > 0).select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(materialize(marked, "contaminated"), "__key", "left_anti").select(*docs.columns)
+
+
 def report(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256 and contaminated."""
     found = matches(docs, items, size).select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, gam, jaccard, lm, quality, repeats, toxicity
+from . import bpe, decontam, edits, gam, jaccard, lm, quality, repeats, revisits, toxicity
 from .common import table
 
 
+def op1_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.report(table(spark, sf_dir, "documents"), *bpe.vocabulary())
+
+
 def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op6_multi_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.report(table(spark, sf_dir, "documents"))
 
 
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.report(table(spark, sf_dir, "pages"))
+
+
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,7 +51,7 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_divergence_rules, op3_weak_supervision, op4_additive_model, op5_bpe_round_trip, op6_multi_order_join, op8_positional_index, op9_suffix_trees, op10_backoff_automaton)}
+    return {f.__name__: f for f in (op1_edit_aware_counts, op2_divergence_rules, op3_weak_supervision, op4_additive_model, op5_bpe_round_trip, op6_multi_order_join, op7_revisits, op8_positional_index, op9_suffix_trees, op10_backoff_automaton)}
 
 
 OP8_SQL = r"""
@@ -84,4 +92,4 @@ FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_positional_index": OP8_SQL, "op9_suffix_trees": OP9_SQL}
+    return {"op7_revisits": revisits.SQL, "op8_positional_index": OP8_SQL, "op9_suffix_trees": OP9_SQL}

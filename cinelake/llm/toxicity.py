@@ -24,6 +24,8 @@ from .training import fold, sample, sigmoid
 
 #: Lexicon voters, the largest lexicon, and the log-likelihood ratio (G squared) and log-odds that an entry needs.
 GROUPS, LEXICON, G_SQUARED, LOG_ODDS = 8, 4000, 22.0, 4.0
+#: Different preceding words that an entry needs, at least, and as a share of its texts.
+CONTEXTS, VARIETY = 4, 0.25
 #: Letters of the word beginnings that are entries beside whole words; they reach inflected forms.
 BEGINNING = 5
 _words = re.compile(r"[^\W\d_]+").findall
@@ -54,7 +56,23 @@ def mine(rows: DataFrame) -> dict[str, float]:
     part = lambda x, share: F.when(x > 0, 2 * x * F.log(x / (both * share))).otherwise(F.lit(0.0))
     g = part(F.col("toxic"), n1 / (n0 + n1)) + part(F.col("clean"), n0 / (n0 + n1))
     top = counted.withColumn("odds", odds).where((F.col("odds") > LOG_ODDS) & (g > G_SQUARED)).orderBy(F.desc("toxic"), F.desc("odds"), "word").limit(LEXICON)
-    return {r["word"]: r["odds"] for r in top.collect()}
+    found = {r["word"]: (r["odds"], r["toxic"]) for r in top.collect()}
+    return {w: found[w][0] for w, n in _contexts(rows, found).items() if n >= max(CONTEXTS, found[w][1] * VARIETY)}
+
+
+def _contexts(rows: DataFrame, candidates: dict) -> dict[str, int]:
+    """How many different words stand before each candidate: words of one text's copies have one context, insults have many."""
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            seen = set()
+            for t in f["text"]:
+                found = ["", *_words(t.lower())]
+                seen |= {(x, a) for a, w in zip(found, found[1:], strict=False) for x in (w, w[:BEGINNING] + "-") if x in candidates}
+            yield pd.DataFrame(sorted(seen), columns=["word", "before"])
+
+    pairs = rows.where("y = 1").mapInPandas(look, "word string, before string").distinct()
+    return dict(pairs.groupBy("word").agg(F.count("*")).collect())
 
 
 class Evidence:
