@@ -99,13 +99,13 @@ def scene_dash(c: Column) -> Column:
 
 def split_tail(c: Column) -> Column:
     """struct(head, tail) at the first ``Scene_N - ``; an empty head where there is none."""
-    head = F.regexp_extract(c, r"(?id)^(.*?Scene_\d+\s+-\s+)", 1)
-    return F.struct(head.alias("head"), F.substring(c, F.length(head) + 1, F.length(c)).alias("tail"))
+    head = lambda x: F.regexp_extract(x, r"(?id)^(.*?Scene_\d+\s+-\s+)", 1)
+    return let(c, lambda x: let(head(x), lambda h: F.struct(h.alias("head"), F.substring(x, F.length(h) + 1, F.length(x)).alias("tail"))))
 
 
 def cast_commas(c: Column) -> Column:
     """In the tail behind the scene, ``and`` and ``&`` separate people like commas."""
-    return let(split_tail(c), lambda s: F.when(s["head"] == "", c).otherwise(F.concat(s["head"], F.regexp_replace(s["tail"], r"(?i)(?:\s*,)?(?:\s+(?:and|&))+\s+", ", "))))
+    return let(split_tail(c), lambda s: F.concat(s["head"], F.when(s["head"] == "", s["tail"]).otherwise(F.regexp_replace(s["tail"], r"(?i)(?:\s*,)?(?:\s+(?:and|&))+\s+", ", "))))
 
 
 def final(c: Column) -> Column:
