@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import discard, materialize, shared_dir
+
+__all__ = ["discard", "groups_for", "materialize", "prepare", "row_key", "shared_dir", "table"]
+
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``, as bytes.split() has it too.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -21,31 +23,6 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset, one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = os.path.join(tempfile.gettempdir(), "checkpoints", "cinelake")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage with a table written to the shared folder, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a table written by ``materialize`` that no later plan reads."""
-    jvm = df.sparkSession._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """A 64-bit key of (id, text): rows with a null or repeated id stay apart unless they are equal in both."""
     return F.xxhash64(F.col(doc_id).cast("string"), F.lit("|"), F.col(text))
