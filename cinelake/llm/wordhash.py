@@ -8,7 +8,7 @@ import xxhash
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Words whose hashes a worker keeps; the table starts anew beyond it.
-CACHE = 500_000
+CACHE = 150_000
 _known: dict[bytes, int] = {}
 
 
