@@ -71,6 +71,22 @@ class PerfectHash:
         return (((h >> 32) & 0x7FFFFFFF) + d * ((h >> 64) & 0x7FFFFFFF) + d * d) % self.n
 
 
+class Known(dict):
+    """The ids of pre-tokens seen before; others are looked up, then merged."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.rank, self.merge = tokenizer.rank, tokenizer.merge
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        raw = piece.encode()
+        got = (r,) if (r := self.rank(raw)) >= 0 else self.merge(raw)
+        if len(piece) <= LONG:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class Tokenizer:
     """Encodes by ranks read from a tiktoken file; ids are the ranks."""
 
@@ -84,7 +100,8 @@ class Tokenizer:
         self.ids = [lines[i][1] for i in self.hash.order]
         self.pieces = {r: k for k, r in lines}
         self.digits = {r: str(r) for _, r in lines}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.bytes = [self.merges.get(bytes([x]), -1) for x in range(256)]
+        self.piece_ids = Known(self).__getitem__
 
     def rank(self, piece: bytes) -> int:
         """The rank of a vocabulary entry, -1 for any other string."""
@@ -93,35 +110,29 @@ class Tokenizer:
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Lowest rank first, leftmost among equal ranks; each merge is O(log n)."""
-        n, rank = len(piece), lambda x: self.merges.get(x, -1)
-        end = list(range(1, n + 1))  # a live node i spans piece[i:end[i]]
+        n, rank = len(piece), self.merges.get
+        end = [*range(1, n + 1), 0]  # a live node i spans piece[i:end[i]]; a dead one points to n, where no span ends
         before = list(range(-1, n - 1))
-        live = [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) >= 0]
+        ids = [self.bytes[x] for x in piece]
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = end[i] if live[i] else n
-            if j >= n or end[j] != stop:  # a neighbour has changed since
+            r, i, stop = heapq.heappop(heap)
+            j = end[i]
+            if end[j] != stop:  # a neighbour has changed since
                 continue
-            end[i], live[j] = stop, False
+            end[i], end[j], ids[i] = stop, n, r
             if stop < n:
                 before[stop] = i
-                if (r := rank(piece[i : end[stop]])) >= 0:
+                if (r := rank(piece[i : end[stop]])) is not None:
                     heapq.heappush(heap, (r, i, end[stop]))
-            if (p := before[i]) >= 0 and (r := rank(piece[p:stop])) >= 0:
+            if (p := before[i]) >= 0 and (r := rank(piece[p:stop])) is not None:
                 heapq.heappush(heap, (r, p, stop))
-        return tuple(rank(piece[i : end[i]]) for i in range(n) if live[i])
-
-    def piece_ids(self, piece: str) -> tuple[int, ...]:
-        if (got := self.cache.get(piece)) is None:
-            raw = piece.encode()
-            got = (r,) if (r := self.rank(raw)) >= 0 else self.merge(raw)
-            if len(piece) <= LONG:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[piece] = got
-        return got
+        out, i = [], 0
+        while i < n:
+            out.append(ids[i])
+            i = end[i]
+        return tuple(out)
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.piece_ids, self.find(text))))

@@ -70,7 +70,7 @@ class TokenTree:
 
 def build(text: str, tok: Tokenizer) -> TokenTree:
     pieces = tok.find(text)
-    return TokenTree(np.fromiter(map(len, pieces), np.int32, len(pieces)), np.fromiter((len(tok.piece_ids(p)) for p in pieces), np.int32, len(pieces)))
+    return TokenTree(np.fromiter(map(len, pieces), np.int32, len(pieces)), np.fromiter(map(len, map(tok.piece_ids, pieces)), np.int32, len(pieces)))
 
 
 def edit(text: str, tree: TokenTree, tok: Tokenizer, start: int, deleted: int, inserted: str) -> tuple[str, TokenTree, int]:
