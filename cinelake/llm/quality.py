@@ -136,7 +136,7 @@ def rules(docs: DataFrame) -> DataFrame:
     """``docs`` without the rejected rows."""
     own = docs.columns
     renamed = docs.select([F.col(c).alias(c if c in ("lang", "text") else f"__in_{i}") for i, c in enumerate(own)])
-    featured = features(renamed)
-    reference = materialize(references(features(docs.select("lang", "text"))), "references")
-    kept = judged(featured, reference).where("kept")
+    # Written with the texts, so that the features are computed once: the optimizer would inline them into the filter and into the references.
+    featured = materialize(features(renamed), "quality")
+    kept = judged(featured, references(featured)).where("kept")
     return kept.select([F.col(c if c in ("lang", "text") else f"__in_{i}").alias(c) for i, c in enumerate(own)])
