@@ -12,6 +12,7 @@ Rows are independent, so repeated ids keep their own trees. Extra columns pass t
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,22 +31,32 @@ CONTEXT = 2
 TREE = [T.StructField("leaf_sizes", T.ArrayType(T.IntegerType())), T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
 
 
+def _sums(values: np.ndarray, starts: list[int], ends: list[int], room: int) -> np.ndarray:
+    """The sums of a tree over leaves with these bounds, the root at 1."""
+    upto, out = np.concatenate((np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64))), np.zeros(2 * room, np.int64)
+    out[room : room + len(ends)] = upto[ends] - upto[starts]
+    while room > 1:
+        out[room // 2 : room] = out[room : 2 * room].reshape(-1, 2).sum(axis=1)
+        room //= 2
+    return out
+
+
 class TokenTree:
     def __init__(self, lengths: np.ndarray, counts: np.ndarray, sizes: np.ndarray | None = None):
-        sizes = np.full(-(-len(lengths) // LEAF), LEAF) if sizes is None else sizes
-        cuts = np.cumsum(sizes)[:-1]
-        self.lengths, self.counts = (np.split(x, cuts) if len(x) else [x] for x in (lengths, counts))
-        self.room = 1 << max(0, (len(self.lengths) - 1).bit_length())
-        self.chars, self.tokens = np.zeros(2 * self.room, np.int64), np.zeros(2 * self.room, np.int64)
-        for k in range(len(self.lengths)):
-            self.chars[self.room + k], self.tokens[self.room + k] = self.lengths[k].sum(), self.counts[k].sum()
-        for k in range(self.room - 1, 0, -1):
-            self.chars[k], self.tokens[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.tokens[2 * k] + self.tokens[2 * k + 1]
+        sizes = np.minimum(LEAF, len(lengths) - np.arange(0, len(lengths), LEAF)) if sizes is None else sizes
+        ends = np.cumsum(sizes).tolist() or [0]
+        starts = [0, *ends[:-1]]
+        self.lengths, self.counts = ([x[a:b] for a, b in zip(starts, ends, strict=True)] for x in (lengths, counts))
+        self.room = 1 << (len(ends) - 1).bit_length()
+        self.chars, self.tokens = _sums(lengths, starts, ends, self.room), _sums(counts, starts, ends, self.room)
 
     @property
     def total(self) -> int:
         return int(self.tokens[1])
 
+    def __len__(self) -> int:
+        return sum(map(len, self.lengths))
+
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.fromiter(map(len, self.lengths), np.int32, len(self.lengths)), np.concatenate(self.lengths), np.concatenate(self.counts)
 
@@ -193,5 +204,26 @@ def revised(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    done = apply_edits(build_trees(revised(docs.select("doc_id", "text")), path, pattern), path, pattern)
-    return done.select("doc_id", F.col("n_tokens_before"), "n_tokens", "n_pretokens", "n_reencoded", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    """Token counts before and after the edits of ``revised``: each tree is built and edited in one pass, by the calls of ``build_trees`` and
+    ``apply_edits`` without sending trees through Arrow between them."""
+    shared = Shared(docs.sparkSession, path, pattern)
+    counts = ("n_tokens_before", "n_tokens", "n_pretokens", "n_reencoded")
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in counts), T.StructField("text_sha256", T.StringType())])
+    out = _arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = shared.get()
+        for b in batches:
+            found, digests = [], []
+            for text, edits in zip(b.column(1), b.column(2), strict=True):
+                new = text.as_py() or ""
+                tree, fresh = build(new, tok), 0
+                before = tree.total
+                for e in edits.as_py() or ():
+                    new, tree, n = edit(new, tree, tok, e["start"] or 0, e["deleted"] or 0, e["inserted"] or "")
+                    fresh += n
+                found.append((before, tree.total, len(tree), fresh))
+                digests.append(hashlib.sha256(new.encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(out.field(0).type), *(pa.array(x, pa.int64()) for x in np.array(found, np.int64).reshape(-1, 4).T), pa.array(digests, pa.string())], schema=out)
+
+    return revised(docs.select("doc_id", "text")).mapInArrow(run, schema)
