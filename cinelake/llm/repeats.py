@@ -36,6 +36,8 @@ LANDMARK = 8
 CHUNK_WORDS = 1_000_000
 #: MB of text for each bucket.
 BUCKET_MB = 12
+#: Suffixes of a run whose count travels in one byte; longer runs are cut.
+LONGEST_RUN = 255
 
 SHIPPED = "bucket bigint, marks binary, rows binary, starts binary, counts binary, paths binary, first bigint"
 
@@ -85,6 +87,9 @@ def _batch(keys: np.ndarray, texts: list[list[bytes]], size: int, buckets: int)
     i = np.flatnonzero(send)
     path, mark, doc, start = path[i], mark[i], doc[i], start[i]
     head = np.flatnonzero(np.concatenate(([True], (mark[1:] != mark[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1))))
+    if size < 256:  # counts then travel in a byte each; a gram that recurs can stay the landmark of more windows
+        pieces = -(-np.diff(np.append(head, len(mark))) // LONGEST_RUN)
+        head = np.repeat(head, pieces) + LONGEST_RUN * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     count = np.diff(np.append(head, len(mark)))
     low = path.view(np.uint8).reshape(-1, 8)[:, :6]
 

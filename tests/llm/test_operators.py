@@ -227,3 +227,26 @@ def test_pipeline(spark, sf):
         assert docs.columns == columns, name
     assert 0 < docs.count() < before
     assert set(entries.queries()) >= {"op1_edit_aware_counts", "op9_suffix_trees"}
+
+
+def brute_repeats(rows, size=35):
+    split = [WORD.findall(t or "") for _, t in rows]
+    seen = Counter(tuple(w[i : i + size]) for w in split for i in range(len(w) - size + 1))
+    out = []
+    for (i, _), w in zip(rows, split, strict=True):
+        gone = {p for j in range(len(w) - size + 1) if seen[tuple(w[j : j + size])] > 1 for p in range(j, j + size)}
+        out.append((str(i), len(w), len(gone), hashlib.sha256(" ".join(x for p, x in enumerate(w) if p not in gone).encode()).hexdigest()))
+    return sorted(out)
+
+
+def test_suffix_trees_with_a_recurring_landmark(spark):
+    """One phrase in every line can stay the landmark of several hundred windows in a row."""
+    texts = [" ".join(f"c{d}.{j}" if j < 17 else f"u{d}.{line}.{j}" for line in range(60) for j in range(20)) for d in range(40)]
+    longest = 0
+    for t in texts:
+        grams = repeats.run_hashes(repeats.word_hashes(repeats.words(t)), repeats.LANDMARK)
+        longest = max(longest, *Counter(repeats.sliding_min(grams, 28).tolist()).values())
+    assert longest > 255
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, "x " + t[:4000]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted((str(r[0]), *r[1:]) for r in repeats.report(docs).collect()) == brute_repeats(rows)
