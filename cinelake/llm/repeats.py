@@ -131,8 +131,11 @@ def _subtrees(frame: pd.DataFrame, size: int) -> pd.DataFrame:
         at = np.flatnonzero(deep)
         run = np.repeat(np.arange(len(counts)), counts)[at]
         start = starts[run] + (at - np.repeat(np.cumsum(counts) - counts, counts)[at])
+        # Shipments of several batches can hold equal rows, so starts don't ascend by themselves.
+        row = rows[run]
+        order = np.lexsort((start, row))
         # Runs of one row stay apart unless they touch; spans are joined again for each row afterwards.
-        out.append(_spans(rows[run], start, size))
+        out.append(_spans(row[order], start[order], size))
     if not out:
         return pd.DataFrame({"row_key": np.zeros(0, np.int64), "start": np.zeros(0, np.int32), "stop": np.zeros(0, np.int32)})
     r, s, e = (np.concatenate(x) for x in zip(*out, strict=True))

@@ -250,3 +250,10 @@ def test_suffix_trees_with_a_recurring_landmark(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, "x " + t[:4000]) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     assert sorted((str(r[0]), *r[1:]) for r in repeats.report(docs).collect()) == brute_repeats(rows)
+
+
+def test_suffix_trees_with_equal_rows_in_two_batches(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(1500)))] * 2
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    assert repeats.maximal_repeats(docs).where("start >= stop").count() == 0
+    assert sorted((str(r[0]), *r[1:]) for r in repeats.report(docs).collect()) == brute_repeats(rows)
