@@ -257,3 +257,13 @@ def test_suffix_trees_with_equal_rows_in_two_batches(spark):
     docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
     assert repeats.maximal_repeats(docs).where("start >= stop").count() == 0
     assert sorted((str(r[0]), *r[1:]) for r in repeats.report(docs).collect()) == brute_repeats(rows)
+
+
+def test_jaccard_of_few_documents_in_many_buckets(spark):
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(6))) for i in range(20)] + [(20, "d0w0 d0w1 d0w2 d0w3 d0w4 d0w5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert sorted((str(r[0]), r[1], str(r[2])) for r in jaccard.report(docs).collect()) == brute_components(rows, 85, 4)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
