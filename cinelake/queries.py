@@ -234,6 +234,12 @@ def normalize_plain(spark, sf):
     return rows.select("dir", "file_name", norm.normalize(F.regexp_replace("file_name", r"\.mp4$", "")).alias("title"))
 
 
+@query
+def normalize_all(spark, sf):
+    """The same over all names, with release tails."""
+    return table(spark, sf, "raw_files").select("dir", "file_name", norm.normalize(F.regexp_replace("file_name", r"\.mp4$", "")).alias("title"))
+
+
 @query
 def harvest_names(spark, sf):
     files = table(spark, sf, "raw_files").select(norm.normalize(F.regexp_replace("file_name", r"\.mp4$", "")).alias("title"))
@@ -298,6 +304,13 @@ def debounce_sessions(spark, sf):
     return rows.select("event_type", text("started").alias("started"), text("last").alias("last"), text("due").alias("due"), "n")
 
 
+@query
+def debounce_all(spark, sf):
+    """The bursts of every event type."""
+    rows = debounced(table(spark, sf, "events"), gap="10 minutes")
+    return rows.select("event_type", text("started").alias("started"), text("last").alias("last"), text("due").alias("due"), "n")
+
+
 @query
 def stale_runs(spark, sf):
     events = table(spark, sf, "events").select(F.col("event_type").alias("run"), "ts", "user_id")
@@ -305,6 +318,13 @@ def stale_runs(spark, sf):
     return stale(events.where("user_id % 7 <> 0"), F.lit(now), 300).select("run", text("last").alias("last"), "stale")
 
 
+@query
+def stale_all(spark, sf):
+    """The last heartbeat of every run, whoever sent it."""
+    events = table(spark, sf, "events").select(F.col("event_type").alias("run"), "ts")
+    return stale(events, F.lit(events.agg(F.max("ts")).first()[0]), 300).select("run", text("last").alias("last"), "stale")
+
+
 @query
 def titles_natural(spark, sf):
     """Titles by the natural order's key."""

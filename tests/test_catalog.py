@@ -1,3 +1,6 @@
+import datetime
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +102,28 @@ def test_against_sql(spark, sf, name):
     want = oracle(sf).execute(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]}) z").fetchall()
     key = lambda rows: sorted(tuple(str(x) for x in r) for r in rows)
     assert key(tuple(r) for r in got.select(columns).collect()) == key(want)
+
+
+def test_normalize_all_names(spark, sf):
+    rows = QUERIES["normalize_all"](spark, sf).collect()
+    assert len(rows) == derived(spark, sf, "raw_files").count()
+    form = re.compile(r"(.+)\.brand#(\d+)\.scene\.(\d+)\.([A-Za-z]+)(\.1080p\.x264-GRP)?\.mp4")
+    for r in rows:
+        words, brand, scene, name, _ = form.fullmatch(r["file_name"]).groups()
+        assert r["title"] == f"{' '.join(w.capitalize() for w in words.split('.'))} Brand# {brand.zfill(2)} - Scene_{scene} - {name}"
+    assert any("1080p" in r["file_name"] for r in rows)
+
+
+def test_bursts_and_heartbeats_of_all_events(spark, sf):
+    events = sorted((r["event_type"], r["ts"]) for r in spark.read.parquet(f"{sf}/events.parquet").collect())
+    gap, shown, bursts = datetime.timedelta(minutes=10), "%Y-%m-%d %H:%M:%S", []
+    for kind, ts in events:
+        if bursts and bursts[-1][0] == kind and ts < bursts[-1][2] + gap:
+            bursts[-1][2:] = ts, bursts[-1][3] + 1
+        else:
+            bursts.append([kind, ts, ts, 1])
+    want = [(k, a.strftime(shown), b.strftime(shown), (b + gap).strftime(shown), n) for k, a, b, n in bursts]
+    assert sorted(map(tuple, QUERIES["debounce_all"](spark, sf).collect())) == sorted(want)
+    last, now = dict(events), max(ts for _, ts in events)
+    late = {k: int(now.timestamp()) - int(ts.timestamp()) > 300 for k, ts in last.items()}
+    assert sorted(map(tuple, QUERIES["stale_all"](spark, sf).collect())) == sorted((k, ts.strftime(shown), late[k]) for k, ts in last.items())
