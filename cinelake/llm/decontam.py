@@ -16,13 +16,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, row_key
+from .common import discard, materialize, prepare, row_key
 
 #: Words of a segment; a longer document makes a segment of its own.
 SEGMENT_WORDS = 400_000
@@ -41,10 +44,10 @@ def words(text: str | None) -> list[bytes]:
 INDEX = "segment string, doc_ids array<bigint>, firsts array<int>, lengths array<int>, terms array<binary>, starts array<int>, positions array<int>, dfs array<int>"
 
 
-def build_index(docs: DataFrame, terms: set[bytes] | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, terms: set[bytes] | Broadcast | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Segments of postings; ``terms`` keeps the postings of a bounded query vocabulary only (None: of all words)."""
     prepare(docs.sparkSession)
-    wanted = docs.sparkSession.sparkContext.broadcast(terms)
+    wanted = terms if isinstance(terms, Broadcast) else docs.sparkSession.sparkContext.broadcast(terms)
 
     def segment(ids: list, texts: list[list[bytes]], keep: set[bytes] | None) -> pd.DataFrame:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -173,32 +176,59 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0) ->
     """One row per document row: its word count, hit word positions and ids of the ``items`` (item_id, text) found.
 
     slop 0: exact phrases. slop > 0: proximity; then the words hit are those of the matching span.
+    Several blocks of items are matched one after the other, and their hits joined by row key: rows equal in id and text have equal hits.
     """
+    stream = blocks(items.select(F.col("item_id").cast("string"), "text"))
+    block, following = next(stream, []), next(stream, None)
+    if following is None:
+        return _matched(docs, block, size, slop)[0]
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    counts, parts = None, []
+    for block in chain([block, following], stream):
+        found, index, queries = _matched(keyed, block, size, slop)
+        found = materialize(found if counts is None else found.where(F.size("hits") > 0), "hits")
+        if counts is None:
+            counts = found.groupBy("doc_id").agg(F.first("n_words").alias("n_words"))
+        parts.append(found.where(F.size("hits") > 0).dropDuplicates(["doc_id"]).select("doc_id", "hits", "items"))
+        discard(index)
+        for q in queries:
+            q.destroy()
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    hits = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(union("hits"), union("items"))
+    by_key = counts.join(hits, "doc_id", "left").withColumnRenamed("doc_id", "__key")
+    kept = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("__key")).join(by_key, "__key")
+    return rows.select("doc_id", "n_words", kept("hits", "array<int>"), kept("items", "array<string>"))
+
+
+def _matched(docs: DataFrame, block: list[tuple[str, str | None]], size: int, slop: int) -> tuple[DataFrame, DataFrame, list[Broadcast]]:
+    """One block's matches, and what they read: the index and the broadcasts."""
     prepare(docs.sparkSession)
-    held = [([i for i, _ in block], windows(block, size)) for block in blocks(items.select(F.col("item_id").cast("string"), "text"))]
-    index = materialize(build_index(docs, {t for _, found in held for w in found for t in w}), "postings")
-    df = _frequencies(index)
-    queries = [docs.sparkSession.sparkContext.broadcast((names, _ordered(found, df))) for names, found in held]
+    context = docs.sparkSession.sparkContext
+    found = windows(block, size)
+    terms = context.broadcast({t for w in found for t in w})
+    index = materialize(build_index(docs, terms), "postings")
+    query = context.broadcast(([i for i, _ in block], _ordered(found, _frequencies(index))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, phrases = query.value
         for frame in frames:
             for row in frame.itertuples(index=False):
                 seg = Segment(row)
                 hit: list[set[int]] = [set() for _ in seg.ids]
                 got: list[set[str]] = [set() for _ in seg.ids]
-                for names, phrases in (q.value for q in queries):
-                    for order, length, own in phrases:
-                        if order[0][0] not in seg.number:
-                            continue
-                        at = seg.near(order, slop) if slop else seg.phrase(order)
-                        for p, d in zip(at.tolist(), seg.owner(at).tolist(), strict=True) if len(at) else ():
-                            first = p - int(seg.firsts[d])
-                            hit[d].update(range(max(0, first - slop), min(first + length + slop, int(seg.lengths[d]))))
-                            got[d].update(names[k] for k in own if names[k] is not None)
+                for order, length, own in phrases:
+                    if order[0][0] not in seg.number:
+                        continue
+                    at = seg.near(order, slop) if slop else seg.phrase(order)
+                    for p, d in zip(at.tolist(), seg.owner(at).tolist(), strict=True) if len(at) else ():
+                        first = p - int(seg.firsts[d])
+                        hit[d].update(range(max(0, first - slop), min(first + length + slop, int(seg.lengths[d]))))
+                        got[d].update(names[k] for k in own if names[k] is not None)
                 ids = pd.array([None if i is None or i != i else int(i) for i in seg.ids], dtype="Int64")
                 yield pd.DataFrame({"doc_id": ids, "n_words": seg.lengths.astype(np.int64), "hits": [sorted(x) for x in hit], "items": [sorted(x) for x in got]})
 
-    return index.select("doc_ids", "firsts", "lengths", "terms", "starts", "positions").mapInPandas(run, MATCHES)
+    return index.select("doc_ids", "firsts", "lengths", "terms", "starts", "positions").mapInPandas(run, MATCHES), index, [terms, query]
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:

@@ -267,3 +267,20 @@ def test_jaccard_of_few_documents_in_many_buckets(spark):
         assert sorted((str(r[0]), r[1], str(r[2])) for r in jaccard.report(docs).collect()) == brute_components(rows, 85, 4)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_decontamination_block_by_block(spark, odd_docs, monkeypatch):
+    """Several blocks give what one gives, and no more than one block's windows are built at once."""
+    items = spark.createDataFrame([("a", "cat sat on THE mat and the dog lay by"), ("a", "door of the old house today"), ("b", "one two"), ("c", None), ("d", "no id here"), (None, "same id")], "item_id string, text string").coalesce(1)
+    rows = lambda: sorted(str(tuple(r)) for r in decontam.matches(odd_docs, items).collect())
+    whole, report = rows(), sorted(map(str, decontam.report(odd_docs, items).collect()))
+    sizes, windows = [], decontam.windows
+    monkeypatch.setattr(decontam, "windows", lambda block, size: sizes.append((len(block), len(live))) or windows(block, size))
+    live, destroy = [], decontam.Broadcast.destroy
+    make = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: live.append(1) or make(self, value))
+    monkeypatch.setattr(decontam.Broadcast, "destroy", lambda self, *a: live.pop() and destroy(self, *a))
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 1)
+    assert rows() == whole
+    assert [n for n, _ in sizes] == [1, 1, 1, 2, 1] and all(held == 0 for _, held in sizes)
+    assert sorted(map(str, decontam.report(odd_docs, items).collect())) == report
