@@ -284,3 +284,32 @@ def test_decontamination_block_by_block(spark, odd_docs, monkeypatch):
     assert rows() == whole
     assert [n for n, _ in sizes] == [1, 1, 1, 2, 1] and all(held == 0 for _, held in sizes)
     assert sorted(map(str, decontam.report(odd_docs, items).collect())) == report
+
+
+def test_pipeline_run(spark, sf, encoding, tmp_path):
+    """The run against brute force on what the quality rules keep; documents made of others' passages end empty and stay."""
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    long = [r for r in quality.rules(real).where("lang = 'en'").orderBy("doc_id").collect() if 200 < len(r.text.split()) < 2000][:12]
+    made = [(10**6 + k, " ".join(a.text.split()[20:120] + b.text.split()[60:160]), "en", a.source, 0) for k, (a, b) in enumerate(zip(long[::2], long[1::2], strict=True))]
+    real.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").withColumn("n_chars", F.length("text").cast(real.schema["n_chars"].dataType))).write.parquet(f"{tmp_path}/documents.parquet")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = pairs(quality.rules(spark.read.parquet(f"{tmp_path}/documents.parquet")))
+    assert len({i for i, _ in rows}) == len(rows)
+    first = {i for i, _, component in brute_components(rows, 80, 5) if i == component}
+    rows = [(i, t) for i, t in rows if str(i) in first]
+    split = [WORD.findall(t or "") for _, t in rows]
+    seen = Counter(tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34))
+    cut = []
+    for (i, t), w in zip(rows, split, strict=True):
+        gone = {p for j in range(len(w) - 34) if seen[tuple(w[j : j + 35])] > 1 for p in range(j, j + 35)}
+        cut.append((i, " ".join(x for p, x in enumerate(w) if p not in gone) if gone else t))
+    low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    banned = {g for r in items.collect() if (w := low(r.text)) for g in grams(w, min(10, len(w)))}
+    sizes = {len(g) for g in banned}
+    clean = [(i, t) for i, t in cut if not any(grams(low(t), n) & banned for n in sizes)]
+    want = sorted((i, encoding.encode_ordinary(t or "")) for i, t in clean)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, list(r.token_ids)) for r in got) == want
+    assert all(r.n_tokens == len(r.token_ids) for r in got) and any(r.n_tokens == 0 for r in got)
