@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.core import natural_key
 from ..functions.titles import first_number_name, group_key, item_key, parse_episode, variant_key
-from ..sources.files import CONSOLIDATION_EXTENSIONS, wanted
+from ..sources.files import CONSOLIDATION_EXTENSIONS, short_list, wanted
 from ..sources.store import materialize
 
-#: Drives are a short configured list.
+#: Drives are a short configured list; more are an error.
 MAX_DRIVES = 64
 
 
@@ -60,7 +60,7 @@ def drive_sums(kept: DataFrame) -> DataFrame:
 def drive_ranks(kept: DataFrame, drives: DataFrame) -> DataFrame:
     """For each group its drives, best first: most files, most bytes, most free space, then name."""
     w = Window.partitionBy("base_key").orderBy(F.desc("n"), F.desc("bytes"), F.desc("free_bytes"), "drive")
-    return drive_sums(kept).join(F.broadcast(drives.limit(MAX_DRIVES)), "drive").withColumn("rank", F.row_number().over(w))
+    return drive_sums(kept).join(short_list(drives, MAX_DRIVES), "drive").withColumn("rank", F.row_number().over(w))
 
 
 def bids(kept: DataFrame, drives: DataFrame) -> DataFrame:
@@ -76,15 +76,16 @@ def accept(offers: DataFrame, free: DataFrame, reserve: int) -> DataFrame:
     sums = rows.groupBy("drive", "block").agg(F.sum("incoming").alias("s"))
     ahead = sums.withColumn("ahead", F.coalesce(F.sum("s").over(Window.partitionBy("drive").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
     own = F.sum("incoming").over(Window.partitionBy("drive", "block").orderBy("base_key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("own", own).join(ahead, ["drive", "block"]).join(F.broadcast(free.limit(MAX_DRIVES)), "drive")
+    rows = rows.withColumn("own", own).join(ahead, ["drive", "block"]).join(short_list(free, MAX_DRIVES), "drive")
     return rows.withColumn("taken", F.col("ahead") + F.col("own")).withColumn("accepted", F.col("free_bytes") - F.col("taken") >= reserve).drop("block", "own", "ahead")
 
 
-def place(kept: DataFrame, drives: DataFrame, reserve: int = 0, rounds: int = 8) -> DataFrame:
-    """(base_key, drive, incoming, round); a group that no drive takes has a null drive and round."""
+def place(kept: DataFrame, drives: DataFrame, reserve: int = 0, rounds: int | None = None) -> DataFrame:
+    """(base_key, drive, incoming, round); a group that no drive takes has a null drive and round. As many rounds as drives, unless stated."""
     offers, free = materialize(bids(kept, drives), "bids"), materialize(drives.select("drive", "free_bytes"), "free")
     placed = None
-    last = min(rounds, MAX_DRIVES, drives.count())
+    last = free.count()
+    last = last if rounds is None else min(rounds, last)
     for r in range(1, last + 1):
         todo = offers.where(F.col("rank") == r)
         if placed is not None:
@@ -114,7 +115,7 @@ def evacuation(groups: DataFrame, need: DataFrame, fresh: DataFrame | None = Non
     if fresh is not None:
         groups = groups.join(fresh.select("base_key", "drive"), ["base_key", "drive"], "left_anti")
     before = F.coalesce(F.sum("bytes").over(Window.partitionBy("drive").orderBy(F.desc("bytes"), "base_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return groups.join(F.broadcast(need.limit(MAX_DRIVES)), "drive").withColumn("before", before).where(F.col("before") < F.col("need_bytes")).drop("before")
+    return groups.join(short_list(need, MAX_DRIVES), "drive").withColumn("before", before).where(F.col("before") < F.col("need_bytes")).drop("before")
 
 
 def balance_plan(groups: DataFrame, drives: DataFrame, target_free: int, reserve: int = 0, fresh: DataFrame | None = None) -> DataFrame:
@@ -146,4 +147,4 @@ def free_names(plan: DataFrame, existing: DataFrame, stamp: str, most: int = 50)
 def running_free(moves: DataFrame, drives: DataFrame) -> DataFrame:
     """Free space of each drive after each step of (step, drive, delta)."""
     w = Window.partitionBy("drive").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return moves.join(F.broadcast(drives.select("drive", "free_bytes").limit(MAX_DRIVES)), "drive").withColumn("free_after", F.col("free_bytes") + F.sum("delta").over(w))
+    return moves.join(short_list(drives.select("drive", "free_bytes"), MAX_DRIVES), "drive").withColumn("free_after", F.col("free_bytes") + F.sum("delta").over(w))

@@ -14,6 +14,7 @@ INDEX_EXTENSIONS = ["mp4", "m4v", "mkv", "avi", "wmv", "mov", "mpg", "mpeg", "ts
 CONSOLIDATION_EXTENSIONS = ["mp4", "mkv", "avi", "mov", "m4v", "mpg", "mpeg", "ts", "wmv", "flv", "webm", "vob"]
 LOG_COLUMNS = ["ts", "mode", "group", "action", "src", "dest", "bytes", "status", "message"]
 MAX_DEPTH = 4
+MAX_ROOTS = 1000
 
 
 def listing(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
@@ -31,9 +32,17 @@ def wanted(path: Column, root: Column, extensions: list[str], max_depth: int | N
     return under(path, root) & ~hidden & deep & extension(path).isin(extensions)
 
 
+def short_list(df: DataFrame, most: int) -> DataFrame:
+    """A configured list for broadcasting, computed once; more rows than ``most`` are an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows in a configured list")
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def distinct_roots(roots: DataFrame) -> DataFrame:
     """(root, pos): roots that aren't the same as, or nested in, another; of equal ones the first stays. A short configured list."""
-    a, b = roots.alias("a"), F.broadcast(roots.limit(1000)).alias("b")
+    a, b = roots.alias("a"), short_list(roots, MAX_ROOTS).alias("b")
     inside = under(F.col("a.root"), F.col("b.root")) & ((F.col("a.root") != F.col("b.root")) | (F.col("a.pos") > F.col("b.pos")))
     return a.join(b, inside, "left_anti")
 

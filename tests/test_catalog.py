@@ -11,6 +11,7 @@ from cinelake.functions import titles
 from cinelake.oracles import ORACLES
 from cinelake.plans import consolidate, index, names
 from cinelake.queries import QUERIES
+from cinelake.sources import files
 from cinelake.sources.derive import derived
 
 
@@ -127,3 +128,17 @@ def test_bursts_and_heartbeats_of_all_events(spark, sf):
     last, now = dict(events), max(ts for _, ts in events)
     late = {k: int(now.timestamp()) - int(ts.timestamp()) > 300 for k, ts in last.items()}
     assert sorted(map(tuple, QUERIES["stale_all"](spark, sf).collect())) == sorted((k, ts.strftime(shown), late[k]) for k, ts in last.items())
+
+
+def test_placement_tries_every_drive(spark):
+    kept = spark.createDataFrame([("g", f"/v{i}", 100 - i) for i in range(12)], "base_key string, drive string, size long")
+    drives = spark.createDataFrame([(f"/v{i}", 10**6 if i == 11 else 0) for i in range(12)], "drive string, free_bytes long")
+    assert [(r["drive"], r["round"]) for r in consolidate.place(kept, drives).collect()] == [("/v11", 12)]
+
+
+def test_long_configured_lists_are_errors(spark):
+    drives = spark.range(65).selectExpr("concat('/v', id) AS drive", "1L AS free_bytes", "1L AS need_bytes")
+    kept = spark.createDataFrame([("g", "/v1", 1, 1)], "base_key string, drive string, size long, bytes long")
+    for f in (lambda: consolidate.drive_ranks(kept, drives), lambda: consolidate.evacuation(kept, drives), lambda: files.distinct_roots(spark.range(1001).selectExpr("concat('/r', id) AS root", "id AS pos"))):
+        with pytest.raises(ValueError):
+            f()
