@@ -67,10 +67,10 @@ def _trim_stops(words: Column) -> Column:
 def mined(files: DataFrame, folders: DataFrame) -> DataFrame:
     """(name, key, source, sightings) from scene tails, folders of people, and dotted releases with ``.And.`` between two people.
 
-    files: (stem, dir); folders: (folder). A dotted candidate stays if it was seen twice or is known from elsewhere.
+    files: (stem, dir) and, where tails are read from another form than the raw stem, title; folders: (folder). A dotted candidate stays if it was seen twice or is known from elsewhere.
     """
     files = files.where(~F.exists(F.split("dir", "/"), lambda s: s.isin(EXCLUDED_FOLDERS) | s.startswith(".")))
-    tails = files.select(F.explode(split_names(scene_tail(F.col("stem")))).alias("name")).where(is_name_shaped(F.col("name"))).withColumn("rank", F.lit(1))
+    tails = files.select(F.explode(split_names(scene_tail(F.col("title" if "title" in files.columns else "stem")))).alias("name")).where(is_name_shaped(F.col("name"))).withColumn("rank", F.lit(1))
     people = folders.where(~F.col("folder").isin(EXCLUDED_FOLDERS) & ~F.col("folder").startswith(".")).select(F.regexp_replace("folder", r"(?i)\s+Movies$", "").alias("name")).where(is_name_shaped(F.col("name"))).withColumn("rank", F.lit(2))
     certain = tails.unionByName(people).select(clean_name(F.col("name")).alias("name"), "rank").where("name IS NOT NULL").withColumn("key", F.lower("name"))
     certain = certain.groupBy("key").agg(F.min_by("name", F.struct("rank", "name")).alias("name"), F.min("rank").alias("rank"), F.count("*").alias("sightings"))

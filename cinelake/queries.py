@@ -242,9 +242,10 @@ def normalize_all(spark, sf):
 
 @query
 def harvest_names(spark, sf):
-    files = table(spark, sf, "raw_files").select(norm.normalize(F.regexp_replace("file_name", r"\.mp4$", "")).alias("title"))
-    fixed = names.restore_names(files.distinct().withColumn("id", F.xxhash64("title")), table(spark, sf, "names"))
-    return names.mined(fixed.select(F.col("title").alias("stem"), F.lit("/stage").alias("dir")), table(spark, sf, "names").select(F.concat("name", F.lit(" Movies")).alias("folder"))).select("name", "key", "source", "sightings")
+    raw = F.regexp_replace("file_name", r"\.mp4$", "")
+    files = table(spark, sf, "raw_files").select("dir", raw.alias("stem"), norm.normalize(raw).alias("title")).withColumn("id", F.xxhash64("title"))
+    fixed = names.restore_names(files.select("id", "title").distinct(), table(spark, sf, "names")).select("id", "title")
+    return names.mined(files.drop("title").join(fixed, "id"), table(spark, sf, "names").select(F.concat("name", F.lit(" Movies")).alias("folder"))).select("name", "key", "source", "sightings")
 
 
 @query

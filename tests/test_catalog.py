@@ -1,5 +1,6 @@
 import datetime
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -142,3 +143,18 @@ def test_long_configured_lists_are_errors(spark):
     for f in (lambda: consolidate.drive_ranks(kept, drives), lambda: consolidate.evacuation(kept, drives), lambda: files.distinct_roots(spark.range(1001).selectExpr("concat('/r', id) AS root", "id AS pos"))):
         with pytest.raises(ValueError):
             f()
+
+
+def test_mined(spark):
+    rows = [("Jane.Roe.And.Ann.Poe.1080p", "/a", "Jane Roe and Ann Poe"), ("The.Jane.Roe.And.Ann.Poe.Bts", "/b", "x"), ("Li.Wu.And.Bo.Ek.x264", "/a", "x"), ("t.scene.1.maxray", "/a", "T - Scene_1 - Max Ray"), ("t.scene.1.maxray", "/c", "T - Scene_1 - Max Ray"), ("t.scene.2.x", "/Tom and Jerry", "T - Scene_2 - No One")]
+    got = names.mined(spark.createDataFrame(rows, "stem string, dir string, title string"), spark.createDataFrame([("Li Wu Movies",), (".Hid Den",)], "folder string")).collect()
+    assert sorted((r["name"], r["source"], r["sightings"]) for r in got) == [("Ann Poe", "dotted", 2), ("Jane Roe", "dotted", 2), ("Li Wu", "performer_folders", 2), ("Max Ray", "scene_tails", 2)]
+
+
+def test_harvest_counts_files(spark, sf):
+    own = [r["name"] for r in derived(spark, sf, "names").collect()]
+    tails = Counter(re.search(r"\.scene\.\d+\.([A-Za-z]+)", r["file_name"])[1].lower() for r in derived(spark, sf, "raw_files").collect())
+    squash = Counter(n.replace(" ", "").lower() for n in own)
+    got = {r["name"]: r["sightings"] for r in QUERIES["harvest_names"](spark, sf).collect()}
+    once = [n for n in own if squash[n.replace(" ", "").lower()] == 1]
+    assert once and all(got[n] == 1 + tails[n.replace(" ", "").lower()] for n in once)
