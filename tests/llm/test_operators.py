@@ -275,14 +275,15 @@ def test_decontamination_block_by_block(spark, odd_docs, monkeypatch):
     rows = lambda: sorted(str(tuple(r)) for r in decontam.matches(odd_docs, items).collect())
     whole, report = rows(), sorted(map(str, decontam.report(odd_docs, items).collect()))
     sizes, windows = [], decontam.windows
-    monkeypatch.setattr(decontam, "windows", lambda block, size: sizes.append((len(block), len(live))) or windows(block, size))
-    live, destroy = [], decontam.Broadcast.destroy
+    monkeypatch.setattr(decontam, "windows", lambda block, size: sizes.append((len(block), len(live), len(made))) or windows(block, size))
+    live, made, destroy = [], [], decontam.Broadcast.destroy
     make = type(spark.sparkContext).broadcast
-    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: live.append(1) or make(self, value))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: live.append(1) or made.append(1) or make(self, value))
     monkeypatch.setattr(decontam.Broadcast, "destroy", lambda self, *a: live.pop() and destroy(self, *a))
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 1)
     assert rows() == whole
-    assert [n for n, _ in sizes] == [1, 1, 1, 2, 1] and all(held == 0 for _, held in sizes)
+    assert [n for n, _, _ in sizes] == [1, 1, 1, 2, 1] and all(held == 0 for _, held, _ in sizes)
+    assert [sent for _, _, sent in sizes] == [0, 2, 4, 6, 8]  # a block is done before the next one's windows are built
     assert sorted(map(str, decontam.report(odd_docs, items).collect())) == report
 
 
