@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import discard, materialize, shared_dir
 
-__all__ = ["discard", "groups_for", "materialize", "prepare", "row_key", "shared_dir", "table"]
+__all__ = ["discard", "groups_for", "join_salted", "materialize", "prepare", "row_key", "shared_dir", "table"]
 
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``, as bytes.split() has it too.
 SPACES = " \t\n\x0b\x0c\r"
@@ -36,3 +36,26 @@ def groups_for(df: DataFrame, text: str, mb: float) -> int:
     """How many groups of about ``mb`` MB of text the whole table makes; at least the shuffle's own partitions."""
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / (mb * 1e6)) + 1)
+
+
+#: Keys that ``join_salted`` spreads: those with more than SALTED rows and more than this share of all, so never more than 1 / SHARE keys.
+SHARE, SALTED = 0.0001, 1000
+
+
+def join_salted(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """Equi-join in which a key that many rows of ``left`` have is spread over several tasks, and the rows of ``right`` repeated for each.
+
+    ``counted``: a written table whose rows have left's keys at least as often (left itself by default). ``how``: inner or left. Rows of
+    ``left`` are dealt by a hash of their columns, so a repeated task deals them alike.
+    """
+    counted = left if counted is None else counted
+    total = counted.count()
+    least = max(SALTED, total * SHARE)
+    hot = counted.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > least).collect() if total > 4 * SALTED else []  # at most 1 / SHARE rows
+    if not hot:
+        return left.join(right, [*keys], how)
+    schema = counted.select(*keys).schema.add("__salts", "int")
+    salts = F.broadcast(left.sparkSession.createDataFrame([(*(r[k] for k in keys), int(r["__n"] / least) + 1) for r in hot], schema))
+    spread = left.join(salts, [*keys], "left").withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("__salts", F.lit(1)))).drop("__salts")
+    again = right.join(salts, [*keys], "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1)).cast("long") - 1))).drop("__salts")
+    return spread.join(again, [*keys, "__salt"], how).drop("__salt")
