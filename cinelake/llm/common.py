@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.store import discard, materialize, shared_dir
 
@@ -54,7 +55,7 @@ def join_salted(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner
     hot = counted.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > least).collect() if total > 4 * SALTED else []  # at most 1 / SHARE rows
     if not hot:
         return left.join(right, [*keys], how)
-    schema = counted.select(*keys).schema.add("__salts", "int")
+    schema = counted.select(*keys).schema.add("__salts", T.IntegerType())
     salts = F.broadcast(left.sparkSession.createDataFrame([(*(r[k] for k in keys), int(r["__n"] / least) + 1) for r in hot], schema))
     spread = left.join(salts, [*keys], "left").withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("__salts", F.lit(1)))).drop("__salts")
     again = right.join(salts, [*keys], "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1)).cast("long") - 1))).drop("__salts")
