@@ -1,47 +1,49 @@
 """N-gram language-model scoring by a weighted backoff automaton whose weights are gathered from the whole corpus.
 
-States are contexts (the last ``order - 1`` tokens, and every shorter one), reached by the hash of their tokens. A state has an arc for each
-token seen after it and one failure arc to the context without its oldest token. With Dirichlet smoothing the arc
-of a seen token has weight log10((c(hw) + mu * p'(w)) / (c(h) + mu)), the failure arc log10(mu / (c(h) + mu)), where
-p' is the lower state's probability; at the root p(w) = (c + 1) / (N + V + 1), which leaves one share for
-all unseen words. One left-to-right traversal of a document carries the state and adds up the weights.
-
-No model is held whole anywhere: documents are dealt into blocks by a hash of the row; a block asks for each of its distinct n-grams once
-and sends its own training counts with the question; the partition that owns an n-gram's hash adds the counts up and
-answers every block that asked; then the block, met again with its texts, runs its part of the automaton. A frequent word or passage is
-one entry of each block, so no key gathers rows.
-
-Tokens: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end token, which is also the first state. Null and empty texts are
+Model: absolute discounting, interpolated. After a context h with count c(h), a token w has probability
+(c(hw) - D) / c(h) + a(h) p(w | h') if hw was kept, else a(h) p(w | h'), where h' lacks h's oldest token and a(h) = 1 - sum over kept hw of
+(c(hw) - D) / c(h) is what the kept n-grams leave. N-grams of two tokens or more are kept if they occur ``least`` times in the training texts, so
+what occurs once counts as the context's rest. At the root p(w) = (c + 1) / (N + V + 1), which leaves one share for all unseen words.
+
+Automaton: each kept n-gram shorter than ``order`` is a state with a backoff weight log10 a(h) and a failure arc to the state without its oldest token; each kept
+n-gram hw is an arc from h with its log-probability, to the longest state that ends the tokens read. One left-to-right traversal of a text carries the state:
+while the state has no arc for the token it takes the failure arc and adds the backoff weight, then it takes the arc and adds that weight.
+
+No model is held whole anywhere. Documents are dealt into blocks by a hash of the row, and a block meets its texts once for each round:
+  1. it asks for each of its distinct words and bigrams once and sends its own training counts with the question; the partition that owns an
+     n-gram's hash adds the counts up, answers every block that asked, and names one of them as the n-gram's reporter;
+  2. it asks for the longer n-grams whose two parts were kept, one length in each round, and reports how many kept n-grams follow each context, and their
+     sum; the contexts' owners add these up and answer likewise;
+  3. it builds its part of the automaton, states and arcs that its texts can reach, and runs it.
+A frequent word, context or passage is one entry of each block, so no key gathers rows. Messages without entries aren't sent, so their number is
+bounded by the n-grams of the blocks.
+
+Tokens: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end token; the first state is a start token that isn't scored. Null and empty texts are
 the end token alone. A row with a null id is a training row. Rows equal in id and text count as often as they stand. Extra columns are ignored.
-N-gram identity is a 64-bit hash for words, 56 bits and the partition for longer n-grams.
+N-gram identity is a hash whose length grows with the corpus, so that about one in 500,000 unseen n-grams is taken for a seen one.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import groups_for, prepare, row_key
-from .wordhash import mix, word_hashes
+from .wordhash import mix, pieces, words_of
 
-END = np.uint64(xxhash.xxh3_64_intdigest(b""))
+START, END = mix(np.arange(1, 3, dtype=np.uint64))
 #: MB of text of a block.
-BLOCK_MB = 16
-#: Dirichlet strength of each context.
-MU = 100.0
+BLOCK_MB = 8
+#: Longest n-gram, the discount, and the count from which an n-gram of two tokens or more is kept.
+ORDER, DISCOUNT, LEAST = 3, 0.75, 2
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 def pack(x: np.ndarray) -> bytes:
     """Unsigned integers in as few whole bytes each as the largest needs."""
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
@@ -56,138 +58,259 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def steps(x: np.ndarray) -> np.ndarray:
-    """Differences of ascending values, and back by ``cumsum``."""
-    return np.diff(x, prepend=np.uint64(0))
-
-
-def grams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Lengths in tokens, and for each order the hash of the n-gram that ends at each token; where documents start."""
-    hashed = []
-    lengths = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        h = word_hashes(tokens(t))
-        hashed += [h, np.array([END])]
-        lengths[i] = len(h) + 1
-    flat = np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(len(flat)) - np.repeat(first, lengths)
-    out = [flat]
-    for k in range(1, order):
-        before = np.full(len(flat), END)
-        before[k:] = flat[:-k] if k < len(flat) else flat[:0]
-        before[place < k] = END
-        with np.errstate(over="ignore"):
-            out.append(mix(out[-1] * _ODD + before + np.uint64(k)) >> np.uint64(8))
-    return lengths, out, first
-
-
 def held_out(column: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(column.cast("string")), F.lit(modulus)) == remainder, F.lit(False))
 
 
-def _parts(unique: np.ndarray, parts: int) -> list[np.ndarray]:
-    """Indices of the owner's share in ascending order of the hashes."""
+def owners(unique: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(owner, indices of its share in ascending order of the hashes) of every owner that has any."""
+    if not len(unique):
+        return
     owner = (mix(unique) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(owner, kind="stable")
-    return np.split(order, np.searchsorted(owner[order], np.arange(1, parts)))
+    owner = owner[order]
+    cuts = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+    for i, at in zip(owner[np.concatenate(([0], cuts))].tolist(), np.split(order, cuts), strict=True):
+        yield i, at
 
 
 def totals(docs: DataFrame, parts: int) -> tuple[int, int]:
     """N and V of the training tokens: each batch sends its distinct words once, the owners count them."""
 
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            _, (flat, *_), _ = grams(f["text"].tolist(), 1)
-            unique = np.unique(flat)
-            yield pd.DataFrame([(p, pack(steps(unique[i])), len(flat) if p == 0 else 0) for p, i in enumerate(_parts(unique, parts))], columns=["part", "words", "n"])
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in pieces(b.column(0), BLOCK_MB * 1_000_000):
+                w = words_of(b.column(0)[i:j], fold=True)
+                n = len(w.hashes) + j - i
+                unique = np.unique(np.append(w.hashes, END))
+                rows = [(p, pack(np.diff(unique[at], prepend=np.uint64(0)))) for p, at in owners(unique, parts)]
+                yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in rows], pa.int32()), "words": pa.array([x for _, x in rows], pa.binary()), "n": pa.array([n, *[0] * (len(rows) - 1)], pa.int64())})
 
     def count(f: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"n": [f["n"].sum()], "v": [len(np.unique(np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in f["words"]])))]})
 
-    got = docs.where(~F.col("held_out")).select("text").mapInPandas(ask, "part int, words binary, n bigint").groupBy("part").applyInPandas(count, "n bigint, v bigint").agg(F.sum("n"), F.sum("v")).first()
+    got = docs.where(~F.col("held_out")).select("text").mapInArrow(ask, "part int, words binary, n bigint").groupBy("part").applyInPandas(count, "n bigint, v bigint").agg(F.sum("n"), F.sum("v")).first()
     return got[0] or 0, got[1] or 0
 
 
-def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = 2, mu: float = MU) -> DataFrame:
+MESSAGE = "part int, block int, kind int, hashes binary, first binary, second binary"
+ANSWER = "block int, part int, kind int, first binary, second binary"
+
+
+def _answer(f: pd.DataFrame, least: int) -> pd.DataFrame:
+    """One owner: sums over the blocks that sent an entry. Questions (even kinds) get the sums of kept n-grams, doubled, plus 1 for the reporter; reports the sums."""
+    out = []
+    for kind, g in f.groupby("kind"):
+        each = [np.cumsum(unpack(x), dtype=np.uint64) for x in g["hashes"]]
+        flat = np.concatenate(each)
+        order = np.argsort(flat, kind="stable")
+        fresh = np.concatenate(([True], flat[order][1:] != flat[order][:-1]))
+        name = np.empty(len(flat), np.int64)
+        name[order] = np.cumsum(fresh) - 1
+        sums = [np.bincount(name, np.concatenate([unpack(x) for x in g[c]]).astype(np.float64)).astype(np.uint64)[name] for c in (("first",) if kind % 2 == 0 else ("first", "second"))]
+        if kind % 2 == 0:
+            reporter = np.zeros(len(flat), np.uint64)
+            reporter[order[fresh]] = 1
+            sums[0] = np.where(sums[0] >= (1 if kind == 0 else least), 2 * sums[0] + reporter, 0).astype(np.uint64)
+        cuts = np.cumsum([len(x) for x in each])[:-1]
+        split = [[pack(x) for x in np.split(s, cuts)] for s in sums]
+        out.append(pd.DataFrame({"block": g["block"].to_numpy(), "part": g["part"].to_numpy(), "kind": kind, "first": split[0], "second": split[-1] if len(split) > 1 else b""}))
+    return pd.concat(out, ignore_index=True)
+
+
+class Block:
+    """N-grams of a block's texts as far as the answers reach. ``unique[k]``: distinct n-grams of k + 1 tokens; ``name[k]``: their number at each place, or -1."""
+
+    def __init__(self, texts: pa.Array, train: np.ndarray, parts: int, bits: int, answers: pa.Table | None):
+        words = words_of(texts, fold=True)
+        self.lengths = words.lengths + 2
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.zeros(int(self.lengths.sum()), np.uint64)
+        inside = np.ones(len(self.flat), bool)
+        inside[self.first] = inside[self.first + self.lengths - 1] = False
+        self.flat[self.first], self.flat[self.first + self.lengths - 1], self.flat[inside] = START, END, words.hashes
+        self.place = np.arange(len(self.flat)) - np.repeat(self.first, self.lengths)
+        self.train = np.repeat(train, self.lengths)
+        self.parts, self.shift = parts, np.uint64(64 - bits)
+        self.gram: list[np.ndarray] = []
+        self.unique: list[np.ndarray] = []
+        self.name: list[np.ndarray] = []
+        self.head: list[np.ndarray] = []
+        self.own: list[np.ndarray] = []  # training counts in this block
+        self.total: list[np.ndarray] = []  # in the corpus, 0 if not kept
+        self.reporter: list[np.ndarray] = []
+        self.following: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # kept n-grams after each context, and their sum
+        self.got = {} if answers is None else {(k, p): (a, b) for k, p, a, b in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "first", "second")), strict=True)}
+
+    def number(self, k: int) -> None:
+        """Names the n-grams of k + 1 tokens: of two tokens or fewer all, of longer ones those both of whose parts were kept."""
+        if k == 0:
+            self.gram.append(self.flat >> self.shift)
+        else:
+            g = np.zeros(len(self.flat), np.uint64)
+            with np.errstate(over="ignore"):
+                g[1:] = mix(self.gram[k - 1][:-1] * _ODD + self.flat[1:] + np.uint64(k)) >> self.shift
+            self.gram.append(g)
+        able = self.place >= k
+        if k > 1:
+            kept = self.kept(k - 1)
+            able[1:] &= kept[1:] & kept[:-1]
+        at = np.flatnonzero(able)
+        order = at[np.argsort(self.gram[k][at])]
+        s = self.gram[k][order]
+        fresh = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.zeros(0, bool)
+        name = np.full(len(self.flat), -1, np.int32)
+        name[order] = np.cumsum(fresh) - 1
+        self.unique.append(s[fresh])
+        self.name.append(name)
+        self.head.append(order[fresh])
+        self.own.append(np.add.reduceat(self.train[order].astype(np.int64), np.flatnonzero(fresh)) if len(s) else np.zeros(0, np.int64))
+
+    def kept(self, k: int) -> np.ndarray:
+        """Whether the n-gram of k + 1 tokens that ends at each place was kept."""
+        return (self.name[k] >= 0) & np.append(self.total[k] > 0, False)[self.name[k]]
+
+    def read(self, k: int) -> None:
+        """Takes the answers on the n-grams of k + 1 tokens."""
+        coded = np.zeros(len(self.unique[k]), np.uint64)
+        for p, at in owners(self.unique[k], self.parts):
+            coded[at] = unpack(self.got[2 * k, p][0])
+        self.total.append((coded >> np.uint64(1)).astype(np.int64))
+        self.reporter.append((coded & np.uint64(1)).astype(bool) & (coded > 1))
+
+    def contexts(self, k: int, least: int) -> np.ndarray:
+        """Numbers of the contexts of k + 1 tokens that kept n-grams can follow."""
+        return np.flatnonzero(self.total[k] >= least)
+
+    def read_following(self, k: int, least: int) -> None:
+        at = self.contexts(k, least)
+        sums = np.zeros((2, len(self.unique[k])))
+        for p, i in owners(self.unique[k][at], self.parts):
+            for s, raw in zip(sums, self.got[2 * k + 1, p], strict=True):
+                s[at[i]] = unpack(raw)
+        self.following[k] = (sums[0], sums[1])
+
+    def questions(self, k: int) -> list[tuple]:
+        return [(p, 2 * k, pack(np.diff(self.unique[k][at], prepend=np.uint64(0))), pack(self.own[k][at]), b"") for p, at in owners(self.unique[k], self.parts)]
+
+    def reports(self, k: int, least: int) -> list[tuple]:
+        """What this block's n-grams of k + 2 tokens, as far as it reports them, say of their contexts; contexts without any are asked for all the same."""
+        chosen = np.flatnonzero(self.reporter[k + 1])
+        context = self.name[k][self.head[k + 1][chosen] - 1]
+        many = np.bincount(context, minlength=len(self.unique[k]))
+        total = np.bincount(context, self.total[k + 1][chosen], minlength=len(self.unique[k])).astype(np.int64)
+        at = self.contexts(k, least)
+        return [(p, 2 * k + 1, pack(np.diff(self.unique[k][at[i]], prepend=np.uint64(0))), pack(many[at[i]]), pack(total[at[i]])) for p, i in owners(self.unique[k][at], self.parts)]
+
+
+class Automaton:
+    """States and arcs that a block's texts can reach, as arrays. State 0 is the root."""
+
+    def __init__(self, block: Block, order: int, z: float, discount: float):
+        self.block, sizes = block, [len(u) for u in block.unique]
+        base = 1 + np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        self.failure, self.backoff, self.depth = np.zeros(base[order - 1], np.int64), np.zeros(base[order - 1]), np.zeros(base[order - 1], np.int64)
+        self.weight, self.next = np.zeros(int(base[-1])), np.zeros(int(base[-1]), np.int64)
+        #: At each place, the arc for its token from a state of each depth, or -1.
+        self.arc = np.full((order, len(block.flat)), -1, np.int64)
+        lower, rest = np.zeros(0), np.zeros(0)
+        for k in range(order):
+            c, head, own = block.total[k].astype(float), block.head[k], slice(int(base[k]), int(base[k + 1]))
+            if k == 0:
+                p = (c + 1) / z
+            else:
+                context, suffix = block.name[k - 1][head - 1], block.name[k - 1][head]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    p = np.where(c > 0, (c - discount) / block.total[k - 1][context] + rest[context] * lower[suffix], 1.0)
+            self.weight[own] = np.log10(p)
+            self.arc[k] = np.where(block.kept(k) if k else True, block.name[k] + base[k], -1)
+            if k < order - 1:
+                many, total = block.following[k]
+                rest = np.where(many > 0, (c - total + discount * many) / np.maximum(c, 1), 1.0)
+                self.backoff[own], self.depth[own] = np.log10(rest), k + 1
+                self.failure[own] = suffix + base[k - 1] if k else 0
+                self.next[own] = np.where(c > 0, np.arange(own.start, own.stop), 0)
+            else:
+                self.next[own] = suffix + base[k - 1] if k else 0
+            lower = p
+        self.starts = self.next[block.name[0][block.first] + base[0]]
+
+    def run(self) -> np.ndarray:
+        """Each text's log-probability: all texts of the block step from token to token together, the longest to its end."""
+        block = self.block
+        longest = np.argsort(-block.lengths, kind="stable")
+        first, lengths, state = block.first[longest], block.lengths[longest], self.starts[longest]
+        score = np.zeros(len(first))
+        active = len(first)
+        for t in range(1, int(lengths[0]) if len(lengths) else 0):
+            while lengths[active - 1] <= t:
+                active -= 1
+            place, s = first[:active] + t, state[:active]
+            arc = self.arc[self.depth[s], place]
+            while len(miss := np.flatnonzero(arc < 0)):
+                score[miss] += self.backoff[s[miss]]
+                s[miss] = self.failure[s[miss]]
+                arc[miss] = self.arc[self.depth[s[miss]], place[miss]]
+            score[:active] += self.weight[arc]
+            state[:active] = self.next[arc]
+        out = np.zeros(len(score))
+        out[longest] = score
+        return out
+
+
+def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = ORDER, discount: float = DISCOUNT, least: int = LEAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    if order < 2:
+        raise ValueError("the automaton has states for contexts: order is 2 or more")
     prepare(docs.sparkSession)
     parts = groups_for(docs, "text", BLOCK_MB)
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), "text", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), F.pmod(row_key(), F.lit(parts)).cast("int").alias("block"))
     n, v = totals(rows, parts)
-    z = float(n + v + 1)
-
-    def ask(f: pd.DataFrame) -> pd.DataFrame:
-        lengths, all_grams, _ = grams(f["text"].tolist(), order)
-        train = np.repeat(~f["held_out"].to_numpy(bool), lengths)
-        out: list[list] = [[p, int(f["block"].iloc[0]), [], []] for p in range(parts)]
-        for g in all_grams:
-            unique, inverse = np.unique(g, return_inverse=True)
-            counts = np.bincount(inverse[train], minlength=len(unique))
-            for p, i in enumerate(_parts(unique, parts)):
-                out[p][2].append(pack(steps(unique[i])))
-                out[p][3].append(pack(counts[i]))
-        return pd.DataFrame(out, columns=["part", "block", "hashes", "counts"])
-
-    def answer(f: pd.DataFrame) -> pd.DataFrame:
-        sums = []
-        for k in range(order):
-            each = [np.cumsum(unpack(x[k]), dtype=np.uint64) for x in f["hashes"]]
-            unique, inverse = np.unique(np.concatenate(each), return_inverse=True)
-            total = np.bincount(inverse, np.concatenate([unpack(x[k]) for x in f["counts"]]).astype(np.float64), minlength=len(unique)).astype(np.uint64)[inverse]
-            sums.append(np.split(total, np.cumsum([len(x) for x in each])[:-1]))
-        return pd.DataFrame({"block": f["block"], "part": f["part"], "sums": [[pack(s[i]) for s in sums] for i in range(len(f))]})
-
-    def walk(f: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        lengths, all_grams, first = grams(f["text"].tolist(), order)
-        got = dict(zip(answers["part"].tolist(), answers["sums"].tolist(), strict=True))
-        counts = []
-        for k, g in enumerate(all_grams):
-            unique, inverse = np.unique(g, return_inverse=True)
-            total = np.zeros(len(unique))
-            for p, i in enumerate(_parts(unique, parts)):
-                total[i] = unpack(got[p][k])
-            counts.append(total[inverse])
-        base = np.log10((counts[0] + 1) / z)
-        ends = np.cumsum(lengths) - 1
-        documents = counts[0][ends[0]] if len(ends) else 0.0
-        weight, lower = base, (counts[0] + 1) / z
-        for k in range(1, order):
-            context = np.empty(len(weight))
-            context[1:] = counts[k - 1][:-1]
-            context[first] = documents  # the first state has been left once by each training document
-            seen = counts[k] > 0
-            lower = (counts[k] + mu * lower) / (context + mu)
-            # An arc where there is one; else the failure arc and on from the shorter context.
-            weight = np.where(seen, np.log10(lower), np.log10(mu / (context + mu)) + weight)
-        per = lambda x: np.add.reduceat(x, first) if len(first) else x
-        return pd.DataFrame({"id": f["id"], "held_out": f["held_out"], "n_tokens": lengths, "n_known": per((counts[0] > 0).astype(np.int64)), "base_score": per(base), "score": per(weight)})
-
-    asked = rows.groupBy("block").applyInPandas(ask, "part int, block int, hashes array<binary>, counts array<binary>")
-    answered = asked.groupBy("part").applyInPandas(answer, "block int, part int, sums array<binary>")
-    walked = rows.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(walk, "id string, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    z, bits = float(n + v + 1), min(64, max(40, 20 + n.bit_length()))
+
+    def met(texts: pa.Table, answers: pa.Table | None, reach: int) -> Block:
+        """The block with the answers on n-grams of ``reach`` tokens or fewer, and those of the next length named."""
+        text = texts.column("text").combine_chunks()
+        train = ~texts.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        block = Block(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text, train, parts, bits, answers)
+        for k in range(min(order, max(2, reach + 1))):
+            block.number(k)
+            if k < reach:
+                block.read(k)
+        return block
+
+    def sent(texts: pa.Table, messages: list[tuple]) -> pa.Table:
+        columns = zip(*messages, strict=True) if messages else [()] * 5
+        part, kind, hashes, first, second = (list(c) for c in columns)
+        block = texts.column("block")[0].as_py() if texts.num_rows else 0
+        return pa.table({"part": pa.array(part, pa.int32()), "block": pa.array([block] * len(part), pa.int32()), "kind": pa.array(kind, pa.int32()), "hashes": pa.array(hashes, pa.binary()), "first": pa.array(first, pa.binary()), "second": pa.array(second, pa.binary())})
+
+    def ask(texts: pa.Table) -> pa.Table:
+        block = met(texts, None, 0)
+        return sent(texts, block.questions(0) + block.questions(1))
+
+    def ask_on(reach: int):
+        def ask(texts: pa.Table, answers: pa.Table) -> pa.Table:
+            block = met(texts, answers, reach)
+            return sent(texts, (block.questions(reach) if reach < order else []) + block.reports(reach - 2, least))
+
+        return ask
+
+    def walk(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        block = met(texts, answers, order)
+        for k in range(order - 1):
+            block.read_following(k, least)
+        weights = np.log10((block.total[0] + 1) / z)[block.name[0]]
+        weights[block.first] = 0  # the start isn't scored
+        known = (block.total[0] > 0)[block.name[0]].astype(np.int64)
+        known[block.first] = 0
+        per = lambda x: np.add.reduceat(x, block.first) if len(block.first) else x
+        return pa.table({"id": texts.column("id"), "held_out": texts.column("held_out"), "n_tokens": block.lengths - 1, "n_known": per(known), "base_score": per(weights), "score": Automaton(block, order, z, discount).run()})
+
+    answer = lambda f: _answer(f, least)
+    answered = rows.groupBy("block").applyInArrow(ask, MESSAGE).groupBy("part").applyInPandas(answer, ANSWER)
+    for reach in range(2, order + 1):
+        asked = rows.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(ask_on(reach), MESSAGE)
+        answered = answered.unionByName(asked.groupBy("part").applyInPandas(answer, ANSWER))
+    walked = rows.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(walk, "id string, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return walked.select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def brute_force(rows: list[tuple[str | None, str | None]], modulus: int = 7, remainder: int = 2, mu: float = MU) -> dict:
-    """The bigram model on a small list of (id, text), word by word, for tests: id -> (n_tokens, n_known, N, base, score)."""
-    import zlib
-    from collections import Counter
-
-    out = lambda i: i is not None and zlib.crc32(i.encode()) % modulus == remainder
-    uni, bi = Counter(), Counter()
-    split = [(i, [*tokens(t), b""]) for i, t in rows]
-    for i, t in split:
-        if not out(i):
-            uni.update(t)
-            bi.update(zip([b"", *t], t, strict=False))
-    n, v = sum(uni.values()), len(uni)
-    result = {}
-    for i, t in split:
-        base = score = 0.0
-        for h, w in zip([b"", *t], t, strict=False):
-            p = (uni[w] + 1) / (n + v + 1)
-            base += math.log10(p)
-            score += math.log10((bi[h, w] + mu * p) / (uni[h] + mu))
-        result[i] = (len(t), sum(uni[w] > 0 for w in t), n, base, score)
-    return result

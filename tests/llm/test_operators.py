@@ -1,5 +1,7 @@
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -167,10 +169,46 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert decontam.clean(odd_docs, items).columns == odd_docs.columns
 
 
-def test_language_model(odd_docs, no_docs):
+def language_model(rows, order, discount=lm.DISCOUNT, least=lm.LEAST):
+    """The model on a small list of (id, text), token by token with the tokens themselves as states: id -> (n_tokens, n_known, N, base, score)."""
+    out = lambda i: i is not None and zlib.crc32(i.encode()) % 7 == 2
+    split = [(i, ["<s>", *[w.encode() for w in WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))], "</s>"]) for i, t in rows]
+    counts = Counter(tuple(t[j - k : j + 1]) for i, t in split if not out(i) for k in range(order) for j in range(k, len(t)))
+    n, v = sum(c for g, c in counts.items() if len(g) == 1 and g != ("<s>",)), sum(len(g) == 1 and g != ("<s>",) for g in counts)
+    kept = {g: c for g, c in counts.items() if len(g) == 1 or c >= least}
+    after = {}
+    for g, c in kept.items():
+        after.setdefault(g[:-1], []).append(c)
+    rest = lambda h: 1 - sum(c - discount for c in after.get(h, ())) / counts[h] if counts[h] else 1.0
+
+    def arc(h, w):
+        if not h:
+            return (counts[w,] + 1) / (n + v + 1)
+        return (kept[*h, w] - discount) / counts[h] + rest(h) * (arc(h[1:], w) if not h[1:] or (*h[1:], w) in kept else backed(h[1:], w))
+
+    def backed(h, w):
+        return arc(h, w) if not h or (*h, w) in kept else rest(h) * backed(h[1:], w)
+
+    result = {}
+    for i, t in split:
+        state, base, total, known = ("<s>",) if counts["<s>",] else (), 0.0, 0.0, 0
+        for w in t[1:]:
+            base += math.log10((counts[w,] + 1) / (n + v + 1))
+            known += counts[w,] > 0
+            while state and (*state, w) not in kept:
+                total += math.log10(rest(state))
+                state = state[1:]
+            total += math.log10(arc(state, w))
+            state = (*state, w)[-(order - 1) :] if counts[w,] else ()
+        result[i] = (len(t) - 1, known, n, base, total)
+    return result
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(odd_docs, no_docs, order):
     rows = [(None if i is None else str(i), t) for i, t in pairs(odd_docs)]
-    want = lm.brute_force(rows)
-    got = lm.score(odd_docs).collect()
+    want = language_model(rows, order)
+    got = lm.score(odd_docs, order=order).collect()
     assert len(got) == len(rows)
     single = Counter(i for i, _ in rows)
     for r in got:
@@ -178,8 +216,22 @@ def test_language_model(odd_docs, no_docs):
         if single[i] == 1:
             n, known, total, base, score = want[i]
             assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
-            assert abs(r.base_score - base) < 1e-6 and abs(r.score - score) < 1e-6
-    assert lm.score(no_docs).count() == 0
+            assert abs(r.base_score - base) < 1e-6 and abs(r.score - score) < 1e-6 * abs(score)
+    assert lm.score(no_docs, order=order).count() == 0
+
+
+def test_language_model_against_a_walk_by_tokens(spark, monkeypatch):
+    """Real texts over many blocks and owners: states of each depth, failures from each, kept and pruned n-grams."""
+    monkeypatch.setattr(lm, "BLOCK_MB", 0.02)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = language_model([(str(i), t) for i, t in pairs(docs)], 3)
+    got = {str(r.doc_id): r for r in lm.score(docs).collect()}
+    assert len(got) == len(want)
+    for i, (n, known, total, base, score) in want.items():
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+        assert abs(r.base_score - base) < 1e-6 * abs(base) and abs(r.score - score) < 1e-6 * abs(score)
+    assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
 
 
 @pytest.mark.parametrize("operator", [toxicity, gam])
