@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +59,20 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def pack_counts(x: np.ndarray) -> bytes:
+    """Counts, most of them 0 or 1, by byte planes and compressed."""
+    raw = pack(x)
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0]).T
+    return raw[:1] + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
 def held_out(column: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(column.cast("string")), F.lit(modulus)) == remainder, F.lit(False))
 
@@ -107,13 +122,13 @@ def _answer(f: pd.DataFrame, least: int) -> pd.DataFrame:
         fresh = np.concatenate(([True], flat[order][1:] != flat[order][:-1]))
         name = np.empty(len(flat), np.int64)
         name[order] = np.cumsum(fresh) - 1
-        sums = [np.bincount(name, np.concatenate([unpack(x) for x in g[c]]).astype(np.float64)).astype(np.uint64)[name] for c in (("first",) if kind % 2 == 0 else ("first", "second"))]
+        sums = [np.bincount(name, np.concatenate([unpack_counts(x) for x in g[c]]).astype(np.float64)).astype(np.uint64)[name] for c in (("first",) if kind % 2 == 0 else ("first", "second"))]
         if kind % 2 == 0:
             reporter = np.zeros(len(flat), np.uint64)
             reporter[order[fresh]] = 1
             sums[0] = np.where(sums[0] >= (1 if kind == 0 else least), 2 * sums[0] + reporter, 0).astype(np.uint64)
         cuts = np.cumsum([len(x) for x in each])[:-1]
-        split = [[pack(x) for x in np.split(s, cuts)] for s in sums]
+        split = [[pack_counts(x) for x in np.split(s, cuts)] for s in sums]
         out.append(pd.DataFrame({"block": g["block"].to_numpy(), "part": g["part"].to_numpy(), "kind": kind, "first": split[0], "second": split[-1] if len(split) > 1 else b""}))
     return pd.concat(out, ignore_index=True)
 
@@ -142,8 +157,8 @@ class Block:
         self.following: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # kept n-grams after each context, and their sum
         self.got = {} if answers is None else {(k, p): (a, b) for k, p, a, b in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "first", "second")), strict=True)}
 
-    def number(self, k: int) -> None:
-        """Names the n-grams of k + 1 tokens: of two tokens or fewer all, of longer ones those both of whose parts were kept."""
+    def number(self, k: int, used: bool = True) -> None:
+        """Names the n-grams of k + 1 tokens: of two tokens or fewer all, of longer ones those both of whose parts were kept; none that aren't ``used``."""
         if k == 0:
             self.gram.append(self.flat >> self.shift)
         else:
@@ -151,8 +166,8 @@ class Block:
             with np.errstate(over="ignore"):
                 g[1:] = mix(self.gram[k - 1][:-1] * _ODD + self.flat[1:] + np.uint64(k)) >> self.shift
             self.gram.append(g)
-        able = self.place >= k
-        if k > 1:
+        able = self.place >= (k if used else len(self.place))
+        if k > 1 and used:
             kept = self.kept(k - 1)
             able[1:] &= kept[1:] & kept[:-1]
         at = np.flatnonzero(able)
@@ -172,9 +187,9 @@ class Block:
 
     def read(self, k: int) -> None:
         """Takes the answers on the n-grams of k + 1 tokens."""
-        coded = np.zeros(len(self.unique[k]), np.uint64)
+        coded = np.zeros(len(self.unique[k]), np.uint64)  # of unused lengths none
         for p, at in owners(self.unique[k], self.parts):
-            coded[at] = unpack(self.got[2 * k, p][0])
+            coded[at] = unpack_counts(self.got[2 * k, p][0])
         self.total.append((coded >> np.uint64(1)).astype(np.int64))
         self.reporter.append((coded & np.uint64(1)).astype(bool) & (coded > 1))
 
@@ -187,11 +202,11 @@ class Block:
         sums = np.zeros((2, len(self.unique[k])))
         for p, i in owners(self.unique[k][at], self.parts):
             for s, raw in zip(sums, self.got[2 * k + 1, p], strict=True):
-                s[at[i]] = unpack(raw)
+                s[at[i]] = unpack_counts(raw)
         self.following[k] = (sums[0], sums[1])
 
     def questions(self, k: int) -> list[tuple]:
-        return [(p, 2 * k, pack(np.diff(self.unique[k][at], prepend=np.uint64(0))), pack(self.own[k][at]), b"") for p, at in owners(self.unique[k], self.parts)]
+        return [(p, 2 * k, pack(np.diff(self.unique[k][at], prepend=np.uint64(0))), pack_counts(self.own[k][at]), b"") for p, at in owners(self.unique[k], self.parts)]
 
     def reports(self, k: int, least: int) -> list[tuple]:
         """What this block's n-grams of k + 2 tokens, as far as it reports them, say of their contexts; contexts without any are asked for all the same."""
@@ -200,7 +215,7 @@ class Block:
         many = np.bincount(context, minlength=len(self.unique[k]))
         total = np.bincount(context, self.total[k + 1][chosen], minlength=len(self.unique[k])).astype(np.int64)
         at = self.contexts(k, least)
-        return [(p, 2 * k + 1, pack(np.diff(self.unique[k][at[i]], prepend=np.uint64(0))), pack(many[at[i]]), pack(total[at[i]])) for p, i in owners(self.unique[k][at], self.parts)]
+        return [(p, 2 * k + 1, pack(np.diff(self.unique[k][at[i]], prepend=np.uint64(0))), pack_counts(many[at[i]]), pack_counts(total[at[i]])) for p, i in owners(self.unique[k][at], self.parts)]
 
 
 class Automaton:
@@ -268,13 +283,13 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = OR
     n, v = totals(rows, parts)
     z, bits = float(n + v + 1), min(64, max(40, 20 + n.bit_length()))
 
-    def met(texts: pa.Table, answers: pa.Table | None, reach: int) -> Block:
-        """The block with the answers on n-grams of ``reach`` tokens or fewer, and those of the next length named."""
+    def met(texts: pa.Table, answers: pa.Table | None, reach: int, low: int = 0) -> Block:
+        """The block with the answers on n-grams of more than ``low`` and up to ``reach`` tokens, and those of the next length named."""
         text = texts.column("text").combine_chunks()
         train = ~texts.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         block = Block(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text, train, parts, bits, answers)
         for k in range(min(order, max(2, reach + 1))):
-            block.number(k)
+            block.number(k, k >= low)
             if k < reach:
                 block.read(k)
         return block
@@ -291,7 +306,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = OR
 
     def ask_on(reach: int):
         def ask(texts: pa.Table, answers: pa.Table) -> pa.Table:
-            block = met(texts, answers, reach)
+            block = met(texts, answers, reach, min(reach - 2, 1))
             return sent(texts, (block.questions(reach) if reach < order else []) + block.reports(reach - 2, least))
 
         return ask
