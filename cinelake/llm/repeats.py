@@ -1,19 +1,23 @@
 """Substring deduplication by prefix-partitioned suffix trees.
 
-A suffix here starts at a word and only its first ``size`` words matter. Suffixes are split by a prefix of
-variable length: from the start through the first place where the ``LANDMARK``-word gram with the smallest
-hash among those that lie in the window ends. Equal windows have equal prefixes, and neighbouring suffixes of a document share their
-landmark, so they travel together as one row. The landmark's hash names the group; groups are gathered into
-memory-sized buckets, of which each is one subtree forest: its suffixes are sorted by the fingerprint of their path to
-depth ``size``, and a path with two leaves or more is a deep internal node, so that each leaf below it
-is a repeat. Neighbouring repeated starts join into maximal repeats (row, start, end).
-
-A passage in a third of all rows doesn't gather in one bucket: each batch of rows first builds the same trees over its own suffixes,
-reports repeats found there, and sends one leaf for each of its deep nodes.
-
-Fingerprints have 64 bits (16 of the landmark, 48 of the path), compared only inside a bucket. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null and empty texts have no
-words and keep the hash of the empty string; texts shorter than a window lose nothing. Rows equal in id and text
-repeat each other; a repeated id with another text is a row of its own. Extra columns are ignored by ``report`` and kept by ``remove``.
+A suffix here starts at a word, and its tree path ends after ``size`` words.
+
+1. Prefixes are counted. A suffix's prefix runs from its start through the first place of its landmark, the ``LANDMARK``-word gram with the smallest hash
+   among those that lie in its window; equal windows have equal prefixes, and neighbouring suffixes share their landmark, so a run of them is one entry.
+   A prefix that stands in one run only has no inner node and goes.
+2. Prefixes become groups of at most ``BOUND`` suffixes: the suffixes of a landmark stay together; a landmark beyond half the bound is split by
+   the words ahead of it; what is still beyond takes the whole window as its prefix, and such a group is one node whose leaves a salted
+   aggregation counts.
+3. Each group gets its suffixes' words and builds its tree: suffixes in the order of their words (names of runs of 1, 2, 4 ... words, each ranked from
+   two of the names before), and the longest common prefixes of neighbours. Neighbours with ``size`` words in common are leaves of one deep inner node, a repeat.
+   Neighbouring repeated starts of a row join into maximal repeats (row, start, end).
+
+A passage in a third of all rows doesn't gather in one group: each batch of rows first finds what it repeats itself, reports that, and sends one leaf for
+each such window.
+
+Hashes choose groups and candidates only: words are told apart by their bytes, within a batch and within a group, and windows by their words.
+Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null and empty texts have no words and keep the hash of the empty string; texts shorter than a window lose
+nothing. Rows equal in id and text repeat each other; a repeated id with another text is a row of its own. Extra columns are ignored by ``report`` and kept by ``remove``.
 """
 
 from __future__ import annotations
@@ -23,23 +27,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import groups_for, prepare, row_key
-from .wordhash import INVERSE, mix, powers, run_hashes, sliding_min, word_hashes
+from .common import discard, groups_for, join_salted, materialize, prepare, row_key
+from .wordhash import INVERSE, Words, mix, pieces, powers, run_hashes, sliding_min, words_of
 
 #: Words of a landmark gram.
 LANDMARK = 8
-#: Words hashed at once in a worker; a longer document is hashed alone.
-CHUNK_WORDS = 1_000_000
-#: MB of text for each bucket.
-BUCKET_MB = 12
-#: Suffixes of a run whose count travels in one byte; longer runs are cut.
-LONGEST_RUN = 255
-
-SHIPPED = "bucket bigint, marks binary, rows binary, starts binary, counts binary, paths binary, first bigint"
+#: Bytes of text hashed at once in a worker; a longer document is hashed alone.
+CHUNK = 6_000_000
+#: MB of text whose landmarks are counted in one bucket.
+BUCKET_MB = 24
+#: Suffixes of a group, whose words and names a task holds at once.
+BOUND = 400_000
+
+COUNTED = "bucket bigint, marks binary, rows binary, starts binary, counts binary, ahead binary"
+#: ``part``: the group, or KNOWN (``size`` words from each start are repeated), or WHOLE (the window itself is the prefix).
+PARTS = "row_key bigint, start int, count int, part bigint"
+KNOWN, WHOLE = -1, -2
+REPEATS = "row_key bigint, start int, stop int"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -50,6 +59,25 @@ def _pack(x: np.ndarray, kind) -> bytes:
     return np.ascontiguousarray(x, kind).tobytes()
 
 
+def word_names(found: Words) -> np.ndarray:
+    """A number for each word, equal for words with equal bytes only."""
+    order = np.argsort(found.hashes, kind="stable")
+    h = found.hashes[order]
+    same = h[1:] == h[:-1]
+    name = np.empty(len(h), np.int64)
+    name[order] = np.concatenate(([0], np.cumsum(~same))) if len(h) else 0
+    one, two = order[:-1][same], order[1:][same]
+    length = found.ends[one] - found.starts[one]
+    equal = (length == found.ends[two] - found.starts[two]).all()
+    if equal and len(one):
+        step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        equal = (found.data[np.repeat(found.starts[one], length) + step] == found.data[np.repeat(found.starts[two], length) + step]).all()
+    if not equal:  # two words with one hash
+        raw, known = found.data.tobytes(), {}
+        name = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(found.starts.tolist(), found.ends.tolist(), strict=True)], np.int64)
+    return name
+
+
 def _spans(rows: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Joins neighbouring repeated starts (sorted) into (row, start, end)."""
     new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (starts[1:] > starts[:-1] + 1)))) if len(rows) else np.zeros(0, np.int64)
@@ -57,114 +85,201 @@ def _spans(rows: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray,
     return rows[new], starts[new], starts[last] + size
 
 
-def _batch(keys: np.ndarray, texts: list[list[bytes]], size: int, buckets: int) -> pd.DataFrame | None:
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    use = np.flatnonzero(lengths >= size)
-    if not len(use):
+def _batch(keys: np.ndarray, found: Words, size: int, buckets: int) -> pd.DataFrame | None:
+    flat, lengths = found.hashes, found.lengths
+    if len(flat) < size:
         return None
-    keys, lengths = keys[use], lengths[use]
-    flat = np.concatenate([word_hashes(texts[i]) for i in use])
     ends = np.cumsum(lengths)
-    firsts = ends - lengths
     up, down = powers(len(flat)), powers(len(flat), INVERSE)
-    path = run_hashes(flat, size, up, down)
-    mark = sliding_min(run_hashes(flat, LANDMARK, up, down), size - LANDMARK + 1)
-    doc = np.repeat(np.arange(len(use)), lengths)[: len(path)]
+    path, grams = run_hashes(flat, size, up, down), run_hashes(flat, LANDMARK, up, down)
+    mark = sliding_min(grams, size - LANDMARK + 1)
+    doc = np.repeat(np.arange(len(lengths)), lengths)[: len(path)]
     at = np.flatnonzero(np.arange(len(path)) + size <= ends[doc])
-    path, mark, doc = path[at], mark[at], doc[at]
-    start = at - firsts[doc]
-    order = np.argsort(path, kind="stable")
+    if not len(at):
+        return None
+    order = at[np.argsort(path[at])]
     same = path[order][1:] == path[order][:-1]
-    deep = np.zeros(len(path), bool)
-    deep[order[1:][same]] = deep[order[:-1][same]] = True  # repeated within this batch
-    send = np.ones(len(path), bool)
-    send[order[1:][same]] = False  # one leaf stands for the others
+    one, two = order[:-1][same], order[1:][same]
+    if len(one):  # equal fingerprints: look at the words
+        name, alike = word_names(found), np.ones(len(one), bool)
+        for j in range(size):
+            alike &= name[one + j] == name[two + j]
+        one, two = one[alike], two[alike]
+    deep, send = np.zeros(len(path), bool), np.zeros(len(path), bool)
+    deep[one] = deep[two] = True
+    send[at] = True
+    send[two] = False  # one leaf stands for the others
     frames = []
     known = np.flatnonzero(deep)
+    start = np.arange(len(path)) - (ends - lengths)[doc]
     r, s, e = _spans(doc[known], start[known], size)
     if len(r):  # known repeats pass through the exchange, dealt by their row
-        frames.append(_ship(keys[r].view(np.uint64) % np.uint64(buckets), buckets, lambda i: (b"", _pack(keys[r[i]], np.int64), _pack(s[i], np.int32), _pack(e[i] - s[i], np.int32), b"", -1)))
+        frames.append(_deal(keys[r].view(np.uint64) % np.uint64(buckets), lambda i: (b"", _pack(keys[r[i]], np.int64), _pack(s[i], np.int32), _pack(e[i] - s[i] - size + 1, np.int32), b"")))
     i = np.flatnonzero(send)
-    path, mark, doc, start = path[i], mark[i], doc[i], start[i]
-    head = np.flatnonzero(np.concatenate(([True], (mark[1:] != mark[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1))))
-    if size < 256:  # counts then travel in a byte each; a gram that recurs can stay the landmark of more windows
-        pieces = -(-np.diff(np.append(head, len(mark))) // LONGEST_RUN)
-        head = np.repeat(head, pieces) + LONGEST_RUN * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    count = np.diff(np.append(head, len(mark)))
-    low = path.view(np.uint8).reshape(-1, 8)[:, :6]
-
-    def row(j: np.ndarray) -> tuple:
-        each = np.repeat(head[j] - np.concatenate(([0], np.cumsum(count[j])[:-1])), count[j]) + np.arange(count[j].sum())
-        return _pack(mark[head[j]], np.uint64), _pack(keys[doc[head[j]]], np.int64), _pack(start[head[j]], np.int32), _pack(count[j], np.uint8 if size < 256 else np.int32), np.ascontiguousarray(low[each]).tobytes(), 0
-
-    frames.append(_ship(mix(mark[head]) % np.uint64(buckets), buckets, row))
+    # A run ends where its landmark's first place is left behind, so all of it has one place.
+    head = i[np.concatenate(([True], (i[1:] != i[:-1] + 1) | (mark[i[1:]] != mark[i[:-1]]) | (doc[i[1:]] != doc[i[:-1]]) | (grams[i[:-1]] == mark[i[:-1]])))]
+    count = np.diff(np.append(np.searchsorted(i, head), len(i)))
+    ahead = np.full(len(head), -1)
+    for d in range(size - LANDMARK + 1):
+        ahead[(ahead < 0) & (grams[head + d] == mark[head])] = d
+    frames.append(_deal(mix(mark[head]) % np.uint64(buckets), lambda j: (_pack(mark[head[j]], np.uint64), _pack(keys[doc[head[j]]], np.int64), _pack(start[head[j]], np.int32), _pack(count[j], np.int32), _pack(ahead[j], np.int32))))
     return pd.concat(frames, ignore_index=True)
 
 
-def _ship(bucket: np.ndarray, buckets: int, row) -> pd.DataFrame:
+def _deal(bucket: np.ndarray, row) -> pd.DataFrame:
     bucket = bucket.astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cut = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1])))
-    return pd.DataFrame([(int(bucket[j[0]]), *row(j)) for j in np.split(order, cut[1:])], columns=["bucket", "marks", "rows", "starts", "counts", "paths", "first"])
-
-
-REPEATS = "row_key bigint, start int, stop int"
-
-
-def _subtrees(frame: pd.DataFrame, size: int) -> pd.DataFrame:
-    """One bucket: the repeats below its deep nodes, and the known ones."""
-    out = []
-    for x in frame[frame["first"] < 0].itertuples(index=False):
-        s = np.frombuffer(x.starts, np.int32)
-        out.append((np.frombuffer(x.rows, np.int64), s, s + np.frombuffer(x.counts, np.int32)))
-    new = frame[frame["first"] >= 0]
-    if len(new):
-        joined = lambda c, kind: np.frombuffer(b"".join(new[c]), kind)
-        marks, rows, starts, counts = joined("marks", np.uint64), joined("rows", np.int64), joined("starts", np.int32), joined("counts", np.uint8 if size < 256 else np.int32).astype(np.int64)
-        path = np.zeros((int(counts.sum()), 8), np.uint8)
-        path[:, :6] = joined("paths", np.uint8).reshape(-1, 6)
-        path = path.view(np.uint64).ravel() | (np.repeat(marks, counts) << np.uint64(48))
-        order = np.argsort(path, kind="stable")
-        same = path[order][1:] == path[order][:-1]
-        deep = np.zeros(len(path), bool)
-        deep[order[1:][same]] = deep[order[:-1][same]] = True
-        at = np.flatnonzero(deep)
-        run = np.repeat(np.arange(len(counts)), counts)[at]
-        start = starts[run] + (at - np.repeat(np.cumsum(counts) - counts, counts)[at])
-        # Shipments of several batches can hold equal rows, so starts don't ascend by themselves.
-        row = rows[run]
-        order = np.lexsort((start, row))
-        # Runs of one row stay apart unless they touch; spans are joined again for each row afterwards.
-        out.append(_spans(row[order], start[order], size))
-    if not out:
-        return pd.DataFrame({"row_key": np.zeros(0, np.int64), "start": np.zeros(0, np.int32), "stop": np.zeros(0, np.int32)})
-    r, s, e = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pd.DataFrame({"row_key": r.astype(np.int64), "start": s.astype(np.int32), "stop": e.astype(np.int32)})
-
-
-def maximal_repeats(docs: DataFrame, size: int = 35, id_column: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
-    """(row_key, start, stop) in words: every place covered by a window that stands somewhere else too."""
+    return pd.DataFrame([(int(bucket[j[0]]), *row(j)) for j in np.split(order, cut[1:])], columns=["bucket", "marks", "rows", "starts", "counts", "ahead"])
+
+
+def _packed(sizes: np.ndarray, bound: int) -> np.ndarray:
+    """Numbers of groups of at most ``bound``, for prefixes of at most half of that each."""
+    return (np.cumsum(sizes) - sizes) // max(1, bound // 2)
+
+
+def _group(frame: pd.DataFrame, bound: int) -> pd.DataFrame:
+    """One bucket: prefixes in one run go, the others are dealt into groups."""
+    known = frame["marks"].str.len() == 0
+    joined = lambda c, kind, of: np.frombuffer(b"".join(frame.loc[of, c]), kind)
+    out = [pd.DataFrame({"row_key": joined("rows", np.int64, known), "start": joined("starts", np.int32, known), "count": joined("counts", np.int32, known), "part": KNOWN})]
+    mark, rows, starts, counts, ahead = (joined(c, k, ~known) for c, k in (("marks", np.uint64), ("rows", np.int64), ("starts", np.int32), ("counts", np.int32), ("ahead", np.int32)))
+    _, name, often = np.unique(mark, return_inverse=True, return_counts=True)
+    use = often[name] > 1
+    name, rows, starts, counts, ahead = name[use], rows[use], starts[use], counts[use], ahead[use]
+    if len(name):
+        first = int(frame["bucket"].iloc[0]) << 24
+        total = np.bincount(name, counts).astype(np.int64)
+        light = total <= bound // 2
+        group = np.zeros(len(total), np.int64)
+        group[light] = _packed(total[light], bound)
+        at = light[name]
+        out.append(pd.DataFrame({"row_key": rows[at], "start": starts[at], "count": counts[at], "part": first + group[name[at]]}))
+        if not light.all():  # longer prefixes: suffixes that start equally far ahead of their landmark
+            run = np.repeat(np.flatnonzero(~at), counts[~at])
+            step = np.arange(len(run)) - np.repeat(np.cumsum(counts[~at]) - counts[~at], counts[~at])
+            _, name, total = np.unique(np.stack((name[run], ahead[run] - step)), axis=1, return_inverse=True, return_counts=True)
+            name = name.ravel()
+            light, after = total <= bound // 2, int(group.max()) + 1
+            part = np.full(len(total), WHOLE, np.int64)
+            part[light] = first + after + _packed(total[light], bound)
+            out.append(pd.DataFrame({"row_key": rows[run], "start": (starts[run] + step).astype(np.int32), "count": np.int32(1), "part": part[name]}))
+    return pd.concat([x for x in out if len(x)] or out[:1], ignore_index=True)
+
+
+def suffix_tree(name: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that start ``at`` places of ``name`` in the order of their first ``size`` words, and how many of these each shares with the next."""
+    levels = [(1, np.unique(name, return_inverse=True)[1].astype(np.uint64))]
+    while 2 * levels[-1][0] <= size:
+        w, x = levels[-1]
+        levels.append((2 * w, np.unique((x[:-w] << np.uint64(32)) | x[w:], return_inverse=True)[1].astype(np.uint64)))
+    w, x = levels[-1]
+    order = np.argsort((x[at] << np.uint64(32)) | x[at + size - w])
+    one, two = at[order][:-1], at[order][1:]
+    common = np.zeros(len(one), np.int64)
+    for w, x in reversed(levels):
+        more = np.flatnonzero(common + w <= size)
+        more = more[x[one[more] + common[more]] == x[two[more] + common[more]]]
+        common[more] += w
+    return order, common
+
+
+def _subtree(frame: pd.DataFrame, size: int) -> pd.DataFrame:
+    """One group's tree: the leaves below its deep inner nodes."""
+    joined = lambda c, kind: np.frombuffer(b"".join(frame[c]), kind)
+    rows, starts, counts = joined("rows", np.int64), joined("starts", np.int32), joined("counts", np.int32).astype(np.int64)
+    name = word_names(words_of([b" ".join(frame["words"])]))
+    stretch = counts + size - 1
+    step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.repeat(np.cumsum(stretch) - stretch, counts) + step
+    order, common = suffix_tree(name, at, size)
+    inner = np.flatnonzero(common >= size)
+    deep = np.zeros(len(at), bool)
+    deep[order[inner]] = deep[order[inner + 1]] = True
+    row, start = np.repeat(rows, counts)[deep], (np.repeat(starts, counts) + step)[deep]
+    order = np.lexsort((start, row))
+    r, s, e = _spans(row[order], start[order], size)
+    return pd.DataFrame({"row_key": r, "start": s.astype(np.int32), "stop": e.astype(np.int32)})
+
+
+def _parts(docs: DataFrame, size: int, bound: int) -> DataFrame:
+    """Runs of suffixes and their groups."""
+    n = groups_for(docs, "text", BUCKET_MB)
+
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in pieces(b.column(1), CHUNK):
+                if (f := _batch(b.column(0)[i:j].to_numpy(), words_of(b.column(1)[i:j]), size, n)) is not None:
+                    yield pa.RecordBatch.from_pandas(f, preserve_index=False)
+
+    counted = docs.select("__key", "text").mapInArrow(ship, COUNTED).groupBy("bucket").applyInPandas(lambda f: _group(f, bound), PARTS)
+    return materialize(counted.distinct(), "parts")  # rows equal in id and text send the same runs
+
+
+def _stretches(joined: DataFrame, size: int, schema: str, whole: bool) -> DataFrame:
+    """The words of runs: for trees packed by group, else one row for each window. ``joined``: __key, text and __runs, among other columns."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, texts, runs = (b.column(b.schema.get_field_index(c)) for c in ("__key", "text", "__runs"))
+            for i, j in pieces(texts, CHUNK):
+                found = words_of(texts[i:j])
+                raw, first, out = found.data.tobytes(), np.cumsum(found.lengths) - found.lengths, {}
+                begin, end = found.starts, found.ends
+                for key, base, own in zip(keys[i:j].to_pylist(), first.tolist(), runs[i:j].to_pylist(), strict=True):
+                    for r in own:
+                        if (r["part"] == WHOLE) if whole else (r["part"] >= 0):
+                            a = base + r["start"]
+                            out.setdefault(r["part"], []).append((key, r["start"], r["count"], raw[begin[a] : end[a + r["count"] + size - 2]]))
+                if whole:
+                    rows = [(k, s, s + size, b" ".join(x.split())) for part in out.values() for k, s, _, x in part]
+                    yield pa.RecordBatch.from_pydict({"row_key": pa.array([x[0] for x in rows], pa.int64()), "start": pa.array([x[1] for x in rows], pa.int32()), "stop": pa.array([x[2] for x in rows], pa.int32()), "words": pa.array([x[3] for x in rows], pa.binary())})
+                    continue
+                columns = [(part, _pack(np.array([x[0] for x in own]), np.int64), _pack(np.array([x[1] for x in own]), np.int32), _pack(np.array([x[2] for x in own]), np.int32), b" ".join(x[3] for x in own)) for part, own in out.items()]
+                part, *packed = zip(*columns, strict=True) if columns else [()] * 5
+                yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int64()), **{c: pa.array(x, pa.binary()) for c, x in zip(("rows", "starts", "counts", "words"), packed, strict=True)}})
+
+    return joined.mapInArrow(cut, schema)
+
+
+def _with_spans(docs: DataFrame, size: int, bound: int = BOUND) -> DataFrame:
+    """``docs`` and __spans: the maximal repeats (start, stop) in words of each row, null where there are none."""
     if not LANDMARK <= size:
         raise ValueError(f"a window has at least {LANDMARK} words")
     prepare(docs.sparkSession)
-    n = buckets or groups_for(docs, text, BUCKET_MB)
-
-    def ship(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keys, held, total = [], [], 0
-            for k, t in zip(frame.iloc[:, 0].tolist(), frame.iloc[:, 1].tolist(), strict=True):
-                found = words(t)
-                if held and total + len(found) > CHUNK_WORDS:
-                    if (x := _batch(np.array(keys, np.int64), held, size, n)) is not None:
-                        yield x
-                    keys, held, total = [], [], 0
-                keys.append(k)
-                held.append(found)
-                total += len(found)
-            if held and (x := _batch(np.array(keys, np.int64), held, size, n)) is not None:
-                yield x
-
-    return docs.select(row_key(id_column, text).alias("k"), F.col(text).alias("t")).mapInPandas(ship, SHIPPED).groupBy("bucket").applyInPandas(lambda f: _subtrees(f, size), REPEATS)
+    keyed = docs.withColumn("__key", row_key())
+    parts = _parts(keyed, size, bound)
+    runs = parts.where(F.col("part") != KNOWN).groupBy(F.col("row_key").alias("__row_key")).agg(F.collect_list(F.struct("start", "count", "part")).alias("__runs"))
+    # All columns travel along, so that this join and the last one share one exchange of the texts.
+    joined = keyed.join(runs, F.col("__key") == F.col("__row_key"))
+    trees = _stretches(joined, size, "part bigint, rows binary, starts binary, counts binary, words binary", whole=False)
+    found = trees.groupBy("part").applyInPandas(lambda f: _subtree(f, size), REPEATS)
+    found = found.unionByName(parts.where(F.col("part") == KNOWN).select("row_key", "start", (F.col("start") + F.col("count") + size - 1).alias("stop")))
+    if not parts.where(F.col("part") == WHOLE).isEmpty():
+        windows = materialize(_stretches(joined, size, f"{REPEATS}, words binary", whole=True), "windows")
+        often = windows.groupBy("words").agg(F.count("*").alias("n")).where("n > 1").select("words")
+        found = found.unionByName(materialize(join_salted(windows, often, "words").select("row_key", "start", "stop"), "repeats"))
+    spans = found.distinct().groupBy(F.col("row_key").alias("__row_key")).agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
+    return keyed.join(spans, F.col("__key") == F.col("__row_key"), "left").drop("__key", "__row_key")
+
+
+def maximal_repeats(docs: DataFrame, size: int = 35, bound: int = BOUND) -> DataFrame:
+    """doc_id, start and stop in words of each row's maximal runs of words covered by a window that stands somewhere else too."""
+
+    def merged(spans: pd.Series) -> pd.Series:
+        out = []
+        for own in spans:
+            held: list[list[int]] = []
+            for a, b in sorted((x["start"], x["stop"]) for x in own):
+                if held and a <= held[-1][1]:
+                    held[-1][1] = max(b, held[-1][1])
+                else:
+                    held.append([a, b])
+            out.append([{"start": a, "stop": b} for a, b in held])
+        return pd.Series(out, dtype=object)
+
+    join = F.pandas_udf(merged, "array<struct<start:int,stop:int>>")
+    return _with_spans(docs.select("doc_id", "text"), size, bound).where("__spans IS NOT NULL").select("doc_id", F.explode(join("__spans")).alias("z")).select("doc_id", "z.*")
 
 
 def _kept(found: list[bytes], spans) -> tuple[list[bytes], int]:
@@ -177,12 +292,7 @@ def _kept(found: list[bytes], spans) -> tuple[list[bytes], int]:
     return [w for w, k in zip(found, keep.tolist(), strict=True) if k], int(len(found) - keep.sum())
 
 
-def _with_spans(docs: DataFrame, size: int) -> DataFrame:
-    spans = maximal_repeats(docs, size).groupBy("row_key").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
-    return docs.withColumn("__key", row_key()).join(spans.withColumnRenamed("row_key", "__row_key"), F.col("__key") == F.col("__row_key"), "left").drop("__key", "__row_key")
-
-
-def report(docs: DataFrame, size: int = 35) -> DataFrame:
+def report(docs: DataFrame, size: int = 35, bound: int = BOUND) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by spaces."""
 
     def digest(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -194,7 +304,7 @@ def report(docs: DataFrame, size: int = 35) -> DataFrame:
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
 
     digester = F.pandas_udf(digest, "n_words bigint, n_removed bigint, kept_sha256 string")
-    return _with_spans(docs.select("doc_id", "text"), size).select("doc_id", digester("text", "__spans").alias("z")).select("doc_id", "z.*")
+    return _with_spans(docs.select("doc_id", "text"), size, bound).select("doc_id", digester("text", "__spans").alias("z")).select("doc_id", "z.*")
 
 
 def remove(docs: DataFrame, size: int = 35) -> DataFrame:

@@ -119,7 +119,3 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
         out = np.minimum(out[:-width], out[width:])
         width *= 2
     return out if width == size else np.minimum(out[: len(out) - (size - width)], out[size - width :])
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return words_of([b" ".join(words)]).hashes

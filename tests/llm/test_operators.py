@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -291,12 +292,46 @@ def brute_repeats(rows, size=35):
     return sorted(out)
 
 
+def test_suffix_trees_by_group(spark, monkeypatch):
+    """Small bounds: landmarks split by the words ahead, whole windows as prefixes; no group is above its bound, and the results stay."""
+    monkeypatch.setattr(repeats, "CHUNK", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = brute_repeats(pairs(docs))
+    for bound in (8, 120, 10**6):
+        parts = repeats._parts(docs.withColumn("__key", repeats.row_key()), 35, bound)
+        sizes = [r[0] for r in parts.where(F.col("part") >= 0).groupBy("part").agg(F.sum("count")).select("sum(count)").collect()]
+        assert sizes and max(sizes) <= bound
+        assert (parts.where(F.col("part") == repeats.WHOLE).count() > 0) == (bound == 8)
+        assert sorted((str(r[0]), *r[1:]) for r in repeats.report(docs, bound=bound).collect()) == want
+
+
+def test_suffix_tree():
+    """Order and common prefixes against sorted slices, and words with equal hashes told apart."""
+    rng = np.random.default_rng(5)
+    name, size = rng.integers(0, 3, 400), 11
+    at = rng.choice(400 - size, 200, replace=False)
+    order, common = repeats.suffix_tree(name, at, size)
+    suffixes = [tuple(name[i : i + size]) for i in at[order]]
+    assert suffixes == sorted(suffixes)
+    for a, b, n in zip(suffixes, suffixes[1:], common.tolist(), strict=False):
+        assert n == next((k for k in range(size) if a[k] != b[k]), size)
+    found = repeats.words_of(["one two one three two", "two"])
+    found.hashes = np.zeros_like(found.hashes)
+    assert repeats.word_names(found).tolist() == [0, 1, 0, 2, 1, 1]
+
+
+def test_maximal_repeats(spark):
+    common = " ".join(f"c{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, f"a b {common} d"), (2, f"x {common} y"), (3, "short"), (4, None)], "doc_id long, text string")
+    assert sorted(map(tuple, repeats.maximal_repeats(docs).collect())) == [(1, 2, 52), (2, 1, 51)]
+
+
 def test_suffix_trees_with_a_recurring_landmark(spark):
     """One phrase in every line can stay the landmark of several hundred windows in a row."""
     texts = [" ".join(f"c{d}.{j}" if j < 17 else f"u{d}.{line}.{j}" for line in range(60) for j in range(20)) for d in range(40)]
     longest = 0
     for t in texts:
-        grams = repeats.run_hashes(repeats.word_hashes(repeats.words(t)), repeats.LANDMARK)
+        grams = repeats.run_hashes(repeats.words_of([t]).hashes, repeats.LANDMARK)
         longest = max(longest, *Counter(repeats.sliding_min(grams, 28).tolist()).values())
     assert longest > 255
     rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, "x " + t[:4000]) for i, t in enumerate(texts)]
