@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_for, prepare, row_key
+from .common import prepare, row_key
 from .wordhash import mix, pieces, words_of
 
 START, END = mix(np.arange(1, 3, dtype=np.uint64))
@@ -42,6 +42,8 @@ START, END = mix(np.arange(1, 3, dtype=np.uint64))
 BLOCK_MB = 8
 #: Longest n-gram, the discount, and the count from which an n-gram of two tokens or more is kept.
 ORDER, DISCOUNT, LEAST = 3, 0.75, 2
+#: Tokens of a stretch of a long text.
+STRETCH = 512
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -81,7 +83,7 @@ def owners(unique: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """(owner, indices of its share in ascending order of the hashes) of every owner that has any."""
     if not len(unique):
         return
-    owner = (mix(unique) % np.uint64(parts)).astype(np.int64)
+    owner = (mix(unique) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)  # short keys sort faster
     order = np.argsort(owner, kind="stable")
     owner = owner[order]
     cuts = np.flatnonzero(owner[1:] != owner[:-1]) + 1
@@ -108,29 +110,35 @@ def totals(docs: DataFrame, parts: int) -> tuple[int, int]:
     return got[0] or 0, got[1] or 0
 
 
-MESSAGE = "part int, block int, kind int, hashes binary, first binary, second binary"
-ANSWER = "block int, part int, kind int, first binary, second binary"
+MESSAGE = "part int, block int, kinds array<int>, hashes array<binary>, first array<binary>, second array<binary>"
+ANSWER = "block int, part int, kinds array<int>, first array<binary>, second array<binary>"
 
 
 def _answer(f: pd.DataFrame, least: int) -> pd.DataFrame:
     """One owner: sums over the blocks that sent an entry. Questions (even kinds) get the sums of kept n-grams, doubled, plus 1 for the reporter; reports the sums."""
-    out = []
-    for kind, g in f.groupby("kind"):
-        each = [np.cumsum(unpack(x), dtype=np.uint64) for x in g["hashes"]]
+    kinds, hashes, values = ([x for xs in f[c] for x in xs] for c in ("kinds", "hashes", "first"))
+    more = [x for xs in f["second"] for x in xs]
+    out = {"first": [b""] * len(kinds), "second": [b""] * len(kinds)}
+    for kind in sorted(set(kinds)):
+        at = [i for i, k in enumerate(kinds) if k == kind]
+        each = [np.cumsum(unpack(hashes[i]), dtype=np.uint64) for i in at]
         flat = np.concatenate(each)
         order = np.argsort(flat, kind="stable")
         fresh = np.concatenate(([True], flat[order][1:] != flat[order][:-1]))
         name = np.empty(len(flat), np.int64)
         name[order] = np.cumsum(fresh) - 1
-        sums = [np.bincount(name, np.concatenate([unpack_counts(x) for x in g[c]]).astype(np.float64)).astype(np.uint64)[name] for c in (("first",) if kind % 2 == 0 else ("first", "second"))]
+        sums = [np.bincount(name, np.concatenate([unpack_counts(x[i]) for i in at]).astype(np.float64)).astype(np.uint64)[name] for x in ((values,) if kind % 2 == 0 else (values, more))]
         if kind % 2 == 0:
             reporter = np.zeros(len(flat), np.uint64)
             reporter[order[fresh]] = 1
             sums[0] = np.where(sums[0] >= (1 if kind == 0 else least), 2 * sums[0] + reporter, 0).astype(np.uint64)
         cuts = np.cumsum([len(x) for x in each])[:-1]
-        split = [[pack_counts(x) for x in np.split(s, cuts)] for s in sums]
-        out.append(pd.DataFrame({"block": g["block"].to_numpy(), "part": g["part"].to_numpy(), "kind": kind, "first": split[0], "second": split[-1] if len(split) > 1 else b""}))
-    return pd.concat(out, ignore_index=True)
+        for c, total in zip(("first", "second"), sums, strict=False):
+            for i, x in zip(at, np.split(total, cuts), strict=True):
+                out[c][i] = pack_counts(x)
+    ends = np.cumsum([len(x) for x in f["kinds"]]).tolist()
+    deal = lambda x: [x[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return pd.DataFrame({"block": f["block"], "part": f["part"], "kinds": f["kinds"], "first": deal(out["first"]), "second": deal(out["second"])})
 
 
 class Block:
@@ -155,7 +163,8 @@ class Block:
         self.total: list[np.ndarray] = []  # in the corpus, 0 if not kept
         self.reporter: list[np.ndarray] = []
         self.following: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # kept n-grams after each context, and their sum
-        self.got = {} if answers is None else {(k, p): (a, b) for k, p, a, b in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "first", "second")), strict=True)}
+        rows = () if answers is None else zip(*(answers.column(c).to_pylist() for c in ("part", "kinds", "first", "second")), strict=True)
+        self.got = {(k, p): (a, b) for p, *own in rows for k, a, b in zip(*own, strict=True)}
 
     def number(self, k: int, used: bool = True) -> None:
         """Names the n-grams of k + 1 tokens: of two tokens or fewer all, of longer ones those both of whose parts were kept; none that aren't ``used``."""
@@ -251,26 +260,33 @@ class Automaton:
         self.starts = self.next[block.name[0][block.first] + base[0]]
 
     def run(self) -> np.ndarray:
-        """Each text's log-probability: all texts of the block step from token to token together, the longest to its end."""
-        block = self.block
-        longest = np.argsort(-block.lengths, kind="stable")
-        first, lengths, state = block.first[longest], block.lengths[longest], self.starts[longest]
-        score = np.zeros(len(first))
-        active = len(first)
-        for t in range(1, int(lengths[0]) if len(lengths) else 0):
-            while lengths[active - 1] <= t:
+        """Each text's log-probability. All texts of the block step from token to token together. A long text steps in stretches side by side: as a state knows
+        no more than ``order - 1`` tokens, a stretch that starts so many tokens early at the root is in the whole traversal's state when it begins to score."""
+        block, early = self.block, len(self.arc) - 1
+        scored = block.lengths - 1
+        stretches = np.maximum(1, -(-scored // STRETCH))
+        text = np.repeat(np.arange(len(scored)), stretches)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(stretches) - stretches, stretches)
+        early = np.where(number > 0, early, 0)
+        first = block.first[text] + 1 + number * STRETCH - early
+        steps = np.minimum(STRETCH, scored[text] - number * STRETCH) + early
+        state = np.where(number > 0, 0, self.starts[text])
+        longest = np.argsort(-steps, kind="stable")
+        text, first, steps, early, state = text[longest], first[longest], steps[longest], early[longest], state[longest]
+        score, active = np.zeros(len(text)), len(text)
+        for t in range(int(steps[0]) if len(steps) else 0):
+            while steps[active - 1] <= t:
                 active -= 1
             place, s = first[:active] + t, state[:active]
+            added = np.zeros(active)
             arc = self.arc[self.depth[s], place]
             while len(miss := np.flatnonzero(arc < 0)):
-                score[miss] += self.backoff[s[miss]]
+                added[miss] += self.backoff[s[miss]]
                 s[miss] = self.failure[s[miss]]
                 arc[miss] = self.arc[self.depth[s[miss]], place[miss]]
-            score[:active] += self.weight[arc]
+            score[:active] += np.where(t >= early[:active], added + self.weight[arc], 0.0)
             state[:active] = self.next[arc]
-        out = np.zeros(len(score))
-        out[longest] = score
-        return out
+        return np.bincount(text, score, minlength=len(scored))
 
 
 def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = ORDER, discount: float = DISCOUNT, least: int = LEAST) -> DataFrame:
@@ -278,7 +294,8 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = OR
     if order < 2:
         raise ValueError("the automaton has states for contexts: order is 2 or more")
     prepare(docs.sparkSession)
-    parts = groups_for(docs, "text", BLOCK_MB)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(size / (BLOCK_MB * 1e6)) + 1
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), "text", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), F.pmod(row_key(), F.lit(parts)).cast("int").alias("block"))
     n, v = totals(rows, parts)
     z, bits = float(n + v + 1), min(64, max(40, 20 + n.bit_length()))
@@ -295,10 +312,13 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = OR
         return block
 
     def sent(texts: pa.Table, messages: list[tuple]) -> pa.Table:
-        columns = zip(*messages, strict=True) if messages else [()] * 5
-        part, kind, hashes, first, second = (list(c) for c in columns)
+        dealt: dict[int, list[tuple]] = {}
+        for part, *message in messages:
+            dealt.setdefault(part, []).append(tuple(message))
         block = texts.column("block")[0].as_py() if texts.num_rows else 0
-        return pa.table({"part": pa.array(part, pa.int32()), "block": pa.array([block] * len(part), pa.int32()), "kind": pa.array(kind, pa.int32()), "hashes": pa.array(hashes, pa.binary()), "first": pa.array(first, pa.binary()), "second": pa.array(second, pa.binary())})
+        kinds = pa.array([[m[0] for m in own] for own in dealt.values()], pa.list_(pa.int32()))
+        packed = {c: pa.array([[m[i] for m in own] for own in dealt.values()], pa.list_(pa.binary())) for i, c in enumerate(("hashes", "first", "second"), 1)}
+        return pa.table({"part": pa.array(list(dealt), pa.int32()), "block": pa.array([block] * len(dealt), pa.int32()), "kinds": kinds, **packed})
 
     def ask(texts: pa.Table) -> pa.Table:
         block = met(texts, None, 0)

@@ -224,6 +224,7 @@ def test_language_model(odd_docs, no_docs, order):
 def test_language_model_against_a_walk_by_tokens(spark, monkeypatch):
     """Real texts over many blocks and owners: states of each depth, failures from each, kept and pruned n-grams."""
     monkeypatch.setattr(lm, "BLOCK_MB", 0.02)
+    monkeypatch.setattr(lm, "STRETCH", 9)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     want = language_model([(str(i), t) for i, t in pairs(docs)], 3)
     got = {str(r.doc_id): r for r in lm.score(docs).collect()}
