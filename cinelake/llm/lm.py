@@ -3,7 +3,7 @@
 Model: absolute discounting, interpolated. After a context h with count c(h), a token w has probability
 (c(hw) - D) / c(h) + a(h) p(w | h') if hw was kept, else a(h) p(w | h'), where h' lacks h's oldest token and a(h) = 1 - sum over kept hw of
 (c(hw) - D) / c(h) is what the kept n-grams leave. N-grams of two tokens or more are kept if they occur ``least`` times in the training texts, so
-what occurs once counts as the context's rest. At the root p(w) = (c + 1) / (N + V + 1), which leaves one share for all unseen words.
+what occurs once counts as the context's rest; those of three or more also need parts (without the first, without the last token) that occur ``grown`` times. At the root p(w) = (c + 1) / (N + V + 1), which leaves one share for all unseen words.
 
 Automaton: each kept n-gram shorter than ``order`` is a state with a backoff weight log10 a(h) and a failure arc to the state without its oldest token; each kept
 n-gram hw is an arc from h with its log-probability, to the longest state that ends the tokens read. One left-to-right traversal of a text carries the state:
@@ -40,8 +40,8 @@ from .wordhash import mix, pieces, words_of
 START, END = mix(np.arange(1, 3, dtype=np.uint64))
 #: MB of text of a block.
 BLOCK_MB = 8
-#: Longest n-gram, the discount, and the count from which an n-gram of two tokens or more is kept.
-ORDER, DISCOUNT, LEAST = 3, 0.75, 2
+#: Longest n-gram, the discount, the count from which an n-gram of two tokens or more is kept, and that from which one may be part of a longer one.
+ORDER, DISCOUNT, LEAST, GROWN = 3, 0.75, 2, 8
 #: Tokens of a stretch of a long text.
 STRETCH = 512
 _ODD = np.uint64(0x9FB21C651E98DF25)
@@ -144,7 +144,7 @@ def _answer(f: pd.DataFrame, least: int) -> pd.DataFrame:
 class Block:
     """N-grams of a block's texts as far as the answers reach. ``unique[k]``: distinct n-grams of k + 1 tokens; ``name[k]``: their number at each place, or -1."""
 
-    def __init__(self, texts: pa.Array, train: np.ndarray, parts: int, bits: int, answers: pa.Table | None):
+    def __init__(self, texts: pa.Array, train: np.ndarray, parts: int, bits: int, least: int, grown: int, answers: pa.Table | None):
         words = words_of(texts, fold=True)
         self.lengths = words.lengths + 2
         self.first = np.cumsum(self.lengths) - self.lengths
@@ -154,7 +154,7 @@ class Block:
         self.flat[self.first], self.flat[self.first + self.lengths - 1], self.flat[inside] = START, END, words.hashes
         self.place = np.arange(len(self.flat)) - np.repeat(self.first, self.lengths)
         self.train = np.repeat(train, self.lengths)
-        self.parts, self.shift = parts, np.uint64(64 - bits)
+        self.parts, self.shift, self.least, self.grown = parts, np.uint64(64 - bits), least, grown
         self.gram: list[np.ndarray] = []
         self.unique: list[np.ndarray] = []
         self.name: list[np.ndarray] = []
@@ -167,7 +167,7 @@ class Block:
         self.got = {(k, p): (a, b) for p, *own in rows for k, a, b in zip(*own, strict=True)}
 
     def number(self, k: int, used: bool = True) -> None:
-        """Names the n-grams of k + 1 tokens: of two tokens or fewer all, of longer ones those both of whose parts were kept; none that aren't ``used``."""
+        """Names the n-grams of k + 1 tokens: of two tokens or fewer all, of longer ones those both of whose parts occur often enough; none that aren't ``used``."""
         if k == 0:
             self.gram.append(self.flat >> self.shift)
         else:
@@ -177,7 +177,7 @@ class Block:
             self.gram.append(g)
         able = self.place >= (k if used else len(self.place))
         if k > 1 and used:
-            kept = self.kept(k - 1)
+            kept = self.kept(k - 1, self.grown)
             able[1:] &= kept[1:] & kept[:-1]
         at = np.flatnonzero(able)
         order = at[np.argsort(self.gram[k][at])]
@@ -190,9 +190,9 @@ class Block:
         self.head.append(order[fresh])
         self.own.append(np.add.reduceat(self.train[order].astype(np.int64), np.flatnonzero(fresh)) if len(s) else np.zeros(0, np.int64))
 
-    def kept(self, k: int) -> np.ndarray:
-        """Whether the n-gram of k + 1 tokens that ends at each place was kept."""
-        return (self.name[k] >= 0) & np.append(self.total[k] > 0, False)[self.name[k]]
+    def kept(self, k: int, least: int = 1) -> np.ndarray:
+        """Whether the n-gram of k + 1 tokens that ends at each place was kept, and occurs ``least`` times."""
+        return (self.name[k] >= 0) & np.append(self.total[k] >= least, False)[self.name[k]]
 
     def read(self, k: int) -> None:
         """Takes the answers on the n-grams of k + 1 tokens."""
@@ -202,12 +202,12 @@ class Block:
         self.total.append((coded >> np.uint64(1)).astype(np.int64))
         self.reporter.append((coded & np.uint64(1)).astype(bool) & (coded > 1))
 
-    def contexts(self, k: int, least: int) -> np.ndarray:
+    def contexts(self, k: int) -> np.ndarray:
         """Numbers of the contexts of k + 1 tokens that kept n-grams can follow."""
-        return np.flatnonzero(self.total[k] >= least)
+        return np.flatnonzero(self.total[k] >= (self.grown if k else self.least))
 
-    def read_following(self, k: int, least: int) -> None:
-        at = self.contexts(k, least)
+    def read_following(self, k: int) -> None:
+        at = self.contexts(k)
         sums = np.zeros((2, len(self.unique[k])))
         for p, i in owners(self.unique[k][at], self.parts):
             for s, raw in zip(sums, self.got[2 * k + 1, p], strict=True):
@@ -217,13 +217,13 @@ class Block:
     def questions(self, k: int) -> list[tuple]:
         return [(p, 2 * k, pack(np.diff(self.unique[k][at], prepend=np.uint64(0))), pack_counts(self.own[k][at]), b"") for p, at in owners(self.unique[k], self.parts)]
 
-    def reports(self, k: int, least: int) -> list[tuple]:
+    def reports(self, k: int) -> list[tuple]:
         """What this block's n-grams of k + 2 tokens, as far as it reports them, say of their contexts; contexts without any are asked for all the same."""
         chosen = np.flatnonzero(self.reporter[k + 1])
         context = self.name[k][self.head[k + 1][chosen] - 1]
         many = np.bincount(context, minlength=len(self.unique[k]))
         total = np.bincount(context, self.total[k + 1][chosen], minlength=len(self.unique[k])).astype(np.int64)
-        at = self.contexts(k, least)
+        at = self.contexts(k)
         return [(p, 2 * k + 1, pack(np.diff(self.unique[k][at[i]], prepend=np.uint64(0))), pack_counts(many[at[i]]), pack_counts(total[at[i]])) for p, i in owners(self.unique[k][at], self.parts)]
 
 
@@ -289,7 +289,7 @@ class Automaton:
         return np.bincount(text, score, minlength=len(scored))
 
 
-def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = ORDER, discount: float = DISCOUNT, least: int = LEAST) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = ORDER, discount: float = DISCOUNT, least: int = LEAST, grown: int = GROWN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     if order < 2:
         raise ValueError("the automaton has states for contexts: order is 2 or more")
@@ -304,7 +304,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = OR
         """The block with the answers on n-grams of more than ``low`` and up to ``reach`` tokens, and those of the next length named."""
         text = texts.column("text").combine_chunks()
         train = ~texts.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        block = Block(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text, train, parts, bits, answers)
+        block = Block(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text, train, parts, bits, least, max(grown, least), answers)
         for k in range(min(order, max(2, reach + 1))):
             block.number(k, k >= low)
             if k < reach:
@@ -327,14 +327,14 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = OR
     def ask_on(reach: int):
         def ask(texts: pa.Table, answers: pa.Table) -> pa.Table:
             block = met(texts, answers, reach, min(reach - 2, 1))
-            return sent(texts, (block.questions(reach) if reach < order else []) + block.reports(reach - 2, least))
+            return sent(texts, (block.questions(reach) if reach < order else []) + block.reports(reach - 2))
 
         return ask
 
     def walk(texts: pa.Table, answers: pa.Table) -> pa.Table:
         block = met(texts, answers, order)
         for k in range(order - 1):
-            block.read_following(k, least)
+            block.read_following(k)
         weights = np.log10((block.total[0] + 1) / z)[block.name[0]]
         weights[block.first] = 0  # the start isn't scored
         known = (block.total[0] > 0)[block.name[0]].astype(np.int64)
