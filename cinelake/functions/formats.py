@@ -50,6 +50,6 @@ def run_summary(c: dict[str, Column]) -> Column:
     """One line of counters: ``3 files moved (1.20 GB), 1 duplicate shelved``; zero parts are left out."""
     some = lambda n, one, many: F.when(n == 1, F.concat(F.lit("1 "), F.lit(one))).when(n > 1, F.concat(n.cast("string"), F.lit(f" {many}")))
     moved = F.concat(some(c["moved"], "file moved", "files moved"), F.lit(" ("), byte_size(c["bytes"]), F.lit(")"))
-    parts = [moved, some(c["duped"], "duplicate shelved", "duplicates shelved"), some(c["renamed"], "file renamed", "files renamed"), some(c["skipped"], "skipped", "skipped"), some(c["failed"], "failure", "failures")]
+    parts = [moved, some(c["duped"], "duplicate shelved", "duplicates shelved"), some(c["renamed"], "file renamed", "files renamed"), some(c["skipped"], "skipped", "skipped"), some(c["failed"], "failure", "failures"), some(c["flagged"], "to review", "to review")]
     line = F.concat_ws(", ", *parts)
     return F.when(line == "", "Nothing to do").otherwise(line)

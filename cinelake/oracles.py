@@ -27,6 +27,9 @@ matched AS (SELECT title, db_title, title_size, id AS library_id, lib_size AS li
     WHEN id IS NOT NULL OR in_batch THEN 'duplicate' ELSE 'insert' END AS action FROM t4)"""
 LIB = f"{ctes('media_files', 'library')}, {SCANNED}, {ROLLUP}, {PRESENCE}, {MATCHED}"
 
+PROBED = rf"""{ctes('media_files', 'probe_raw', 'library')}, {SCANNED}, pr AS (SELECT path, CASE WHEN w > 0 AND h > 0 THEN concat(w, ' x ', h) ELSE '' END AS dimensions, d AS duration FROM (SELECT path, CAST(raw->>'$.streams[1].width' AS BIGINT) AS w, CAST(raw->>'$.streams[1].height' AS BIGINT) AS h, CAST(floor(CAST(raw->>'$.format.duration' AS DOUBLE)) AS BIGINT) AS d FROM probe_raw WHERE raw <> 'not json{{') z),
+rp AS (SELECT lower(t) AS title_key, arg_min(t, path) AS title, CAST(sum(size) AS BIGINT) AS title_size, count(*) AS n_files, min(path) AS title_path, arg_min(coalesce(dimensions, ''), path) AS dimensions, CAST(sum(coalesce(duration, 0)) AS BIGINT) AS duration FROM (SELECT s.*, dimensions, duration, {STEM_TITLE} AS t FROM scanned s LEFT JOIN pr USING (path)) x GROUP BY 1)"""
+
 SUFFIXED = "(SELECT *, CASE WHEN regexp_matches({0}, ' - Scene', 'i') THEN regexp_extract({0}, '^(.*?)( - Scene.*)$', 1, 'i') WHEN regexp_matches({0}, ' - CD', 'i') THEN regexp_extract({0}, '^(.*?)( - CD.*)$', 1, 'i') ELSE {0} END AS base_part FROM {1})"
 NUMBER_PLAN = rf"""lib2 AS (SELECT * REPLACE (regexp_replace(title, 'brand#', 'brand ', 'gi') AS title) FROM library), roll2 AS (SELECT * REPLACE (regexp_replace(title, 'brand#', 'brand ', 'gi') AS title) FROM rollup_),
 scan2 AS (SELECT * REPLACE (regexp_replace(stem, 'brand#', 'brand ', 'gi') AS stem) FROM scanned), bases AS (SELECT DISTINCT lower(split_part(title, ' # ', 1)) AS base_key FROM (SELECT title FROM lib2 UNION ALL SELECT title FROM roll2) u WHERE regexp_matches(title, ' # \d')),
@@ -56,7 +59,33 @@ best AS (SELECT *, row_number() OVER (PARTITION BY base_key, item_key ORDER BY s
 )
 CONS = f"{ctes('media_files', 'drives')}, {BEST}"
 SUMS = "sums AS (SELECT base_key, drive, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM best WHERE keep GROUP BY 1, 2)"
-RANKS = f"{SUMS}, ranks AS (SELECT sums.*, free_bytes, row_number() OVER (PARTITION BY base_key ORDER BY n DESC, bytes DESC, free_bytes DESC, drive) AS rank FROM sums JOIN drives USING (drive))"
+RANKS = f"""{SUMS}, totals AS (SELECT base_key, CAST(sum(bytes) AS BIGINT) AS group_bytes FROM sums GROUP BY 1),
+ranks AS (SELECT t.base_key, d.drive, d.free_bytes, group_bytes, coalesce(n, 0) AS n, coalesce(bytes, 0) AS bytes, row_number() OVER (PARTITION BY t.base_key ORDER BY coalesce(n, 0) DESC, coalesce(bytes, 0) DESC, d.free_bytes DESC, d.drive) AS rank
+  FROM totals t CROSS JOIN drives d LEFT JOIN sums s ON s.base_key = t.base_key AND s.drive = d.drive)"""
+
+
+def _placement(drives: int, reserve: int) -> str:
+    """The rounds of the placement as common table expressions: one for each drive, then one for each drive after making room."""
+    out = ["offers AS MATERIALIZED (SELECT base_key, drive, rank, bytes, group_bytes, group_bytes - bytes AS incoming FROM ranks)", "free0 AS MATERIALIZED (SELECT drive, is_sink, free_bytes AS fb FROM drives)", "placed0 AS (SELECT '' AS base_key, '' AS drive, CAST(0 AS BIGINT) AS incoming, 0 AS round, false AS evacuated WHERE false)"]
+    for r in range(1, 2 * drives + 1):
+        evacuate, rank, last = r > drives, (r - 1) % drives + 1, r - 1
+        sink = "AND drive <> (SELECT drive FROM free0 WHERE is_sink)" if evacuate else ""
+        out.append(f"todo{r} AS MATERIALIZED (SELECT * FROM offers WHERE rank = {rank} AND base_key NOT IN (SELECT base_key FROM placed{last}) {sink})")
+        if evacuate:
+            out.append(f"need{r} AS (SELECT t.drive, greatest(sum(incoming) + {reserve} - max(fb), 0) AS need FROM todo{r} t JOIN free{last} f ON t.drive = f.drive GROUP BY 1)")
+            out.append(f"homes{r} AS (SELECT p.base_key, p.drive, group_bytes AS b, coalesce(sum(group_bytes) OVER (PARTITION BY p.drive ORDER BY group_bytes DESC, p.base_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM placed{last} p JOIN totals USING (base_key) WHERE NOT evacuated)")
+            out.append(f"leave{r} AS (SELECT base_key, h.drive, b, sum(b) OVER (ORDER BY h.drive, b DESC, base_key) AS upto FROM homes{r} h JOIN need{r} n ON h.drive = n.drive WHERE before < need)")
+            out.append(f"out{r} AS MATERIALIZED (SELECT base_key, drive, b FROM leave{r} WHERE (SELECT fb FROM free{last} WHERE is_sink) - upto >= {reserve})")
+            out.append(f"room{r} AS MATERIALIZED (SELECT drive, is_sink, fb + coalesce((SELECT sum(b) FROM out{r} o WHERE o.drive = f.drive), 0) - CASE WHEN is_sink THEN coalesce((SELECT sum(b) FROM out{r}), 0) ELSE 0 END AS fb FROM free{last} f)")
+            out.append(f"kept{r} AS (SELECT p.base_key, CASE WHEN o.base_key IS NOT NULL THEN (SELECT drive FROM free0 WHERE is_sink) ELSE p.drive END AS drive, incoming, round, evacuated OR o.base_key IS NOT NULL AS evacuated FROM placed{last} p LEFT JOIN out{r} o USING (base_key))")
+        room, kept = (f"room{r}", f"kept{r}") if evacuate else (f"free{last}", f"placed{last}")
+        out.append(f"won{r} AS MATERIALIZED (SELECT base_key, drive, incoming FROM (SELECT t.*, fb, sum(incoming) OVER (PARTITION BY t.drive ORDER BY base_key) AS taken FROM todo{r} t JOIN {room} f ON t.drive = f.drive) z WHERE fb - taken >= {reserve})")
+        out.append(f"placed{r} AS MATERIALIZED (SELECT * FROM {kept} UNION ALL SELECT base_key, drive, incoming, {r}, false FROM won{r})")
+        out.append(f"free{r} AS MATERIALIZED (SELECT drive, is_sink, fb - coalesce((SELECT sum(incoming) FROM won{r} w WHERE w.drive = f.drive), 0) + coalesce((SELECT sum(o.bytes) FROM won{r} w JOIN offers o USING (base_key) WHERE o.drive = f.drive AND w.drive <> f.drive), 0) AS fb FROM {room} f)")
+    return ", ".join(out)
+
+
+PLACED = f"{RANKS}, {_placement(4, 1_000_000)}"
 NOT_ACTIONS = "('GROUP_DONE', 'EVAC_MKDIR', 'MKDIR_DUP', 'MKDIR_DEST')"
 SECONDS = "greatest(CAST(round(coalesce(duration, 0)) AS BIGINT), 0)"
 def _scaled(unit: int, name: str) -> str:
@@ -76,36 +105,56 @@ ORACLES = {
     "number_files": f"{LIB}, {NUMBER_PLAN} SELECT path, stem, CASE WHEN regexp_matches(base_part, '#\\s*\\d') THEN stem ELSE concat(base_part, ' # 01', substr(stem, length(base_part) + 1)) END AS new_stem FROM {SUFFIXED.format('stem', 'scan2')} z WHERE lower(base_part) IN (SELECT lower(title) FROM nplan)",
     "duplicate_move_plan": f"{LIB}, dups AS (SELECT lower(db_title) AS t, bool_or(size_class = 'isLarger') AS larger FROM matched WHERE action <> 'insert' GROUP BY 1), bases AS (SELECT path, lower(split_part(base_part, ' # ', 1)) AS b FROM {SUFFIXED.format('stem', 'scanned')} z) SELECT path, CASE WHEN bool_or(larger) THEN 'duplicates/larger' ELSE 'duplicates' END AS target FROM bases JOIN dups ON starts_with(t, b) WHERE b <> '' GROUP BY path",
     "fill_missing": f"{LIB}, known AS (SELECT lower(db_title) AS key, sum(title_size) AS scanned FROM t1 GROUP BY 1) SELECT id, title, CAST(CASE WHEN coalesce(filesize, 0) = 0 THEN coalesce(scanned, 0) ELSE filesize END AS BIGINT) AS filesize, coalesce(filesize, 0) = 0 AND coalesce(scanned > 0, false) AS filled FROM library LEFT JOIN known ON lower(title) = key WHERE lower(trim(coalesce(dimensions, ''))) IN ('', '0 x 0') OR coalesce(duration, 0) = 0 OR coalesce(filesize, 0) = 0",
+    "title_rollup_probed": f"{PROBED} SELECT * FROM rp",
+    "fill_metadata": f"{PROBED}, k AS (SELECT lower({LIBRARY_TITLE.format('title')}) AS key, arg_min(dimensions, title_path) FILTER (WHERE dimensions <> '') AS nd, arg_min(duration, title_path) FILTER (WHERE duration > 0) AS nu, arg_min(title_size, title_path) FILTER (WHERE title_size > 0) AS ns FROM rp GROUP BY 1), l AS (SELECT *, lower(trim(coalesce(dimensions, ''))) IN ('', '0 x 0') AS a, coalesce(duration, 0) = 0 AS b, coalesce(filesize, 0) = 0 AS c FROM library) SELECT id, title, CASE WHEN a AND nd IS NOT NULL THEN nd ELSE dimensions END AS dimensions, CASE WHEN b AND nu IS NOT NULL THEN CAST(nu AS DOUBLE) ELSE duration END AS duration, CASE WHEN c AND ns IS NOT NULL THEN ns ELSE filesize END AS filesize, concat_ws(',', CASE WHEN a THEN 'dimensions' END, CASE WHEN b THEN 'duration' END, CASE WHEN c THEN 'filesize' END) AS needed, concat_ws(',', CASE WHEN a AND nd IS NOT NULL THEN 'dimensions' END, CASE WHEN b AND nu IS NOT NULL THEN 'duration' END, CASE WHEN c AND ns IS NOT NULL THEN 'filesize' END) AS filled FROM l LEFT JOIN k ON lower(l.title) = key WHERE a OR b OR c",
     "refresh_sizes": f"{LIB}, l AS (SELECT lower(title) AS k, min(id) AS id, arg_min(filesize, id) AS fs FROM library GROUP BY 1) SELECT t1.title, title_size AS disk_size, coalesce(a.id, b.id) AS id, CASE WHEN coalesce(a.id, b.id) IS NULL THEN 'not_found' WHEN coalesce(a.fs, b.fs) = title_size THEN 'unchanged' ELSE 'updated' END AS outcome FROM t1 LEFT JOIN l a ON lower(t1.title) = a.k LEFT JOIN l b ON lower(t1.db_title) = b.k",
     "insert_new": f"{LIB} SELECT min(db_title) AS title, CAST(sum(title_size) AS BIGINT) AS filesize FROM t1 WHERE lower(db_title) NOT IN (SELECT lower(title) FROM library) GROUP BY lower(db_title)",
     "probe_parse": f"{ctes('media_files', 'probe_raw')} SELECT path, CASE WHEN w > 0 AND h > 0 THEN concat(w, ' x ', h) ELSE '' END AS dimensions, d AS duration FROM (SELECT path, CAST(raw->>'$.streams[1].width' AS BIGINT) AS w, CAST(raw->>'$.streams[1].height' AS BIGINT) AS h, CAST(floor(CAST(raw->>'$.format.duration' AS DOUBLE)) AS BIGINT) AS d FROM probe_raw WHERE raw <> 'not json{{') z",
+    "refresh_counts": f"{LIB}, l AS (SELECT lower(title) AS k, min(id) AS id, arg_min(filesize, id) AS fs FROM library GROUP BY 1), o AS (SELECT t1.title, title_size AS disk_size, coalesce(a.id, b.id) AS id, CASE WHEN coalesce(a.id, b.id) IS NULL THEN 'not_found' WHEN coalesce(a.fs, b.fs) = title_size THEN 'unchanged' ELSE 'updated' END AS outcome FROM t1 LEFT JOIN l a ON lower(t1.title) = a.k LEFT JOIN l b ON lower(t1.db_title) = b.k) SELECT count(*) FILTER (WHERE outcome = 'updated') AS updated, count(*) FILTER (WHERE outcome = 'unchanged') AS unchanged, count(*) FILTER (WHERE outcome = 'not_found') AS not_found FROM o",
+    "listing_newest": f"{ctes('library')} SELECT id, title, row_number() OVER (ORDER BY date_created DESC NULLS LAST, id) AS place FROM library",
+    "settle_renames": f"{ctes('raw_files')}, w AS (SELECT concat(dir, '/', file_name) AS p, dir FROM raw_files) SELECT CASE WHEN length(p) % 4 = 0 THEN concat(p, '.new') ELSE p END AS path, dir, CASE length(p) % 4 WHEN 0 THEN 'renamed' WHEN 2 THEN 'failed' ELSE 'pending' END AS outcome FROM w WHERE length(p) % 4 <> 1",
     "listing_filtered": f"{ctes('library')} SELECT id, title, dimensions, s AS seconds, CASE WHEN s = 0 THEN '00:00:00' WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%02d:%02d', s // 60, s % 60) END AS shown_duration, {SIZE} AS shown_size, strftime(date_created, {FMT}) AS date_created FROM (SELECT *, {SECONDS} AS s FROM library) z WHERE contains(lower(title), 'large') AND ends_with(title, '1')",
     "listing_counts": f"{ctes('library')} SELECT count(*) AS total, count(*) FILTER (WHERE contains(lower(title), 'large') AND ends_with(title, '1')) AS shown FROM library",
     "apply_edits": f"{ctes('library')} SELECT id, CASE WHEN id % 9 = 0 THEN concat(title, ' edited') ELSE title END AS title, dimensions, duration, CASE WHEN id % 9 = 0 THEN 0 ELSE filesize END AS filesize, strftime(date_created, {FMT}) AS date_created FROM library",
     "apply_deletes": f"{ctes('library')} SELECT id, 'kept' AS state FROM library WHERE id % 10 <> 0 UNION ALL SELECT CAST(-1 AS BIGINT), 'not_found'",
     "index_snapshot": f"{ctes('media_files')}, {SNAPSHOT} SELECT base, file, dir, size, strftime(mtime, {FMT}) AS mtime, carried FROM snap",
     "index_meta": f"{ctes('media_files')}, {SNAPSHOT} SELECT count(*) AS file_count, '/vol0,/vol1,/vol2,/vol3' AS roots, '/vol2' AS missing_roots FROM snap",
+    "index_without": f"{ctes('media_files')}, {SNAPSHOT} SELECT dir, file, size FROM snap WHERE size % 3 <> 0 AND (dir, file) NOT IN (SELECT (dir, file) FROM snap WHERE size % 3 = 0)",
+    "index_allowed": f"{ctes('media_files')}, {SNAPSHOT} SELECT dir, concat(stem, '.', ext) AS file FROM media_files WHERE (dir, concat(stem, '.', ext)) IN (SELECT (dir, file) FROM snap)",
     "index_search": f"{ctes('media_files')}, {SNAPSHOT}, {QUERIES_SQL}, {FOUND} SELECT query, count(DISTINCT lower(base)) AS total_groups, count(*) AS total_files, CAST(sum(size) AS BIGINT) AS bytes FROM found GROUP BY 1",
-    "index_search_page": f"{ctes('media_files')}, {SNAPSHOT}, {QUERIES_SQL}, {FOUND}, g AS (SELECT query, lower(base) AS base_key, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM found GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {NATURAL.format('base_key')}, base_key) AS rank, count(*) OVER (PARTITION BY query) AS total_groups, CAST(sum(n_files) OVER (PARTITION BY query) AS BIGINT) AS total_files FROM g) SELECT query, rank, base_key, n_files, bytes, total_groups, total_files FROM r WHERE rank > 50 AND rank <= 100",
+    "index_search_page": f"{ctes('media_files')}, {SNAPSHOT}, {QUERIES_SQL}, {FOUND}, g AS (SELECT query, lower(base) AS base_key, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes, string_agg(concat(dir, '/', file), '|' ORDER BY {NATURAL.format('file')}, file, dir, size, mtime) AS files FROM found GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {NATURAL.format('base_key')}, base_key) AS rank, count(*) OVER (PARTITION BY query) AS total_groups, CAST(sum(n_files) OVER (PARTITION BY query) AS BIGINT) AS total_files FROM g) SELECT query, rank, base_key, n_files, bytes, files, total_groups, total_files FROM r WHERE rank > 50 AND rank <= 100",
     "episode_parse": f"{ctes('media_files')}, {PARSED} SELECT path, base, ep, variant FROM parsed",
     "episode_order_rank": f"{CONS} SELECT path, base_key, row_number() OVER (PARTITION BY base_key ORDER BY coalesce(ep, 0), CASE WHEN variant = '' THEN 0 WHEN variant LIKE '%Scene%' THEN 1 ELSE 2 END, CASE WHEN variant = '' THEN 0 ELSE CAST(regexp_extract(variant, '(\\d+)$', 1) AS BIGINT) END, lower(variant), lower(concat(stem, '.', ext)), path) AS place FROM eps",
-    "best_copy": f"{CONS} SELECT drive, count(*) FILTER (WHERE keep) AS kept, count(*) FILTER (WHERE NOT keep) AS shelved, CAST(sum(CASE WHEN keep THEN 0 ELSE size END) AS BIGINT) AS reclaimable FROM best GROUP BY 1",
+    "best_copy": f"{CONS} SELECT path, item_key, keep, rename_01, flagged FROM best",
     "rename01_flags": f"{CONS} SELECT path, item_key, rename_01, flagged, CASE WHEN rename_01 THEN concat(stem, ' # 01.', ext) END AS new_name FROM best WHERE rename_01 OR flagged",
     "drive_rank": f"{CONS}, {RANKS} SELECT base_key, drive, n, bytes, rank FROM ranks",
-    "placement_round1": f"{CONS}, {RANKS}, offers AS (SELECT ranks.base_key, drive, free_bytes, CAST(t.b - bytes AS BIGINT) AS incoming FROM ranks JOIN (SELECT base_key, sum(bytes) AS b FROM sums GROUP BY 1) t USING (base_key) WHERE rank = 1) SELECT base_key, drive, incoming, free_bytes - sum(incoming) OVER (PARTITION BY drive ORDER BY base_key) >= 1000000 AS accepted FROM offers",
+    "placement_round1": f"{CONS}, {RANKS}, offers AS (SELECT base_key, drive, free_bytes, group_bytes - bytes AS incoming FROM ranks WHERE rank = 1) SELECT base_key, drive, incoming, free_bytes - sum(incoming) OVER (PARTITION BY drive ORDER BY base_key) >= 1000000 AS accepted FROM offers",
+    "placement": f"{CONS}, {PLACED} SELECT t.base_key, drive, incoming, round, evacuated FROM totals t LEFT JOIN placed8 USING (base_key)",
+    "consolidation_plan": f"{CONS}, {PLACED}, rows_ AS (SELECT b.*, p.drive AS target, coalesce(evacuated, false) AS evacuated, CASE WHEN rename_01 THEN concat(stem, ' # 01.', ext) ELSE concat(stem, '.', ext) END AS file FROM best b LEFT JOIN placed8 p USING (base_key)), acts AS (SELECT *, CASE WHEN NOT keep THEN 'shelve' WHEN target IS NULL THEN 'skip' WHEN drive <> target THEN 'move' WHEN rename_01 THEN 'rename' ELSE 'stay' END AS action FROM rows_), there AS (SELECT drive AS d, lower(concat(stem, '.', ext)) AS k, size AS s, epoch(mtime) AS m FROM best WHERE keep), hit AS (SELECT path, bool_or(size = s AND abs(epoch(mtime) - m) <= 2) AS same FROM acts JOIN there ON target = d AND lower(file) = k WHERE action = 'move' GROUP BY 1) SELECT path, item_key, keep, flagged, action, target, evacuated, file, CASE WHEN action = 'move' THEN size ELSE 0 END AS move_bytes, CASE WHEN hit.path IS NULL THEN NULL WHEN same THEN 'duplicate' ELSE 'suspect' END AS collision FROM acts LEFT JOIN hit USING (path)",
+    "group_order": f"{CONS} SELECT base_key, lower(arg_min(base, path)) AS display, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM eps GROUP BY 1",
+    "running_free": f"{ctes('media_files', 'drives', 'action_log')}, s AS (SELECT line_no AS step, concat('/vol', line_no % 4) AS drive, CASE WHEN action = 'MOVE' THEN -bytes ELSE bytes END AS delta FROM action_log) SELECT step, drive, CAST(free_bytes + sum(delta) OVER (PARTITION BY drive ORDER BY step) AS BIGINT) AS free_after FROM s JOIN drives USING (drive)",
+    "free_names": f"{ctes('media_files')}, f AS (SELECT path, drive AS d, concat(stem, '.', ext) AS file, lower(concat(stem, '.', ext)) AS k FROM media_files WHERE lower(ext) <> 'txt'), held AS (SELECT DISTINCT d, k FROM f WHERE path LIKE '%/d7/%'), turns AS (SELECT f.*, row_number() OVER (PARTITION BY f.d, f.k ORDER BY path) + CASE WHEN h.k IS NULL THEN 0 ELSE 1 END AS turn FROM f LEFT JOIN held h ON h.d = f.d AND h.k = f.k) SELECT path, CASE WHEN turn = 1 THEN file WHEN turn = 2 THEN regexp_replace(file, '(\\.[^.]*)$', '__S\\1') WHEN turn <= 51 THEN regexp_replace(file, '(\\.[^.]*)$', concat('__S_', turn - 1, '\\1')) END AS free_name, CASE WHEN turn > 51 THEN 'no_free_name' END AS problem FROM turns",
     "evacuation": f"{CONS}, {SUMS}, e AS (SELECT sums.*, free_bytes, coalesce(sum(bytes) OVER (PARTITION BY drive ORDER BY bytes DESC, base_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sums JOIN drives USING (drive) WHERE NOT is_sink) SELECT base_key, drive, bytes FROM e WHERE before < floor(free_bytes / 4)",
     "balance_plan": f"{CONS}, {SUMS}, d AS (SELECT drive, is_sink, floor(free_bytes / CASE WHEN is_sink THEN 3 ELSE 2 END) AS fb FROM drives), e AS (SELECT sums.*, greatest((SELECT max(fb) FROM d) - fb, 0) AS need, coalesce(sum(bytes) OVER (PARTITION BY drive ORDER BY bytes DESC, base_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sums JOIN d USING (drive) WHERE NOT is_sink) SELECT base_key, drive, bytes, (SELECT max(fb) FROM d WHERE is_sink) - sum(bytes) OVER (ORDER BY drive, bytes DESC, base_key) >= 1000 AS fits FROM e WHERE before < need",
-    "collision_classes": f"{ctes('media_files')}, f AS (SELECT *, lower(concat(stem, '.', ext)) AS k FROM media_files), there AS (SELECT '/vol1' AS target, k, CASE WHEN size % 3 = 0 THEN size + 1 ELSE size END AS s, mtime AS m FROM f WHERE drive = '/vol1' UNION ALL SELECT '/vol0', k, size, mtime FROM f WHERE drive = '/vol0'), moves AS (SELECT f.*, target FROM f, (SELECT unnest(['/vol0', '/vol1']) AS target) t WHERE drive = '/vol0') SELECT target, CASE WHEN size = s AND abs(epoch(mtime) - epoch(m)) <= 2 THEN 'duplicate' ELSE 'suspect' END AS class, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM moves JOIN there USING (target, k) GROUP BY 1, 2",
-    "normalize_plain": f"{ctes('raw_files')} SELECT dir, file_name, {NORMAL} AS title FROM raw_files WHERE file_name NOT LIKE '%1080p%'",
+    "collision_classes": f"{ctes('media_files')}, f AS (SELECT *, lower(concat(stem, '.', ext)) AS k FROM media_files), there AS (SELECT '/vol1' AS target, k, CASE WHEN size % 3 = 0 THEN size + 1 ELSE size END AS s, mtime AS m FROM f WHERE drive = '/vol1' UNION ALL SELECT '/vol0', k, size, mtime FROM f WHERE drive = '/vol0'), moves AS (SELECT f.*, target FROM f, (SELECT unnest(['/vol0', '/vol1']) AS target) t WHERE drive = '/vol0') SELECT path, target, CASE WHEN bool_or(size = s AND abs(epoch(mtime) - epoch(m)) <= 2) THEN 'duplicate' ELSE 'suspect' END AS class FROM moves JOIN there USING (target, k) GROUP BY 1, 2",
+    "normalize_plain": f"{ctes('raw_files')} SELECT dir, file_name, {NORMAL} AS title FROM raw_files",
+    "normalize_all": f"{ctes('raw_files')} SELECT dir, file_name, {NORMAL} AS title FROM raw_files",
+    "normalize_plan": f"{ctes('raw_files', 'names')}, sq AS (SELECT lower(replace(name, ' ', '')) AS k, min(name) AS n FROM names GROUP BY 1 HAVING count(*) = 1), words AS (SELECT lower(unnest(string_split(name, ' '))) AS w FROM names UNION SELECT lower(name) FROM names), t AS (SELECT *, regexp_extract(file_name, '\\.scene\\.\\d+\\.([A-Za-z]+)', 1) AS piece, {NORMAL} AS title FROM raw_files), r AS (SELECT dir, file_name, concat(substr(title, 1, length(title) - length(piece)), coalesce(CASE WHEN length(piece) >= 6 AND k NOT IN (SELECT w FROM words) THEN n END, piece), '.mp4') AS new_name FROM t LEFT JOIN sq ON lower(piece) = k), c AS (SELECT *, count(*) OVER (PARTITION BY dir, lower(new_name)) AS m FROM r) SELECT concat(dir, '/', file_name) AS path, file_name AS old_name, new_name, new_name <> file_name AS needs_rename, CASE WHEN new_name = file_name THEN NULL WHEN m > 1 THEN 'two_sources' WHEN lower(new_name) = lower(file_name) THEN 'case_only' END AS conflict FROM c",
     "vocab_merge": f"{ctes('names')}, u AS (SELECT name, 0 AS r FROM names UNION ALL SELECT upper(name), 1 FROM names UNION ALL SELECT concat(p_brand, ' ', p_type), 2 FROM part) SELECT arg_min(name, (r, name)) AS name, lower(name) AS key FROM u GROUP BY lower(name)",
     "squash_ambiguity": f"{ctes('names')}, u AS (SELECT name FROM names UNION ALL SELECT upper(name) FROM names WHERE name LIKE 'B%') SELECT lower(replace(name, ' ', '')) AS squash, count(*) AS entries, CASE WHEN count(*) = 1 THEN min(name) END AS name FROM u WHERE contains(name, ' ') GROUP BY 1",
+    "vocab_edit": f"{ctes('names')}, u AS (SELECT name, lower(name) AS key FROM names WHERE length(name) % 5 <> 0 UNION ALL SELECT 'New Entry', 'new entry') SELECT name, key FROM u WHERE contains(key, 'e')",
+    "name_length": f"{ctes('names')} SELECT coalesce(max(len(string_split(name, ' '))), 0) AS words FROM names",
+    "shown_actions": f"{ctes('action_log')} SELECT line_no, CASE WHEN starts_with(action, 'BALANCE') THEN '' ELSE concat('f', line_no, '.mp4') END AS shown_file, concat('vol', line_no % 4) AS from_drive, 'sink' AS to_drive, CASE WHEN filesize > 0 THEN {SIZE} ELSE '' END AS shown_bytes FROM (SELECT *, bytes AS filesize FROM action_log) z",
+    "run_summary": f"{ctes('action_log')}, c AS (SELECT count(*) FILTER (WHERE status = 'OK' AND action = 'MOVE') AS moved, count(*) FILTER (WHERE status = 'OK' AND action = 'MOVE_DUP') AS duped, count(*) FILTER (WHERE status = 'OK' AND action = 'RENAME_01') AS renamed, count(*) FILTER (WHERE status = 'SKIP') AS skipped, CAST(0 AS BIGINT) AS flagged, count(*) FILTER (WHERE status = 'FAIL') AS failed, CAST(coalesce(sum(bytes) FILTER (WHERE status = 'OK' AND action = 'MOVE'), 0) AS BIGINT) AS moved_bytes FROM action_log) SELECT c.*, concat(moved, ' files moved (', (SELECT {SIZE} FROM (SELECT moved_bytes AS filesize) z), '), ', duped, ' duplicates shelved, ', renamed, ' files renamed, ', skipped, ' skipped, ', failed, ' failures') AS line FROM c",
     "suggest_names": f"{ctes('names')}, p AS (SELECT DISTINCT substr(p_name, 1, 3) AS partial FROM part), h AS (SELECT partial, name, CASE WHEN starts_with(lower(name), lower(partial)) THEN 1 ELSE 2 END AS kind FROM p JOIN names ON contains(lower(name), lower(partial)) WHERE length(partial) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY partial ORDER BY kind, lower(name), name) AS rank FROM h) SELECT partial, rank, name, kind FROM r WHERE rank <= 12",
     "name_worklist": f"{ctes('media_files')}, w AS (SELECT regexp_replace(regexp_replace(stem, '\\s*-?\\s*Scene_\\d+\\s*$', '', 'i'), '\\s*#\\s*\\d+\\s*$', '') AS title FROM media_files WHERE regexp_matches(stem, 'Scene_\\d{{1,3}}\\s*$', 'i')) SELECT lower(title) AS key, min(title) AS title, count(*) AS n_files FROM w GROUP BY 1",
     "batch_totals": f"{LIB} SELECT count(*) AS n_total, CAST(sum(title_size) AS BIGINT) AS size_total, count(*) FILTER (WHERE action = 'insert') AS n_new, CAST(coalesce(sum(title_size) FILTER (WHERE action = 'insert'), 0) AS BIGINT) AS size_new, count(*) FILTER (WHERE action <> 'insert') AS n_duplicate, CAST(coalesce(sum(title_size) FILTER (WHERE action <> 'insert'), 0) AS BIGINT) AS size_duplicate, CAST(coalesce(sum(title_size - library_size) FILTER (WHERE size_class <> ''), 0) AS BIGINT) AS gain FROM matched",
     "action_summary": f"{ctes('action_log')} SELECT action, status, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM action_log GROUP BY 1, 2",
     "action_tail": f"{ctes('action_log')} SELECT line_no, strftime(ts, {FMT}) AS ts, grp, action, bytes, status FROM (SELECT * FROM action_log WHERE action NOT IN {NOT_ACTIONS} ORDER BY line_no DESC LIMIT 400) z",
     "recent_terms": f"WITH e AS (SELECT user_id % 20 AS owner, lower(concat(event_type, ' ', event_id % 40)) AS key, ts FROM events), m AS (SELECT owner, key, max(ts) AS ts FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY ts DESC, key) AS rank FROM m) SELECT owner, key, strftime(ts, {FMT}) AS ts, rank FROM r WHERE rank <= 25",
-    "debounce_sessions": f"WITH e AS (SELECT event_type, ts, CASE WHEN ts < lag(ts) OVER (ORDER BY ts) + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE event_type = 'purchase'), g AS (SELECT *, sum(fresh) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT min(event_type) AS event_type, strftime(min(ts), {FMT}) AS started, strftime(max(ts), {FMT}) AS last, strftime(max(ts) + INTERVAL 10 MINUTE, {FMT}) AS due, count(*) AS n FROM g GROUP BY s",
-    "stale_runs": f"SELECT event_type AS run, strftime(max(ts) FILTER (WHERE user_id % 7 <> 0), {FMT}) AS last, floor(epoch((SELECT max(ts) FROM events))) - floor(epoch(max(ts) FILTER (WHERE user_id % 7 <> 0))) > 300 AS stale FROM events GROUP BY 1",
+    "debounce_sessions": f"WITH e AS (SELECT event_type, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT event_type, strftime(min(ts), {FMT}) AS started, strftime(max(ts), {FMT}) AS last, strftime(max(ts) + INTERVAL 10 MINUTE, {FMT}) AS due, count(*) AS n FROM g GROUP BY event_type, s",
+    "debounce_all": f"WITH e AS (SELECT event_type, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT event_type, strftime(min(ts), {FMT}) AS started, strftime(max(ts), {FMT}) AS last, strftime(max(ts) + INTERVAL 10 MINUTE, {FMT}) AS due, count(*) AS n FROM g GROUP BY event_type, s",
+    "stale_runs": f"SELECT event_type AS run, strftime(max(ts), {FMT}) AS last, floor(epoch((SELECT max(ts) FROM events))) - floor(epoch(max(ts))) > 300 AS stale FROM events GROUP BY 1",
+    "stale_all": f"SELECT event_type AS run, strftime(max(ts), {FMT}) AS last, floor(epoch((SELECT max(ts) FROM events))) - floor(epoch(max(ts))) > 300 AS stale FROM events GROUP BY 1",
     "titles_natural": f"{ctes('library')} SELECT id, {NATURAL.format('title')} AS sort_key FROM library",
 }

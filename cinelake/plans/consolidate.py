@@ -1,23 +1,38 @@
 """Consolidation plans: the best copy of every item, the numbering of first episodes, a drive for every group, and balancing.
 
-Placement runs in rounds instead of group by group: in a round each unplaced group bids for its best untried drive, and a
-drive accepts in name order while its free space less the running sum stays at or above the reserve. Free space is updated between rounds,
+Placement runs in rounds instead of group by group. Every drive is a candidate of every group, best first. In a round each unplaced group bids for its best untried drive, and a
+drive accepts in name order while its free space less the running sum stays at or above the reserve. After a round for each drive, a second pass of rounds frees space first: a drive
+short of room sends groups that live there to the sink, largest first, as far as the sink holds them. Free space is updated between rounds,
 not between groups; a round's running sum also counts bids that end up rejected, so no drive is over-committed but room may stay unused. Without overflow the result is
 that of the serial loop, but for ties broken by changed free space.
+
+Running sums are taken over range-partitioned blocks of the order, so that no drive is one task's sort.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import natural_key
 from ..functions.titles import first_number_name, group_key, item_key, parse_episode, variant_key
 from ..sources.files import CONSOLIDATION_EXTENSIONS, short_list, wanted
-from ..sources.store import materialize
+from ..sources.store import discard, materialize
 
 #: Drives are a short configured list; more are an error.
 MAX_DRIVES = 64
+#: Names that may be tried for a file that collides: as given, with the run's stamp, then with a counter from 2 up to this.
+LAST_NAME = 50
+
+
+def running_sum(rows: DataFrame, key: str, order: list[Column], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows of the same key ahead of each row. Blocks are range partitions of the order; ``order`` leaves no ties."""
+    blocks = materialize(rows.repartitionByRange(F.col(key), *order).withColumn("__block", F.spark_partition_id()), "blocks")
+    sums = blocks.groupBy(key, "__block").agg(F.sum(value).alias("__s"))  # a row for each key and partition
+    before = F.coalesce(F.sum("__s").over(Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("__before", before).drop("__s")
+    own = F.coalesce(F.sum(value).over(Window.partitionBy(key, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return blocks.withColumn("__own", own).join(sums, [key, "__block"]).withColumn(name, F.col("__before") + F.col("__own")).drop("__block", "__own", "__before")
 
 
 def episodes(files: DataFrame, extensions: list[str] | None = None) -> DataFrame:
@@ -35,20 +50,27 @@ def only(eps: DataFrame, text: str | None = None, limit: int | None = None) -> D
     return eps
 
 
+def group_order(eps: DataFrame) -> DataFrame:
+    """(base_key, display, n_files, bytes) of each group, in the order of work: display name in natural order, then more bytes first. The display is that of the first path."""
+    groups = eps.groupBy("base_key").agg(F.min_by("base", "path").alias("display"), F.count("*").alias("n_files"), F.sum("size").alias("bytes"))
+    return groups.orderBy(natural_key(F.col("display")), F.desc("bytes"), "base_key")
+
+
 def items(eps: DataFrame) -> DataFrame:
-    """Adds item_key, rename_01 and flagged. An unnumbered file of a numbered group becomes ``# 01``, unless episode 1 stands only with a suffix."""
-    eps = eps.withColumn("vk", variant_key(F.col("variant")))
-    flags = eps.groupBy("base_key").agg(F.bool_or(F.col("ep").isNotNull()).alias("numbered"), F.bool_or((F.col("ep") == 1) & (F.col("vk") == "")).alias("bare"), F.bool_or((F.col("ep") == 1) & (F.col("vk") != "")).alias("suffixed"))
-    rows = eps.join(flags, "base_key")
+    """Adds item_key, rename_01, flagged and new_name. An unnumbered file of a numbered group becomes ``# 01``, unless episode 1 stands only with a suffix."""
+    group = Window.partitionBy("base_key")
+    some = lambda cond: F.coalesce(F.bool_or(cond).over(group), F.lit(False))
+    rows = eps.withColumn("vk", variant_key(F.col("variant")))
+    rows = rows.withColumn("numbered", some(F.col("ep").isNotNull())).withColumn("bare", some((F.col("ep") == 1) & (F.col("vk") == ""))).withColumn("suffixed", some((F.col("ep") == 1) & (F.col("vk") != "")))
     plain = F.col("ep").isNull() & (F.col("vk") == "") & F.col("numbered")
-    blocked = F.coalesce("suffixed", F.lit(False)) & ~F.coalesce("bare", F.lit(False))
+    blocked = F.col("suffixed") & ~F.col("bare")
     key = F.when(plain & ~blocked, "EP00001").otherwise(item_key(F.col("ep"), F.col("variant")))
     rows = rows.withColumn("item_key", key).withColumn("rename_01", plain & ~blocked).withColumn("flagged", plain & blocked)
     return rows.withColumn("new_name", F.when(F.col("rename_01"), first_number_name(F.col("stem"), F.col("ext")))).drop("numbered", "bare", "suffixed", "vk")
 
 
 def best_copies(eps: DataFrame) -> DataFrame:
-    """Adds ``keep``: of each item the largest copy, then the newest, then the first path."""
+    """Adds ``keep``: of each item the largest copy, then the newest, then the first path. Both windows use one partitioning, by group."""
     w = Window.partitionBy("base_key", "item_key").orderBy(F.desc("size"), F.desc("mtime"), "path")
     return items(eps).withColumn("keep", F.row_number().over(w) == 1)
 
@@ -57,94 +79,162 @@ def drive_sums(kept: DataFrame) -> DataFrame:
     return kept.groupBy("base_key", "drive").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
+def _listed(drives: DataFrame) -> list[tuple[str, int]]:
+    """The drives and their free space, a short configured list; more than MAX_DRIVES are an error."""
+    rows = drives.select("drive", F.col("free_bytes").cast("long")).limit(MAX_DRIVES + 1).collect()
+    if len(rows) > MAX_DRIVES:
+        raise ValueError(f"more than {MAX_DRIVES} drives in a configured list")
+    return sorted((r[0], r[1]) for r in rows)
+
+
 def drive_ranks(kept: DataFrame, drives: DataFrame) -> DataFrame:
-    """For each group its drives, best first: most files, most bytes, most free space, then name."""
+    """Every group against every drive, best first: most files there (n, 0 where none), most bytes, most free space, then name."""
+    every = F.array(*[F.struct(F.lit(d).alias("drive"), F.lit(free).alias("free_bytes")) for d, free in _listed(drives)])
+    held = F.map_from_entries(F.collect_list(F.struct("drive", F.struct("n", "bytes"))))  # at most MAX_DRIVES entries
+    groups = drive_sums(kept).groupBy("base_key").agg(held.alias("held"), F.sum("bytes").alias("group_bytes"))
+    rows = groups.select("base_key", "group_bytes", "held", F.explode(every).alias("d")).select("base_key", "group_bytes", "d.drive", "d.free_bytes", F.element_at("held", F.col("d.drive")).alias("own"))
+    rows = rows.select("base_key", "drive", "free_bytes", F.coalesce("own.n", F.lit(0)).alias("n"), F.coalesce("own.bytes", F.lit(0)).alias("bytes"), "group_bytes")
     w = Window.partitionBy("base_key").orderBy(F.desc("n"), F.desc("bytes"), F.desc("free_bytes"), "drive")
-    return drive_sums(kept).join(short_list(drives, MAX_DRIVES), "drive").withColumn("rank", F.row_number().over(w))
+    return rows.withColumn("rank", F.row_number().over(w))
 
 
 def bids(kept: DataFrame, drives: DataFrame) -> DataFrame:
-    """(base_key, drive, rank, incoming): every group against every drive that holds a part of it."""
-    totals = kept.groupBy("base_key").agg(F.sum("size").alias("group_bytes"))
-    return drive_ranks(kept, drives).join(totals, "base_key").select("base_key", "drive", "rank", "bytes", "group_bytes", (F.col("group_bytes") - F.col("bytes")).alias("incoming"))
+    """(base_key, drive, rank, bytes, group_bytes, incoming): every group against every drive, and what it would have to take in."""
+    return drive_ranks(kept, drives).select("base_key", "drive", "rank", "bytes", "group_bytes", (F.col("group_bytes") - F.col("bytes")).alias("incoming"))
 
 
 def accept(offers: DataFrame, free: DataFrame, reserve: int) -> DataFrame:
-    """Adds ``accepted`` to (base_key, drive, incoming). The running sum is taken in blocks of the name order, so that a drive isn't one task's sort."""
-    block = F.substring("base_key", 1, 2)
-    rows = offers.withColumn("block", block)
-    sums = rows.groupBy("drive", "block").agg(F.sum("incoming").alias("s"))
-    ahead = sums.withColumn("ahead", F.coalesce(F.sum("s").over(Window.partitionBy("drive").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
-    own = F.sum("incoming").over(Window.partitionBy("drive", "block").orderBy("base_key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("own", own).join(ahead, ["drive", "block"]).join(short_list(free, MAX_DRIVES), "drive")
-    return rows.withColumn("taken", F.col("ahead") + F.col("own")).withColumn("accepted", F.col("free_bytes") - F.col("taken") >= reserve).drop("block", "own", "ahead")
-
-
-def place(kept: DataFrame, drives: DataFrame, reserve: int = 0, rounds: int | None = None) -> DataFrame:
-    """(base_key, drive, incoming, round); a group that no drive takes has a null drive and round. As many rounds as drives, unless stated."""
-    offers, free = materialize(bids(kept, drives), "bids"), materialize(drives.select("drive", "free_bytes"), "free")
-    placed = None
-    last = free.count()
-    last = last if rounds is None else min(rounds, last)
-    for r in range(1, last + 1):
-        todo = offers.where(F.col("rank") == r)
-        if placed is not None:
-            todo = todo.join(placed.select("base_key"), "base_key", "left_anti")
-        won = accept(todo, free, reserve).where("accepted").select("base_key", "drive", "incoming", F.lit(r).alias("round"))
-        won = materialize(won, "placed")
-        placed = won if placed is None else placed.unionByName(won)
-        # A handful of rows: what arrived at each drive less what left it.
-        arrived = won.groupBy("drive").agg(F.sum("incoming").alias("came"))
-        left = offers.join(won.select("base_key", F.col("drive").alias("target")), "base_key").where("drive <> target").groupBy("drive").agg(F.sum("bytes").alias("went"))
-        free = free.join(arrived, "drive", "left").join(left, "drive", "left").select("drive", (F.col("free_bytes") - F.coalesce("came", F.lit(0)) + F.coalesce("went", F.lit(0))).alias("free_bytes"))
-        free = materialize(free, "free")
-    return offers.select("base_key").distinct().join(placed, "base_key", "left")
+    """Adds ``taken`` and ``accepted`` to (base_key, drive, incoming)."""
+    rows = running_sum(offers, "drive", [F.col("base_key")], "incoming", "ahead").join(short_list(free, MAX_DRIVES), "drive")
+    return rows.withColumn("taken", F.col("ahead") + F.col("incoming")).withColumn("accepted", F.col("free_bytes") - F.col("taken") >= reserve).drop("ahead")
+
+
+def _sums(rows: DataFrame, drive: str, value: str) -> dict[str, int]:
+    """Bytes by drive, as many rows as there are drives."""
+    return {r[0]: int(r[1]) for r in rows.groupBy(drive).agg(F.sum(value)).collect()}
+
+
+def place(kept: DataFrame, drives: DataFrame, reserve: int = 0) -> DataFrame:
+    """(base_key, drive, incoming, round, evacuated): each group's drive. Rounds count on through the second pass, in which drives other than the sink free space
+    first; a group that was sent on to the sink has ``evacuated``. A group that no drive takes has nulls. Without is_sink among the columns of ``drives`` there is one pass."""
+    free = dict(_listed(drives))
+    sinks = [r[0] for r in drives.where("is_sink").select("drive").limit(2).collect()] if "is_sink" in drives.columns else []
+    offers = materialize(bids(kept, drives), "bids")
+    schema = "drive string, free_bytes long"
+    placed, live = None, []
+    for evacuate in (False, True) if sinks else (False,):
+        for rank in range(1, len(free) + 1):
+            todo = offers.where(F.col("rank") == rank)
+            if placed is not None:
+                todo = todo.join(placed.select("base_key"), "base_key", "left_anti")
+            if evacuate:
+                todo = todo.where(F.col("drive") != sinks[0])
+            asked = _sums(todo, "drive", "incoming")
+            if not asked:
+                continue
+            if evacuate and placed is not None:
+                need = {d: max(0, b + reserve - free[d]) for d, b in asked.items()}
+                listed = kept.sparkSession.createDataFrame(sorted(need.items()), "drive string, need_bytes long")
+                homes = placed.where("drive IS NOT NULL AND NOT evacuated").join(offers.select("base_key", "group_bytes").distinct(), "base_key")
+                out = evacuation(homes.select("base_key", "drive", F.col("group_bytes").alias("bytes")), listed)
+                out = _within(out, sinks[0], free[sinks[0]], reserve).where("fits")
+                out = materialize(out.select("base_key", "drive", "bytes"), "evacuated")
+                gone = _sums(out, "drive", "bytes")
+                for d, b in gone.items():
+                    free[d] += b
+                    free[sinks[0]] -= b
+                if gone:
+                    placed = materialize(placed.join(out.select("base_key", F.lit(True).alias("out")), "base_key", "left").select("base_key", F.when(F.col("out"), sinks[0]).otherwise(F.col("drive")).alias("drive"), "incoming", "round", (F.col("evacuated") | F.coalesce("out", F.lit(False))).alias("evacuated")), "placed")
+                    live.append(placed)
+                live.append(out)
+            now = kept.sparkSession.createDataFrame(sorted(free.items()), schema)
+            number = rank + (len(free) if evacuate else 0)
+            won = materialize(accept(todo, now, reserve).where("accepted").select("base_key", "drive", "incoming", F.lit(number).alias("round"), F.lit(False).alias("evacuated")), "placed")
+            live.append(won)
+            placed = won if placed is None else placed.unionByName(won)
+            # What arrived at each drive, less what left it: at most MAX_DRIVES rows.
+            for d, b in _sums(won, "drive", "incoming").items():
+                free[d] -= b
+            left = offers.where("bytes > 0").join(won.select("base_key", F.col("drive").alias("target")), "base_key").where("drive <> target")
+            for d, b in _sums(left, "drive", "bytes").items():
+                free[d] += b
+    rest = offers.where("rank = 1").select("base_key")
+    done = materialize(rest.join(placed, "base_key", "left") if placed is not None else rest.selectExpr("base_key", "CAST(NULL AS STRING) AS drive", "CAST(NULL AS BIGINT) AS incoming", "CAST(NULL AS INT) AS round", "CAST(NULL AS BOOLEAN) AS evacuated"), "placement")
+    for x in (offers, *live):
+        discard(x)
+    return done
 
 
 def consolidation_plan(files: DataFrame, drives: DataFrame, reserve: int = 0) -> DataFrame:
-    """One row for each file: keep, shelve or move, its target drive and bytes."""
+    """One row for each file: keep, shelve, skip, stay, rename or move, its target drive, file name there, bytes to move, and whether the name is taken there."""
     eps = materialize(best_copies(episodes(files)), "copies")
-    target = place(eps.where("keep"), drives, reserve).select("base_key", F.col("drive").alias("target"))
-    rows = eps.join(target, "base_key", "left")
-    action = F.when(~F.col("keep"), "shelve").when(F.col("target").isNull(), "skip").when(F.col("drive") != F.col("target"), "move").otherwise("stay")
-    return rows.withColumn("action", action).withColumn("move_bytes", F.when(action == "move", F.col("size")).otherwise(0))
+    target = place(eps.where("keep"), drives, reserve).select("base_key", F.col("drive").alias("target"), "evacuated")
+    rows = eps.join(target, "base_key", "left").withColumn("file", F.coalesce("new_name", F.concat("stem", F.lit("."), "ext")))
+    action = F.when(~F.col("keep"), "shelve").when(F.col("target").isNull(), "skip").when(F.col("drive") != F.col("target"), "move").when(F.col("rename_01"), "rename").otherwise("stay")
+    rows = rows.withColumn("action", action).withColumn("move_bytes", F.when(action == "move", F.col("size")).otherwise(0)).withColumn("evacuated", F.coalesce("evacuated", F.lit(False)))
+    moves = rows.where("action = 'move'").select("path", "target", "file", "size", "mtime")
+    there = eps.where("keep").select("drive", F.concat("stem", F.lit("."), "ext").alias("file"), "size", "mtime")  # shelved copies make room
+    return rows.join(collisions(moves, there).select("path", "class"), "path", "left").withColumnRenamed("class", "collision")
 
 
 def evacuation(groups: DataFrame, need: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
     """Of (base_key, drive, bytes) the largest first until a drive's needed bytes are freed; groups just moved there stay."""
     if fresh is not None:
         groups = groups.join(fresh.select("base_key", "drive"), ["base_key", "drive"], "left_anti")
-    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("drive").orderBy(F.desc("bytes"), "base_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return groups.join(short_list(need, MAX_DRIVES), "drive").withColumn("before", before).where(F.col("before") < F.col("need_bytes")).drop("before")
+    rows = running_sum(groups.withColumn("size_order", -F.col("bytes")), "drive", [F.col("size_order"), F.col("base_key")], "bytes", "before")
+    return rows.join(short_list(need, MAX_DRIVES), "drive").where(F.col("before") < F.col("need_bytes")).drop("before", "size_order")
+
+
+def _within(groups: DataFrame, sink: str, sink_free: int, reserve: int) -> DataFrame:
+    """Adds ``fits``: whether the sink still holds each group, drive by drive, the largest first."""
+    rows = groups.withColumn("sink", F.lit(sink)).withColumn("size_order", -F.col("bytes"))
+    rows = running_sum(rows, "sink", [F.col("drive"), F.col("size_order"), F.col("base_key")], "bytes", "ahead")
+    return rows.withColumn("fits", F.lit(sink_free) - F.col("ahead") - F.col("bytes") >= reserve).drop("ahead", "size_order")
 
 
 def balance_plan(groups: DataFrame, drives: DataFrame, target_free: int, reserve: int = 0, fresh: DataFrame | None = None) -> DataFrame:
     """Groups to move to the sink so that each drive reaches its target, as far as the sink holds them."""
     need = drives.where("NOT is_sink").select("drive", F.greatest(F.lit(target_free) - F.col("free_bytes"), F.lit(0)).alias("need_bytes"))
-    out = evacuation(groups, need, fresh)
-    sink = drives.where("is_sink").agg(F.max("drive").alias("sink"), F.max("free_bytes").alias("sink_free"))
-    taken = F.sum("bytes").over(Window.partitionBy("sink").orderBy("drive", F.desc("bytes"), "base_key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return out.crossJoin(F.broadcast(sink)).withColumn("fits", F.col("sink_free") - taken >= reserve)
+    sink = drives.where("is_sink").agg(F.max("drive"), F.max("free_bytes")).first()
+    return _within(evacuation(groups, need, fresh), sink[0], int(sink[1] or 0), reserve)
 
 
 def collisions(moves: DataFrame, existing: DataFrame, tolerance: int = 2) -> DataFrame:
-    """Moves onto a drive that has the file name already: the same copy (size, and time within the tolerance), or suspect."""
-    there = existing.select(F.col("drive").alias("target"), F.lower("file").alias("key"), F.col("size").alias("there_size"), F.col("mtime").alias("there_mtime"))
-    same = (F.col("size") == F.col("there_size")) & (F.abs(F.unix_timestamp("mtime") - F.unix_timestamp("there_mtime")) <= tolerance)
-    return moves.withColumn("key", F.lower("file")).join(there, ["target", "key"]).withColumn("class", F.when(same, "duplicate").otherwise("suspect"))
-
-
-def free_names(plan: DataFrame, existing: DataFrame, stamp: str, most: int = 50) -> DataFrame:
-    """Names that collide with nothing: as given, then with the run's stamp, then with a counter up to ``most``."""
-    held = existing.select(F.col("dir").alias("target_dir"), F.lower("file").alias("key")).groupBy("target_dir", "key").agg(F.lit(1).alias("held"))
-    n = F.row_number().over(Window.partitionBy("target_dir", "key").orderBy("path")) + F.coalesce("held", F.lit(0))
-    rows = plan.withColumn("key", F.lower("file")).join(held, ["target_dir", "key"], "left").withColumn("n", n)
-    body, dot = F.regexp_replace("file", r"\.[^.]*$", ""), F.regexp_extract("file", r"(\.[^.]*)$", 1)
-    name = F.when(F.col("n") == 1, F.col("file")).when(F.col("n") == 2, F.concat(body, F.lit(f"__{stamp}"), dot)).when(F.col("n") <= most + 2, F.concat(body, F.lit(f"__{stamp}_"), (F.col("n") - 2).cast("string"), dot))
-    return rows.withColumn("free_name", name).withColumn("problem", F.when(name.isNull(), "no_free_name")).drop("held", "key", "n")
+    """Moves (path, target, file, size, mtime) onto a drive that has the file name already, with ``class``: 'duplicate' if a copy there has the same size and,
+    within the tolerance in seconds, time; else 'suspect'. Existing files are summed up by name, and by name, size and a short span of time, before they are joined."""
+    span = tolerance + 1
+    second = F.unix_timestamp("mtime")
+    there = existing.select(F.col("drive").alias("target"), F.lower("file").alias("key"), "size", second.alias("at"))
+    names = there.select("target", "key").distinct()
+    near = there.groupBy("target", "key", "size", F.floor(F.col("at") / span).alias("slot")).agg(F.collect_set("at").alias("times"))  # at most ``span`` different seconds
+    rows = moves.withColumn("key", F.lower("file")).join(names, ["target", "key"])
+    asked = rows.select("path", "target", "key", "size", second.alias("at")).withColumn("slot", F.explode(F.array(*[F.floor(F.col("at") / span) + i for i in (-1, 0, 1)])))
+    same = asked.join(near, ["target", "key", "size", "slot"]).where(F.exists("times", lambda t: F.abs(t - F.col("at")) <= tolerance)).select("path", "target").distinct()
+    return rows.join(same.withColumn("same", F.lit(True)), ["path", "target"], "left").withColumn("class", F.when(F.col("same"), "duplicate").otherwise("suspect")).drop("same")
+
+
+def free_names(plan: DataFrame, existing: DataFrame, stamp: str, most: int = LAST_NAME) -> DataFrame:
+    """Adds free_name to (path, target_dir, file): the name as given, else with the run's stamp, else with a counter from 2 up to ``most``; never a name that
+    exists or that another file of the plan asks for. Of several files with one name the first path takes the first free one. No free name: null, and a problem."""
+    rows = plan.withColumn("key", F.lower("file"))
+    held = existing.select(F.col("dir").alias("target_dir"), F.lower("file").alias("key")).distinct()
+    asked = rows.groupBy("target_dir", "key").agg(F.count("*").alias("n"))
+    clash = asked.join(held.withColumn("held", F.lit(True)), ["target_dir", "key"], "left").where("held OR n > 1")
+    tails = F.array(F.lit(""), F.lit(f"__{stamp}"), *[F.lit(f"__{stamp}_{i}") for i in range(2, most + 1)])
+    body, dot = F.regexp_replace("key", r"\.[^.]*$", ""), F.regexp_extract("key", r"(\.[^.]*)$", 1)
+    tried = clash.select("target_dir", "key", F.posexplode(tails).alias("no", "tail")).withColumn("name", F.lower(F.concat(body, F.col("tail"), dot)))
+    taken = held.withColumnRenamed("key", "name").unionByName(asked.select("target_dir", F.col("key").alias("name"))).distinct()
+    spare = tried.where("no > 0").join(taken, ["target_dir", "name"], "left_anti").select("target_dir", "key", "no", "tail")
+    own = tried.where("no = 0").join(held, ["target_dir", "key"], "left_anti").select("target_dir", "key", "no", "tail")
+    spare = spare.unionByName(own).withColumn("turn", F.row_number().over(Window.partitionBy("target_dir", "key").orderBy("no"))).drop("no")
+    turns = rows.join(clash.select("target_dir", "key"), ["target_dir", "key"], "left_semi").select("path", "target_dir", "key", F.row_number().over(Window.partitionBy("target_dir", "key").orderBy("path")).alias("turn"))
+    given = turns.join(spare, ["target_dir", "key", "turn"], "left").select("path", "target_dir", "tail", F.lit(True).alias("clashed"))
+    stem, end = F.regexp_replace("file", r"\.[^.]*$", ""), F.regexp_extract("file", r"(\.[^.]*)$", 1)
+    name = F.when(F.col("clashed").isNull(), F.col("file")).when(F.col("tail").isNotNull(), F.concat(stem, F.col("tail"), end))
+    return rows.join(given, ["path", "target_dir"], "left").withColumn("free_name", name).withColumn("problem", F.when(name.isNull(), "no_free_name")).drop("key", "tail", "clashed")
 
 
 def running_free(moves: DataFrame, drives: DataFrame) -> DataFrame:
-    """Free space of each drive after each step of (step, drive, delta)."""
-    w = Window.partitionBy("drive").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return moves.join(short_list(drives.select("drive", "free_bytes"), MAX_DRIVES), "drive").withColumn("free_after", F.col("free_bytes") + F.sum("delta").over(w))
+    """Free space of each drive after each step of (step, drive, delta); steps of a drive differ."""
+    rows = running_sum(moves, "drive", [F.col("step")], "delta", "ahead")
+    return rows.join(short_list(drives.select("drive", "free_bytes"), MAX_DRIVES), "drive").withColumn("free_after", F.col("free_bytes") + F.col("ahead") + F.col("delta")).drop("ahead")

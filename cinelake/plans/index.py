@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import fold, natural_key, under
 from ..functions.titles import strip_variant
-from ..sources.files import INDEX_EXTENSIONS, wanted
+from ..sources.files import INDEX_EXTENSIONS, distinct_roots, wanted
 
 PAGE = 50
 #: Roots and queries are short configured lists; more than this many is an error, not a larger broadcast.
@@ -28,10 +28,10 @@ def entries(files: DataFrame, roots: DataFrame, extensions: list[str] | None = N
 
 
 def build_index(files: DataFrame, previous: DataFrame, roots: DataFrame) -> DataFrame:
-    """New snapshot: what was scanned, and the old entries of roots that are configured but missing now."""
+    """New snapshot: what was scanned, each file once however roots are nested, and the old entries of roots that are configured but missing now."""
     gone = _short(roots.where("NOT present").select("root"))
     carried = previous.join(gone, under(F.col("dir"), F.col("root")), "left_semi")
-    return entries(files, roots).withColumn("carried", F.lit(False)).unionByName(carried.select("base", "file", "dir", "size", "mtime").withColumn("carried", F.lit(True)))
+    return entries(files, distinct_roots(roots.where("present"))).withColumn("carried", F.lit(False)).unionByName(carried.select("base", "file", "dir", "size", "mtime").withColumn("carried", F.lit(True)))
 
 
 def snapshot_meta(index: DataFrame, roots: DataFrame) -> DataFrame:
@@ -59,15 +59,20 @@ def matching(index: DataFrame, queries: DataFrame) -> DataFrame:
     return index.join(q, F.lower("base").contains(F.col("q")) | F.lower("file").contains(F.col("q")))
 
 
-def search(index: DataFrame, queries: DataFrame, page: int = 0, size: int = PAGE) -> DataFrame:
-    """Groups by base for each query, in natural order, with totals before paging: one page of each query."""
-    from pyspark.sql import Window
-
-    files = F.array_sort(F.collect_list(F.struct(natural_key(F.col("file")).alias("k"), F.col("file"), F.col("dir"), F.col("size"), F.col("mtime"))))
-    groups = matching(index, queries).groupBy("query", fold(F.col("base")).alias("base_key")).agg(F.min("base").alias("base"), files.alias("files"), F.count("*").alias("n_files"), F.sum("size").alias("bytes"))
+def search(index: DataFrame, queries: DataFrame, page: int = 0, size: int = PAGE, salts: int = 32) -> DataFrame:
+    """Groups by base for each query, in natural order, with totals before paging: one page of each query. Groups are ranked by key alone, first within
+    each of ``salts`` shares; files are gathered for the groups of the page only."""
+    found = matching(index, queries).withColumn("base_key", fold(F.col("base")))
+    groups = found.groupBy("query", "base_key").agg(F.min("base").alias("base"), F.count("*").alias("n_files"), F.sum("size").alias("bytes"))
     totals = groups.groupBy("query").agg(F.count("*").alias("total_groups"), F.sum("n_files").alias("total_files"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(natural_key(F.col("base")), "base_key"))
-    return groups.withColumn("rank", rank).where((F.col("rank") > page * size) & (F.col("rank") <= (page + 1) * size)).join(F.broadcast(totals), "query")
+    order = [natural_key(F.col("base")), F.col("base_key")]
+    share = Window.partitionBy("query", F.pmod(F.xxhash64("base_key"), F.lit(salts))).orderBy(*order)
+    best = groups.withColumn("place", F.row_number().over(share)).where(F.col("place") <= (page + 1) * size).drop("place")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where((F.col("rank") > page * size) & (F.col("rank") <= (page + 1) * size))
+    ranked = ranked.join(F.broadcast(totals), "query")  # a row for each query of a short list
+    files = F.array_sort(F.collect_list(F.struct(natural_key(F.col("file")).alias("k"), F.col("file"), F.col("dir"), F.col("size"), F.col("mtime"))))
+    lists = found.join(F.broadcast(ranked.select("query", "base_key")), ["query", "base_key"], "left_semi").groupBy("query", "base_key").agg(files.alias("files"))  # ``size`` rows a query
+    return ranked.join(lists, ["query", "base_key"])
 
 
 def page_range(total: Column, page: Column, size: int = PAGE) -> Column:

@@ -21,10 +21,14 @@ def parse_probe(raw: DataFrame) -> DataFrame:
 
 
 def title_rollup(files: DataFrame, ascii_fold: bool = False) -> DataFrame:
-    """One row for each title of (stem, path, size, ...): sums, and the spelling, dimensions and path of the first path."""
+    """One row for each title of (stem, path, size, ...): sums, and the spelling and path of the first path; with the columns dimensions and duration also the first
+    path's dimensions and the sum of durations."""
     title = strip_variant(F.col("stem"))
     rows = files.withColumn("title", title).withColumn("title_key", fold(title, ascii_fold))
-    return rows.groupBy("title_key").agg(F.min_by("title", "path").alias("title"), F.sum("size").alias("title_size"), F.count("*").alias("n_files"), F.min("path").alias("title_path"))
+    more = []
+    if {"dimensions", "duration"} <= set(files.columns):
+        more = [F.min_by(F.coalesce("dimensions", F.lit("")), "path").alias("dimensions"), F.sum(F.coalesce("duration", F.lit(0))).alias("duration")]
+    return rows.groupBy("title_key").agg(F.min_by("title", "path").alias("title"), F.sum("size").alias("title_size"), F.count("*").alias("n_files"), F.min("path").alias("title_path"), *more)
 
 
 def missing_metadata(dimensions: Column, duration: Column, size: Column) -> Column:
@@ -72,16 +76,31 @@ def number_files(files: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.select("path", "stem", with_first_number(F.col("stem")).alias("new_stem"))
 
 
-def duplicate_move_plan(duplicates: DataFrame, files: DataFrame, longest: int = 255) -> DataFrame:
-    """Files whose base begins a duplicate title: (path, target). A title's beginnings are an equi-join key, so no nested loop runs."""
+def duplicate_move_plan(duplicates: DataFrame, files: DataFrame) -> DataFrame:
+    """Files whose base begins a duplicate title: (path, target). A title's beginnings, of the lengths that bases have, are an equi-join key, so no nested loop runs."""
     titles = duplicates.select(fold(F.col("db_title")).alias("t"), (F.col("size_class") == "isLarger").alias("larger")).groupBy("t").agg(F.bool_or("larger").alias("larger"))
-    begins = titles.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("t"), F.lit(longest))), lambda i: F.substring(F.col("t"), 1, i))).alias("begin"), "larger")
-    begins = begins.groupBy("begin").agg(F.bool_or("larger").alias("larger"))
     rows = files.withColumn("begin", fold(F.substring_index(split_suffix(F.col("stem"))["base"], " # ", 1))).where("begin <> ''")
+    lengths = F.broadcast(rows.agg(F.array_sort(F.collect_set(F.length("begin"))).alias("lengths")))  # one row; names have few different lengths
+    begins = titles.join(lengths).select(F.explode(F.transform(F.filter("lengths", lambda i: i <= F.length("t")), lambda i: F.substring(F.col("t"), F.lit(1), i))).alias("begin"), "larger")
+    begins = begins.groupBy("begin").agg(F.bool_or("larger").alias("larger"))
     return rows.join(begins, "begin").select("path", F.when(F.col("larger"), "duplicates/larger").otherwise("duplicates").alias("target"))
 
 
-def fill_missing(library: DataFrame, titles: DataFrame, probes: DataFrame | None = None) -> DataFrame:
+def fill_metadata(library: DataFrame, titles: DataFrame) -> DataFrame:
+    """The library rows that lack dimensions, duration or size, each filled from the first title (by path) of a scan with probes that has it:
+    (id, title, dimensions, duration, filesize, and what was needed and what was filled as comma-separated names)."""
+    key = fold(library_title(F.col("title")))
+    first = lambda c, has: F.min_by(F.when(has, F.col(c)), F.when(has, F.col("title_path"))).alias(f"new_{c}")
+    known = titles.groupBy(key.alias("key")).agg(first("dimensions", F.col("dimensions") != ""), first("duration", F.col("duration") > 0), first("title_size", F.col("title_size") > 0))
+    rows = library.where(missing_metadata(F.col("dimensions"), F.col("duration"), F.col("filesize"))).withColumn("key", fold(F.col("title"))).join(known, "key", "left")
+    blank = F.coalesce(F.lower(F.trim("dimensions")), F.lit("")).isin("", "0 x 0")
+    needs = {"dimensions": (blank, "new_dimensions"), "duration": (F.coalesce("duration", F.lit(0)) == 0, "new_duration"), "filesize": (F.coalesce("filesize", F.lit(0)) == 0, "new_title_size")}
+    value = lambda c: F.when(needs[c][0] & F.col(needs[c][1]).isNotNull(), F.col(needs[c][1]).cast(library.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+    needed, filled = (F.concat_ws(",", *[F.when(cond & extra(new), F.lit(c)) for c, (cond, new) in needs.items()]) for extra in (lambda new: F.lit(True), lambda new: F.col(new).isNotNull()))
+    return rows.select("id", "title", *[value(c) for c in needs], needed.alias("needed"), filled.alias("filled"))
+
+
+def fill_missing(library: DataFrame, titles: DataFrame) -> DataFrame:
     """The library rows that lack metadata, with what a scan of their title knows: (id, title, filesize, filled)."""
     known = titles.select(fold(library_title(F.col("title"))).alias("key"), "title_size").groupBy("key").agg(F.sum("title_size").alias("scanned"))
     rows = library.where(missing_metadata(F.col("dimensions"), F.col("duration"), F.col("filesize"))).withColumn("key", fold(F.col("title"))).join(known, "key", "left")

@@ -34,6 +34,22 @@ def counts(library: DataFrame, conditions: list[tuple[str, str]] = ()) -> DataFr
     return library.agg(F.count("*").alias("total"), F.count_if(shown).alias("shown"))
 
 
+def outcome_counts(refreshed: DataFrame) -> DataFrame:
+    """Counters of a refresh: updated, unchanged, not found."""
+    n = lambda outcome: F.count_if(F.col("outcome") == outcome).alias(outcome)
+    return refreshed.agg(n("updated"), n("unchanged"), n("not_found"))
+
+
+def settle(work: DataFrame, results: DataFrame) -> DataFrame:
+    """A working list (path, ...) after the results (path, new_path, ok) of renaming or trashing: what succeeded has its new path or, without one, is gone;
+    what failed or wasn't reported stays. Adds ``outcome``."""
+    last = results.groupBy("path").agg(F.max(F.struct("ok", "new_path")).alias("r"))
+    rows = work.join(last, "path", "left")
+    outcome = F.when(F.col("r").isNull(), "pending").when(F.col("r.ok"), F.when(F.col("r.new_path").isNull(), "gone").otherwise("renamed")).otherwise("failed")
+    rows = rows.withColumn("outcome", outcome).where("outcome <> 'gone'").withColumn("path", F.when(F.col("outcome") == "renamed", F.col("r.new_path")).otherwise(F.col("path")))
+    return rows.select(*work.columns, "outcome")
+
+
 def apply_edits(library: DataFrame, edits: DataFrame) -> DataFrame:
     """The library after edits (id, field, value, seq): of each field the last edit; other fields are refused; a null becomes the field's default."""
     last = edits.where(F.col("field").isin(list(EDITABLE))).groupBy("id", "field").agg(F.max(F.struct("seq", "value")).alias("z"))

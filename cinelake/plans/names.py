@@ -20,7 +20,6 @@ STOP_WORDS = """and the a an in on of with for to at my all about it she her his
 anal lesbian solo toys masturbation hardcore bts action workout threesome creampie facial fetish footjob blowjob pov gonzo casting audition massage squirt
 bonus scene part vol xxx parody remastered edition internal external french german russian czech euro american pornstar anime body school teen teens girl
 girls big tits ass wet hot sexy young busty mp4 avi mkv wmv x264 x265 xvid 1080p 720p 2160p 4k""".split()
-EXCLUDED_FOLDERS = ["Banned Cartoons", "TV-Movies-Misc", "Tom and Jerry"]
 NAME_SHAPE = r"^\p{Lu}[\p{L}'.\-]*(?:\s+\p{Lu}[\p{L}'.\-]*){1,2}$"
 WRAPPING = " \t\n\r\0\x0b-_.,;:|/\\\"'()[]"
 
@@ -64,14 +63,15 @@ def _trim_stops(words: Column) -> Column:
     return F.reverse(step(F.reverse(step(words))))
 
 
-def mined(files: DataFrame, folders: DataFrame) -> DataFrame:
+def mined(files: DataFrame, folders: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
     """(name, key, source, sightings) from scene tails, folders of people, and dotted releases with ``.And.`` between two people.
 
     files: (stem, dir) and, where tails are read from another form than the raw stem, title; folders: (folder). A dotted candidate stays if it was seen twice or is known from elsewhere.
+    excluded: folders that are no source of names.
     """
-    files = files.where(~F.exists(F.split("dir", "/"), lambda s: s.isin(EXCLUDED_FOLDERS) | s.startswith(".")))
+    files = files.where(~F.exists(F.split("dir", "/"), lambda s: s.isin(list(excluded)) | s.startswith(".")))
     tails = files.select(F.explode(split_names(scene_tail(F.col("title" if "title" in files.columns else "stem")))).alias("name")).where(is_name_shaped(F.col("name"))).withColumn("rank", F.lit(1))
-    people = folders.where(~F.col("folder").isin(EXCLUDED_FOLDERS) & ~F.col("folder").startswith(".")).select(F.regexp_replace("folder", r"(?i)\s+Movies$", "").alias("name")).where(is_name_shaped(F.col("name"))).withColumn("rank", F.lit(2))
+    people = folders.where(~F.col("folder").isin(list(excluded)) & ~F.col("folder").startswith(".")).select(F.regexp_replace("folder", r"(?i)\s+Movies$", "").alias("name")).where(is_name_shaped(F.col("name"))).withColumn("rank", F.lit(2))
     certain = tails.unionByName(people).select(clean_name(F.col("name")).alias("name"), "rank").where("name IS NOT NULL").withColumn("key", F.lower("name"))
     certain = certain.groupBy("key").agg(F.min_by("name", F.struct("rank", "name")).alias("name"), F.min("rank").alias("rank"), F.count("*").alias("sightings"))
 
@@ -121,25 +121,27 @@ def squashed(names: DataFrame) -> DataFrame:
     return rows.groupBy("squash").agg(F.count("*").alias("entries"), F.min("name").alias("name")).select("squash", "entries", F.when(F.col("entries") == 1, F.col("name")).alias("name"))
 
 
-def restore_names(titles: DataFrame, names: DataFrame, column: str = "title", id_column: str = "id") -> DataFrame:
+def restore_names(titles: DataFrame, names: DataFrame, column: str = "title") -> DataFrame:
     """Titles with the people behind ``Scene_N`` put right by the vocabulary: a name without its spaces (six letters or more, one match, no known word),
     also glued to the number, and missing commas between names of a part of three words or more.
 
-    Words are looked up by equi-joins, so the vocabulary may be large.
+    Words are looked up by equi-joins, so the vocabulary may be large. Rows keep to themselves, whatever columns they share; other columns pass through.
     """
     vocabulary = names.select("name", F.lower("name").alias("full"))
-    titles = materialize(titles, "titles")
+    titles = materialize(titles.withColumn("__row", F.monotonically_increasing_id()), "titles")  # written, so a row keeps its number
+    id_column = "__row"
     words = vocabulary.select(F.explode(F.split("full", " ")).alias("word")).unionByName(vocabulary.select(F.col("full").alias("word"))).distinct()
     lookup = squashed(names).where("name IS NOT NULL").select(F.col("squash").alias("key"), F.col("name").alias("fixed")).join(words.withColumnRenamed("word", "key"), "key", "left_anti")
     single = vocabulary.where(~F.col("full").contains(" ")).select(F.col("full").alias("key"), F.col("name").alias("fixed"))
 
     glued = r"^(.*?(?<![A-Za-z0-9_])Scene_\d{1,2})(\p{L}{6,})(?!\w)(.*)$"
     blob = F.lower(F.regexp_extract(column, glued, 2))
-    rows = titles.withColumn("key", F.nullif(blob, F.lit(""))).join(lookup.unionByName(single), "key", "left")
-    text = F.when(F.col("fixed").isNotNull(), F.concat(F.regexp_extract(column, glued, 1), F.lit(" - "), F.col("fixed"), F.regexp_extract(column, glued, 3))).otherwise(F.col(column))
-    rows = rows.withColumn("s", normalize.split_tail(text)).drop("key", "fixed").withColumn("text", F.concat("s.head", "s.tail"))
+    either = lookup.unionByName(single).select(F.col("key").alias("__key"), F.col("fixed").alias("__fixed"))
+    rows = titles.withColumn("__key", F.nullif(blob, F.lit(""))).join(either, "__key", "left")
+    text = F.when(F.col("__fixed").isNotNull(), F.concat(F.regexp_extract(column, glued, 1), F.lit(" - "), F.col("__fixed"), F.regexp_extract(column, glued, 3))).otherwise(F.col(column))
+    rows = rows.withColumn("__s", normalize.split_tail(text)).drop("__key", "__fixed").withColumn("__text", F.concat("__s.head", "__s.tail"))
 
-    pieces = rows.where(F.col("s.head") != "").select(id_column, F.posexplode(F.regexp_extract_all("s.tail", F.lit(r"[^\s,]+|[\s,]+"), F.lit(0))).alias("pos", "piece"))
+    pieces = rows.where(F.col("__s.head") != "").select(id_column, F.posexplode(F.regexp_extract_all("__s.tail", F.lit(r"[^\s,]+|[\s,]+"), F.lit(0))).alias("pos", "piece"))
     pieces = pieces.withColumn("key", F.when(F.length("piece") >= 6, F.lower("piece"))).join(lookup, "key", "left")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("fixed", "piece").alias("p")))), lambda x: x["p"]), "")
     tails = materialize(pieces.groupBy(id_column).agg(joined.alias("tail")), "tails")
@@ -163,9 +165,9 @@ def restore_names(titles: DataFrame, names: DataFrame, column: str = "title", id
     fixed = parts.join(found, [id_column, "part_no"], "left").join(vocabulary.select(F.col("full").alias("own"), F.lit(True).alias("whole")), F.lower("part") == F.col("own"), "left")
     names_in = F.when(F.col("found").isNotNull() & F.col("whole").isNull(), segmented(F.size("w"), F.col("found")))
     fixed = fixed.withColumn("names", names_in).withColumn("p", F.when(F.size("names") >= 2, F.array_join("names", ", ")).otherwise(F.col("part")))
-    ends = fixed.groupBy(id_column).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_no", "p"))), lambda x: x["p"]), ", ").alias("people"))
-    done = rows.join(ends, id_column, "left").withColumn(column, F.when(F.col("people").isNotNull(), F.concat("s.head", "people")).otherwise(F.col("text")))
-    return done.drop("s", "text", "people")
+    ends = fixed.groupBy(id_column).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_no", "p"))), lambda x: x["p"]), ", ").alias("__people"))
+    done = rows.join(ends, id_column, "left").withColumn(column, F.when(F.col("__people").isNotNull(), F.concat("__s.head", "__people")).otherwise(F.col("__text")))
+    return done.select(*[c for c in titles.columns if c != "__row"])
 
 
 def normalize_plan(files: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -194,16 +196,52 @@ def name_worklist(files: DataFrame) -> DataFrame:
 
 def suggest_names(partials: DataFrame, names: DataFrame, most: int = 12) -> DataFrame:
     """For each (partial) of two letters or more up to ``most`` names: those that start with it, then those that contain it. An equi-join on each name's
-    two-letter pieces stands for the nested loop."""
+    pieces of two and three letters stands for the nested loop; a partial of three letters or more is looked up by the rarest of its own three-letter pieces."""
     low = names.select("name", F.lower("name").alias("key"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - 1, F.lit(1))), lambda i: F.substring(F.col("key"), i, F.lit(2))))
-    by = low.select("name", "key", F.explode(grams).alias("g"))
-    asked = partials.select("partial", F.lower("partial").alias("p")).where(F.length("p") >= 2).distinct().withColumn("g", F.substring("p", 1, 2))
+    pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n))))
+    by = low.select("name", "key", F.explode(F.array_distinct(F.concat(pieces("key", 2), pieces("key", 3)))).alias("g"))
+    asked = partials.select("partial", F.lower("partial").alias("p")).where(F.length("p") >= 2).distinct()
+    own = asked.select("partial", "p", F.explode(F.when(F.length("p") == 2, F.array("p")).otherwise(pieces("p", 3))).alias("g"))
+    often = by.groupBy("g").agg(F.count("*").alias("often"))
+    asked = own.join(often, "g").groupBy("partial", "p").agg(F.min_by("g", F.struct("often", "g")).alias("g"), F.count("*").alias("found"), F.max(F.size(F.when(F.length("p") == 2, F.array("p")).otherwise(pieces("p", 3)))).alias("all")).where(F.col("found") == F.col("all")).select("partial", "p", "g")
     hits = asked.join(by, "g").where(F.col("key").contains(F.col("p"))).withColumn("kind", F.when(F.col("key").startswith(F.col("p")), 1).otherwise(2))
     rank = F.row_number().over(Window.partitionBy("partial").orderBy("kind", natural_key(F.col("name")), "name"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= most).select("partial", "rank", "name", "kind")
 
 
+def most_words(names: DataFrame) -> DataFrame:
+    """(words): the longest name's number of words."""
+    return names.agg(F.coalesce(F.max(F.size(F.split("name", " "))), F.lit(0)).alias("words"))
+
+
+def typed_segment(partials: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds typed, start and glued to (partial): the name being typed in a partial list begins behind the last separator (a word separator at the very end is
+    not one yet), then behind leading names of two words or more that the vocabulary knows, but for the last word and names that a longer one begins with.
+
+    The vocabulary is met by equi-joins: each run of words is one lookup among the names, and one, with the word behind it, among their beginnings.
+    """
+    separator = r"(?iu)\s*(?:[,&;/\n\r]|\band\b)\s*"
+    body = F.regexp_extract("partial", rf"(?s)^(?:.*{separator})?(.*)$", 1)
+    word_last = F.col("partial").rlike(r"(?iu)\band$")  # "..., And" may begin a name
+    inner = F.regexp_extract(F.regexp_replace("partial", r"(?iu)and$", ""), rf"(?s)^(?:.*{separator})?(.*)$", 1)
+    typed = F.when(word_last, F.concat(inner, F.regexp_extract("partial", r"(?iu)(and)$", 1))).otherwise(body)
+    rows = partials.select("partial").distinct().withColumn("body", typed).withColumn("w", F.filter(F.split("body", r"\s+"), lambda x: x != ""))
+    full = names.select(F.lower("name").alias("run")).distinct()
+    begins = full.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.substring(F.col("run"), F.lit(1), i))).alias("begin")).distinct()
+    n = F.size("w")
+    spans = rows.where(n > 2).select("partial", "w", F.explode(F.sequence(F.lit(1), n - 2)).alias("i")).withColumn("n", F.explode(F.sequence(F.lit(2), F.size("w") - F.col("i"))))
+    spans = spans.withColumn("run", F.lower(F.array_join(F.slice("w", F.col("i"), F.col("n")), " "))).withColumn("begin", F.lower(F.array_join(F.slice("w", F.col("i"), F.col("n") + 1), " ")))
+    whole = rows.where(n >= 2).select("partial", F.explode(F.sequence(F.lit(1), n - 1)).alias("i"), "w").withColumn("run", F.lower(F.array_join(F.slice("w", F.col("i"), F.size("w") - F.col("i") + 1), " ")))
+    # A name that uses up all words is still being typed, so the walk stops before it.
+    ending = whole.join(full, "run").select("partial", "i", F.lit(True).alias("ends"))
+    known = spans.join(full, "run").join(begins.withColumn("longer", F.lit(True)), "begin", "left").groupBy("partial", "i").agg(F.max(F.struct("n", "longer")).alias("z"))
+    steps = known.join(ending, ["partial", "i"], "left").where("ends IS NULL AND z.longer IS NULL").groupBy("partial").agg(F.map_from_entries(F.collect_list(F.struct("i", "z.n"))).alias("steps"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(1), lambda at, i: F.when((at == i) & F.element_at("steps", i).isNotNull(), at + F.element_at("steps", i)).otherwise(at))
+    done = rows.join(steps, "partial", "left").withColumn("at", F.when(F.col("steps").isNull(), 1).otherwise(walk)).withColumn("glued", F.col("at") > 1)
+    rest = F.when(~F.col("glued"), F.col("body")).otherwise(F.regexp_replace("body", F.concat(F.lit(r"^\s*(?:\S+\s+){"), (F.col("at") - 1).cast("string"), F.lit("}")), F.lit("")))
+    return done.withColumn("typed", rest).withColumn("start", F.length("partial") - F.length("typed")).select("partial", "typed", "start", "glued")
+
+
 def tidy_list(text: Column, known: Column) -> Column:
     """A pasted list of names (``known``: array of lower-case full names): separators dropped, runs of four words or more cut greedily by known names of two words or more, else in pairs; an odd last word joins the one before."""
 

@@ -27,8 +27,8 @@ def run_summary(log: DataFrame) -> DataFrame:
     """Counters of a run, and one line about them."""
     ok = F.col("status") == "OK"
     n = lambda *a: F.count_if(ok & F.col("action").isin(*a))
-    c = log.agg(n("MOVE").alias("moved"), n("MOVE_DUP").alias("duped"), n("RENAME_01").alias("renamed"), F.count_if(F.col("status") == "SKIP").alias("skipped"), F.count_if(F.col("status") == "FAIL").alias("failed"), F.coalesce(F.sum(F.when(ok & (F.col("action") == "MOVE"), F.col("bytes"))), F.lit(0)).alias("moved_bytes"))
-    return c.withColumn("line", formats.run_summary({"moved": F.col("moved"), "bytes": F.col("moved_bytes"), "duped": F.col("duped"), "renamed": F.col("renamed"), "skipped": F.col("skipped"), "failed": F.col("failed")}))
+    c = log.agg(n("MOVE", "EVAC_MOVE").alias("moved"), n("MOVE_DUP", "EVAC_DUP").alias("duped"), n("RENAME_01").alias("renamed"), F.count_if((F.col("status") == "SKIP") & (F.col("action") != "RENAME_01_SKIP")).alias("skipped"), F.count_if(F.col("action") == "RENAME_01_SKIP").alias("flagged"), F.count_if(F.col("status") == "FAIL").alias("failed"), F.coalesce(F.sum(F.when(ok & F.col("action").isin("MOVE", "EVAC_MOVE"), F.col("bytes"))), F.lit(0)).alias("moved_bytes"))
+    return c.withColumn("line", formats.run_summary({"moved": F.col("moved"), "bytes": F.col("moved_bytes"), "duped": F.col("duped"), "renamed": F.col("renamed"), "skipped": F.col("skipped"), "failed": F.col("failed"), "flagged": F.col("flagged")}))
 
 
 def action_tail(log: DataFrame, most: int = 400) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import normalize as norm
@@ -12,7 +12,8 @@ from .functions.core import natural_key
 from .functions.titles import episode_order, parse_episode, strip_variant
 from .plans import consolidate, index, ingest, library, names, reports
 from .sources.derive import derived as table
-from .sources.files import INGEST_EXTENSIONS
+from .sources.files import INGEST_EXTENSIONS, short_list
+from .sources.store import materialize
 from .streaming.jobs import debounced, stale
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +51,12 @@ def snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best(spark: SparkSession, sf: str) -> DataFrame:
-    return consolidate.best_copies(consolidate.episodes(table(spark, sf, "media_files")))
+    """The best copies; episodes are parsed once and written, as jobs read them more than once."""
+    return consolidate.best_copies(materialize(consolidate.episodes(table(spark, sf, "media_files")), "episodes"))
+
+
+def kept(spark: SparkSession, sf: str) -> DataFrame:
+    return best(spark, sf).where("keep").select("base_key", "drive", "size")
 
 
 @query
@@ -90,6 +96,25 @@ def fill_missing(spark, sf):
     return ingest.fill_missing(table(spark, sf, "library"), rollup(spark, sf))
 
 
+def probed(spark, sf):
+    return scanned(spark, sf).join(ingest.parse_probe(table(spark, sf, "probe_raw")), "path", "left")
+
+
+@query
+def title_rollup_probed(spark, sf):
+    return ingest.title_rollup(probed(spark, sf))
+
+
+@query
+def fill_metadata(spark, sf):
+    return ingest.fill_metadata(table(spark, sf, "library"), ingest.title_rollup(probed(spark, sf)))
+
+
+@query
+def refresh_counts(spark, sf):
+    return library.outcome_counts(ingest.refresh_sizes(table(spark, sf, "library"), scanned(spark, sf)))
+
+
 @query
 def refresh_sizes(spark, sf):
     return ingest.refresh_sizes(table(spark, sf, "library"), scanned(spark, sf))
@@ -110,6 +135,22 @@ def listing_filtered(spark, sf):
     return library.listing(table(spark, sf, "library"), [("contains", "large"), ("endsWith", "1")]).withColumn("date_created", text("date_created"))
 
 
+@query
+def listing_newest(spark, sf):
+    """The whole listing, newest first: each title's place."""
+    rows = library.listing(table(spark, sf, "library"))
+    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("date_created"), "id"))  # one library's titles, ranked for the comparison
+    return rows.select("id", "title", place.alias("place"))
+
+
+@query
+def settle_renames(spark, sf):
+    """The working list after a run that renamed some files, trashed some and failed on others."""
+    work = table(spark, sf, "raw_files").select(F.concat("dir", F.lit("/"), "file_name").alias("path"), "dir")
+    done = work.withColumn("n", F.pmod(F.length("path"), F.lit(4))).where("n < 3").select("path", F.when(F.col("n") == 0, F.concat("path", F.lit(".new"))).alias("new_path"), (F.col("n") < 2).alias("ok"))
+    return library.settle(work, done)
+
+
 @query
 def listing_counts(spark, sf):
     return library.counts(table(spark, sf, "library"), [("contains", "large"), ("endsWith", "1")])
@@ -144,6 +185,20 @@ def _searches(spark):
     return spark.createDataFrame([(q,) for q in SEARCHES], "query string")
 
 
+@query
+def index_without(spark, sf):
+    """The index less the files that were trashed: those of every third byte size."""
+    snap = snapshot(spark, sf)
+    return index.without(snap, snap.where("size % 3 = 0")).select("dir", "file", "size")
+
+
+@query
+def index_allowed(spark, sf):
+    """Of all files those that the index knows, and may act on."""
+    files = table(spark, sf, "media_files").select("dir", F.concat("stem", F.lit("."), "ext").alias("file"))
+    return index.allowed(snapshot(spark, sf), files)
+
+
 @query
 def index_search(spark, sf):
     found = index.matching(snapshot(spark, sf), _searches(spark))
@@ -152,7 +207,7 @@ def index_search(spark, sf):
 
 @query
 def index_search_page(spark, sf):
-    return index.search(snapshot(spark, sf), _searches(spark), page=1).select("query", "rank", "base_key", "n_files", "bytes", "total_groups", "total_files")
+    return index.search(snapshot(spark, sf), _searches(spark), page=1).select("query", "rank", "base_key", "n_files", "bytes", F.array_join(F.transform("files", lambda f: F.concat(f["dir"], F.lit("/"), f["file"])), "|").alias("files"), "total_groups", "total_files")
 
 
 @query
@@ -164,17 +219,14 @@ def episode_parse(spark, sf):
 @query
 def episode_order_rank(spark, sf):
     rows = consolidate.episodes(table(spark, sf, "media_files"))
-    from pyspark.sql import Window
-
     key = episode_order(F.struct("base", "ep", "variant"), F.col("path"))
     return rows.select("path", "base_key", F.row_number().over(Window.partitionBy("base_key").orderBy(key)).alias("place"))
 
 
 @query
 def best_copy(spark, sf):
-    """Per drive: files kept and shelved, and the bytes that shelving frees."""
-    rows = best(spark, sf).groupBy("drive").agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("shelved"), F.sum(F.when(~F.col("keep"), F.col("size")).otherwise(0)).alias("reclaimable"))
-    return rows
+    """For each file: what it is a copy of, and whether it is the one to keep."""
+    return best(spark, sf).select("path", "item_key", "keep", "rename_01", "flagged")
 
 
 @query
@@ -184,31 +236,60 @@ def rename01_flags(spark, sf):
 
 @query
 def drive_rank(spark, sf):
-    return consolidate.drive_ranks(best(spark, sf).where("keep"), table(spark, sf, "drives")).select("base_key", "drive", "n", "bytes", "rank")
+    return consolidate.drive_ranks(kept(spark, sf), table(spark, sf, "drives")).select("base_key", "drive", "n", "bytes", "rank")
 
 
 @query
 def placement_round1(spark, sf):
-    offers = consolidate.bids(best(spark, sf).where("keep"), table(spark, sf, "drives")).where("rank = 1")
-    return consolidate.accept(offers, table(spark, sf, "drives").select("drive", "free_bytes"), 1_000_000).select("base_key", "drive", "incoming", "accepted")
+    drives = short_list(table(spark, sf, "drives"), consolidate.MAX_DRIVES)
+    offers = consolidate.bids(kept(spark, sf), drives).where("rank = 1")
+    return consolidate.accept(offers, drives.select("drive", "free_bytes"), 1_000_000).select("base_key", "drive", "incoming", "accepted")
+
+
+@query
+def placement(spark, sf):
+    """The drive of each group after all rounds, those with evacuation included."""
+    return consolidate.place(kept(spark, sf), short_list(table(spark, sf, "drives"), consolidate.MAX_DRIVES), 1_000_000)
 
 
 @query
 def consolidation_plan(spark, sf):
-    plan = consolidate.consolidation_plan(table(spark, sf, "media_files"), table(spark, sf, "drives"), 1_000_000)
-    return plan.select("path", "item_key", "keep", "action", "target", "move_bytes")
+    plan = consolidate.consolidation_plan(table(spark, sf, "media_files"), short_list(table(spark, sf, "drives"), consolidate.MAX_DRIVES), 1_000_000)
+    return plan.select("path", "item_key", "keep", "flagged", "action", "target", "evacuated", "file", "move_bytes", "collision")
+
+
+@query
+def group_order(spark, sf):
+    """Groups in the order of work."""
+    rows = consolidate.group_order(consolidate.episodes(table(spark, sf, "media_files")))
+    return rows.select("base_key", F.lower("display").alias("display"), "n_files", "bytes")
+
+
+@query
+def running_free(spark, sf):
+    """Free space of each drive after each logged step."""
+    steps = table(spark, sf, "action_log").select(F.col("line_no").alias("step"), F.concat(F.lit("/vol"), (F.col("line_no") % 4).cast("string")).alias("drive"), F.when(F.col("action") == "MOVE", -F.col("bytes")).otherwise(F.col("bytes")).alias("delta"))
+    return consolidate.running_free(steps, table(spark, sf, "drives")).select("step", "drive", "free_after")
+
+
+@query
+def free_names(spark, sf):
+    """Names in one folder for each drive's files, none of which may be taken."""
+    files = table(spark, sf, "media_files").where("lower(ext) <> 'txt'").select("path", F.col("drive").alias("target_dir"), F.concat("stem", F.lit("."), "ext").alias("file"))
+    there = files.where("path LIKE '%/d7/%'").select(F.col("target_dir").alias("dir"), "file")
+    return consolidate.free_names(files, there, "S").select("path", "free_name", "problem")
 
 
 @query
 def evacuation(spark, sf):
-    groups = consolidate.drive_sums(best(spark, sf).where("keep"))
+    groups = consolidate.drive_sums(kept(spark, sf))
     need = table(spark, sf, "drives").where("NOT is_sink").select("drive", F.floor(F.col("free_bytes") / 4).alias("need_bytes"))
     return consolidate.evacuation(groups, need).select("base_key", "drive", "bytes")
 
 
 @query
 def balance_plan(spark, sf):
-    groups = consolidate.drive_sums(best(spark, sf).where("keep"))
+    groups = consolidate.drive_sums(kept(spark, sf))
     drives = table(spark, sf, "drives").withColumn("free_bytes", F.floor(F.col("free_bytes") / F.when(F.col("is_sink"), 3).otherwise(2)))
     return consolidate.balance_plan(groups, drives, target_free=drives.agg(F.max("free_bytes")).first()[0], reserve=1000).select("base_key", "drive", "bytes", "fits")
 
@@ -219,7 +300,7 @@ def collision_classes(spark, sf):
     moves = files.where("drive = '/vol0'").withColumn("target", F.lit("/vol1"))
     there = files.where("drive = '/vol1'").withColumn("size", F.expr("CASE WHEN size % 3 = 0 THEN size + 1 ELSE size END"))
     pairs = consolidate.collisions(moves.unionByName(moves.withColumn("target", F.lit("/vol0"))), there.unionByName(files.where("drive = '/vol0'")))
-    return pairs.groupBy("target", "class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    return pairs.select("path", "target", "class")
 
 
 @query
@@ -229,8 +310,8 @@ def normalize_plan(spark, sf):
 
 @query
 def normalize_plain(spark, sf):
-    """The rename chain without a vocabulary, on names whose form the SQL can state."""
-    rows = table(spark, sf, "raw_files").where("file_name NOT LIKE '%1080p%'")
+    """The rename chain without a vocabulary."""
+    rows = table(spark, sf, "raw_files")
     return rows.select("dir", "file_name", norm.normalize(F.regexp_replace("file_name", r"\.mp4$", "")).alias("title"))
 
 
@@ -262,6 +343,35 @@ def squash_ambiguity(spark, sf):
     return names.squashed(own.unionByName(own.where("name LIKE 'B%'").select(F.upper("name").alias("name"))))
 
 
+@query
+def vocab_edit(spark, sf):
+    """The vocabulary after one rename and some deletions, and what a search then finds."""
+    own = names.merge_names(table(spark, sf, "names"))
+    gone = table(spark, sf, "names").where("length(name) % 5 = 0").select(F.upper("name").alias("name"))
+    return names.find_names(names.delete_names(names.rename_name(own, "NO SUCH NAME", "New Entry"), gone), "e").select("name", "key")
+
+
+@query
+def name_length(spark, sf):
+    return names.most_words(table(spark, sf, "names"))
+
+
+@query
+def typed_segment(spark, sf):
+    """Partial lists: a known name, then the beginning of a part's name, without and with a comma between."""
+    own = table(spark, sf, "names").where(F.col("name").contains(" "))
+    some = table(spark, sf, "part").select(F.substring("p_name", 1, 4).alias("p"), F.pmod(F.col("p_partkey"), F.lit(64)).alias("k")).distinct()
+    numbered = own.withColumn("k", F.pmod(F.xxhash64("name"), F.lit(64)))
+    partials = numbered.join(some, "k").select(F.explode(F.array(F.concat_ws(" ", "name", "p"), F.concat_ws(", ", "name", "p"))).alias("partial"))
+    return names.typed_segment(partials, own)
+
+
+@query
+def shown_actions(spark, sf):
+    log = table(spark, sf, "action_log").select("line_no", "action", "bytes", F.concat(F.lit("/Volumes/vol"), (F.col("line_no") % 4).cast("string"), F.lit("/f"), F.col("line_no").cast("string"), F.lit(".mp4")).alias("src"), F.lit("/Volumes/sink").alias("dest"))
+    return reports.shown_actions(log).select("line_no", "shown_file", "from_drive", "to_drive", "shown_bytes")
+
+
 @query
 def suggest_names(spark, sf):
     partials = table(spark, sf, "part").select(F.substring("p_name", 1, 3).alias("partial"))
@@ -301,7 +411,7 @@ def recent_terms(spark, sf):
 
 @query
 def debounce_sessions(spark, sf):
-    rows = debounced(table(spark, sf, "events").where("event_type = 'purchase'"), gap="10 minutes")
+    rows = debounced(table(spark, sf, "events"), gap="10 minutes")
     return rows.select("event_type", text("started").alias("started"), text("last").alias("last"), text("due").alias("due"), "n")
 
 
@@ -316,7 +426,7 @@ def debounce_all(spark, sf):
 def stale_runs(spark, sf):
     events = table(spark, sf, "events").select(F.col("event_type").alias("run"), "ts", "user_id")
     now = events.agg(F.max("ts")).first()[0]
-    return stale(events.where("user_id % 7 <> 0"), F.lit(now), 300).select("run", text("last").alias("last"), "stale")
+    return stale(events, F.lit(now), 300).select("run", text("last").alias("last"), "stale")
 
 
 @query

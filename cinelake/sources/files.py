@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.core import directory, extension, file_name, stem, under
+from ..functions.core import directory, extension, file_name, under
 
 # The extensions of ingest, index and consolidation, and the names of log columns.
 INGEST_EXTENSIONS = ["mp4", "mkv", "avi", "mov", "wmv", "mpg", "m4v", "divx"]
@@ -41,10 +41,13 @@ def short_list(df: DataFrame, most: int) -> DataFrame:
 
 
 def distinct_roots(roots: DataFrame) -> DataFrame:
-    """(root, pos): roots that aren't the same as, or nested in, another; of equal ones the first stays. A short configured list."""
-    a, b = roots.alias("a"), short_list(roots, MAX_ROOTS).alias("b")
-    inside = under(F.col("a.root"), F.col("b.root")) & ((F.col("a.root") != F.col("b.root")) | (F.col("a.pos") > F.col("b.pos")))
-    return a.join(b, inside, "left_anti")
+    """The rows of ``roots`` whose root isn't the same as, or nested in, another; of equal ones that with the least ``pos`` (if there is one) stays. A short configured list."""
+    rows = sorted(roots.limit(MAX_ROOTS + 1).collect(), key=lambda r: r["pos"] if "pos" in roots.columns else 0)
+    if len(rows) > MAX_ROOTS:
+        raise ValueError(f"more than {MAX_ROOTS} rows in a configured list")
+    names = [r["root"].rstrip("/") for r in rows]
+    kept = [r for i, r in enumerate(rows) if not any(f"{names[i]}/".startswith(f"{other}/") and (other != names[i] or j < i) for j, other in enumerate(names) if j != i)]
+    return roots.sparkSession.createDataFrame(kept, roots.schema)
 
 
 def json_names(spark: SparkSession, path: str) -> DataFrame:
@@ -70,9 +73,16 @@ def write_snapshot(df: DataFrame, root: str, version: str, unreadable_roots: int
 
 
 def write_log(log: DataFrame, path: str) -> None:
-    """Tab-separated with a header; tabs and line ends in a field are escaped."""
-    safe = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c.cast("string"), "\t", r"\\\\t"), "\r", r"\\\\r"), "\n", r"\\\\n")
-    log.select([safe(F.col(f"`{c}`")).alias(c) for c in LOG_COLUMNS]).write.csv(path, sep="\t", header=True, quote="", escape="")
+    """Tab-separated with one header row, in the first part; tabs and line ends in a field are escaped."""
+
+    def safe(c: str) -> Column:
+        text = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+        for raw, shown in (("\t", "\\t"), ("\r", "\\r"), ("\n", "\\n")):
+            text = F.replace(text, F.lit(raw), F.lit(shown))
+        return text
+
+    header = log.sparkSession.createDataFrame([("\t".join(LOG_COLUMNS),)], "value string").coalesce(1)
+    header.unionByName(log.select(F.concat_ws("\t", *[safe(c) for c in LOG_COLUMNS]).alias("value"))).write.text(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -80,11 +90,3 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     fields = F.split("value", "\t")
     rows = spark.read.text(path).select(fields.alias("c")).where((F.size("c") >= 8) & (F.get("c", F.lit(0)) != "ts"))
     return rows.select([F.get("c", F.lit(i)).alias(c) for i, c in enumerate(LOG_COLUMNS)])
-
-
-def index_entries(files: DataFrame, base: Column) -> DataFrame:
-    return files.select(base.alias("base"), "file", "dir", "size", "mtime")
-
-
-def with_stem(files: DataFrame) -> DataFrame:
-    return files.withColumn("stem", stem(F.col("file"))).withColumn("ext", extension(F.col("file")))

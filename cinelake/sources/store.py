@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset, a folder of our own."""
+    """spark.checkpoint.dir. Where that is unset, a folder of our own on one machine, and an error on a cluster, whose executors share no local folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = os.path.join(tempfile.gettempdir(), "checkpoints", "cinelake")
         spark.conf.set("spark.checkpoint.dir", at)
     return at

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -21,14 +21,23 @@ def stale(beats: DataFrame, now, limit_seconds: int, key: str = "run", ts: str =
 
 
 def index_arrivals(arrivals: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Adds arriving (dir, file, base, size, mtime) to the versioned index below ``store``; of one file the latest entry stays."""
+    """Writes each micro-batch of (dir, file, base, size, mtime) as one delta below ``store``; a batch that is run again replaces its own. ``current_index`` reads them."""
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("version", F.lit(number))
-        if number:
-            rows = spark.read.parquet(f"{store}/v{number - 1}").unionByName(rows)
-        latest = rows.groupBy("dir", "file").agg(F.max_by(F.struct("base", "size", "mtime", "version"), "version").alias("z")).select("dir", "file", "z.*")
-        latest.write.mode("overwrite").parquet(f"{store}/v{number}")
+    def add(batch: DataFrame, number: int) -> None:
+        batch.select("dir", "file", "base", "size", "mtime").write.mode("overwrite").parquet(f"{store}/version={number}")
 
-    return arrivals.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return arrivals.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_index(spark: SparkSession, store: str) -> DataFrame:
+    """Of each file the entry of the latest delta; inside one, that with the latest mtime, then the largest."""
+    rows = spark.read.option("basePath", store).parquet(f"{store}/version=*")
+    latest = rows.groupBy("dir", "file").agg(F.max(F.struct("version", F.coalesce("mtime", F.lit("0001-01-01").cast("timestamp")), "size", "base", "mtime")).alias("z"))
+    return latest.select("dir", "file", "z.base", "z.size", "z.mtime", "z.version")
+
+
+def compact(spark: SparkSession, store: str, into: str) -> None:
+    """The current index as a fresh store with one delta of the same version number."""
+    rows = current_index(spark, store)
+    last = rows.agg(F.max("version")).first()[0]
+    rows.drop("version").write.mode("overwrite").parquet(f"{into}/version={last}")

@@ -6,11 +6,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cinelake.functions import formats
+from cinelake.functions import core, formats
 from cinelake.functions import normalize as norm
 from cinelake.functions import titles
 from cinelake.oracles import ORACLES
-from cinelake.plans import consolidate, index, names
+from cinelake.plans import consolidate, index, names, reports
 from cinelake.queries import QUERIES
 from cinelake.sources import files
 from cinelake.sources.derive import derived
@@ -73,7 +73,7 @@ def test_plan_invariants(spark, sf):
     assert eps.where("keep").count() == eps.select("base_key", "item_key").distinct().count()
     best = eps.where("keep").select("base_key", "item_key", F.col("size").alias("best"))
     assert eps.join(best, ["base_key", "item_key"]).where("size > best").count() == 0
-    won = consolidate.place(eps.where("keep"), drives, reserve=1000).where("round = 1").groupBy("drive").agg(F.sum("incoming").alias("s")).join(drives, "drive")
+    won = consolidate.place(eps.where("keep"), drives, reserve=1000).where("round = 1 AND NOT evacuated").groupBy("drive").agg(F.sum("incoming").alias("s")).join(drives, "drive")
     assert won.where("free_bytes - s < 1000").count() == 0
 
 
@@ -147,7 +147,7 @@ def test_long_configured_lists_are_errors(spark):
 
 def test_mined(spark):
     rows = [("Jane.Roe.And.Ann.Poe.1080p", "/a", "Jane Roe and Ann Poe"), ("The.Jane.Roe.And.Ann.Poe.Bts", "/b", "x"), ("Li.Wu.And.Bo.Ek.x264", "/a", "x"), ("t.scene.1.maxray", "/a", "T - Scene_1 - Max Ray"), ("t.scene.1.maxray", "/c", "T - Scene_1 - Max Ray"), ("t.scene.2.x", "/Tom and Jerry", "T - Scene_2 - No One")]
-    got = names.mined(spark.createDataFrame(rows, "stem string, dir string, title string"), spark.createDataFrame([("Li Wu Movies",), (".Hid Den",)], "folder string")).collect()
+    got = names.mined(spark.createDataFrame(rows, "stem string, dir string, title string"), spark.createDataFrame([("Li Wu Movies",), (".Hid Den",)], "folder string"), excluded=("Tom and Jerry",)).collect()
     assert sorted((r["name"], r["source"], r["sightings"]) for r in got) == [("Ann Poe", "dotted", 2), ("Jane Roe", "dotted", 2), ("Li Wu", "performer_folders", 2), ("Max Ray", "scene_tails", 2)]
 
 
@@ -158,3 +158,124 @@ def test_harvest_counts_files(spark, sf):
     got = {r["name"]: r["sightings"] for r in QUERIES["harvest_names"](spark, sf).collect()}
     once = [n for n in own if squash[n.replace(" ", "").lower()] == 1]
     assert once and all(got[n] == 1 + tails[n.replace(" ", "").lower()] for n in once)
+
+
+def test_placement_takes_a_drive_that_holds_nothing(spark):
+    kept = spark.createDataFrame([("g", "/a", 100), ("g", "/c", 100)], "base_key string, drive string, size long")
+    drives = spark.createDataFrame([("/a", 10), ("/b", 1_000_000), ("/c", 10)], "drive string, free_bytes long")
+    assert [(r["drive"], r["incoming"], r["round"]) for r in consolidate.place(kept, drives).collect()] == [("/b", 200, 3)]
+
+
+def test_placement_makes_room(spark):
+    """/a is full and so is every other drive but the sink, which is too small for the group: an earlier group leaves /a for the sink."""
+    kept = spark.createDataFrame([("a old", "/a", 60), ("b new", "/a", 100), ("b new", "/c", 50)], "base_key string, drive string, size long")
+    drives = spark.createDataFrame([("/a", 10, False), ("/c", 0, False), ("/s", 70, True)], "drive string, free_bytes long, is_sink boolean")
+    got = {r["base_key"]: (r["drive"], r["evacuated"]) for r in consolidate.place(kept, drives).collect()}
+    assert got == {"a old": ("/s", True), "b new": ("/a", False)}
+    tight = drives.withColumn("free_bytes", F.when(F.col("is_sink"), 59).otherwise(F.col("free_bytes")))
+    assert {r["base_key"]: r["drive"] for r in consolidate.place(kept, tight).collect()} == {"a old": "/a", "b new": None}
+
+
+def test_free_names_never_land_on_a_name(spark):
+    plan = spark.createDataFrame([("a/X.mp4", "t", "X.mp4"), ("b/y.mp4", "t", "y.mp4"), ("c/y.mp4", "t", "y.mp4"), ("d/y__S.mp4", "t", "y__S.mp4"), ("e/n", "t", "n")], "path string, target_dir string, file string")
+    there = spark.createDataFrame([("t", "X.mp4"), ("t", "x__s.MP4"), ("t", "n")], "dir string, file string")
+    got = {r["path"]: r["free_name"] for r in consolidate.free_names(plan, there, "S").collect()}
+    assert got == {"a/X.mp4": "X__S_2.mp4", "b/y.mp4": "y.mp4", "c/y.mp4": "y__S_2.mp4", "d/y__S.mp4": "y__S.mp4", "e/n": "n__S"}
+    crowded = spark.createDataFrame([(f"{i:03}", "t", "z.mp4") for i in range(53)], "path string, target_dir string, file string")
+    rows = consolidate.free_names(crowded, there, "S").collect()
+    assert [r["path"] for r in rows if r["problem"]] == ["051", "052"] or sorted(r["path"] for r in rows if r["problem"]) == ["051", "052"]
+
+
+def test_collision_classes_by_time(spark):
+    moves = spark.createDataFrame([("p1", "/b", "A.mp4", 5, 100), ("p2", "/b", "b.mp4", 5, 100), ("p3", "/b", "c.mp4", 5, 100), ("p4", "/b", "d.mp4", 5, 100)], "path string, target string, file string, size int, t long").withColumn("mtime", F.timestamp_seconds("t"))
+    there = spark.createDataFrame([("/b", "a.mp4", 5, 102), ("/b", "b.mp4", 5, 103), ("/b", "c.mp4", 6, 100), ("/b", "a.mp4", 9, 1)], "drive string, file string, size int, t long").withColumn("mtime", F.timestamp_seconds("t"))
+    assert sorted((r["path"], r["class"]) for r in consolidate.collisions(moves, there).collect()) == [("p1", "duplicate"), ("p2", "suspect"), ("p3", "suspect")]
+
+
+def test_restored_names_keep_to_their_rows(spark):
+    rows = spark.createDataFrame([(1, "T - Scene_1 - JaneRoe", "k", "f"), (1, "T - Scene_1 - AnnPoe", "k2", "f2")], "id int, title string, key string, fixed string")
+    vocabulary = spark.createDataFrame([("Jane Roe",), ("Ann Poe",)], "name string")
+    assert sorted(map(tuple, names.restore_names(rows, vocabulary).collect())) == [(1, "T - Scene_1 - Ann Poe", "k2", "f2"), (1, "T - Scene_1 - Jane Roe", "k", "f")]
+
+
+def test_nested_roots_list_a_file_once(spark):
+    listing = spark.createDataFrame([("/v/a", "/v/a/x.mp4", "x", "mp4", 1, None), ("/w", "/w/y.mp4", "y", "mp4", 2, None)], "dir string, path string, stem string, ext string, size int, mtime timestamp")
+    roots = spark.createDataFrame([("/v", True), ("/v/a", True), ("/v", True), ("/w", True), ("/gone", False)], "root string, present boolean")
+    previous = spark.createDataFrame([("z", "z.mp4", "/gone/z", 3, None)], "base string, file string, dir string, size int, mtime timestamp")
+    assert sorted((r["file"], r["carried"]) for r in index.build_index(listing, previous, roots).collect()) == [("x.mp4", False), ("y.mp4", False), ("z.mp4", True)]
+    assert [r["root"] for r in files.distinct_roots(spark.createDataFrame([("/a/b", 1), ("/a", 2), ("/a", 3), ("/ab", 4)], "root string, pos int")).collect()] == ["/a", "/ab"]
+    assert [r["root"] for r in index.unmounted(roots, roots.where("present")).collect()] == ["/gone"]
+
+
+def test_log_round_trip(spark, tmp_path):
+    row = ("2024", "EXEC", "a\tb", "MOVE", "x\ny", "", "5", "OK", "c\rd")
+    log = spark.createDataFrame([row, ("2025", *row[1:])], ", ".join(f"`{c}` string" for c in files.LOG_COLUMNS)).repartition(2)
+    files.write_log(log, f"{tmp_path}/log")
+    lines = [x for p in sorted(tmp_path.glob("log/part-*")) for x in p.read_text().splitlines()]
+    assert lines[0] == "\t".join(files.LOG_COLUMNS) and len(lines) == 3 and sum(x.startswith("ts\t") for x in lines) == 1
+    assert "a\\tb" in lines[1] and "x\\ny" in lines[1] and "a\\\\tb" not in lines[1]
+    assert sorted(r["ts"] for r in files.read_log(spark, f"{tmp_path}/log").collect()) == ["2024", "2025"]
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    (tmp_path / "d" / "a.mp4").write_bytes(b"12345")
+    (tmp_path / "d" / "e" / "b.mp4").write_bytes(b"1")
+    got = {r["file"]: (r["size"], r["dir"]) for r in files.listing(spark, f"{tmp_path}/d").collect()}
+    assert got == {"a.mp4": (5, f"{tmp_path}/d"), "b.mp4": (1, f"{tmp_path}/d/e")}
+    assert [r["file"] for r in files.listing(spark, f"{tmp_path}/d", recursive=False).collect()] == ["a.mp4"]
+    (tmp_path / "n.json").write_text('["Ann Poe", null, "Bo Ek"]')
+    (tmp_path / "broken.json").write_text('{"entries": [')
+    (tmp_path / "i.json").write_text('{"builtAt": "x", "entries": [{"base": "b", "file": "f.mp4", "dir": "/d", "size": 3, "mtime": 9}]}')
+    assert [r["name"] for r in files.json_names(spark, f"{tmp_path}/n.json").collect()] == ["Ann Poe", "Bo Ek"]
+    assert files.json_names(spark, f"{tmp_path}/broken.json").count() == 0 and files.json_index(spark, f"{tmp_path}/broken.json").count() == 0
+    assert [tuple(r) for r in files.json_index(spark, f"{tmp_path}/i.json").collect()] == [("b", "f.mp4", "/d", 3, 9)]
+    assert spark.read.parquet(files.write_snapshot(spark.range(3), f"{tmp_path}/s", "1")).count() == 3
+    for again in (lambda: files.write_snapshot(spark.range(1), f"{tmp_path}/s", "1"), lambda: files.write_snapshot(spark.range(1), f"{tmp_path}/s", "2", unreadable_roots=1)):
+        with pytest.raises(Exception):
+            again()
+
+
+def test_small_forms(spark):
+    one = lambda value, kind, column: values(spark, [(value,)], f"x {kind}", column)[0]
+    x = F.col("x")
+    assert [one(v, "double", formats.spoken_duration(x)) for v in (161.0, 5.0, 3605.0)] == ["2m 41s", "5s", "1h 0m 5s"]
+    assert one(1536, "long", formats.byte_size(x, 1024)) == "1.50 KB"
+    day = datetime.datetime(2024, 5, 6, 7, 8)
+    assert [one(v, "timestamp", formats.shown_date(x, F.lit(d))) for v, d in ((day, True), (day, False), (None, True))] == ["2024-05-06", "", ""]
+    assert [one(v, "string", core.plain_file_name(x)) for v in ("a.mp4", "a/b", "..", "", "a\\b")] == [True, False, False, False, False]
+    assert [tuple(one(v, "int", index.page_range(x, F.lit(p)))) for v, p in ((120, 2), (0, 0), (50, 0))] == [(3, 101, 120), (1, 0, 0), (1, 1, 50)]
+    assert [one("McCoy meets the iPod", "string", norm.title_case(x, keep)) for keep in (True, False)] == ["McCoy Meets The iPod", "McCoy Meets the iPod"]
+    asked = spark.createDataFrame([("",), ("  ",), ("a" * 120,), ("a" * 121,), (" B ",)], "query string")
+    assert sorted(r["q"] for r in index.valid_queries(asked).collect()) == ["a" * 120, "b"]
+
+
+def test_only_some_groups(spark):
+    eps = spark.createDataFrame([(f"Movie {i}", f"movie {i}", f"/p{i}", i) for i in (10, 2, 1)] + [("Other", "other", "/o", 5)], "base string, base_key string, path string, size int")
+    assert sorted(r["base_key"] for r in consolidate.only(eps, "MOVIE", 2).collect()) == ["movie 1", "movie 2"]
+    assert [r["base_key"] for r in consolidate.group_order(eps).collect()] == ["movie 1", "movie 2", "movie 10", "other"]
+
+
+def test_run_summary_counts_what_to_review(spark):
+    log = spark.createDataFrame([("MOVE", 5, "OK"), ("EVAC_MOVE", 6, "OK"), ("EVAC_DUP", 1, "OK"), ("RENAME_01_SKIP", 0, "SKIP"), ("GROUP_SKIP", 0, "SKIP"), ("MOVE", 9, "FAIL")], "action string, bytes long, status string")
+    r = reports.run_summary(log).first()
+    assert (r["moved"], r["moved_bytes"], r["duped"], r["skipped"], r["flagged"], r["failed"]) == (2, 11, 1, 1, 1, 1)
+    assert r["line"] == "2 files moved (11.00\xa0Bytes), 1 duplicate shelved, 1 skipped, 1 failure, 1 to review"
+
+
+def test_typed_segment(spark):
+    vocabulary = spark.createDataFrame([("Angel Long",), ("Aurora Snow",), ("Aurora Snow Pack",), ("Andi Rose",), ("Vanity",)], "name string")
+    cases = {"Angel Long, Ja": ("Ja", False), "Angel Long Ja": ("Ja", True), "Angel Long": ("Angel Long", False), "Aurora Snow Pac": ("Aurora Snow Pac", False), "Angel Long, And": ("And", False), "Angel Long and Ro": ("Ro", False), "No One Ja": ("No One Ja", False), "Angel Long Aurora Snow x": ("x", True), "ja": ("ja", False), "Angel Long, ": ("", False)}
+    got = {r["partial"]: (r["typed"], r["glued"]) for r in names.typed_segment(spark.createDataFrame([(c,) for c in cases], "partial string"), vocabulary).collect()}
+    assert got == cases
+    assert names.most_words(vocabulary).first()[0] == 3
+
+
+def test_typed_segments_of_all_names(spark, sf):
+    rows = QUERIES["typed_segment"](spark, sf).collect()
+    own = {r["name"].lower() for r in derived(spark, sf, "names").collect()}
+    for r in rows:
+        words = r["partial"].split(" ")
+        glued = "," not in r["partial"] and " ".join(words[:2]).lower() in own and not any(n.startswith(" ".join(words[:3]).lower()) for n in own)
+        assert (r["typed"], r["glued"]) == ((" ".join(words[2:]), True) if glued else (r["partial"].split(", ")[1], False) if "," in r["partial"] else (r["partial"], False))
+    assert any(r["glued"] for r in rows)

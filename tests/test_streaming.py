@@ -2,7 +2,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from cinelake.streaming.jobs import debounced, index_arrivals
+from cinelake.streaming.jobs import compact, current_index, debounced, index_arrivals
 
 
 def test_debounced_stream_closes_bursts(spark):
@@ -16,8 +16,12 @@ def test_debounced_stream_closes_bursts(spark):
 
 
 def test_index_arrivals(spark):
-    at = tempfile.mkdtemp()
-    spark.createDataFrame([("/d", "a.mp4", "a", 1, None)], "dir string, file string, base string, size int, mtime timestamp").write.parquet(f"{at}/in")
-    stream = spark.readStream.schema("dir string, file string, base string, size int, mtime timestamp").parquet(f"{at}/in")
-    index_arrivals(stream, f"{at}/store", f"{at}/c").awaitTermination()
-    assert spark.read.parquet(f"{at}/store/v0").count() == 1
+    at, schema = tempfile.mkdtemp(), "dir string, file string, base string, size int, mtime timestamp"
+    stream = spark.readStream.schema(schema).parquet(f"{at}/in")
+    for rows in ([("/d", "a.mp4", "a", 1, None), ("/d", "a.mp4", "a", 2, None), ("/d", "b.mp4", "b", 5, None)], [("/d", "b.mp4", "b", 3, None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        index_arrivals(stream, f"{at}/store", f"{at}/c").awaitTermination()
+    want = [("a.mp4", 2, 0), ("b.mp4", 3, 1)]
+    assert sorted((r.file, r.size, r.version) for r in current_index(spark, f"{at}/store").collect()) == want
+    compact(spark, f"{at}/store", f"{at}/fresh")
+    assert sorted((r.file, r.size) for r in current_index(spark, f"{at}/fresh").collect()) == [w[:2] for w in want]
