@@ -33,6 +33,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepare, row_key
 from .wordhash import mix, pieces, words_of
@@ -144,7 +145,7 @@ def _answer(f: pd.DataFrame, least: int) -> pd.DataFrame:
 class Block:
     """N-grams of a block's texts as far as the answers reach. ``unique[k]``: distinct n-grams of k + 1 tokens; ``name[k]``: their number at each place, or -1."""
 
-    def __init__(self, texts: pa.Array, train: np.ndarray, parts: int, bits: int, least: int, grown: int, answers: pa.Table | None):
+    def __init__(self, texts: pa.Array | list, train: np.ndarray, parts: int, bits: int, least: int, grown: int, answers: pa.Table | None):
         words = words_of(texts, fold=True)
         self.lengths = words.lengths + 2
         self.first = np.cumsum(self.lengths) - self.lengths
@@ -236,7 +237,7 @@ class Automaton:
         self.failure, self.backoff, self.depth = np.zeros(base[order - 1], np.int64), np.zeros(base[order - 1]), np.zeros(base[order - 1], np.int64)
         self.weight, self.next = np.zeros(int(base[-1])), np.zeros(int(base[-1]), np.int64)
         #: At each place, the arc for its token from a state of each depth, or -1.
-        self.arc = np.full((order, len(block.flat)), -1, np.int64)
+        self.arc = np.full((order, len(block.flat)), -1, np.int32)
         lower, rest = np.zeros(0), np.zeros(0)
         for k in range(order):
             c, head, own = block.total[k].astype(float), block.head[k], slice(int(base[k]), int(base[k + 1]))
@@ -296,15 +297,23 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = OR
     prepare(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(size / (BLOCK_MB * 1e6)) + 1
-    rows = docs.select(F.col("doc_id").cast("string").alias("id"), "text", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), F.pmod(row_key(), F.lit(parts)).cast("int").alias("block"))
-    n, v = totals(rows, parts)
+
+    def pressed(s: pd.Series) -> pd.Series:
+        press = zstandard.ZstdCompressor(level=3).compress
+        return pd.Series([None if t is None else press(t.encode("utf-8", "surrogatepass")) for t in s], dtype=object)
+
+    out = held_out(F.col("doc_id"), modulus, remainder).alias("held_out")
+    n, v = totals(docs.select("text", out), parts)
+    # The blocks meet their texts in every round; the texts travel compressed.
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.pandas_udf(pressed, T.BinaryType())("text").alias("packed"), out, F.pmod(row_key(), F.lit(parts)).cast("int").alias("block"))
     z, bits = float(n + v + 1), min(64, max(40, 20 + n.bit_length()))
 
     def met(texts: pa.Table, answers: pa.Table | None, reach: int, low: int = 0) -> Block:
         """The block with the answers on n-grams of more than ``low`` and up to ``reach`` tokens, and those of the next length named."""
-        text = texts.column("text").combine_chunks()
+        read = zstandard.ZstdDecompressor().decompress
+        text = [None if x is None else read(x) for x in texts.column("packed").to_pylist()]
         train = ~texts.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        block = Block(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text, train, parts, bits, least, max(grown, least), answers)
+        block = Block(text, train, parts, bits, least, max(grown, least), answers)
         for k in range(min(order, max(2, reach + 1))):
             block.number(k, k >= low)
             if k < reach:
@@ -333,6 +342,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = OR
 
     def walk(texts: pa.Table, answers: pa.Table) -> pa.Table:
         block = met(texts, answers, order)
+        block.gram.clear()
         for k in range(order - 1):
             block.read_following(k)
         weights = np.log10((block.total[0] + 1) / z)[block.name[0]]
