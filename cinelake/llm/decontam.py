@@ -4,11 +4,12 @@
 documents): for each term the ascending word positions at which it stands in the segment. A query
 reads each segment on its own, so nothing is shuffled: for each test window it takes the rarest
 term's list first (document frequency over the whole index), shifts every list by the term's offset
-and intersects list after list until none is left or the phrase is found.
+and intersects list after list until none is left or the phrase is found. A proximity match lets each term stand up to some words from
+its place, counted from the rarest term's. A segment looks up the windows whose rarest term it holds, not all.
 
 Words are maximal runs of ASCII letters and digits and all non-ASCII characters, A-Z lower-cased. Null and
 empty texts have no words, and an item without words has no window. A repeated document row is
-indexed and reported once for each row. Extra columns of the inputs are ignored.
+indexed and reported once for each row. Ids may have any type. Extra columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SEGMENT_WORDS = 400_000
 GAP = 4096
 #: Bytes of test texts that are broadcast at once; larger test sets run in several blocks.
 BLOCK_BYTES = 16_000_000
+#: Words that a term may stand from its place in the proximity matches of the report.
+NEAR = 2
 
 _words = re.compile(rb"[0-9a-z\x80-\xff]+").findall
 
@@ -41,7 +44,7 @@ def words(text: str | None) -> list[bytes]:
     return _words(text.encode("utf-8", "surrogatepass").lower()) if text else []
 
 
-INDEX = "segment string, doc_ids array<bigint>, firsts array<int>, lengths array<int>, terms array<binary>, starts array<int>, positions array<int>, dfs array<int>"
+INDEX = "segment string, doc_ids array<string>, firsts array<int>, lengths array<int>, terms array<binary>, starts array<int>, positions array<int>, dfs array<int>"
 
 
 def build_index(docs: DataFrame, terms: set[bytes] | Broadcast | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,13 +80,12 @@ def build_index(docs: DataFrame, terms: set[bytes] | Broadcast | None = None, id
                 if texts and total + len(found) + GAP > SEGMENT_WORDS:
                     yield segment(ids, texts, keep)
                     ids, texts, total = [], [], 0
-                ids.append(None if i is None or i != i else int(i))
+                ids.append(i)
                 texts.append(found)
                 total += len(found) + GAP // 16
         if texts:
             yield segment(ids, texts, keep)
 
-    # A null id must reach Python as None, not as a float: send ids as strings.
     return docs.select(F.col(id_column).cast("string").alias("i"), F.col(text).alias("t")).mapInPandas(run, INDEX)
 
 
@@ -169,46 +171,52 @@ def _ordered(found: dict[tuple[bytes, ...], list[int]], df: dict[bytes, int]) ->
     return [(sorted(((t, o) for o, t in enumerate(w)), key=lambda x: (df[x[0]], x[1])), len(w), k) for w, k in found.items() if all(t in df for t in w)]
 
 
-MATCHES = "doc_id bigint, n_words bigint, hits array<int>, items array<string>"
+MATCHES = "doc_id string, n_words bigint, hits array<int>, items array<string>, near array<string>"
 
 
-def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0) -> DataFrame:
-    """One row per document row: its word count, hit word positions and ids of the ``items`` (item_id, text) found.
+def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, near: int = 0) -> DataFrame:
+    """One row per document row: its word count, hit word positions, ids of the ``items`` (item_id, text) found, and ids of those with a proximity match within ``near`` words (none for 0).
 
     slop 0: exact phrases. slop > 0: proximity; then the words hit are those of the matching span.
     Several blocks of items are matched one after the other, and their hits joined by row key: rows equal in id and text have equal hits.
     """
     stream = blocks(items.select(F.col("item_id").cast("string"), "text"))
     block, following = next(stream, []), next(stream, None)
+    kind = docs.schema["doc_id"].dataType
     if following is None:
-        return _matched(docs, block, size, slop)[0]
+        found = _matched(docs, block, size, slop, near)[0]
+        return found.withColumn("doc_id", F.col("doc_id").cast(kind))
     keyed = docs.select(row_key().alias("doc_id"), "text")
     counts, parts = None, []
     for block in chain([block, following], stream):
-        found, index, queries = _matched(keyed, block, size, slop)
-        found = materialize(found if counts is None else found.where(F.size("hits") > 0), "hits")
+        found, index, queries = _matched(keyed, block, size, slop, near)
+        some = (F.size("hits") > 0) | (F.size("near") > 0)
+        found = materialize(found if counts is None else found.where(some), "hits")
         if counts is None:
             counts = found.groupBy("doc_id").agg(F.first("n_words").alias("n_words"))
-        parts.append(found.where(F.size("hits") > 0).dropDuplicates(["doc_id"]).select("doc_id", "hits", "items"))
+        parts.append(found.where(some).dropDuplicates(["doc_id"]).select("doc_id", "hits", "items", "near"))
         discard(index)
         for q in queries:
             q.destroy()
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    hits = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(union("hits"), union("items"))
+    hits = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(union("hits"), union("items"), union("near"))
     by_key = counts.join(hits, "doc_id", "left").withColumnRenamed("doc_id", "__key")
     kept = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("__key")).join(by_key, "__key")
-    return rows.select("doc_id", "n_words", kept("hits", "array<int>"), kept("items", "array<string>"))
+    rows = docs.select("doc_id", row_key().cast("string").alias("__key")).join(by_key, "__key")
+    return rows.select("doc_id", "n_words", kept("hits", "array<int>"), kept("items", "array<string>"), kept("near", "array<string>"))
 
 
-def _matched(docs: DataFrame, block: list[tuple[str, str | None]], size: int, slop: int) -> tuple[DataFrame, DataFrame, list[Broadcast]]:
+def _matched(docs: DataFrame, block: list[tuple[str, str | None]], size: int, slop: int, near: int) -> tuple[DataFrame, DataFrame, list[Broadcast]]:
     """One block's matches, and what they read: the index and the broadcasts."""
     prepare(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     found = windows(block, size)
     terms = context.broadcast({t for w in found for t in w})
     index = materialize(build_index(docs, terms), "postings")
-    query = context.broadcast(([i for i, _ in block], _ordered(found, _frequencies(index))))
+    by_rarest: dict[bytes, list] = {}
+    for phrase in _ordered(found, _frequencies(index)):
+        by_rarest.setdefault(phrase[0][0][0], []).append(phrase)
+    query = context.broadcast(([i for i, _ in block], by_rarest))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, phrases = query.value
@@ -217,16 +225,21 @@ def _matched(docs: DataFrame, block: list[tuple[str, str | None]], size: int, sl
                 seg = Segment(row)
                 hit: list[set[int]] = [set() for _ in seg.ids]
                 got: list[set[str]] = [set() for _ in seg.ids]
-                for order, length, own in phrases:
-                    if order[0][0] not in seg.number:
-                        continue
+                close: list[set[str]] = [set() for _ in seg.ids]
+                for order, length, own in chain.from_iterable(phrases[t] for t in seg.number if t in phrases):
+                    found = [names[k] for k in own if names[k] is not None]
+                    if near:
+                        at = seg.near(order, near)
+                        for d in set(seg.owner(at + order[0][1]).tolist()):
+                            close[d].update(found)
+                        if not len(at):  # no phrase without a proximity match
+                            continue
                     at = seg.near(order, slop) if slop else seg.phrase(order)
-                    for p, d in zip(at.tolist(), seg.owner(at).tolist(), strict=True) if len(at) else ():
+                    for p, d in zip(at.tolist(), seg.owner(at + order[0][1]).tolist(), strict=True) if len(at) else ():
                         first = p - int(seg.firsts[d])
                         hit[d].update(range(max(0, first - slop), min(first + length + slop, int(seg.lengths[d]))))
-                        got[d].update(names[k] for k in own if names[k] is not None)
-                ids = pd.array([None if i is None or i != i else int(i) for i in seg.ids], dtype="Int64")
-                yield pd.DataFrame({"doc_id": ids, "n_words": seg.lengths.astype(np.int64), "hits": [sorted(x) for x in hit], "items": [sorted(x) for x in got]})
+                        got[d].update(found)
+                yield pd.DataFrame({"doc_id": pd.Series(list(seg.ids), dtype=object), "n_words": seg.lengths.astype(np.int64), "hits": [sorted(x) for x in hit], "items": [sorted(x) for x in got], "near": [sorted(x) for x in close]})
 
     return index.select("doc_ids", "firsts", "lengths", "terms", "starts", "positions").mapInPandas(run, MATCHES), index, [terms, query]
 
@@ -238,7 +251,8 @@ def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     return keyed.join(materialize(marked, "contaminated"), "__key", "left_anti").select(*docs.columns)
 
 
-def report(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256 and contaminated."""
-    found = matches(docs, items, size).select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    return found.withColumn("contaminated", F.col("n_hit") > 0)
+def report(docs: DataFrame, items: DataFrame, size: int = 10, near: int = NEAR) -> DataFrame:
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, and n_near, the items with a proximity match."""
+    found = matches(docs, items, size, near=near)
+    found = found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), F.size("near").cast("long").alias("n_near"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "n_near")

@@ -56,7 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP8_SQL = r"""
 WITH dw AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 win AS (
@@ -68,10 +68,17 @@ dg AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
 occ AS (SELECT doc_id, i, dg.n, item FROM dg JOIN win ON dg.g = win.g AND dg.n = win.n),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM occ)) GROUP BY doc_id),
+wt AS MATERIALIZED (SELECT g, n, unnest(string_split(g, ' ')) AS t, unnest(range(n)) AS o FROM (SELECT DISTINCT g, n FROM win)),
+p AS MATERIALIZED (SELECT * FROM (SELECT doc_id, rid, unnest(w) AS t, unnest(range(len(w))) AS pos FROM dw) WHERE t IN (SELECT t FROM wt)),
+df AS (SELECT t, count(DISTINCT rid) AS df FROM p GROUP BY 1),
+anchor AS MATERIALIZED (SELECT g, any_value(n) AS n, arg_min(wt.t, df * 1000 + o) AS t, arg_min(o, df * 1000 + o) AS o FROM wt LEFT JOIN df USING (t) GROUP BY g HAVING count(df) = count(*)),
+cand AS (SELECT g, n, doc_id, rid, pos - o AS s FROM anchor JOIN p USING (t)),
+nr AS (SELECT c.g, c.doc_id, c.rid, c.s FROM cand c JOIN wt ON wt.g = c.g JOIN p ON p.rid = c.rid AND p.t = wt.t AND abs(p.pos - (c.s + wt.o)) <= 2 GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT wt.o) = max(c.n)),
+near AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM nr JOIN win USING (g) GROUP BY 1),
 its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 
