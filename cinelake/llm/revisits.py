@@ -34,6 +34,7 @@ def resolve(captures: DataFrame, period: int = PERIOD) -> DataFrame:
     """One row for each revisit: capture_id, url_key, ts, response_id, resolution, payload_digest, payload_length, headers."""
     body = F.struct("ts", "capture_id", "etag", "last_modified", "payload_digest", "payload_length", F.map_entries("headers").alias("headers"))
     full = (F.col("kind") == "response") & (F.col("status") == 200)
+    captures = captures.select("capture_id", "url", "kind", "status", "ts", "etag", "last_modified", "payload_digest", "payload_length", "headers")  # extra columns may have names used here
     rows = captures.withColumn("url_key", canonical_url(F.col("url"))).withColumn("period", F.floor(F.col("ts") / period)).withColumn("response", F.when(full, body))
     keyed = rows.where(F.col("url_key").isNotNull() & F.col("ts").isNotNull())
     near = Window.partitionBy("url_key", "period").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
