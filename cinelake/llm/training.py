@@ -19,6 +19,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_ou
     """(text, y) of at most ``limit`` labelled rows outside the held-out fold. An id with several labels counts as its greatest."""
     rows = labels.where((fold(F.col("doc_id"), modulus) != held_out) & F.col(label).isNotNull())
     rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    # Ids that aren't among the documents use up no places.
+    rows = rows.join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     # At most ``limit`` short rows: small enough to send to every executor.
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y")

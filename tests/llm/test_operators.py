@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -68,6 +69,122 @@ def test_edit_trees_match_a_full_count(encoding):
             assert tree.arrays()[1].sum() == len(text)
 
 
+def test_kept_trees(spark, odd_docs, no_docs, encoding):
+    """Trees as a table, edits from another table, and only a few pre-tokens encoded anew."""
+    vocabulary = bpe.vocabulary()
+    docs = odd_docs.where("doc_id <> 9 OR length(text) > 100").dropDuplicates(["doc_id", "text"]).withColumn("lengths_", F.lit(1))
+    changes = [(1, 1, 4, 3, "bird"), (1, 0, 0, 0, "Now "), (9, 0, 20_000, 5, " in the middle "), (7, 0, 10**9, 4, " at the end"), (3, 0, 2, 2, "from nothing"), (99, 0, 0, 0, "no such document")]
+    table = spark.createDataFrame(changes, "doc_id long, seq int, start int, deleted int, inserted string")
+    trees = edits.build_trees(docs, *vocabulary)
+    texts = dict(pairs(docs))
+    assert {r.doc_id: r.n_tokens for r in trees.collect()} == {i: len(encoding.encode_ordinary(t or "")) for i, t in texts.items()}
+    got = edits.apply_edits(edits.attach(trees, table), *vocabulary).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r.doc_id] or ""
+        for _, _, start, deleted, inserted in sorted(c for c in changes if c[0] == r.doc_id):
+            start = min(start, len(t))
+            t = t[:start] + inserted + t[start + deleted :]
+        assert (r.text or "", r.n_tokens) == (t, len(encoding.encode_ordinary(t)))
+        assert r.n_reencoded <= 40 and sum(r.counts) == r.n_tokens and sum(r.lengths) == len(t)
+    assert edits.apply_edits(edits.attach(edits.build_trees(no_docs, *vocabulary), table), *vocabulary).count() == 0
+
+
+def test_quality_verdict(spark, sf):
+    """The distances and the verdict against NumPy, from the mean histograms of each language."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").collect()
+    shares, base = {}, {}
+    for r in rows:
+        t, words = r.text or "", WORD.findall(r.text or "")
+        kinds = [unicodedata.category(c) for c in t]
+        space, stop, symbol = " \t\n\x0b\x0c\r", ".,;:!?'\"()-", "#*$%&|<>"
+        classes = [sum(k == "Ll" for k in kinds), sum(k == "Lu" for k in kinds), sum(k == "Nd" for k in kinds), sum(c in space for c in t), sum(c in stop for c in t), sum(c in symbol for c in t)]
+        chars = np.array([*classes, len(t) - sum(classes)]) / max(1, len(t))
+        common = [sum(w.lower() == x for w in words) / max(1, len(words)) for x in quality.COMMON_WORDS.get(r.lang, ())]
+        shares[r.doc_id] = (chars, np.array([*common, 1 - sum(common)]), len(t), len(words))
+    got = {r.doc_id: r for r in quality.report(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    good = [r for r in rows if not got[r.doc_id].base_failed and r.lang in quality.COMMON_WORDS and shares[r.doc_id][3] >= quality.MIN_WORDS and shares[r.doc_id][2] >= quality.MIN_CHARS]
+    means = {k: [np.mean([shares[r.doc_id][i] for r in good if r.lang == k], axis=0) for i in (0, 1)] for k in {r.lang for r in good}}
+
+    def distance(p, q):
+        m = (p + q) / 2
+        part = lambda x: sum(a * math.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)
+        return math.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+    for r in rows:
+        chars, common, n, words = shares[r.doc_id]
+        far = False
+        for own, ref, long_enough, bound, found in ((chars, 0, n >= quality.MIN_CHARS, quality.CHAR_DISTANCE, got[r.doc_id].char_distance), (common, 1, words >= quality.MIN_WORDS, quality.WORD_DISTANCE, got[r.doc_id].word_distance)):
+            if r.lang in means and long_enough:
+                want = distance(own, means[r.lang][ref])
+                assert abs(found - want) < 1e-6
+                far |= want > bound
+            else:
+                assert found is None
+        assert got[r.doc_id].kept == (not got[r.doc_id].base_failed and not far)
+
+
+def test_label_model_step():
+    """One maximisation and one posterior against sums by hand, with a voter that depends on another."""
+    rng = np.random.default_rng(1)
+    votes, q = rng.integers(-1, 2, (40, 3)), rng.random(40)
+    m = toxicity.LabelModel()
+    m.parents = [-1, 0, -1]
+    m.step(votes, q)
+    odds = []
+    for v in votes:
+        total = math.log(m.prior / (1 - m.prior))
+        for j, parent in enumerate(m.parents):
+            p = []
+            for w in (1 - q, q):
+                own = {x: (sum(a for a, u in zip(w, votes, strict=True) if u[j] == x) + 0.5) / (w.sum() + 1.5) for x in (-1, 0, 1)}
+                if parent < 0:
+                    p.append(own[v[j]])
+                else:
+                    same = [a for a, u in zip(w, votes, strict=True) if u[parent] == v[parent]]
+                    both = [a for a, u in zip(w, votes, strict=True) if u[parent] == v[parent] and u[j] == v[j]]
+                    p.append((sum(both) + 5 * own[v[j]]) / (sum(same) + 5))
+            total += math.log(p[1] / p[0])
+        odds.append(1 / (1 + math.exp(-total)))
+    assert np.allclose(m.posterior(votes), odds)
+    copies = np.column_stack((votes, votes[:, 1]))
+    information = m.dependencies(copies, q)
+    assert m.tree(information)[3] == 1 or m.tree(information)[1] == 3
+
+
+def test_boosting_step():
+    """A tree of up to three leaves over bins against all pairs of cuts, taken greedily, and scores as sums of table entries."""
+    rng = np.random.default_rng(2)
+    g, h = rng.normal(size=9), rng.random(9)
+    gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1)
+    first = max(range(1, 9), key=lambda k: gain(0, k) + gain(k, 9) - gain(0, 9))
+    halves = [(0, first), (first, 9)]
+    a, b, k = max(((a, b, k) for a, b in halves for k in range(a + 1, b)), key=lambda z: gain(z[0], z[2]) + gain(z[2], z[1]) - gain(z[0], z[1]))
+    parts = [p for p in halves if p != (a, b)] + [(a, k), (k, b)]
+    want = np.zeros(9)
+    for x, y in parts:
+        want[x:y] = g[x:y].sum() / (h[x:y].sum() + 1)
+    assert np.allclose(gam._steps(g, h, 2), want)
+    x = rng.normal(size=(300, 4))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    model = gam.Additive().fit(x, y)
+    b = model.bins(x)
+    total = [model.base + sum(t[b[i, j]] for j, t in enumerate(model.tables)) + sum(t[b[i, u] * gam.PAIR_BINS // model.sizes[u], b[i, v] * gam.PAIR_BINS // model.sizes[v]] for u, v, t in model.pairs) for i in range(300)]
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-np.array(total))))
+    assert ((model.score(x) > 0.5) == y).mean() > 0.85  # what only a pair can tell
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity_ranks_held_out_rows(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.score(docs, labels).where("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
+    pos, neg = [r.score for r in rows if r.toxic == 1], [r.score for r in rows if r.toxic == 0]
+    assert sum(r.predicted for r in rows if r.toxic == 1) >= 0.9 * len(pos)
+    assert sum(r.predicted for r in rows if r.toxic == 0) <= 0.03 * len(neg)
+    assert sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) >= 0.95 * len(pos) * len(neg)
+    assert len({round(n, 9) for n in neg}) > len(neg) / 2
+
+
 def test_quality_counts(odd_docs, no_docs):
     def counts(t):
         t = t or ""
@@ -147,11 +264,40 @@ def test_suffix_trees(odd_docs, no_docs):
     assert cut.columns == odd_docs.columns and cut.count() == len(rows) and cut.where("text LIKE '%shared5 %'").count() == 0
 
 
+def brute_near(w, frequency, items, low, slop=decontam.NEAR):
+    """Items with a window whose terms all stand within ``slop`` words of their places, as counted from a rarest term."""
+    found = set()
+    for item, text in items:
+        v = low(text)
+        for k in range(max(1, len(v) - 9)) if v else ():
+            win = v[k : k + 10]
+            if not all(x in frequency for x in win):
+                continue
+            o = min(range(len(win)), key=lambda j: (frequency[win[j]], j))
+            for p in (p for p, x in enumerate(w) if x == win[o]):
+                if all(any(w[q] == x for q in range(max(0, p - o + j - slop), min(len(w), p - o + j + slop + 1))) for j, x in enumerate(win)):
+                    found |= {item} if item is not None else set()
+    return found
+
+
+def test_proximity(spark):
+    """Moved, missing and repeated words; string ids; a match that starts before its document does."""
+    words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = lambda t: words.findall((t or "").lower())
+    rows = [("x", "b a c d e f g h i j k"), ("y", "a b z z c d e f g h i j k l"), ("z", "a b z z z z c d e f g h i j"), ("q", "j i h g f e d c b a"), ("n", None), (None, "c d e f g h i j a b")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    items = spark.createDataFrame([("one", "a b c d e f g h i j"), ("two", "k l"), ("three", "not there")], "item_id string, text string")
+    frequency = Counter(x for _, t in rows for x in set(low(t)))
+    want = sorted((str(i), len(brute_near(low(t), frequency, items.collect(), low))) for i, t in rows)
+    assert sorted((str(r.doc_id), r.n_near) for r in decontam.report(docs, items).collect()) == want
+    assert {n for _, n in want} == {0, 1, 2}
+
+
 def test_decontamination(spark, odd_docs, no_docs):
     items = spark.createDataFrame([("a", "cat sat on THE mat and the dog lay by"), ("b", "one two"), ("c", None), ("d", "..."), ("e", "nothing of this kind"), (None, "same id")], "item_id string, text string")
     words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: words.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    want = []
+    want, frequency = [], Counter(x for _, t in pairs(odd_docs) for x in set(low(t)))
     for i, t in pairs(odd_docs):
         w, hit, found = low(t), set(), set()
         for item, text in items.collect():
@@ -161,7 +307,7 @@ def test_decontamination(spark, odd_docs, no_docs):
                     if tuple(w[k : k + len(win)]) == win:
                         hit.update(range(k, k + len(win)))
                         found |= {item} if item is not None else set()
-        want.append((str(i), len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+        want.append((str(i), len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), len(brute_near(w, frequency, items.collect(), low))))
     assert sorted((str(r[0]), *r[1:]) for r in decontam.report(odd_docs, items).collect()) == sorted(want)
     assert decontam.report(no_docs, items).count() == 0
     assert decontam.report(odd_docs, items.limit(0)).where("contaminated").count() == 0
@@ -273,6 +419,8 @@ def test_revisits(spark):
     stored = {"ETag": '"e"', "Content-Length": "5", "Date": "1"}
     assert got == [(3, "no_response", None, None, None), (4, "matched", 1, "p1", {"ETag": '"e"', "Content-Length": "5", "date": "2"}), (5, "mismatched", 1, None, None), (6, "matched", 1, "p1", stored), (6, "matched", 1, "p1", stored), (7, "no_response", None, None, None), (8, "no_response", None, None, None)]
     assert revisits.resolve(captures.drop("period").limit(0)).count() == 0
+    clashing = captures.selectExpr("*", "1 AS earlier", "2 AS near", "3 AS url_key", "4 AS response", "5 AS r", "6 AS resolution")
+    assert sorted((r.capture_id, r.resolution) for r in revisits.resolve(clashing).collect()) == [(c, x) for c, x, *_ in got]
 
 
 def test_pipeline(spark, sf):
