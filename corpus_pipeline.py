@@ -36,7 +36,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("substring dedup", substring_dedup), ("decontamination", decontaminate), ("encoding", encode)]
-#: The language model vocabulary and the component search have no SQL form; a test holds the run against brute force on what the quality rules kept.
+#: Byte-pair encoding, the component search and the verdict of the rules have no SQL form; tests hold the rules' verdict against NumPy and the run, from what they kept on, against brute force.
 ORACLE_SQL = None
 
 

@@ -553,3 +553,22 @@ def test_pipeline_run(spark, sf, encoding, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, list(r.token_ids)) for r in got) == want
     assert all(r.n_tokens == len(r.token_ids) for r in got) and any(r.n_tokens == 0 for r in got)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
+    """Nulls, repeated rows and ids, very long texts and clashing columns pass every stage; no rows give no rows."""
+    items = spark.createDataFrame([("a", "no id here but some words"), ("b", None)], "item_id string, text string")
+    for name, docs in (("odd", odd_docs), ("none", no_docs)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, f"{tmp_path}/{name}").columns == docs.columns
+        kept = quality.rules(docs)
+        want = {r.doc_id for r in kept.collect()}
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in got} <= want and (len(got) > 0) == (len(want) > 0)
+    rows = jaccard.keep_one(odd_docs).collect()
+    assert sum(r.text is None or not r.text.strip() for r in rows) == 3  # empty sets all stay
+    assert Counter(r.doc_id for r in rows)[2] == 0 and Counter(r.doc_id for r in rows)[1] == 1
+    assert decontam.clean(odd_docs, items).where("text = 'no id here but some words'").count() == 0
