@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, edits, gam, jaccard, lm, merkle, quality, repeats, revisits, spelling, toxicity
+from . import bpe, decontam, edits, gam, jaccard, licences, lm, merkle, quality, repeats, revisits, spelling, toxicity
 from .common import table
 
 
@@ -58,8 +58,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
 
+def op13_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_edit_aware_counts, op2_divergence_rules, op3_weak_supervision, op4_additive_model, op5_bpe_round_trip, op6_multi_order_join, op7_revisits, op8_positional_index, op9_suffix_trees, op10_backoff_automaton, op11_spelling_variants, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_edit_aware_counts, op2_divergence_rules, op3_weak_supervision, op4_additive_model, op5_bpe_round_trip, op6_multi_order_join, op7_revisits, op8_positional_index, op9_suffix_trees, op10_backoff_automaton, op11_spelling_variants, op12_merkle_manifest, op13_licence_scan)}
 
 
 OP8_SQL = r"""
@@ -107,4 +111,4 @@ FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_revisits": revisits.SQL, "op8_positional_index": OP8_SQL, "op9_suffix_trees": OP9_SQL, "op11_spelling_variants": spelling.SQL, "op12_merkle_manifest": merkle.SQL}
+    return {"op7_revisits": revisits.SQL, "op8_positional_index": OP8_SQL, "op9_suffix_trees": OP9_SQL, "op11_spelling_variants": spelling.SQL, "op12_merkle_manifest": merkle.SQL, "op13_licence_scan": licences.SQL}
