@@ -134,14 +134,17 @@ class Index:
                 for s in range(p - o - SLACK, p - o + SLACK + 1):
                     votes[s].add(o)
         out: list[tuple[str, int, int, int]] = []
+        best = (0, 0)
         for s in sorted(s for s, v in votes.items() if len(v) >= min(2, len(t.words))):
             n = sum(_within(places[w], s + o - SLACK, s + o + SLACK) for o, w in enumerate(t.words))
             if n >= t.least and all(_within(at, s - SLACK, s + len(t.words) + SLACK - size) for size, at in inside):
-                if out and s - out[-1][1] < len(t.words):  # starts of one place: the best, then the first
-                    if n > out[-1][2]:
-                        out[-1] = (t.label, s, n, len(t.words))
+                rank = (n, sum(_within(places[w], s + o, s + o) for o, w in enumerate(t.words)))
+                if out and s - out[-1][1] < len(t.words):  # starts of one place: most words in place, then most at their very offset, then the first
+                    if rank > best:
+                        out[-1], best = (t.label, s, n, len(t.words)), rank
                 else:
                     out.append((t.label, s, n, len(t.words)))
+                    best = rank
         return out
 
 
