@@ -64,28 +64,40 @@ ranks AS (SELECT t.base_key, d.drive, d.free_bytes, group_bytes, coalesce(n, 0)
   FROM totals t CROSS JOIN drives d LEFT JOIN sums s ON s.base_key = t.base_key AND s.drive = d.drive)"""
 
 
-def _placement(drives: int, reserve: int) -> str:
-    """The rounds of the placement as common table expressions: one for each drive, then one for each drive after making room."""
-    out = ["offers AS MATERIALIZED (SELECT base_key, drive, rank, bytes, group_bytes, group_bytes - bytes AS incoming FROM ranks)", "free0 AS MATERIALIZED (SELECT drive, is_sink, free_bytes AS fb FROM drives)", "placed0 AS (SELECT '' AS base_key, '' AS drive, CAST(0 AS BIGINT) AS incoming, 0 AS round, false AS evacuated WHERE false)"]
-    for r in range(1, 2 * drives + 1):
-        evacuate, rank, last = r > drives, (r - 1) % drives + 1, r - 1
-        sink = "AND drive <> (SELECT drive FROM free0 WHERE is_sink)" if evacuate else ""
-        out.append(f"todo{r} AS MATERIALIZED (SELECT * FROM offers WHERE rank = {rank} AND base_key NOT IN (SELECT base_key FROM placed{last}) {sink})")
-        if evacuate:
-            out.append(f"need{r} AS (SELECT t.drive, greatest(sum(incoming) + {reserve} - max(fb), 0) AS need FROM todo{r} t JOIN free{last} f ON t.drive = f.drive GROUP BY 1)")
-            out.append(f"homes{r} AS (SELECT p.base_key, p.drive, group_bytes AS b, coalesce(sum(group_bytes) OVER (PARTITION BY p.drive ORDER BY group_bytes DESC, p.base_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM placed{last} p JOIN totals USING (base_key) WHERE NOT evacuated)")
-            out.append(f"leave{r} AS (SELECT base_key, h.drive, b, sum(b) OVER (ORDER BY h.drive, b DESC, base_key) AS upto FROM homes{r} h JOIN need{r} n ON h.drive = n.drive WHERE before < need)")
-            out.append(f"out{r} AS MATERIALIZED (SELECT base_key, drive, b FROM leave{r} WHERE (SELECT fb FROM free{last} WHERE is_sink) - upto >= {reserve})")
-            out.append(f"room{r} AS MATERIALIZED (SELECT drive, is_sink, fb + coalesce((SELECT sum(b) FROM out{r} o WHERE o.drive = f.drive), 0) - CASE WHEN is_sink THEN coalesce((SELECT sum(b) FROM out{r}), 0) ELSE 0 END AS fb FROM free{last} f)")
-            out.append(f"kept{r} AS (SELECT p.base_key, CASE WHEN o.base_key IS NOT NULL THEN (SELECT drive FROM free0 WHERE is_sink) ELSE p.drive END AS drive, incoming, round, evacuated OR o.base_key IS NOT NULL AS evacuated FROM placed{last} p LEFT JOIN out{r} o USING (base_key))")
-        room, kept = (f"room{r}", f"kept{r}") if evacuate else (f"free{last}", f"placed{last}")
-        out.append(f"won{r} AS MATERIALIZED (SELECT base_key, drive, incoming FROM (SELECT t.*, fb, sum(incoming) OVER (PARTITION BY t.drive ORDER BY base_key) AS taken FROM todo{r} t JOIN {room} f ON t.drive = f.drive) z WHERE fb - taken >= {reserve})")
-        out.append(f"placed{r} AS MATERIALIZED (SELECT * FROM {kept} UNION ALL SELECT base_key, drive, incoming, {r}, false FROM won{r})")
-        out.append(f"free{r} AS MATERIALIZED (SELECT drive, is_sink, fb - coalesce((SELECT sum(incoming) FROM won{r} w WHERE w.drive = f.drive), 0) + coalesce((SELECT sum(o.bytes) FROM won{r} w JOIN offers o USING (base_key) WHERE o.drive = f.drive AND w.drive <> f.drive), 0) AS fb FROM {room} f)")
-    return ", ".join(out)
-
-
-PLACED = f"{RANKS}, {_placement(4, 1_000_000)}"
+SERIAL = f"""{RANKS}, sized AS (SELECT base_key, arg_min(base, path) AS display, sum(size) AS all_bytes FROM best GROUP BY 1),
+lists AS (SELECT base_key, list(CAST(n AS BIGINT) ORDER BY drive) AS cs, list(CAST(bytes AS BIGINT) ORDER BY drive) AS zs, CAST(max(group_bytes) AS BIGINT) AS total FROM ranks GROUP BY 1),
+g AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {NATURAL.format('display')}, all_bytes DESC, base_key) AS i, base_key, cs, zs, total FROM lists JOIN sized USING (base_key)),
+dn AS MATERIALIZED (SELECT list(drive ORDER BY drive) AS names, list(CAST(free_bytes AS BIGINT) ORDER BY drive) AS free, CAST(list_position(list(is_sink ORDER BY drive), true) AS BIGINT) AS sink FROM drives)"""
+
+
+def _serial(drives: int, reserve: int) -> str:
+    """One group after the other by recursion: free space and the homes of placed groups as lists. A group without a drive tries each, best first, after making room on it."""
+    at = f"range(1, {drives + 1})"
+    stage = f"""(SELECT i, base_key, zs, total, sink, rk, free, homes, list_filter(list_transform(range(1, {drives + 1}), lambda k: CASE WHEN free[rk[k].d] >= total - zs[rk[k].d] + {reserve} THEN k END), lambda k: k IS NOT NULL)[1] AS won
+   FROM (SELECT g.*, sink, r.free, r.homes, list_sort(list_transform({at}, lambda d: {{'a': -cs[d], 'b': -zs[d], 'c': -r.free[d], 'd': d}})) AS rk FROM run r JOIN g ON g.i = r.i + 1, dn) a)"""
+    stage = f"(SELECT i, base_key, zs, total, sink, rk, free, homes, won AS rank, rk[won].d AS d FROM {stage} b)"
+    for k in range(1, drives + 1):
+        todo = f"(SELECT *, rk[{k}].d AS t, total - zs[rk[{k}].d] + {reserve} AS required FROM {stage} c{k})"
+        left = f"""(SELECT *, list_reduce([{{'m': CAST(0 AS BIGINT), 'p': CAST(0 AS BIGINT), 'need': CASE WHEN d IS NULL AND t <> sink THEN required - free[t] ELSE 0 END, 'room': free[sink] - {reserve}, 'gone': CAST([] AS BIGINT[])}}]
+     || list_transform(list_sort(list_filter(homes, lambda h: d IS NULL AND h.d = t)), lambda h: {{'m': h.m, 'p': h.p, 'need': CAST(0 AS BIGINT), 'room': CAST(0 AS BIGINT), 'gone': CAST([] AS BIGINT[])}}),
+     lambda s, x: CASE WHEN s.need > 0 AND -x.m <= s.room THEN {{'m': s.m + x.m, 'p': s.p, 'need': s.need + x.m, 'room': s.room + x.m, 'gone': list_append(s.gone, x.p)}} ELSE s END) AS z FROM {todo} e{k})"""
+        moved = f"""(SELECT i, base_key, zs, total, sink, rk, d, rank, t, required, list_transform({at}, lambda e: free[e] + CASE WHEN e = t THEN -z.m WHEN e = sink THEN z.m ELSE 0 END) AS free,
+     list_transform(homes, lambda h: CASE WHEN list_contains(z.gone, h.p) THEN {{'m': h.m, 'p': h.p, 'd': sink}} ELSE h END) AS homes FROM {left} f{k})"""
+        stage = f"(SELECT i, base_key, zs, total, sink, rk, free, homes, CASE WHEN rank IS NULL AND free[t] >= required THEN {k + drives} ELSE rank END AS rank, CASE WHEN d IS NULL AND free[t] >= required THEN t ELSE d END AS d FROM {moved} h{k})"
+    return f"""run AS (SELECT CAST(0 AS BIGINT) AS i, '' AS base_key, CAST(NULL AS BIGINT) AS d, CAST(NULL AS BIGINT) AS incoming, CAST(NULL AS BIGINT) AS rank, free, list_filter([{{'m': CAST(0 AS BIGINT), 'p': CAST(0 AS BIGINT), 'd': CAST(0 AS BIGINT)}}], lambda h: false) AS homes FROM dn
+  UNION ALL SELECT i, base_key, d, total - zs[d], rank, CASE WHEN d IS NULL THEN free ELSE list_transform({at}, lambda e: free[e] + CASE WHEN e = d THEN zs[d] - total ELSE zs[e] END) END,
+    CASE WHEN d IS NULL THEN homes ELSE list_append(homes, {{'m': -total, 'p': i, 'd': d}}) END FROM {stage} y),
+ends AS (SELECT h.p AS i, h.d AS home FROM (SELECT unnest(homes) AS h FROM (SELECT homes FROM run ORDER BY i DESC LIMIT 1) q) u),
+placed AS (SELECT base_key, (SELECT names FROM dn)[home] AS drive, incoming, CAST(rank AS INT) AS round, home <> d AS evacuated FROM run LEFT JOIN ends USING (i) WHERE i > 0)"""
+
+
+PLACED = f"{SERIAL}, {_serial(4, 1_000_000)}"
+RECURSIVE_CONS = CONS.replace("WITH ", "WITH RECURSIVE ", 1)
+LEAVING = """leaving AS MATERIALIZED (SELECT row_number() OVER (ORDER BY drive, bytes DESC, base_key) AS i, base_key, drive, bytes, need FROM wanted),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, '' AS base_key, '' AS drive, CAST(0 AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS freed, (SELECT room FROM sink_room) AS room, false AS seen, false AS fits
+  UNION ALL SELECT i, base_key, drive, bytes, f + CASE WHEN f < need AND bytes <= room THEN bytes ELSE 0 END, room - CASE WHEN f < need AND bytes <= room THEN bytes ELSE 0 END, f < need, f < need AND bytes <= room
+  FROM (SELECT l.*, w.room, CASE WHEN l.drive = w.drive THEN freed ELSE 0 END AS f FROM walk w JOIN leaving l ON l.i = w.i + 1) z)
+SELECT base_key, drive, bytes, fits FROM walk WHERE seen"""
 NOT_ACTIONS = "('GROUP_DONE', 'EVAC_MKDIR', 'MKDIR_DUP', 'MKDIR_DEST')"
 SECONDS = "greatest(CAST(round(coalesce(duration, 0)) AS BIGINT), 0)"
 def _scaled(unit: int, name: str) -> str:
@@ -119,8 +131,8 @@ ORACLES = {
     "apply_deletes": f"{ctes('library')} SELECT id, 'kept' AS state FROM library WHERE id % 10 <> 0 UNION ALL SELECT CAST(-1 AS BIGINT), 'not_found'",
     "index_snapshot": f"{ctes('media_files')}, {SNAPSHOT} SELECT base, file, dir, size, strftime(mtime, {FMT}) AS mtime, carried FROM snap",
     "index_meta": f"{ctes('media_files')}, {SNAPSHOT} SELECT count(*) AS file_count, '/vol0,/vol1,/vol2,/vol3' AS roots, '/vol2' AS missing_roots FROM snap",
-    "index_without": f"{ctes('media_files')}, {SNAPSHOT} SELECT dir, file, size FROM snap WHERE size % 3 <> 0 AND (dir, file) NOT IN (SELECT (dir, file) FROM snap WHERE size % 3 = 0)",
-    "index_allowed": f"{ctes('media_files')}, {SNAPSHOT} SELECT dir, concat(stem, '.', ext) AS file FROM media_files WHERE (dir, concat(stem, '.', ext)) IN (SELECT (dir, file) FROM snap)",
+    "index_without": f"{ctes('media_files')}, {SNAPSHOT}, gone AS (SELECT DISTINCT dir, file FROM snap WHERE size % 3 = 0) SELECT s.dir, s.file, size FROM snap s ANTI JOIN gone ON gone.dir = s.dir AND gone.file = s.file",
+    "index_allowed": f"{ctes('media_files')}, {SNAPSHOT}, f AS (SELECT dir, concat(stem, '.', ext) AS file FROM media_files) SELECT f.dir, f.file FROM f SEMI JOIN snap ON snap.dir = f.dir AND snap.file = f.file",
     "index_search": f"{ctes('media_files')}, {SNAPSHOT}, {QUERIES_SQL}, {FOUND} SELECT query, count(DISTINCT lower(base)) AS total_groups, count(*) AS total_files, CAST(sum(size) AS BIGINT) AS bytes FROM found GROUP BY 1",
     "index_search_page": f"{ctes('media_files')}, {SNAPSHOT}, {QUERIES_SQL}, {FOUND}, g AS (SELECT query, lower(base) AS base_key, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes, string_agg(concat(dir, '/', file), '|' ORDER BY {NATURAL.format('file')}, file, dir, size, mtime) AS files FROM found GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {NATURAL.format('base_key')}, base_key) AS rank, count(*) OVER (PARTITION BY query) AS total_groups, CAST(sum(n_files) OVER (PARTITION BY query) AS BIGINT) AS total_files FROM g) SELECT query, rank, base_key, n_files, bytes, files, total_groups, total_files FROM r WHERE rank > 50 AND rank <= 100",
     "episode_parse": f"{ctes('media_files')}, {PARSED} SELECT path, base, ep, variant FROM parsed",
@@ -129,13 +141,13 @@ ORACLES = {
     "rename01_flags": f"{CONS} SELECT path, item_key, rename_01, flagged, CASE WHEN rename_01 THEN concat(stem, ' # 01.', ext) END AS new_name FROM best WHERE rename_01 OR flagged",
     "drive_rank": f"{CONS}, {RANKS} SELECT base_key, drive, n, bytes, rank FROM ranks",
     "placement_round1": f"{CONS}, {RANKS}, offers AS (SELECT base_key, drive, free_bytes, group_bytes - bytes AS incoming FROM ranks WHERE rank = 1) SELECT base_key, drive, incoming, free_bytes - sum(incoming) OVER (PARTITION BY drive ORDER BY base_key) >= 1000000 AS accepted FROM offers",
-    "placement": f"{CONS}, {PLACED} SELECT t.base_key, drive, incoming, round, evacuated FROM totals t LEFT JOIN placed8 USING (base_key)",
-    "consolidation_plan": f"{CONS}, {PLACED}, rows_ AS (SELECT b.*, p.drive AS target, coalesce(evacuated, false) AS evacuated, CASE WHEN rename_01 THEN concat(stem, ' # 01.', ext) ELSE concat(stem, '.', ext) END AS file FROM best b LEFT JOIN placed8 p USING (base_key)), acts AS (SELECT *, CASE WHEN NOT keep THEN 'shelve' WHEN target IS NULL THEN 'skip' WHEN drive <> target THEN 'move' WHEN rename_01 THEN 'rename' ELSE 'stay' END AS action FROM rows_), there AS (SELECT drive AS d, lower(concat(stem, '.', ext)) AS k, size AS s, epoch(mtime) AS m FROM best WHERE keep), hit AS (SELECT path, bool_or(size = s AND abs(epoch(mtime) - m) <= 2) AS same FROM acts JOIN there ON target = d AND lower(file) = k WHERE action = 'move' GROUP BY 1) SELECT path, item_key, keep, flagged, action, target, evacuated, file, CASE WHEN action = 'move' THEN size ELSE 0 END AS move_bytes, CASE WHEN hit.path IS NULL THEN NULL WHEN same THEN 'duplicate' ELSE 'suspect' END AS collision FROM acts LEFT JOIN hit USING (path)",
+    "placement": f"{RECURSIVE_CONS}, {PLACED} SELECT * FROM placed",
+    "consolidation_plan": f"{RECURSIVE_CONS}, {PLACED}, rows_ AS (SELECT b.*, p.drive AS target, coalesce(evacuated, false) AS evacuated, CASE WHEN rename_01 THEN concat(stem, ' # 01.', ext) ELSE concat(stem, '.', ext) END AS file FROM best b LEFT JOIN placed p USING (base_key)), acts AS (SELECT *, CASE WHEN NOT keep THEN 'shelve' WHEN target IS NULL THEN 'skip' WHEN drive <> target THEN 'move' WHEN rename_01 THEN 'rename' ELSE 'stay' END AS action FROM rows_), there AS (SELECT drive AS d, lower(concat(stem, '.', ext)) AS k, size AS s, epoch(mtime) AS m FROM best WHERE keep), hit AS (SELECT path, bool_or(size = s AND abs(epoch(mtime) - m) <= 2) AS same FROM acts JOIN there ON target = d AND lower(file) = k WHERE action = 'move' GROUP BY 1) SELECT path, item_key, keep, flagged, action, target, evacuated, file, CASE WHEN action = 'move' THEN size ELSE 0 END AS move_bytes, CASE WHEN hit.path IS NULL THEN NULL WHEN same THEN 'duplicate' ELSE 'suspect' END AS collision FROM acts LEFT JOIN hit USING (path)",
     "group_order": f"{CONS} SELECT base_key, lower(arg_min(base, path)) AS display, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM eps GROUP BY 1",
     "running_free": f"{ctes('media_files', 'drives', 'action_log')}, s AS (SELECT line_no AS step, concat('/vol', line_no % 4) AS drive, CASE WHEN action = 'MOVE' THEN -bytes ELSE bytes END AS delta FROM action_log) SELECT step, drive, CAST(free_bytes + sum(delta) OVER (PARTITION BY drive ORDER BY step) AS BIGINT) AS free_after FROM s JOIN drives USING (drive)",
     "free_names": f"{ctes('media_files')}, f AS (SELECT path, drive AS d, concat(stem, '.', ext) AS file, lower(concat(stem, '.', ext)) AS k FROM media_files WHERE lower(ext) <> 'txt'), held AS (SELECT DISTINCT d, k FROM f WHERE path LIKE '%/d7/%'), turns AS (SELECT f.*, row_number() OVER (PARTITION BY f.d, f.k ORDER BY path) + CASE WHEN h.k IS NULL THEN 0 ELSE 1 END AS turn FROM f LEFT JOIN held h ON h.d = f.d AND h.k = f.k) SELECT path, CASE WHEN turn = 1 THEN file WHEN turn = 2 THEN regexp_replace(file, '(\\.[^.]*)$', '__S\\1') WHEN turn <= 51 THEN regexp_replace(file, '(\\.[^.]*)$', concat('__S_', turn - 1, '\\1')) END AS free_name, CASE WHEN turn > 51 THEN 'no_free_name' END AS problem FROM turns",
-    "evacuation": f"{CONS}, {SUMS}, e AS (SELECT sums.*, free_bytes, coalesce(sum(bytes) OVER (PARTITION BY drive ORDER BY bytes DESC, base_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sums JOIN drives USING (drive) WHERE NOT is_sink) SELECT base_key, drive, bytes FROM e WHERE before < floor(free_bytes / 4)",
-    "balance_plan": f"{CONS}, {SUMS}, d AS (SELECT drive, is_sink, floor(free_bytes / CASE WHEN is_sink THEN 3 ELSE 2 END) AS fb FROM drives), e AS (SELECT sums.*, greatest((SELECT max(fb) FROM d) - fb, 0) AS need, coalesce(sum(bytes) OVER (PARTITION BY drive ORDER BY bytes DESC, base_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sums JOIN d USING (drive) WHERE NOT is_sink) SELECT base_key, drive, bytes, (SELECT max(fb) FROM d WHERE is_sink) - sum(bytes) OVER (ORDER BY drive, bytes DESC, base_key) >= 1000 AS fits FROM e WHERE before < need",
+    "evacuation": f"{RECURSIVE_CONS}, {SUMS}, sink_room AS MATERIALIZED (SELECT CAST(free_bytes AS BIGINT) AS room FROM drives WHERE is_sink), wanted AS (SELECT sums.*, CAST(floor(free_bytes / 4) AS BIGINT) AS need FROM sums JOIN drives USING (drive) WHERE NOT is_sink), {LEAVING}",
+    "balance_plan": f"{RECURSIVE_CONS}, {SUMS}, d AS (SELECT drive, is_sink, CAST(floor(free_bytes / CASE WHEN is_sink THEN 3 ELSE 2 END) AS BIGINT) AS fb FROM drives), sink_room AS MATERIALIZED (SELECT fb - 1000 AS room FROM d WHERE is_sink), wanted AS (SELECT sums.*, greatest((SELECT max(fb) FROM d) - fb, 0) AS need FROM sums JOIN d USING (drive) WHERE NOT is_sink), {LEAVING}",
     "collision_classes": f"{ctes('media_files')}, f AS (SELECT *, lower(concat(stem, '.', ext)) AS k FROM media_files), there AS (SELECT '/vol1' AS target, k, CASE WHEN size % 3 = 0 THEN size + 1 ELSE size END AS s, mtime AS m FROM f WHERE drive = '/vol1' UNION ALL SELECT '/vol0', k, size, mtime FROM f WHERE drive = '/vol0'), moves AS (SELECT f.*, target FROM f, (SELECT unnest(['/vol0', '/vol1']) AS target) t WHERE drive = '/vol0') SELECT path, target, CASE WHEN bool_or(size = s AND abs(epoch(mtime) - epoch(m)) <= 2) THEN 'duplicate' ELSE 'suspect' END AS class FROM moves JOIN there USING (target, k) GROUP BY 1, 2",
     "normalize_plain": f"{ctes('raw_files')} SELECT dir, file_name, {NORMAL} AS title FROM raw_files",
     "normalize_all": f"{ctes('raw_files')} SELECT dir, file_name, {NORMAL} AS title FROM raw_files",

@@ -1,26 +1,21 @@
-"""Consolidation plans: the best copy of every item, the numbering of first episodes, a drive for every group, and balancing.
+"""Consolidation plans: the best copy of every item, the numbering of first episodes, a drive for every group (see ``placement``), and balancing.
 
-Placement runs in rounds instead of group by group. Every drive is a candidate of every group, best first. In a round each unplaced group bids for its best untried drive, and a
-drive accepts in name order while its free space less the running sum stays at or above the reserve. After a round for each drive, a second pass of rounds frees space first: a drive
-short of room sends groups that live there to the sink, largest first, as far as the sink holds them. Free space is updated between rounds,
-not between groups; a round's running sum also counts bids that end up rejected, so no drive is over-committed but room may stay unused. Without overflow the result is
-that of the serial loop, but for ties broken by changed free space.
-
-Running sums are taken over range-partitioned blocks of the order, so that no drive is one task's sort.
+Running sums are taken over range-partitioned blocks of the order, so that no drive is one task's sort. What is freed is found in bounded rounds of such sums.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import natural_key
 from ..functions.titles import first_number_name, group_key, item_key, parse_episode, variant_key
 from ..sources.files import CONSOLIDATION_EXTENSIONS, short_list, wanted
-from ..sources.store import discard, materialize
+from ..sources.store import materialize
+from .placement import MAX_DRIVES, drive_sums, in_order, listed_free, place
 
-#: Drives are a short configured list; more are an error.
-MAX_DRIVES = 64
 #: Names that may be tried for a file that collides: as given, with the run's stamp, then with a counter from 2 up to this.
 LAST_NAME = 50
 
@@ -50,10 +45,14 @@ def only(eps: DataFrame, text: str | None = None, limit: int | None = None) -> D
     return eps
 
 
+def group_sizes(eps: DataFrame) -> DataFrame:
+    """(base_key, display, n_files, bytes) of each group. The display is that of the first path."""
+    return eps.groupBy("base_key").agg(F.min_by("base", "path").alias("display"), F.count("*").alias("n_files"), F.sum("size").alias("bytes"))
+
+
 def group_order(eps: DataFrame) -> DataFrame:
-    """(base_key, display, n_files, bytes) of each group, in the order of work: display name in natural order, then more bytes first. The display is that of the first path."""
-    groups = eps.groupBy("base_key").agg(F.min_by("base", "path").alias("display"), F.count("*").alias("n_files"), F.sum("size").alias("bytes"))
-    return groups.orderBy(natural_key(F.col("display")), F.desc("bytes"), "base_key")
+    """The groups in the order of work: display name in natural order, then more bytes first."""
+    return group_sizes(eps).orderBy(*in_order())
 
 
 def items(eps: DataFrame) -> DataFrame:
@@ -75,21 +74,9 @@ def best_copies(eps: DataFrame) -> DataFrame:
     return items(eps).withColumn("keep", F.row_number().over(w) == 1)
 
 
-def drive_sums(kept: DataFrame) -> DataFrame:
-    return kept.groupBy("base_key", "drive").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-
-
-def _listed(drives: DataFrame) -> list[tuple[str, int]]:
-    """The drives and their free space, a short configured list; more than MAX_DRIVES are an error."""
-    rows = drives.select("drive", F.col("free_bytes").cast("long")).limit(MAX_DRIVES + 1).collect()
-    if len(rows) > MAX_DRIVES:
-        raise ValueError(f"more than {MAX_DRIVES} drives in a configured list")
-    return sorted((r[0], r[1]) for r in rows)
-
-
 def drive_ranks(kept: DataFrame, drives: DataFrame) -> DataFrame:
     """Every group against every drive, best first: most files there (n, 0 where none), most bytes, most free space, then name."""
-    every = F.array(*[F.struct(F.lit(d).alias("drive"), F.lit(free).alias("free_bytes")) for d, free in _listed(drives)])
+    every = F.array(*[F.struct(F.lit(d).alias("drive"), F.lit(free).alias("free_bytes")) for d, free in listed_free(drives)])
     held = F.map_from_entries(F.collect_list(F.struct("drive", F.struct("n", "bytes"))))  # at most MAX_DRIVES entries
     groups = drive_sums(kept).groupBy("base_key").agg(held.alias("held"), F.sum("bytes").alias("group_bytes"))
     rows = groups.select("base_key", "group_bytes", "held", F.explode(every).alias("d")).select("base_key", "group_bytes", "d.drive", "d.free_bytes", F.element_at("held", F.col("d.drive")).alias("own"))
@@ -109,66 +96,10 @@ def accept(offers: DataFrame, free: DataFrame, reserve: int) -> DataFrame:
     return rows.withColumn("taken", F.col("ahead") + F.col("incoming")).withColumn("accepted", F.col("free_bytes") - F.col("taken") >= reserve).drop("ahead")
 
 
-def _sums(rows: DataFrame, drive: str, value: str) -> dict[str, int]:
-    """Bytes by drive, as many rows as there are drives."""
-    return {r[0]: int(r[1]) for r in rows.groupBy(drive).agg(F.sum(value)).collect()}
-
-
-def place(kept: DataFrame, drives: DataFrame, reserve: int = 0) -> DataFrame:
-    """(base_key, drive, incoming, round, evacuated): each group's drive. Rounds count on through the second pass, in which drives other than the sink free space
-    first; a group that was sent on to the sink has ``evacuated``. A group that no drive takes has nulls. Without is_sink among the columns of ``drives`` there is one pass."""
-    free = dict(_listed(drives))
-    sinks = [r[0] for r in drives.where("is_sink").select("drive").limit(2).collect()] if "is_sink" in drives.columns else []
-    offers = materialize(bids(kept, drives), "bids")
-    schema = "drive string, free_bytes long"
-    placed, live = None, []
-    for evacuate in (False, True) if sinks else (False,):
-        for rank in range(1, len(free) + 1):
-            todo = offers.where(F.col("rank") == rank)
-            if placed is not None:
-                todo = todo.join(placed.select("base_key"), "base_key", "left_anti")
-            if evacuate:
-                todo = todo.where(F.col("drive") != sinks[0])
-            asked = _sums(todo, "drive", "incoming")
-            if not asked:
-                continue
-            if evacuate and placed is not None:
-                need = {d: max(0, b + reserve - free[d]) for d, b in asked.items()}
-                listed = kept.sparkSession.createDataFrame(sorted(need.items()), "drive string, need_bytes long")
-                homes = placed.where("drive IS NOT NULL AND NOT evacuated").join(offers.select("base_key", "group_bytes").distinct(), "base_key")
-                out = evacuation(homes.select("base_key", "drive", F.col("group_bytes").alias("bytes")), listed)
-                out = _within(out, sinks[0], free[sinks[0]], reserve).where("fits")
-                out = materialize(out.select("base_key", "drive", "bytes"), "evacuated")
-                gone = _sums(out, "drive", "bytes")
-                for d, b in gone.items():
-                    free[d] += b
-                    free[sinks[0]] -= b
-                if gone:
-                    placed = materialize(placed.join(out.select("base_key", F.lit(True).alias("out")), "base_key", "left").select("base_key", F.when(F.col("out"), sinks[0]).otherwise(F.col("drive")).alias("drive"), "incoming", "round", (F.col("evacuated") | F.coalesce("out", F.lit(False))).alias("evacuated")), "placed")
-                    live.append(placed)
-                live.append(out)
-            now = kept.sparkSession.createDataFrame(sorted(free.items()), schema)
-            number = rank + (len(free) if evacuate else 0)
-            won = materialize(accept(todo, now, reserve).where("accepted").select("base_key", "drive", "incoming", F.lit(number).alias("round"), F.lit(False).alias("evacuated")), "placed")
-            live.append(won)
-            placed = won if placed is None else placed.unionByName(won)
-            # What arrived at each drive, less what left it: at most MAX_DRIVES rows.
-            for d, b in _sums(won, "drive", "incoming").items():
-                free[d] -= b
-            left = offers.where("bytes > 0").join(won.select("base_key", F.col("drive").alias("target")), "base_key").where("drive <> target")
-            for d, b in _sums(left, "drive", "bytes").items():
-                free[d] += b
-    rest = offers.where("rank = 1").select("base_key")
-    done = materialize(rest.join(placed, "base_key", "left") if placed is not None else rest.selectExpr("base_key", "CAST(NULL AS STRING) AS drive", "CAST(NULL AS BIGINT) AS incoming", "CAST(NULL AS INT) AS round", "CAST(NULL AS BOOLEAN) AS evacuated"), "placement")
-    for x in (offers, *live):
-        discard(x)
-    return done
-
-
 def consolidation_plan(files: DataFrame, drives: DataFrame, reserve: int = 0) -> DataFrame:
     """One row for each file: keep, shelve, skip, stay, rename or move, its target drive, file name there, bytes to move, and whether the name is taken there."""
     eps = materialize(best_copies(episodes(files)), "copies")
-    target = place(eps.where("keep"), drives, reserve).select("base_key", F.col("drive").alias("target"), "evacuated")
+    target = place(eps.where("keep"), drives, reserve, group_sizes(eps)).select("base_key", F.col("drive").alias("target"), "evacuated")
     rows = eps.join(target, "base_key", "left").withColumn("file", F.coalesce("new_name", F.concat("stem", F.lit("."), "ext")))
     action = F.when(~F.col("keep"), "shelve").when(F.col("target").isNull(), "skip").when(F.col("drive") != F.col("target"), "move").when(F.col("rename_01"), "rename").otherwise("stay")
     rows = rows.withColumn("action", action).withColumn("move_bytes", F.when(action == "move", F.col("size")).otherwise(0)).withColumn("evacuated", F.coalesce("evacuated", F.lit(False)))
@@ -177,26 +108,55 @@ def consolidation_plan(files: DataFrame, drives: DataFrame, reserve: int = 0) ->
     return rows.join(collisions(moves, there).select("path", "class"), "path", "left").withColumnRenamed("class", "collision")
 
 
-def evacuation(groups: DataFrame, need: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
-    """Of (base_key, drive, bytes) the largest first until a drive's needed bytes are freed; groups just moved there stay."""
+def leaving(groups: DataFrame, need: int, room: int) -> tuple[Column, Column, int]:
+    """Which of one drive's (base_key, bytes) leave it, the largest first, until ``need`` is freed, each one only if it fits into what is left of ``room``: as conditions
+    (leaves, was looked at), and what is left of the room.
+
+    A round takes the longest run of groups, of those that fit, that ``room`` holds and ``need`` asks for, by a running sum; then those that are larger than the rest drop out.
+    A group that ends a run is no larger than the run, so each round halves the room at least.
+    """
+    took, last = F.lit(False), None
+    behind = lambda z: (F.col("bytes") < z[0]) | ((F.col("bytes") == z[0]) & (F.col("base_key") > z[1]))
+    while need > 0 and room >= 0:
+        rows = groups.where(F.col("bytes") <= room)
+        if last is not None:
+            rows = rows.where(behind(last))
+        sums = running_sum(rows.withColumn("__all", F.lit(0)), "__all", [-F.col("bytes"), F.col("base_key")], "bytes", "before")
+        run = sums.where((F.col("before") + F.col("bytes") <= room) & (F.col("before") < need))
+        total, end = run.agg(F.sum("bytes"), F.max(F.struct((-F.col("bytes")).alias("b"), F.col("base_key").alias("k")))).first()
+        if end is None:
+            break
+        own = F.col("bytes") <= room
+        if last is not None:
+            own = own & behind(last)
+        last = (-end[0], end[1])
+        took = took | (own & ~behind(last))
+        need, room = need - total, room - total
+    return took, ~behind(last) if need <= 0 and last is not None else F.lit(need > 0), room
+
+
+def evacuation(groups: DataFrame, need: DataFrame, fresh: DataFrame | None = None, room: int | None = None) -> DataFrame:
+    """Of (base_key, drive, bytes) those that leave for a sink with ``room`` bytes (None: enough), and those that it couldn't take (``fits`` is false), drive by drive in the
+    order of their names, the largest first, until each drive's need_bytes are freed. Groups just moved to their drive (``fresh``) stay."""
     if fresh is not None:
         groups = groups.join(fresh.select("base_key", "drive"), ["base_key", "drive"], "left_anti")
-    rows = running_sum(groups.withColumn("size_order", -F.col("bytes")), "drive", [F.col("size_order"), F.col("base_key")], "bytes", "before")
-    return rows.join(short_list(need, MAX_DRIVES), "drive").where(F.col("before") < F.col("need_bytes")).drop("before", "size_order")
-
-
-def _within(groups: DataFrame, sink: str, sink_free: int, reserve: int) -> DataFrame:
-    """Adds ``fits``: whether the sink still holds each group, drive by drive, the largest first."""
-    rows = groups.withColumn("sink", F.lit(sink)).withColumn("size_order", -F.col("bytes"))
-    rows = running_sum(rows, "sink", [F.col("drive"), F.col("size_order"), F.col("base_key")], "bytes", "ahead")
-    return rows.withColumn("fits", F.lit(sink_free) - F.col("ahead") - F.col("bytes") >= reserve).drop("ahead", "size_order")
+    listed = need.select("drive", F.col("need_bytes").cast("long")).limit(MAX_DRIVES + 1).collect()
+    if len(listed) > MAX_DRIVES:
+        raise ValueError(f"more than {MAX_DRIVES} drives in a configured list")
+    groups = materialize(groups, "leaving")
+    left, out = (1 << 62) if room is None else room, []
+    for drive, amount in sorted(map(tuple, listed)):
+        own = groups.where(F.col("drive") == drive)
+        took, seen, left = leaving(own, amount, left)
+        out.append(own.where(seen).withColumn("fits", took))
+    return reduce(DataFrame.unionByName, out) if out else groups.limit(0).withColumn("fits", F.lit(True))
 
 
 def balance_plan(groups: DataFrame, drives: DataFrame, target_free: int, reserve: int = 0, fresh: DataFrame | None = None) -> DataFrame:
-    """Groups to move to the sink so that each drive reaches its target, as far as the sink holds them."""
+    """Groups to move to the sink so that each drive reaches its target, as far as the sink holds them (``fits``)."""
     need = drives.where("NOT is_sink").select("drive", F.greatest(F.lit(target_free) - F.col("free_bytes"), F.lit(0)).alias("need_bytes"))
     sink = drives.where("is_sink").agg(F.max("drive"), F.max("free_bytes")).first()
-    return _within(evacuation(groups, need, fresh), sink[0], int(sink[1] or 0), reserve)
+    return evacuation(groups, need, fresh, int(sink[1] or 0) - reserve)
 
 
 def collisions(moves: DataFrame, existing: DataFrame, tolerance: int = 2) -> DataFrame:

@@ -248,8 +248,9 @@ def placement_round1(spark, sf):
 
 @query
 def placement(spark, sf):
-    """The drive of each group after all rounds, those with evacuation included."""
-    return consolidate.place(kept(spark, sf), short_list(table(spark, sf, "drives"), consolidate.MAX_DRIVES), 1_000_000)
+    """The drive of each group in the order of work; drives with too little room send groups to the sink."""
+    eps = best(spark, sf)
+    return consolidate.place(eps.where("keep"), table(spark, sf, "drives"), 1_000_000, consolidate.group_sizes(eps))
 
 
 @query
@@ -284,7 +285,8 @@ def free_names(spark, sf):
 def evacuation(spark, sf):
     groups = consolidate.drive_sums(kept(spark, sf))
     need = table(spark, sf, "drives").where("NOT is_sink").select("drive", F.floor(F.col("free_bytes") / 4).alias("need_bytes"))
-    return consolidate.evacuation(groups, need).select("base_key", "drive", "bytes")
+    room = table(spark, sf, "drives").where("is_sink").first()["free_bytes"]
+    return consolidate.evacuation(groups, need, room=room).select("base_key", "drive", "bytes", "fits")
 
 
 @query

@@ -13,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Where that is unset, a folder of our own on one machine, and an error on a cluster, whose executors share no local folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = os.path.join(tempfile.gettempdir(), "checkpoints", "cinelake")
         spark.conf.set("spark.checkpoint.dir", at)
@@ -34,3 +34,11 @@ def discard(df: DataFrame) -> None:
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def workers_import(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it isn't installed on them."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)

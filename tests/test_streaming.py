@@ -1,3 +1,4 @@
+import os
 import tempfile
 
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ def test_debounced_stream_closes_bursts(spark):
 
 def test_index_arrivals(spark):
     at, schema = tempfile.mkdtemp(), "dir string, file string, base string, size int, mtime timestamp"
+    os.makedirs(f"{at}/in")
     stream = spark.readStream.schema(schema).parquet(f"{at}/in")
     for rows in ([("/d", "a.mp4", "a", 1, None), ("/d", "a.mp4", "a", 2, None), ("/d", "b.mp4", "b", 5, None)], [("/d", "b.mp4", "b", 3, None)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{at}/in")
