@@ -152,6 +152,7 @@ ORACLES = {
     "normalize_plain": f"{ctes('raw_files')} SELECT dir, file_name, {NORMAL} AS title FROM raw_files",
     "normalize_all": f"{ctes('raw_files')} SELECT dir, file_name, {NORMAL} AS title FROM raw_files",
     "normalize_plan": f"{ctes('raw_files', 'names')}, sq AS (SELECT lower(replace(name, ' ', '')) AS k, min(name) AS n FROM names GROUP BY 1 HAVING count(*) = 1), words AS (SELECT lower(unnest(string_split(name, ' '))) AS w FROM names UNION SELECT lower(name) FROM names), t AS (SELECT *, regexp_extract(file_name, '\\.scene\\.\\d+\\.([A-Za-z]+)', 1) AS piece, {NORMAL} AS title FROM raw_files), r AS (SELECT dir, file_name, concat(substr(title, 1, length(title) - length(piece)), coalesce(CASE WHEN length(piece) >= 6 AND k NOT IN (SELECT w FROM words) THEN n END, piece), '.mp4') AS new_name FROM t LEFT JOIN sq ON lower(piece) = k), c AS (SELECT *, count(*) OVER (PARTITION BY dir, lower(new_name)) AS m FROM r) SELECT concat(dir, '/', file_name) AS path, file_name AS old_name, new_name, new_name <> file_name AS needs_rename, CASE WHEN new_name = file_name THEN NULL WHEN m > 1 THEN 'two_sources' WHEN lower(new_name) = lower(file_name) THEN 'case_only' END AS conflict FROM c",
+    "restore_names": f"{ctes('names', 'cast_titles')}, sq AS (SELECT lower(replace(name, ' ', '')) AS k FROM names GROUP BY 1 HAVING count(*) = 1), words AS (SELECT lower(unnest(string_split(name, ' '))) AS w FROM names), ok AS (SELECT k FROM sq ANTI JOIN words ON w = k), f AS (SELECT *, regexp_extract(title, '^(.* - Scene_[0-9]+ - )', 1) AS head, lower(replace(n1, ' ', '')) IN (SELECT k FROM ok) AS s1, lower(replace(n2, ' ', '')) IN (SELECT k FROM ok) AS s2 FROM cast_titles) SELECT title AS was, CASE form WHEN 0 THEN concat(head, n1, ', ', n2) WHEN 3 THEN CASE WHEN s1 AND s2 THEN concat(head, n1, ', ', n2) ELSE concat(head, CASE WHEN s1 THEN n1 ELSE replace(n1, ' ', '') END, ' ', CASE WHEN s2 THEN n2 ELSE lower(replace(n2, ' ', '')) END) END WHEN 5 THEN concat(head, n1, ', ', n2, ', ', n1) WHEN 6 THEN concat(head, n1, ', ', n2, ', ', n2, ' at Night') ELSE title END AS title FROM f",
     "vocab_merge": f"{ctes('names')}, u AS (SELECT name, 0 AS r FROM names UNION ALL SELECT upper(name), 1 FROM names UNION ALL SELECT concat(p_brand, ' ', p_type), 2 FROM part) SELECT arg_min(name, (r, name)) AS name, lower(name) AS key FROM u GROUP BY lower(name)",
     "squash_ambiguity": f"{ctes('names')}, u AS (SELECT name FROM names UNION ALL SELECT upper(name) FROM names WHERE name LIKE 'B%') SELECT lower(replace(name, ' ', '')) AS squash, count(*) AS entries, CASE WHEN count(*) = 1 THEN min(name) END AS name FROM u WHERE contains(name, ' ') GROUP BY 1",
     "vocab_edit": f"{ctes('names')}, u AS (SELECT name, lower(name) AS key FROM names WHERE length(name) % 5 <> 0 UNION ALL SELECT 'New Entry', 'new entry') SELECT name, key FROM u WHERE contains(key, 'e')",

@@ -121,71 +121,92 @@ def squashed(names: DataFrame) -> DataFrame:
     return rows.groupBy("squash").agg(F.count("*").alias("entries"), F.min("name").alias("name")).select("squash", "entries", F.when(F.col("entries") == 1, F.col("name")).alias("name"))
 
 
-def restore_names(titles: DataFrame, names: DataFrame, column: str = "title") -> DataFrame:
-    """Titles with the people behind ``Scene_N`` put right by the vocabulary: a name without its spaces (six letters or more, one match, no known word),
-    also glued to the number, and missing commas between names of a part of three words or more.
+#: Words of the longest run that is looked up as one name.
+LONGEST_NAME = 4
 
-    Words are looked up by equi-joins, so the vocabulary may be large. Rows keep to themselves, whatever columns they share; other columns pass through.
-    """
-    vocabulary = names.select("name", F.lower("name").alias("full"))
-    titles = materialize(titles.withColumn("__row", F.monotonically_increasing_id()), "titles")  # written, so a row keeps its number
-    id_column = "__row"
-    words = vocabulary.select(F.explode(F.split("full", " ")).alias("word")).unionByName(vocabulary.select(F.col("full").alias("word"))).distinct()
-    lookup = squashed(names).where("name IS NOT NULL").select(F.col("squash").alias("key"), F.col("name").alias("fixed")).join(words.withColumnRenamed("word", "key"), "key", "left_anti")
-    single = vocabulary.where(~F.col("full").contains(" ")).select(F.col("full").alias("key"), F.col("name").alias("fixed"))
 
-    glued = r"^(.*?(?<![A-Za-z0-9_])Scene_\d{1,2})(\p{L}{6,})(?!\w)(.*)$"
-    blob = F.lower(F.regexp_extract(column, glued, 2))
-    either = lookup.unionByName(single).select(F.col("key").alias("__key"), F.col("fixed").alias("__fixed"))
-    rows = titles.withColumn("__key", F.nullif(blob, F.lit(""))).join(either, "__key", "left")
-    text = F.when(F.col("__fixed").isNotNull(), F.concat(F.regexp_extract(column, glued, 1), F.lit(" - "), F.col("__fixed"), F.regexp_extract(column, glued, 3))).otherwise(F.col(column))
-    rows = rows.withColumn("__s", normalize.split_tail(text)).drop("__key", "__fixed").withColumn("__text", F.concat("__s.head", "__s.tail"))
+def _segmented(size: Column, hits: Column) -> Column:
+    """The names that use up all ``size`` words of a part, from left to right the longest that leaves a rest which names use up too; empty where none do.
+    ``hits``: array of (i, n, name), the names of n words from word i on. Filled from the last word back; the head of the list stands for the next word."""
 
-    pieces = rows.where(F.col("__s.head") != "").select(id_column, F.posexplode(F.regexp_extract_all("__s.tail", F.lit(r"[^\s,]+|[\s,]+"), F.lit(0))).alias("pos", "piece"))
-    pieces = pieces.withColumn("key", F.when(F.length("piece") >= 6, F.lower("piece"))).join(lookup, "key", "left")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("fixed", "piece").alias("p")))), lambda x: x["p"]), "")
-    tails = materialize(pieces.groupBy(id_column).agg(joined.alias("tail")), "tails")
+    def step(acc: Column, i: Column) -> Column:
+        rest = lambda h: F.get(acc, h["n"] - 1)
+        able = F.filter(hits, lambda h: (h["i"] == i) & rest(h)["ok"])
+        best = let(F.array_sort(F.transform(able, lambda h: F.struct((-h["n"]).alias("m"), h["n"].alias("n"), h["name"].alias("name")))), lambda x: F.get(x, F.lit(0)))
+        found = let(best, lambda h: F.when(h.isNull(), none).otherwise(F.struct(F.lit(True).alias("ok"), F.concat(F.array(h["name"]), rest(h)["names"]).alias("names"))))
+        return F.concat(F.array(found), acc)
 
-    parts = tails.select(id_column, F.posexplode(F.filter(F.transform(F.split("tail", r"\s*,\s*"), lambda p: trim(p)), lambda p: p != "")).alias("part_no", "part")).withColumn("w", F.split("part", " "))
-    long = parts.where(F.size("w") >= 3)
-    spans = long.select(id_column, "part_no", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i")).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(4), F.size("w") - F.col("i") + 1))))
-    found = spans.withColumn("full", F.lower(F.array_join(F.slice("w", F.col("i"), F.col("n")), " "))).join(vocabulary, "full").groupBy(id_column, "part_no").agg(F.collect_list(F.struct("i", "n", "name")).alias("found"))
+    none = F.struct(F.lit(False).alias("ok"), F.array().cast("array<string>").alias("names"))
+    end = F.array(F.struct(F.lit(True).alias("ok"), F.array().cast("array<string>").alias("names")))
+    return F.get(F.aggregate(F.sequence(size, F.lit(1), F.lit(-1)), end, step), F.lit(0))["names"]
 
-    def segmented(size: Column, hits: Column) -> Column:
-        """Right to left: the names that use up the words from each place on, longest first; null where none do."""
 
-        def step(acc: Column, i: Column) -> Column:
-            rest = lambda n: F.get(acc, n - 1)
-            options = F.transform(F.array(*map(F.lit, (4, 3, 2, 1))), lambda n: let(F.filter(hits, lambda h: (h["i"] == i) & (h["n"] == n)), lambda h: F.when((F.size(h) > 0) & rest(n).isNotNull(), F.concat(F.array(F.get(h, F.lit(0))["name"]), rest(n)))))
-            return F.concat(F.array(F.get(F.filter(options, lambda o: o.isNotNull()), F.lit(0))), acc)
+def _restored(titles: DataFrame, names: DataFrame) -> DataFrame:
+    """(title, restored) of the different titles whose scene tail the vocabulary changes or may change."""
+    vocabulary = names.where("name <> ''").groupBy(F.lower("name").alias("full")).agg(F.min("name").alias("name"))
+    words = vocabulary.select(F.explode(F.split("full", " ")).alias("key")).unionByName(vocabulary.select(F.col("full").alias("key"))).distinct()
+    lookup = squashed(names).where("name IS NOT NULL").select(F.col("squash").alias("key"), F.col("name").alias("fixed")).join(words, "key", "left_anti")
+    single = vocabulary.where(~F.col("full").contains(" ")).select(F.col("full").alias("key"), F.col("name").alias("fixed"))
+    lookup, either = materialize(lookup, "lookup"), materialize(lookup.unionByName(single), "lookup")
 
-        start = F.array(F.array().cast("array<string>"))
-        return F.get(F.aggregate(F.sequence(size, F.lit(1), F.lit(-1)), start, step), F.lit(0))
+    glued = r"^(.*?(?<![A-Za-z0-9_])Scene_\d{1,2})(\p{L}{6,})(?!\w)(.*)$"
+    rows = titles.select("title").distinct().where(F.col("title").contains("Scene_") | F.lower("title").contains("scene_"))
+    rows = rows.withColumn("key", F.nullif(F.lower(F.regexp_extract("title", glued, 2)), F.lit(""))).join(either, "key", "left")
+    text = F.when(F.col("fixed").isNotNull(), F.concat(F.regexp_extract("title", glued, 1), F.lit(" - "), F.col("fixed"), F.regexp_extract("title", glued, 3))).otherwise(F.col("title"))
+    rows = rows.select("title", text.alias("text")).withColumn("s", normalize.split_tail(F.col("text"))).withColumn("__row", F.monotonically_increasing_id())
+    rows = materialize(rows, "titles")  # written, so a row keeps its number
+
+    # The pieces of a tail that are a squashed name: looked up by themselves, only hits come back.
+    pieces = lambda c: F.regexp_extract_all(c, F.lit(r"[^\s,]+"), F.lit(0))
+    asked = rows.where("s.head <> ''").select("__row", F.explode(F.array_distinct(F.transform(F.filter(pieces("s.tail"), lambda p: F.length(p) >= 6), F.lower))).alias("key"))
+    hits = asked.join(lookup, "key").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("key", "fixed"))).alias("fixes"))
+    parts_of = F.regexp_extract_all("s.tail", F.lit(r"[^\s,]+|[\s,]+"), F.lit(0))
+    tail = F.when(F.col("fixes").isNull(), F.col("s.tail")).otherwise(F.array_join(F.transform(parts_of, lambda p: F.coalesce(F.element_at("fixes", F.lower(p)), p)), ""))
+    parts = F.filter(F.transform(F.split("tail", r"\s*,\s*"), trim), lambda p: p != "")
+    rows = materialize(rows.where("s.head <> ''").join(hits, "__row", "left").withColumn("tail", tail).select("__row", "title", F.col("s.head").alias("head"), parts.alias("parts")).unionByName(rows.where("s.head = ''").select("__row", "title", F.col("text").alias("head"), F.lit(None).cast("array<string>").alias("parts"))), "tails")
+
+    # Parts of three words or more: each run of words is looked up as a name; the part itself, if it is one, stays.
+    long = rows.select("__row", F.posexplode("parts").alias("part", "p")).withColumn("w", F.split("p", " ")).where(F.size("w") >= 3)
+    starts = F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i")
+    lengths = F.array_distinct(F.concat(F.sequence(F.lit(1), F.least(F.lit(LONGEST_NAME), F.size("w") - F.col("i") + 1)), F.when(F.col("i") == 1, F.array(F.size("w"))).otherwise(F.array().cast("array<int>"))))
+    runs = long.select("__row", "part", "w", starts).withColumn("n", F.explode(lengths))
+    runs = runs.select("__row", "part", F.size("w").alias("words"), "i", "n", F.lower(F.array_join(F.slice("w", F.col("i"), F.col("n")), " ")).alias("full"))
+    found = runs.join(vocabulary, "full").groupBy("__row", "part", "words").agg(F.collect_list(F.struct("i", "n", "name")).alias("hits"), F.bool_or(F.col("n") == F.col("words")).alias("whole"))
+    cut = found.where("NOT whole").select("__row", "part", _segmented(F.col("words"), F.filter("hits", lambda h: h["n"] <= LONGEST_NAME)).alias("names")).where(F.size("names") >= 2)
+    cut = cut.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("part", F.array_join("names", ", ").alias("p")))).alias("cuts"))
+    people = F.array_join(F.transform("parts", lambda p, i: F.coalesce(F.element_at("cuts", i), p)), ", ")
+    return rows.join(cut, "__row", "left").select("title", F.when(F.col("parts").isNull(), F.col("head")).otherwise(F.concat("head", people)).alias("restored"))
+
+
+def restore_names(titles: DataFrame, names: DataFrame, column: str = "title") -> DataFrame:
+    """Titles with the people behind ``Scene_N`` put right by the vocabulary: a name without its spaces (six letters or more, one match, no known word),
+    also glued to the number, and missing commas between names of a part of three words or more that names use up.
 
-    fixed = parts.join(found, [id_column, "part_no"], "left").join(vocabulary.select(F.col("full").alias("own"), F.lit(True).alias("whole")), F.lower("part") == F.col("own"), "left")
-    names_in = F.when(F.col("found").isNotNull() & F.col("whole").isNull(), segmented(F.size("w"), F.col("found")))
-    fixed = fixed.withColumn("names", names_in).withColumn("p", F.when(F.size("names") >= 2, F.array_join("names", ", ")).otherwise(F.col("part")))
-    ends = fixed.groupBy(id_column).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_no", "p"))), lambda x: x["p"]), ", ").alias("__people"))
-    done = rows.join(ends, id_column, "left").withColumn(column, F.when(F.col("__people").isNotNull(), F.concat("__s.head", "__people")).otherwise(F.col("__text")))
-    return done.select(*[c for c in titles.columns if c != "__row"])
+    Each different title is worked on once, and words are looked up by equi-joins, so the vocabulary may be large. Of spellings of a name that differ by case the least
+    is written. Other columns pass through; a null title stays null.
+    """
+    fixed = _restored(titles.select(F.col(column).alias("title")), names).select(F.col("title").alias("__title"), F.col("restored").alias("__restored"))
+    done = titles.join(fixed, F.col(column) == F.col("__title"), "left").withColumn(column, F.coalesce("__restored", column))
+    return done.select(*titles.columns)
 
 
 def normalize_plan(files: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(path, old_name, new_name, needs_rename, conflict): the rename plan for (dir, file_name).
 
     conflict: 'two_sources' where two files of a folder get one name, 'exists' where another file that stays has it, 'case_only' where only letters' case changes.
+    Each different stem is normalised once.
     """
-    path = F.concat("dir", F.lit("/"), "file_name")
-    rows = files.select("dir", "file_name", path.alias("id"), stem(F.col("file_name")).alias("stem"), F.regexp_extract("file_name", r"(?<=.)\.([^.]*)$", 1).alias("ext"))
-    rows = rows.withColumn("title", normalize.before_names(F.col("stem")))
+    rows = files.select("dir", "file_name", stem(F.col("file_name")).alias("stem"), F.regexp_extract("file_name", r"(?<=.)\.([^.]*)$", 1).alias("ext"))
+    stems = materialize(rows.select("stem").distinct().withColumn("title", normalize.before_names(F.col("stem"))), "stems")
     if names is not None:
-        rows = restore_names(rows, names)
-    new = F.concat(normalize.after_names(F.col("title")), F.when(F.col("ext") != "", F.concat(F.lit("."), F.col("ext"))).otherwise(""))
+        stems = restore_names(stems, names)
+    rows = rows.join(stems.select("stem", normalize.after_names(F.col("title")).alias("title")), "stem")
+    new = F.concat("title", F.when(F.col("ext") != "", F.concat(F.lit("."), F.col("ext"))).otherwise(""))
     rows = rows.withColumn("new_name", new).withColumn("needs_rename", F.col("new_name") != F.col("file_name"))
     same = Window.partitionBy("dir", F.lower("new_name"))
     stays = F.max(F.when(~F.col("needs_rename"), 1)).over(same)
     conflict = F.when(~F.col("needs_rename"), F.lit(None)).when(stays == 1, "exists").when(F.count("*").over(same) > 1, "two_sources").when(F.lower("new_name") == F.lower("file_name"), "case_only")
-    return rows.withColumn("conflict", conflict).select(F.col("id").alias("path"), F.col("file_name").alias("old_name"), "new_name", "needs_rename", "conflict")
+    return rows.withColumn("conflict", conflict).select(F.concat("dir", F.lit("/"), "file_name").alias("path"), F.col("file_name").alias("old_name"), "new_name", "needs_rename", "conflict")
 
 
 def name_worklist(files: DataFrame) -> DataFrame:

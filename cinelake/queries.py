@@ -323,6 +323,12 @@ def normalize_all(spark, sf):
     return table(spark, sf, "raw_files").select("dir", "file_name", norm.normalize(F.regexp_replace("file_name", r"\.mp4$", "")).alias("title"))
 
 
+@query
+def restore_names(spark, sf):
+    """Tails of two or three people, glued, run together or with words that no name uses up."""
+    return names.restore_names(table(spark, sf, "cast_titles").select("title", F.col("title").alias("was")), table(spark, sf, "names")).select("was", "title")
+
+
 @query
 def harvest_names(spark, sf):
     raw = F.regexp_replace("file_name", r"\.mp4$", "")

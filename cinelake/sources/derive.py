@@ -44,6 +44,16 @@ SELECT concat('/stage/d', CAST(l_orderkey % 50 AS VARCHAR(9))) AS dir,
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1,2
 """
 
+# Two people of the vocabulary behind a scene, with and without what no name uses up.
+CAST_TITLES = """
+SELECT DISTINCT concat('Take ', CAST(a AS VARCHAR(9)), ' - Scene_', CAST(a % 3 + 1 AS VARCHAR(9)), ' - ',
+ CASE a % 7 WHEN 0 THEN concat(n1, ' ', n2) WHEN 1 THEN concat(n1, ' Extended Cut') WHEN 2 THEN concat('Late ', n1, ' ', n2) WHEN 3 THEN concat(replace(n1, ' ', ''), ' ', replace(lower(n2), ' ', ''))
+  WHEN 4 THEN concat(n1, ', ', n2) WHEN 5 THEN concat(n1, ' ', n2, ' ', n1) ELSE concat(n1, ' ', n2, ', ', n2, ' at Night') END) AS title, n1, n2, a % 7 AS form
+FROM (SELECT x.p_partkey AS a, x.n AS n1, y.n AS n2 FROM
+ (SELECT p_partkey, concat(upper(substr(split_part(p_name,' ',1),1,1)), substr(split_part(p_name,' ',1),2),' ', upper(substr(split_part(p_name,' ',2),1,1)), substr(split_part(p_name,' ',2),2)) AS n FROM part) x JOIN
+ (SELECT p_partkey, concat(upper(substr(split_part(p_name,' ',1),1,1)), substr(split_part(p_name,' ',1),2),' ', upper(substr(split_part(p_name,' ',2),1,1)), substr(split_part(p_name,' ',2),2)) AS n FROM part) y ON y.p_partkey = x.p_partkey + 1) t
+"""
+
 DRIVES = "SELECT drive, CASE WHEN drive='/vol3' THEN true ELSE false END AS is_sink, CAST(floor(sum(size)/10) AS BIGINT) AS free_bytes FROM media_files GROUP BY drive"
 
 ACTION_LOG = """
@@ -57,8 +67,8 @@ PROBE_RAW = """
 SELECT path, CASE WHEN length(stem) % 17 = 0 THEN 'not json{' ELSE concat('{"streams":[{"codec_type":"audio"},{"width":', CAST(size % 1921 AS VARCHAR(9)), ',"height":', CAST(size % 1081 AS VARCHAR(9)), '}],"format":{"duration":"', CAST(size % 7200 AS VARCHAR(9)), '.7"}}') END AS raw FROM media_files
 """
 
-TABLES = {"media_files": MEDIA_FILES, "library": LIBRARY, "names": NAMES, "raw_files": RAW_FILES, "drives": DRIVES, "action_log": ACTION_LOG, "probe_raw": PROBE_RAW}
-_INPUTS = {"media_files": ["lineitem", "part"], "library": ["part", "orders"], "names": ["part"], "raw_files": ["lineitem", "part"], "drives": ["media_files"], "action_log": ["events"], "probe_raw": ["media_files"]}
+TABLES = {"media_files": MEDIA_FILES, "library": LIBRARY, "names": NAMES, "raw_files": RAW_FILES, "cast_titles": CAST_TITLES, "drives": DRIVES, "action_log": ACTION_LOG, "probe_raw": PROBE_RAW}
+_INPUTS = {"media_files": ["lineitem", "part"], "library": ["part", "orders"], "names": ["part"], "raw_files": ["lineitem", "part"], "cast_titles": ["part"], "drives": ["media_files"], "action_log": ["events"], "probe_raw": ["media_files"]}
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
