@@ -20,7 +20,7 @@ bounded by the n-grams of the blocks.
 
 Tokens: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end token; the first state is a start token that isn't scored. Null and empty texts are
 the end token alone. A row with a null id is a training row. Rows equal in id and text count as often as they stand. Extra columns are ignored.
-N-gram identity is a hash whose length grows with the corpus, so that about one in 500,000 unseen n-grams is taken for a seen one.
+A word is told by 64 bits of hash, a longer n-gram by a hash whose length grows with the corpus, so that about one in 500,000 unseen n-grams is taken for a seen one.
 """
 
 from __future__ import annotations
@@ -170,7 +170,7 @@ class Block:
     def number(self, k: int, used: bool = True) -> None:
         """Names the n-grams of k + 1 tokens: of two tokens or fewer all, of longer ones those both of whose parts occur often enough; none that aren't ``used``."""
         if k == 0:
-            self.gram.append(self.flat >> self.shift)
+            self.gram.append(self.flat)
         else:
             g = np.zeros(len(self.flat), np.uint64)
             with np.errstate(over="ignore"):
