@@ -180,6 +180,8 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, ne
     slop 0: exact phrases. slop > 0: proximity; then the words hit are those of the matching span.
     Several blocks of items are matched one after the other, and their hits joined by row key: rows equal in id and text have equal hits.
     """
+    if size + max(slop, near) >= GAP:
+        raise ValueError(f"windows and slop of {GAP} words or more would reach into the next document")
     stream = blocks(items.select(F.col("item_id").cast("string"), "text"))
     block, following = next(stream, []), next(stream, None)
     kind = docs.schema["doc_id"].dataType
