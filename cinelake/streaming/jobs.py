@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..functions.core import under
+from ..sources.files import MAX_ROOTS, short_list
+from ..sources.publish import read_pointer, swap_pointer
+
 
 def debounced(events: DataFrame, key: str = "event_type", ts: str = "ts", gap: str = "30 seconds") -> DataFrame:
     """One row for each closed burst of (key, ts): a rebuild is due a gap after its last event. Batch and streaming alike."""
@@ -20,24 +28,70 @@ def stale(beats: DataFrame, now, limit_seconds: int, key: str = "run", ts: str =
     return last.withColumn("stale", F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("last").cast("timestamp")) > limit_seconds)
 
 
-def index_arrivals(arrivals: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Writes each micro-batch of (dir, file, base, size, mtime) as one delta below ``store``; a batch that is run again replaces its own. ``current_index`` reads them."""
+ENTRY = ["dir", "file", "base", "size", "mtime"]
+
+
+def _under(rows: DataFrame, roots: DataFrame, how: str) -> DataFrame:
+    """Rows whose folder lies below one of the roots (a short configured list)."""
+    return rows.join(short_list(roots.select(F.col("root").alias("__root")), MAX_ROOTS), under(F.col("dir"), F.col("__root")), how)
+
+
+def index_arrivals(arrivals: DataFrame, store: str, checkpoint: str, roots: Callable[[], DataFrame] | None = None) -> StreamingQuery:
+    """Writes each micro-batch of (dir, file, base, size, mtime) as one delta below ``store``; a batch that is run again replaces its own. ``current_index`` reads them.
+
+    With a column ``gone`` a row that has it set takes a file away. ``roots`` gives (root, present) as it is when a batch comes: what is reported gone below a root
+    that is away itself isn't taken for gone, so its files are carried forward.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
-        batch.select("dir", "file", "base", "size", "mtime").write.mode("overwrite").parquet(f"{store}/version={number}")
+        rows = batch if "gone" in batch.columns else batch.withColumn("gone", F.lit(False))
+        rows = rows.select(*ENTRY, F.coalesce("gone", F.lit(False)).alias("gone"))
+        if roots is not None:
+            away = roots().where("NOT present")
+            rows = rows.where("NOT gone").unionByName(_under(rows.where("gone"), away, "left_anti"))
+        rows.write.mode("overwrite").parquet(f"{store}/version={number}")
 
     return arrivals.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_index(spark: SparkSession, store: str) -> DataFrame:
-    """Of each file the entry of the latest delta; inside one, that with the latest mtime, then the largest."""
-    rows = spark.read.option("basePath", store).parquet(f"{store}/version=*")
-    latest = rows.groupBy("dir", "file").agg(F.max(F.struct("version", F.coalesce("mtime", F.lit("0001-01-01").cast("timestamp")), "size", "base", "mtime")).alias("z"))
-    return latest.select("dir", "file", "z.base", "z.size", "z.mtime", "z.version")
+def _store(spark: SparkSession, store: str) -> tuple[str | None, int, list[int]]:
+    """The compacted part that readers use, the last delta in it, and the deltas behind it."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(store)
+    names = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    base = read_pointer(spark, store)
+    last = int(base.split("=")[1].split("-")[0]) if base else -1
+    return base, last, sorted(v for n in names if n.startswith("version=") and (v := int(n.split("=")[1])) > last)
+
+
+def _entries(spark: SparkSession, store: str) -> DataFrame:
+    """The latest entry of each file, those that are gone included."""
+    base, last, deltas = _store(spark, store)
+    parts = []
+    if base:
+        parts.append(spark.read.parquet(f"{store}/{base}"))
+    if deltas:
+        rows = spark.read.option("basePath", store).parquet(*[f"{store}/version={v}" for v in deltas])
+        parts.append(rows.select(*ENTRY, "gone", F.col("version").cast("int").alias("version")))
+    rows = reduce(DataFrame.unionByName, parts)
+    order = F.struct("version", F.coalesce("mtime", F.lit("0001-01-01").cast("timestamp")), "size", F.col("gone").alias("z"), "base", "mtime")
+    return rows.groupBy("dir", "file").agg(F.max(order).alias("e")).select("dir", "file", "e.base", "e.size", "e.mtime", F.col("e.z").alias("gone"), "e.version")
+
+
+def current_index(spark: SparkSession, store: str, roots: DataFrame | None = None) -> DataFrame:
+    """Of each file the entry of the latest delta, unless that takes it away; inside one, that with the latest mtime, then the largest. ``roots`` (root): the
+    configured ones; what lies below no other is left out."""
+    rows = _entries(spark, store).where("NOT gone").drop("gone")
+    return rows if roots is None else _under(rows, roots, "left_semi")
 
 
-def compact(spark: SparkSession, store: str, into: str) -> None:
-    """The current index as a fresh store with one delta of the same version number."""
-    rows = current_index(spark, store)
-    last = rows.agg(F.max("version")).first()[0]
-    rows.drop("version").write.mode("overwrite").parquet(f"{into}/version={last}")
+def compact(spark: SparkSession, store: str, into: str | None = None) -> None:
+    """The current index as one part that stands for all deltas up to the last, in the store itself or as a fresh one. Readers turn to it in one step, and a delta that is
+    delivered again later doesn't count, so compacting twice or beside a repeated batch changes nothing. Entries that are gone end here."""
+    base, last, deltas = _store(spark, store)
+    into = into or store
+    if not deltas and into == store:
+        return
+    name = f"base={deltas[-1] if deltas else last}-{uuid.uuid4().hex}"
+    _entries(spark, store).where("NOT gone").write.parquet(f"{into}/{name}")
+    swap_pointer(spark, into, name)

@@ -3,6 +3,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from cinelake.plans.index import build_index
 from cinelake.streaming.jobs import compact, current_index, debounced, index_arrivals
 
 
@@ -27,3 +28,49 @@ def test_index_arrivals(spark):
     assert sorted((r.file, r.size, r.version) for r in current_index(spark, f"{at}/store").collect()) == want
     compact(spark, f"{at}/store", f"{at}/fresh")
     assert sorted((r.file, r.size) for r in current_index(spark, f"{at}/fresh").collect()) == [w[:2] for w in want]
+
+
+def test_index_follows_adds_removals_and_a_root_that_is_away(spark):
+    """Deltas give what a build over the whole listing gives, before and after compaction."""
+    at, schema = tempfile.mkdtemp(), "dir string, file string, base string, size long, mtime timestamp, gone boolean"
+    os.makedirs(f"{at}/in")
+    stream, away = spark.readStream.schema(schema).parquet(f"{at}/in"), {"/a": False, "/b": False, "/c": False}
+    roots = lambda: spark.createDataFrame([(r, not x) for r, x in away.items()], "root string, present boolean")
+    listing, previous = {}, spark.createDataFrame([], "base string, file string, dir string, size long, mtime timestamp")
+
+    def turn(changes):
+        """Files appear (size) or go (None); all below a root that is away are reported gone by the scan."""
+        rows = [(d, f, f[:-4], size, None, size is None) for (d, f), size in changes.items()]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        index_arrivals(stream, f"{at}/store", f"{at}/c", roots).awaitTermination()
+        for k, size in changes.items():
+            listing.pop(k, None) if size is None else listing.update({k: size})
+
+    def same():
+        nonlocal previous
+        files = spark.createDataFrame([(f"{d}/{f}", d, f[:-4], "mp4", size, None) for (d, f), size in listing.items()], "path string, dir string, stem string, ext string, size long, mtime timestamp")
+        built = build_index(files, previous, roots()).select("dir", "file", "size")
+        got = current_index(spark, f"{at}/store", roots().select("root")).select("dir", "file", "size")
+        want = sorted(map(tuple, built.collect()))
+        assert sorted(map(tuple, got.collect())) == want
+        previous = spark.createDataFrame([(f[:-4], f, d, size, None) for d, f, size in want], previous.schema)
+        return want
+
+    turn({("/a", "x.mp4"): 1, ("/a/s", "y.mp4"): 2, ("/b", "z.mp4"): 3, ("/b/t", "w.mp4"): 4, ("/c", "v.mp4"): 5})
+    assert len(same()) == 5
+    turn({("/a", "x.mp4"): 7, ("/a/s", "y.mp4"): None, ("/a", "new.mp4"): 8})
+    assert ("/a", "x.mp4", 7) in same()
+    away["/b"] = True
+    turn({("/b", "z.mp4"): None, ("/b/t", "w.mp4"): None, ("/a", "new.mp4"): None})
+    assert ("/b", "z.mp4", 3) in same() and len(previous.collect()) == 4
+    compact(spark, f"{at}/store")
+    before = same()
+    compact(spark, f"{at}/store")
+    late = spark.createDataFrame([("/a", "late.mp4", "late", 1, None, False)], schema)
+    late.write.mode("overwrite").parquet(f"{at}/store/version=2")  # a batch delivered again after it was compacted
+    assert same() == before
+    away["/b"] = False
+    turn({("/b", "z.mp4"): 9, ("/b/t", "w.mp4"): None, ("/a", "back.mp4"): 1})
+    assert ("/b", "z.mp4", 9) in same()
+    del away["/c"]
+    assert all(d != "/c" for d, _, _ in same())
