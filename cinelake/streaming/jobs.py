@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..functions.core import under
 from ..sources.files import MAX_ROOTS, short_list
 from ..sources.publish import read_pointer, swap_pointer
+from ..sources.store import workers_import
 
 
 def debounced(events: DataFrame, key: str = "event_type", ts: str = "ts", gap: str = "30 seconds") -> DataFrame:
@@ -28,6 +31,53 @@ def stale(beats: DataFrame, now, limit_seconds: int, key: str = "run", ts: str =
     return last.withColumn("stale", F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("last").cast("timestamp")) > limit_seconds)
 
 
+class Heartbeats(StatefulProcessor):
+    """The last heartbeat of a key, and a timer for when it has been silent for too long."""
+
+    def __init__(self, limit_seconds: int):
+        self.limit = limit_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        seen = max(int(pd.Timestamp(f["ts"].max()).value // 1_000_000) for f in rows)
+        before = self.last.get()
+        if before is not None and seen <= before[0]:  # late, and no news
+            return
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.last.update((seen,))
+        self.handle.registerTimer(seen + self.limit * 1000 + 1)
+        if before is None:
+            yield self._row(key, seen, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._row(key, self.last.get()[0], True)
+        self.last.clear()
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _row(key: tuple, ms: int, stale: bool) -> pd.DataFrame:
+        return pd.DataFrame({"run": [key[0]], "last": [pd.Timestamp(ms, unit="ms")], "stale": [stale]})
+
+
+def watched(beats: DataFrame, limit_seconds: int, key: str = "run", ts: str = "ts", clock: str = "ProcessingTime", delay: str = "0 seconds") -> DataFrame:
+    """A stream of (run, last, stale): a row when a key's heartbeats (key, ts) begin or begin again, and one, without waiting for another event, when ``limit_seconds`` have
+    passed since the last; with that its state is dropped, so only live keys are held. ``clock``: ProcessingTime, or EventTime, where the watermark (``delay`` behind the latest event) is the clock.
+    """
+    spark = beats.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    workers_import(spark)
+    rows = beats.select(F.col(key).cast("string").alias("run"), F.col(ts).alias("ts"))
+    if clock == "EventTime":
+        rows = rows.withWatermark("ts", delay)
+    return rows.groupBy("run").transformWithStateInPandas(Heartbeats(limit_seconds), "run string, last timestamp, stale boolean", "Append", clock)
+
+
 ENTRY = ["dir", "file", "base", "size", "mtime"]
 
 

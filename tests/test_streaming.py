@@ -1,10 +1,11 @@
 import os
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
 from cinelake.plans.index import build_index
-from cinelake.streaming.jobs import compact, current_index, debounced, index_arrivals
+from cinelake.streaming.jobs import compact, current_index, debounced, index_arrivals, watched
 
 
 def test_debounced_stream_closes_bursts(spark):
@@ -74,3 +75,43 @@ def test_index_follows_adds_removals_and_a_root_that_is_away(spark):
     assert ("/b", "z.mp4", 9) in same()
     del away["/c"]
     assert all(d != "/c" for d, _, _ in same())
+
+
+def test_heartbeats_by_the_clock_of_events(spark):
+    """A run is stale once the watermark is over 120 s past its last heartbeat; its state goes, and a later heartbeat begins it again."""
+    at = tempfile.mkdtemp()
+    os.makedirs(f"{at}/in")
+    stream = spark.readStream.schema("run string, ts timestamp").parquet(f"{at}/in")
+    clock = lambda s: f"2024-01-01 00:{s // 60:02}:{s % 60:02}"
+    got = []
+
+    def beat(*rows):
+        spark.createDataFrame([(r, clock(s)) for r, s in rows], "run string, t string").select("run", F.to_timestamp("t").alias("ts")).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        q = watched(stream, 120, clock="EventTime").writeStream.foreachBatch(lambda b, n: got.extend((r["run"], r["last"].strftime("%H:%M:%S")[3:], r["stale"]) for r in b.collect())).option("checkpointLocation", f"{at}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+        new = sorted(got)
+        got.clear()
+        return new
+
+    assert beat(("a", 0), ("b", 10)) == [("a", "00:00", False), ("b", "00:10", False)]
+    assert beat(("a", 100)) == []
+    assert beat(("c", 131)) == [("b", "00:10", True), ("c", "02:11", False)]  # b silent for 121 s, a for 31
+    assert beat(("c", 220)) == []  # a silent for exactly 120 s
+    assert beat(("c", 221)) == [("a", "01:40", True)]
+    assert beat(("a", 230)) == [("a", "03:50", False)]
+    assert beat(("a", 225), ("c", 400)) == [("a", "03:50", True)]  # what comes late doesn't count
+
+
+def test_heartbeats_by_the_wall_clock(spark):
+    """No further event is needed for a run to become stale."""
+    at = tempfile.mkdtemp()
+    spark.createDataFrame([("a",)], "run string").select("run", F.current_timestamp().alias("ts")).coalesce(1).write.parquet(f"{at}/in")
+    got = []
+    q = watched(spark.readStream.schema("run string, ts timestamp").parquet(f"{at}/in"), 2).writeStream.foreachBatch(lambda b, n: got.extend((r["run"], r["stale"]) for r in b.collect())).option("checkpointLocation", f"{at}/c").trigger(processingTime="500 milliseconds").start()
+    try:
+        end = time.time() + 60
+        while len(got) < 2 and time.time() < end:
+            time.sleep(0.2)
+    finally:
+        q.stop()
+    assert got == [("a", False), ("a", True)]
