@@ -135,6 +135,8 @@ ORACLES = {
     "index_allowed": f"{ctes('media_files')}, {SNAPSHOT}, f AS (SELECT dir, concat(stem, '.', ext) AS file FROM media_files) SELECT f.dir, f.file FROM f SEMI JOIN snap ON snap.dir = f.dir AND snap.file = f.file",
     "index_search": f"{ctes('media_files')}, {SNAPSHOT}, {QUERIES_SQL}, {FOUND} SELECT query, count(DISTINCT lower(base)) AS total_groups, count(*) AS total_files, CAST(sum(size) AS BIGINT) AS bytes FROM found GROUP BY 1",
     "index_search_page": f"{ctes('media_files')}, {SNAPSHOT}, {QUERIES_SQL}, {FOUND}, g AS (SELECT query, lower(base) AS base_key, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes, string_agg(concat(dir, '/', file), '|' ORDER BY {NATURAL.format('file')}, file, dir, size, mtime) AS files FROM found GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {NATURAL.format('base_key')}, base_key) AS rank, count(*) OVER (PARTITION BY query) AS total_groups, CAST(sum(n_files) OVER (PARTITION BY query) AS BIGINT) AS total_files FROM g) SELECT query, rank, base_key, n_files, bytes, files, total_groups, total_files FROM r WHERE rank > 50 AND rank <= 100",
+    "index_lookup": f"{ctes('media_files')}, {SNAPSHOT}, asked AS (SELECT unnest(['brand#1', 'BOLT', 'scene_2', 'no such title', '#4', 'X', '  Copper ', '.mkv', 'a b', '']) AS query), q AS (SELECT query, lower(trim(query)) AS q FROM asked WHERE length(trim(query)) BETWEEN 1 AND 120) SELECT query, dir, file, size FROM snap JOIN q ON contains(lower(base), q) OR contains(lower(file), q)",
+    "index_next_page": f"{ctes('media_files')}, {SNAPSHOT}, {QUERIES_SQL}, {FOUND}, g AS (SELECT query, lower(base) AS base_key, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM found GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {NATURAL.format('base_key')}, base_key) - 100 AS place FROM g) SELECT query, CAST(place AS INT) AS place, base_key, n_files, bytes FROM r WHERE place BETWEEN 1 AND 50",
     "episode_parse": f"{ctes('media_files')}, {PARSED} SELECT path, base, ep, variant FROM parsed",
     "episode_order_rank": f"{CONS} SELECT path, base_key, row_number() OVER (PARTITION BY base_key ORDER BY coalesce(ep, 0), CASE WHEN variant = '' THEN 0 WHEN variant LIKE '%Scene%' THEN 1 ELSE 2 END, CASE WHEN variant = '' THEN 0 ELSE CAST(regexp_extract(variant, '(\\d+)$', 1) AS BIGINT) END, lower(variant), lower(concat(stem, '.', ext)), path) AS place FROM eps",
     "best_copy": f"{CONS} SELECT path, item_key, keep, rename_01, flagged FROM best",

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from .functions import normalize as norm
 from .functions.core import natural_key
 from .functions.titles import episode_order, parse_episode, strip_variant
-from .plans import consolidate, index, ingest, library, names, reports
+from .plans import consolidate, index, ingest, library, names, reports, search
 from .sources.derive import derived as table
 from .sources.files import INGEST_EXTENSIONS, short_list
-from .sources.store import materialize
+from .sources.store import fresh_dir, materialize
 from .streaming.jobs import debounced, stale
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,6 +210,27 @@ def index_search_page(spark, sf):
     return index.search(snapshot(spark, sf), _searches(spark), page=1).select("query", "rank", "base_key", "n_files", "bytes", F.array_join(F.transform("files", lambda f: F.concat(f["dir"], F.lit("/"), f["file"])), "|").alias("files"), "total_groups", "total_files")
 
 
+LOOKUPS = [*SEARCHES, "#4", "X", "  Copper ", ".mkv", "a b", ""]
+
+
+@query
+def index_lookup(spark, sf):
+    """Search through stored pieces of names, for long and short queries."""
+    postings = search.build(snapshot(spark, sf).drop("carried"), fresh_dir(spark, "pieces"))
+    asked = spark.createDataFrame([(q,) for q in LOOKUPS], "query string")
+    return search.lookup(postings, asked).select("query", "dir", "file", "size")
+
+
+@query
+def index_next_page(spark, sf):
+    """The third page of each query's groups, each page found from the last group of the one before."""
+    grouped = materialize(search.groups(index.matching(snapshot(spark, sf), _searches(spark))), "groups")
+    page = search.next_page(grouped)
+    for _ in range(2):
+        page = search.next_page(grouped, search.last_seen(page))
+    return page.select("query", "place", "base_key", "n_files", "bytes")
+
+
 @query
 def episode_parse(spark, sf):
     p = parse_episode(F.col("stem"))
