@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -263,20 +264,48 @@ def typed_segment(partials: DataFrame, names: DataFrame) -> DataFrame:
     return done.withColumn("typed", rest).withColumn("start", F.length("partial") - F.length("typed")).select("partial", "typed", "start", "glued")
 
 
+def _cut(words: Column, known: Callable[[Column], Column]) -> Column:
+    """``words`` cut from left to right: ``known`` gives the length of the longest known name from a place on, or null for a pair; an odd last word joins the one before."""
+
+    def step(acc: Column, i: Column) -> Column:
+        n = F.coalesce(known(i), F.when(i < F.size(words), 2).otherwise(1))
+        lone = (i == F.size(words)) & (F.size(acc["out"]) > 0)
+        joined = F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.concat_ws(" ", F.element_at(acc["out"], -1), F.get(words, i - 1))))
+        grown = F.when(lone, joined).otherwise(F.concat(acc["out"], F.array(F.array_join(F.slice(words, i, n), " "))))
+        return F.when(i < acc["next"], acc).otherwise(F.struct(grown.alias("out"), (i + n).alias("next")))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(1).alias("next"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(words)), start, step)["out"]
+
+
+def _list_parts(text: Column) -> Column:
+    """What the separators of a pasted list leave, without parts that hold no letter."""
+    return F.filter(F.transform(F.split(text, r"(?i)[,;&/\n]|\s+and\s+"), lambda p: trim(F.regexp_replace(p, r"\s+", " "), WRAPPING)), lambda p: p.rlike(r"\p{L}"))
+
+
 def tidy_list(text: Column, known: Column) -> Column:
     """A pasted list of names (``known``: array of lower-case full names): separators dropped, runs of four words or more cut greedily by known names of two words or more, else in pairs; an odd last word joins the one before."""
 
     def cut(words: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            lengths = F.filter(F.array(*map(F.lit, (4, 3, 2))), lambda n: (i + n - 1 <= F.size(words)) & F.array_contains(known, F.lower(F.array_join(F.slice(words, i, n), " "))))
-            n = F.coalesce(F.get(lengths, F.lit(0)), F.when(i < F.size(words), 2).otherwise(1))
-            lone = (i == F.size(words)) & (F.size(acc["out"]) > 0)
-            joined = F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.concat_ws(" ", F.element_at(acc["out"], -1), F.get(words, i - 1))))
-            grown = F.when(lone, joined).otherwise(F.concat(acc["out"], F.array(F.array_join(F.slice(words, i, n), " "))))
-            return F.when(i < acc["next"], acc).otherwise(F.struct(grown.alias("out"), (i + n).alias("next")))
-
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(1).alias("next"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(words)), start, step)["out"]
-
-    parts = F.filter(F.transform(F.split(text, r"(?i)[,;&/\n]|\s+and\s+"), lambda p: trim(F.regexp_replace(p, r"\s+", " "), WRAPPING)), lambda p: p.rlike(r"\p{L}"))
-    return F.flatten(F.transform(parts, lambda p: let(F.split(p, " "), lambda w: F.when(F.size(w) >= 4, cut(w)).otherwise(F.array(p)))))
+        return _cut(words, lambda i: F.get(F.filter(F.array(*map(F.lit, (4, 3, 2))), lambda n: (i + n - 1 <= F.size(words)) & F.array_contains(known, F.lower(F.array_join(F.slice(words, i, n), " ")))), F.lit(0)))
+
+    return F.flatten(F.transform(_list_parts(text), lambda p: let(F.split(p, " "), lambda w: F.when(F.size(w) >= 4, cut(w)).otherwise(F.array(p)))))
+
+
+def tidy_lists(lists: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds ``people`` to (text, ...): what ``tidy_list`` makes of each pasted list, with a vocabulary of any size: each run of two to four words is one lookup by an equi-join.
+
+    Each different text is cut once. Null and empty texts give no people; other columns pass through.
+    """
+    rows = lists.select("text").where("text IS NOT NULL").distinct().select(F.col("text").alias("__text"), F.posexplode(_list_parts(F.col("text"))).alias("no", "p")).withColumn("w", F.split("p", " "))
+    rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "parts")  # written, so a row keeps its number
+    long = rows.where(F.size("w") >= LONGEST_NAME).select("__row", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("i"))
+    runs = long.withColumn("n", F.explode(F.sequence(F.lit(2), F.least(F.lit(LONGEST_NAME), F.size("w") - F.col("i") + 1))))
+    runs = runs.select("__row", "i", "n", F.lower(F.array_join(F.slice("w", F.col("i"), F.col("n")), " ")).alias("full"))
+    known = runs.join(names.select(F.lower("name").alias("full")).distinct(), "full").groupBy("__row", "i").agg(F.max("n").alias("n"))
+    known = known.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("known"))
+    cut = rows.join(known, "__row", "left").withColumn("known", F.coalesce("known", F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<int>"))))
+    cut = cut.select("__text", "no", F.when(F.size("w") >= LONGEST_NAME, _cut(F.col("w"), lambda i: F.element_at("known", i))).otherwise(F.array("p")).alias("own"))
+    whole = cut.groupBy("__text").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "own"))), lambda x: x["own"])).alias("people"))
+    joined = lists.join(whole, F.col("text") == F.col("__text"), "left").drop("__text")
+    return joined.withColumn("people", F.coalesce("people", F.array().cast("array<string>")))

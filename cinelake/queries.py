@@ -395,6 +395,17 @@ def typed_segment(spark, sf):
     return names.typed_segment(partials, own)
 
 
+@query
+def tidy_lists(spark, sf):
+    """Pasted lists: two people without and with a separator, a name of three words that some vocabulary entries have, odd words in front and at the end."""
+    own = table(spark, sf, "names").where(F.col("name").contains(" "))
+    elders = own.where("length(name) % 3 = 0").select(F.concat("name", F.lit(" Elder")).alias("name"))
+    forms = ["concat(n1, ' ', n2)", "concat(n1, ' Elder ', n2)", "concat('Lone ', n1, ' Elder ', n2, ' Elder')", "concat(lower(n1), ' elder and ', n2, ' ', n1)", "concat(n1, '; ', n2, ' & -')", "concat(n1, ' Elder ', n2, ' ', n1)"]
+    text = F.expr(f"CASE form % 6 {' '.join(f'WHEN {i} THEN {f}' for i, f in enumerate(forms))} END")
+    lists = table(spark, sf, "cast_titles").select(text.alias("text")).distinct()
+    return names.tidy_lists(lists, own.unionByName(elders)).select("text", F.array_join("people", "|").alias("people"))
+
+
 @query
 def shown_actions(spark, sf):
     log = table(spark, sf, "action_log").select("line_no", "action", "bytes", F.concat(F.lit("/Volumes/vol"), (F.col("line_no") % 4).cast("string"), F.lit("/f"), F.col("line_no").cast("string"), F.lit(".mp4")).alias("src"), F.lit("/Volumes/sink").alias("dest"))

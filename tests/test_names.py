@@ -72,3 +72,18 @@ def test_plan_with_leftovers(spark):
     files = spark.createDataFrame([("/s", "film.scene.1.Mara.Quill.Longer.Version.mp4"), ("/s", "film.scene.2.MaraQuill.OttoVane.mkv"), ("/t", "film.scene.2.MaraQuill.OttoVane.mkv"), ("/s", "plain.mp4")], "dir string, file_name string")
     got = {r["path"]: r["new_name"] for r in names.normalize_plan(files, vocabulary).collect()}
     assert got == {"/s/film.scene.1.Mara.Quill.Longer.Version.mp4": "Film - Scene_1 - Mara Quill Longer Version.mp4", "/s/film.scene.2.MaraQuill.OttoVane.mkv": "Film - Scene_2 - Mara Quill, Otto Vane.mkv", "/t/film.scene.2.MaraQuill.OttoVane.mkv": "Film - Scene_2 - Mara Quill, Otto Vane.mkv", "/s/plain.mp4": "Plain.mp4"}
+
+
+def test_pasted_lists(spark):
+    """With a vocabulary table as with an array of names, and by hand."""
+    known = ["Mara Quill", "Otto Vane", "Ana de la Cruz", "Lu Fei Wen", "Solace"]
+    texts = {
+        "mara quill otto vane": ["mara quill", "otto vane"], "Mara Quill, Otto Vane and Solace": ["Mara Quill", "Otto Vane", "Solace"], "Ana De La Cruz Mara Quill": ["Ana De La Cruz", "Mara Quill"],
+        "Lu Fei Wen Otto Vane": ["Lu Fei Wen", "Otto Vane"], "Who Ever Lu Fei Wen": ["Who Ever", "Lu Fei Wen"], "Who Lu Fei Wen Otto": ["Who Lu", "Fei Wen Otto"], "One Two Three": ["One Two Three"],
+        "One Two Three Four Five": ["One Two", "Three Four Five"], " - ; & 12 / ": [], "": [], "a\nb & c": ["a", "b", "c"], "Solace Mara Quill Otto Vane": ["Solace Mara", "Quill Otto Vane"],
+    }
+    lists = spark.createDataFrame([(t, i) for i, t in enumerate([*texts, *texts, None])], "text string, n int")
+    got = names.tidy_lists(lists, spark.createDataFrame([(k,) for k in [*known, "mara quill"]], "name string")).collect()
+    assert sorted((r.text or "?", r.n, r.people) for r in got) == sorted((t or "?", i, texts.get(t, [])) for i, t in enumerate([*texts, *texts, None]))
+    own = lists.where("text IS NOT NULL").select("text", names.tidy_list(F.col("text"), F.array(*[F.lit(k.lower()) for k in known])).alias("people")).collect()
+    assert all(r.people == texts[r.text] for r in own)
