@@ -33,6 +33,20 @@ def natural_key(c: Column) -> Column:
     return F.regexp_replace(padded, r"0+(\d{12})", "$1")
 
 
+#: Compares without regard to case and accents.
+COLLATION = "UNICODE_CI_AI"
+
+
+def natural_order(c: Column) -> Column:
+    """``natural_key`` to sort by: ``É`` stands with ``e``, whatever the case."""
+    return F.collate(natural_key(c), COLLATION)
+
+
+def alike(c: Column) -> Column:
+    """A text to join or group by without regard to case, accents and blanks around it."""
+    return F.collate(trim(c), COLLATION)
+
+
 def extension(c: Column) -> Column:
     return F.lower(F.regexp_extract(c, r"\.([^./]*)$", 1))
 

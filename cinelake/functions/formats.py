@@ -53,3 +53,18 @@ def run_summary(c: dict[str, Column]) -> Column:
     parts = [moved, some(c["duped"], "duplicate shelved", "duplicates shelved"), some(c["renamed"], "file renamed", "files renamed"), some(c["skipped"], "skipped", "skipped"), some(c["failed"], "failure", "failures"), some(c["flagged"], "to review", "to review")]
     line = F.concat_ws(", ", *parts)
     return F.when(line == "", "Nothing to do").otherwise(line)
+
+
+def last_run(c: dict[str, Column]) -> Column:
+    """One line about a run that has ended: dry_run, finished (shown as it is; null: unknown), seconds (null: not told), moved, bytes, duped, failed, renamed, skipped, flagged, and
+    index_rebuilt (null: not tried). What was skipped or needs review, or failed to be rebuilt, is always told."""
+    text = lambda x: F.coalesce(x, F.lit(0)).cast("string")
+    some = lambda n, *parts: F.when(F.coalesce(n, F.lit(0)) > 0, F.concat(*parts)).otherwise("")
+    review = " needs review (see RENAME_01_SKIP in the log)"
+    return F.concat(
+        F.when(c["dry_run"], "Dry run").otherwise("Run"), F.lit(" finished "), F.coalesce(c["finished"], F.lit("unknown")), F.when(c["seconds"].isNotNull(), F.concat(F.lit(" (took "), spoken_duration(c["seconds"]), F.lit(")"))).otherwise(""),
+        F.lit(" — "), text(c["moved"]), F.lit(" moved ("), byte_size(F.coalesce(c["bytes"], F.lit(0))), F.lit("), "), text(c["duped"]), F.lit(" duplicates, "), text(c["failed"]), F.lit(" failed"),
+        some(c["renamed"], F.lit(", "), text(c["renamed"]), F.lit(" renamed to # 01")), some(c["skipped"], F.lit(", "), text(c["skipped"]), F.lit(" groups skipped (space)")),
+        F.when(c["flagged"] == 1, F.lit(f". 1 file{review}")).otherwise(some(c["flagged"], F.lit(". "), text(c["flagged"]), F.lit(f" files{review.replace('needs', 'need')}"))),
+        F.when(c["index_rebuilt"], ". Drive index rebuilt.").when(~c["index_rebuilt"], ". Drive index rebuild FAILED — rebuild it manually.").otherwise(""),
+    )

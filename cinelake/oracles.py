@@ -108,6 +108,7 @@ SIZE = f"CASE WHEN filesize = 0 THEN '0 Bytes' WHEN filesize < 1000 THEN {_scale
 TITLE_CASE = "concat(upper(substr({0}, 1, 1)), substr({0}, 2))"
 BASE_NAME = "replace(regexp_extract(file_name, '^([a-z0-9.#]+)\\.scene\\.', 1), '.', ' ')"
 NORMAL = "concat(" + TITLE_CASE.format(f"split_part({BASE_NAME}, ' ', 1)") + r", ' Brand# ', lpad(regexp_extract(file_name, 'brand#(\d+)', 1), CAST(greatest(2, length(regexp_extract(file_name, 'brand#(\d+)', 1))) AS INT), '0'), ' - Scene_', regexp_extract(file_name, '\.scene\.(\d+)\.', 1), ' - ', regexp_extract(file_name, '\.scene\.\d+\.([A-Za-z]+)', 1))"
+ACCENTED = "CASE id % 3 WHEN 0 THEN translate(title, 'aeo', 'áèö') WHEN 1 THEN upper(translate(title, 'eu', 'éü')) ELSE title END"
 FMT = "'%Y-%m-%d %H:%M:%S'"
 
 ORACLES = {
@@ -128,6 +129,10 @@ ORACLES = {
     "listing_filtered": f"{ctes('library')} SELECT id, title, dimensions, s AS seconds, CASE WHEN s = 0 THEN '00:00:00' WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%02d:%02d', s // 60, s % 60) END AS shown_duration, {SIZE} AS shown_size, strftime(date_created, {FMT}) AS date_created FROM (SELECT *, {SECONDS} AS s FROM library) z WHERE contains(lower(title), 'large') AND ends_with(title, '1')",
     "listing_counts": f"{ctes('library')} SELECT count(*) AS total, count(*) FILTER (WHERE contains(lower(title), 'large') AND ends_with(title, '1')) AS shown FROM library",
     "apply_edits": f"{ctes('library')} SELECT id, CASE WHEN id % 9 = 0 THEN concat(title, ' edited') ELSE title END AS title, dimensions, duration, CASE WHEN id % 9 = 0 THEN 0 ELSE filesize END AS filesize, strftime(date_created, {FMT}) AS date_created FROM library",
+    "apply_changes": f"{ctes('library')} SELECT id, CASE WHEN id % 97 = 0 THEN concat(title, ' edited') ELSE title END AS title, dimensions, duration, filesize, strftime(date_created, {FMT}) AS date_created FROM library WHERE id % 89 <> 0",
+    "titles_in_order": f"{ctes('library')}, a AS (SELECT id, {ACCENTED} AS title FROM library) SELECT id, title, row_number() OVER (ORDER BY {NATURAL.format('strip_accents(title)')} COLLATE NOCASE.NOACCENT, id) AS place FROM a",
+    "find_titles": f"{ctes('library')}, a AS (SELECT DISTINCT {ACCENTED} AS title FROM library), l AS (SELECT title, id FROM library) SELECT a.title, min(l.id) AS id FROM a LEFT JOIN l ON trim(a.title) COLLATE NOCASE.NOACCENT = trim(l.title) COLLATE NOCASE.NOACCENT GROUP BY 1",
+    "last_run_lines": f"{ctes('action_log')}, r AS (SELECT grp, count(*) FILTER (WHERE status = 'OK' AND action = 'MOVE') AS m, coalesce(sum(bytes) FILTER (WHERE status = 'OK' AND action = 'MOVE'), 0) AS filesize, count(*) FILTER (WHERE status = 'OK' AND action = 'MOVE_DUP') AS d, count(*) FILTER (WHERE status = 'FAIL') AS f, count(*) FILTER (WHERE status = 'OK' AND action = 'RENAME_01') AS n, count(*) FILTER (WHERE status = 'SKIP') AS s, max(line_no) AS z, max(ts) AS t FROM action_log GROUP BY 1) SELECT grp, concat(CASE WHEN z % 2 = 0 THEN 'Dry run' ELSE 'Run' END, ' finished ', CASE WHEN z % 5 > 0 THEN strftime(t, {FMT}) ELSE 'unknown' END, CASE WHEN z % 3 = 0 THEN '' WHEN z >= 3600 THEN printf(' (took %dh %dm %ds)', z // 3600, z // 60 % 60, z % 60) WHEN z >= 60 THEN printf(' (took %dm %ds)', z // 60, z % 60) ELSE printf(' (took %ds)', z) END, ' — ', m, ' moved (', {SIZE.replace('filesize', 'CAST(filesize AS BIGINT)')}, '), ', d, ' duplicates, ', f, ' failed', CASE WHEN n > 0 THEN concat(', ', n, ' renamed to # 01') ELSE '' END, CASE WHEN s > 0 THEN concat(', ', s, ' groups skipped (space)') ELSE '' END, CASE z % 4 WHEN 0 THEN '' WHEN 1 THEN '. 1 file needs review (see RENAME_01_SKIP in the log)' ELSE concat('. ', z % 4, ' files need review (see RENAME_01_SKIP in the log)') END, CASE WHEN z % 7 < 2 THEN '. Drive index rebuilt.' WHEN z % 7 < 4 THEN '. Drive index rebuild FAILED — rebuild it manually.' ELSE '' END) AS line FROM r",
     "apply_deletes": f"{ctes('library')} SELECT id, 'kept' AS state FROM library WHERE id % 10 <> 0 UNION ALL SELECT CAST(-1 AS BIGINT), 'not_found'",
     "index_snapshot": f"{ctes('media_files')}, {SNAPSHOT} SELECT base, file, dir, size, strftime(mtime, {FMT}) AS mtime, carried FROM snap",
     "index_meta": f"{ctes('media_files')}, {SNAPSHOT} SELECT count(*) AS file_count, '/vol0,/vol1,/vol2,/vol3' AS roots, '/vol2' AS missing_roots FROM snap",

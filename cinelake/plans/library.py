@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats
-from ..functions.core import natural_key
+from ..functions.core import alike, natural_order
 
 #: Columns that edits may change, and what a null becomes (fixed values).
 EDITABLE = {"title": "", "dimensions": "", "duration": 0, "filesize": 0}
@@ -18,13 +18,20 @@ def text_filter(c: Column, kind: str, text: str) -> Column:
 
 
 def listing(library: DataFrame, conditions: list[tuple[str, str]] = ()) -> DataFrame:
-    """Display columns of the titles that meet all (kind, text) conditions; natural title order with a filter, else newest first."""
+    """Display columns of the titles that meet all (kind, text) conditions; natural title order without regard to case and accents with a filter, else newest first."""
     rows = library
     for kind, text in conditions:
         rows = rows.where(text_filter(F.col("title"), kind, text))
     seconds = formats.whole_seconds(F.col("duration"))
     rows = rows.select("id", "title", "dimensions", seconds.alias("seconds"), formats.duration(seconds).alias("shown_duration"), formats.byte_size(F.col("filesize")).alias("shown_size"), "date_created")
-    return rows.orderBy(natural_key(F.col("title")), "id") if conditions else rows.orderBy(F.desc_nulls_last("date_created"), "id")
+    return rows.orderBy(natural_order(F.col("title")), "id") if conditions else rows.orderBy(F.desc_nulls_last("date_created"), "id")
+
+
+def find_titles(titles: DataFrame, library: DataFrame) -> DataFrame:
+    """(title, id): for each different title the library's least id whose title is the same but for case, accents and blanks around it; null where there is none."""
+    known = library.groupBy(alike(F.col("title")).alias("__key")).agg(F.min("id").alias("id"))
+    asked = titles.select("title").distinct().withColumn("__key", alike(F.col("title")))
+    return asked.join(known, "__key", "left").select("title", "id")
 
 
 def counts(library: DataFrame, conditions: list[tuple[str, str]] = ()) -> DataFrame:

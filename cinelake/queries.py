@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import normalize as norm
-from .functions.core import natural_key
+from .functions.core import natural_key, natural_order
 from .functions.titles import episode_order, parse_episode, strip_variant
-from .plans import consolidate, index, ingest, library, names, reports, search
+from .functions import formats
+from .plans import consolidate, index, ingest, library, names, reports, search, stored
+from .plans.placement import numbered
 from .sources.derive import derived as table
 from .sources.files import INGEST_EXTENSIONS, short_list
 from .sources.store import fresh_dir, materialize
@@ -139,8 +141,8 @@ def listing_filtered(spark, sf):
 def listing_newest(spark, sf):
     """The whole listing, newest first: each title's place."""
     rows = library.listing(table(spark, sf, "library"))
-    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("date_created"), "id"))  # one library's titles, ranked for the comparison
-    return rows.select("id", "title", place.alias("place"))
+    newest = F.coalesce(-F.unix_micros(F.col("date_created").cast("timestamp")), F.lit((1 << 63) - 1))
+    return numbered(rows, [newest, F.col("id")]).select("id", "title", (F.col("pos") + 1).alias("place"))
 
 
 @query
@@ -163,6 +165,46 @@ def apply_edits(spark, sf):
     return library.apply_edits(lib, rows).withColumn("date_created", text("date_created"))
 
 
+@query
+def apply_changes(spark, sf):
+    """The stored library after edits and deletes of a few rows: what it holds then, from rewritten and untouched buckets."""
+    lib = table(spark, sf, "library")
+    store = fresh_dir(spark, "library")
+    stored.create(lib, store)
+    edits = lib.where("id % 97 = 0").select("id", F.lit("title").alias("field"), F.concat("title", F.lit(" edited")).alias("value"), F.lit(1).alias("seq"))
+    stored.change(spark, store, edits, lib.where("id % 89 = 0").select("id").unionByName(spark.range(-1, 0)))
+    return stored.read(spark, store).withColumn("date_created", text("date_created"))
+
+
+def accented(spark: SparkSession, sf: str) -> DataFrame:
+    """The library's titles, two thirds of them with accents and in upper case."""
+    marked = F.when(F.col("id") % 3 == 0, F.translate("title", "aeo", "áèö")).when(F.col("id") % 3 == 1, F.upper(F.translate("title", "eu", "éü"))).otherwise(F.col("title"))
+    return table(spark, sf, "library").select("id", marked.alias("title"))
+
+
+@query
+def titles_in_order(spark, sf):
+    """Each title's place in natural order without regard to case and accents."""
+    return numbered(accented(spark, sf), [natural_order(F.col("title")), F.col("id")]).select("id", "title", (F.col("pos") + 1).alias("place"))
+
+
+@query
+def find_titles(spark, sf):
+    """Titles with accents and in capitals, and the library row that each one is."""
+    return library.find_titles(accented(spark, sf), table(spark, sf, "library"))
+
+
+@query
+def last_run_lines(spark, sf):
+    """The line about each owner's run, from its log."""
+    log = table(spark, sf, "action_log")
+    ok = F.col("status") == "OK"
+    n = lambda cond: F.count_if(cond)
+    runs = log.groupBy("grp").agg(n(ok & (F.col("action") == "MOVE")).alias("moved"), F.sum(F.when(ok & (F.col("action") == "MOVE"), F.col("bytes"))).alias("bytes"), n(ok & (F.col("action") == "MOVE_DUP")).alias("duped"), n(F.col("status") == "FAIL").alias("failed"), n(ok & (F.col("action") == "RENAME_01")).alias("renamed"), n(F.col("status") == "SKIP").alias("skipped"), F.max("line_no").alias("last"), F.max("ts").alias("finished"))
+    c = {k: F.col(k) for k in ("moved", "bytes", "duped", "failed", "renamed", "skipped")} | {"dry_run": F.col("last") % 2 == 0, "finished": F.when(F.col("last") % 5 > 0, text("finished")), "seconds": F.when(F.col("last") % 3 > 0, F.col("last")), "flagged": F.col("last") % 4, "index_rebuilt": F.when(F.col("last") % 7 < 4, F.col("last") % 7 < 2)}
+    return runs.select("grp", formats.last_run(c).alias("line"))
+
+
 @query
 def apply_deletes(spark, sf):
     lib = table(spark, sf, "library")
