@@ -156,7 +156,7 @@ ORACLES = {
     "evacuation": f"{RECURSIVE_CONS}, {SUMS}, sink_room AS MATERIALIZED (SELECT CAST(free_bytes AS BIGINT) AS room FROM drives WHERE is_sink), wanted AS (SELECT sums.*, CAST(floor(free_bytes / 4) AS BIGINT) AS need FROM sums JOIN drives USING (drive) WHERE NOT is_sink), {LEAVING}",
     "balance_plan": f"{RECURSIVE_CONS}, {SUMS}, d AS (SELECT drive, is_sink, CAST(floor(free_bytes / CASE WHEN is_sink THEN 3 ELSE 2 END) AS BIGINT) AS fb FROM drives), sink_room AS MATERIALIZED (SELECT fb - 1000 AS room FROM d WHERE is_sink), wanted AS (SELECT sums.*, greatest((SELECT max(fb) FROM d) - fb, 0) AS need FROM sums JOIN d USING (drive) WHERE NOT is_sink), {LEAVING}",
     "collision_classes": f"{ctes('media_files')}, f AS (SELECT *, lower(concat(stem, '.', ext)) AS k FROM media_files), there AS (SELECT '/vol1' AS target, k, CASE WHEN size % 3 = 0 THEN size + 1 ELSE size END AS s, mtime AS m FROM f WHERE drive = '/vol1' UNION ALL SELECT '/vol0', k, size, mtime FROM f WHERE drive = '/vol0'), moves AS (SELECT f.*, target FROM f, (SELECT unnest(['/vol0', '/vol1']) AS target) t WHERE drive = '/vol0') SELECT path, target, CASE WHEN bool_or(size = s AND abs(epoch(mtime) - epoch(m)) <= 2) THEN 'duplicate' ELSE 'suspect' END AS class FROM moves JOIN there USING (target, k) GROUP BY 1, 2",
-    "normalize_plain": f"{ctes('raw_files')} SELECT dir, file_name, {NORMAL} AS title FROM raw_files",
+    "normalize_plain": f"{ctes('raw_files')} SELECT dir, file_name, concat('Tales Of THE ', {NORMAL}) AS title FROM raw_files",
     "normalize_all": f"{ctes('raw_files')} SELECT dir, file_name, {NORMAL} AS title FROM raw_files",
     "normalize_plan": f"{ctes('raw_files', 'names')}, sq AS (SELECT lower(replace(name, ' ', '')) AS k, min(name) AS n FROM names GROUP BY 1 HAVING count(*) = 1), words AS (SELECT lower(unnest(string_split(name, ' '))) AS w FROM names UNION SELECT lower(name) FROM names), t AS (SELECT *, regexp_extract(file_name, '\\.scene\\.\\d+\\.([A-Za-z]+)', 1) AS piece, {NORMAL} AS title FROM raw_files), r AS (SELECT dir, file_name, concat(substr(title, 1, length(title) - length(piece)), coalesce(CASE WHEN length(piece) >= 6 AND k NOT IN (SELECT w FROM words) THEN n END, piece), '.mp4') AS new_name FROM t LEFT JOIN sq ON lower(piece) = k), c AS (SELECT *, count(*) OVER (PARTITION BY dir, lower(new_name)) AS m FROM r) SELECT concat(dir, '/', file_name) AS path, file_name AS old_name, new_name, new_name <> file_name AS needs_rename, CASE WHEN new_name = file_name THEN NULL WHEN m > 1 THEN 'two_sources' WHEN lower(new_name) = lower(file_name) THEN 'case_only' END AS conflict FROM c",
     "restore_names": f"{ctes('names', 'cast_titles')}, sq AS (SELECT lower(replace(name, ' ', '')) AS k FROM names GROUP BY 1 HAVING count(*) = 1), words AS (SELECT lower(unnest(string_split(name, ' '))) AS w FROM names), ok AS (SELECT k FROM sq ANTI JOIN words ON w = k), f AS (SELECT *, regexp_extract(title, '^(.* - Scene_[0-9]+ - )', 1) AS head, lower(replace(n1, ' ', '')) IN (SELECT k FROM ok) AS s1, lower(replace(n2, ' ', '')) IN (SELECT k FROM ok) AS s2 FROM cast_titles) SELECT title AS was, CASE form WHEN 0 THEN concat(head, n1, ', ', n2) WHEN 3 THEN CASE WHEN s1 AND s2 THEN concat(head, n1, ', ', n2) ELSE concat(head, CASE WHEN s1 THEN n1 ELSE replace(n1, ' ', '') END, ' ', CASE WHEN s2 THEN n2 ELSE lower(replace(n2, ' ', '')) END) END WHEN 5 THEN concat(head, n1, ', ', n2, ', ', n1) WHEN 6 THEN concat(head, n1, ', ', n2, ', ', n2, ' at Night') ELSE title END AS title FROM f",
@@ -173,9 +173,9 @@ ORACLES = {
     "action_summary": f"{ctes('action_log')} SELECT action, status, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM action_log GROUP BY 1, 2",
     "action_tail": f"{ctes('action_log')} SELECT line_no, strftime(ts, {FMT}) AS ts, grp, action, bytes, status FROM (SELECT * FROM action_log WHERE action NOT IN {NOT_ACTIONS} ORDER BY line_no DESC LIMIT 400) z",
     "recent_terms": f"WITH e AS (SELECT user_id % 20 AS owner, lower(concat(event_type, ' ', event_id % 40)) AS key, ts FROM events), m AS (SELECT owner, key, max(ts) AS ts FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY ts DESC, key) AS rank FROM m) SELECT owner, key, strftime(ts, {FMT}) AS ts, rank FROM r WHERE rank <= 25",
-    "debounce_sessions": f"WITH e AS (SELECT event_type, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT event_type, strftime(min(ts), {FMT}) AS started, strftime(max(ts), {FMT}) AS last, strftime(max(ts) + INTERVAL 10 MINUTE, {FMT}) AS due, count(*) AS n FROM g GROUP BY event_type, s",
+    "debounce_sessions": f"WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, strftime(min(ts), {FMT}) AS started, strftime(max(ts), {FMT}) AS last, strftime(max(ts) + INTERVAL 30 MINUTE, {FMT}) AS due, count(*) AS n FROM g GROUP BY user_id, s",
     "debounce_all": f"WITH e AS (SELECT event_type, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT event_type, strftime(min(ts), {FMT}) AS started, strftime(max(ts), {FMT}) AS last, strftime(max(ts) + INTERVAL 10 MINUTE, {FMT}) AS due, count(*) AS n FROM g GROUP BY event_type, s",
-    "stale_runs": f"SELECT event_type AS run, strftime(max(ts), {FMT}) AS last, floor(epoch((SELECT max(ts) FROM events))) - floor(epoch(max(ts))) > 300 AS stale FROM events GROUP BY 1",
+    "stale_runs": f"SELECT concat_ws('/', event_type, user_id) AS run, strftime(max(ts), {FMT}) AS last, floor(epoch((SELECT max(ts) FROM events))) - floor(epoch(max(ts))) > 120 AS stale FROM events GROUP BY 1",
     "stale_all": f"SELECT event_type AS run, strftime(max(ts), {FMT}) AS last, floor(epoch((SELECT max(ts) FROM events))) - floor(epoch(max(ts))) > 300 AS stale FROM events GROUP BY 1",
     "titles_natural": f"{ctes('library')} SELECT id, {NATURAL.format('title')} AS sort_key FROM library",
 }

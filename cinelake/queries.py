@@ -375,9 +375,10 @@ def normalize_plan(spark, sf):
 
 @query
 def normalize_plain(spark, sf):
-    """The rename chain without a vocabulary."""
+    """The rename chain without a vocabulary, keeping the casing that words have; the other form is ``normalize_all``."""
     rows = table(spark, sf, "raw_files")
-    return rows.select("dir", "file_name", norm.normalize(F.regexp_replace("file_name", r"\.mp4$", "")).alias("title"))
+    raw = F.concat(F.lit("tales of THE "), F.regexp_replace("file_name", r"\.mp4$", ""))
+    return rows.select("dir", "file_name", norm.normalize(raw, keep_casing=True).alias("title"))
 
 
 @query
@@ -493,8 +494,9 @@ def recent_terms(spark, sf):
 
 @query
 def debounce_sessions(spark, sf):
-    rows = debounced(table(spark, sf, "events"), gap="10 minutes")
-    return rows.select("event_type", text("started").alias("started"), text("last").alias("last"), text("due").alias("due"), "n")
+    """The bursts of each user's events, closed after half an hour."""
+    rows = debounced(table(spark, sf, "events"), key="user_id", gap="30 minutes")
+    return rows.select("user_id", text("started").alias("started"), text("last").alias("last"), text("due").alias("due"), "n")
 
 
 @query
@@ -506,9 +508,10 @@ def debounce_all(spark, sf):
 
 @query
 def stale_runs(spark, sf):
-    events = table(spark, sf, "events").select(F.col("event_type").alias("run"), "ts", "user_id")
+    """Index builds, which are stale after two minutes: each user's last event of each kind."""
+    events = table(spark, sf, "events").select(F.concat_ws("/", "event_type", "user_id").alias("run"), "ts")
     now = events.agg(F.max("ts")).first()[0]
-    return stale(events, F.lit(now), 300).select("run", text("last").alias("last"), "stale")
+    return stale(events, F.lit(now), 120).select("run", text("last").alias("last"), "stale")
 
 
 @query
