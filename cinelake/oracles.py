@@ -164,6 +164,8 @@ ORACLES = {
     "squash_ambiguity": f"{ctes('names')}, u AS (SELECT name FROM names UNION ALL SELECT upper(name) FROM names WHERE name LIKE 'B%') SELECT lower(replace(name, ' ', '')) AS squash, count(*) AS entries, CASE WHEN count(*) = 1 THEN min(name) END AS name FROM u WHERE contains(name, ' ') GROUP BY 1",
     "vocab_edit": f"{ctes('names')}, u AS (SELECT name, lower(name) AS key FROM names WHERE length(name) % 5 <> 0 UNION ALL SELECT 'New Entry', 'new entry') SELECT name, key FROM u WHERE contains(key, 'e')",
     "name_length": f"{ctes('names')} SELECT coalesce(max(len(string_split(name, ' '))), 0) AS words FROM names",
+    "typed_segment": f"{ctes('cast_titles')}, t AS (SELECT DISTINCT n1, lower(substr(n2, 1, 4)) AS p FROM cast_titles) SELECT concat(n1, ' ', p) AS partial, p AS typed, CAST(length(n1) + 1 AS INT) AS start, true AS glued FROM t UNION ALL SELECT concat(n1, ', ', p), p, CAST(length(n1) + 2 AS INT), false FROM t",
+    "harvest_names": f"{ctes('raw_files', 'names')}, sq AS (SELECT lower(replace(name, ' ', '')) AS k, min(name) AS n FROM names GROUP BY 1 HAVING count(*) = 1), words AS (SELECT lower(unnest(string_split(name, ' '))) AS w FROM names), t AS (SELECT lower(regexp_extract(file_name, '\\.scene\\.\\d+\\.([A-Za-z]+)', 1)) AS piece FROM raw_files), c AS (SELECT n, count(*) AS c FROM t JOIN sq ON piece = k ANTI JOIN words ON w = k WHERE length(piece) >= 6 GROUP BY 1) SELECT name, lower(name) AS key, CASE WHEN c IS NULL THEN 'performer_folders' ELSE 'scene_tails' END AS source, coalesce(c, 0) + 1 AS sightings FROM names LEFT JOIN c ON n = name",
     "tidy_lists": f"{ctes('names', 'cast_titles').replace('WITH ', 'WITH RECURSIVE ', 1)}, known AS MATERIALIZED (SELECT lower(name) AS k FROM names UNION SELECT lower(concat(name, ' Elder')) FROM names WHERE length(name) % 3 = 0), t AS (SELECT DISTINCT CASE form WHEN 1 THEN concat(n1, ' Elder ', n2) WHEN 2 THEN concat('Lone ', n1, ' Elder ', n2, ' Elder') WHEN 3 THEN concat(lower(n1), ' elder and ', n2, ' ', n1) WHEN 4 THEN concat(n1, '; ', n2, ' & -') WHEN 5 THEN concat(n1, ' Elder ', n2, ' ', n1) ELSE concat(n1, ' ', n2) END AS text FROM cast_titles), p AS MATERIALIZED (SELECT row_number() OVER () AS id, text, no, string_split(part, ' ') AS w FROM (SELECT text, generate_subscripts(ps, 1) AS no, unnest(ps) AS part FROM (SELECT text, list_filter(list_transform(regexp_split_to_array(text, '[;&]| and '), lambda x: trim(x, ' -')), lambda x: x <> '') AS ps FROM t) a) b), s AS (SELECT id, CAST(1 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS o FROM p WHERE len(w) >= 4 UNION ALL SELECT id, i + n, CASE WHEN n = 1 AND len(o) > 0 THEN list_append(o[1:len(o) - 1], concat(o[len(o)], ' ', w[i])) ELSE list_append(o, array_to_string(w[i:i + n - 1], ' ')) END FROM (SELECT s.id, i, o, w, CASE WHEN k4.k IS NOT NULL THEN 4 WHEN k3.k IS NOT NULL THEN 3 WHEN i < len(w) THEN 2 ELSE 1 END AS n FROM s JOIN p ON p.id = s.id LEFT JOIN known k4 ON i + 3 <= len(w) AND k4.k = lower(array_to_string(w[i:i + 3], ' ')) LEFT JOIN known k3 ON i + 2 <= len(w) AND k3.k = lower(array_to_string(w[i:i + 2], ' ')) WHERE i <= len(w)) z), e AS (SELECT p.text, p.no, coalesce(array_to_string(o, '|'), array_to_string(w, ' ')) AS own FROM p LEFT JOIN s ON s.id = p.id AND s.i > len(w)) SELECT t.text, coalesce(string_agg(own, '|' ORDER BY no), '') AS people FROM t LEFT JOIN e ON e.text = t.text GROUP BY 1",
     "shown_actions": f"{ctes('action_log')} SELECT line_no, CASE WHEN starts_with(action, 'BALANCE') THEN '' ELSE concat('f', line_no, '.mp4') END AS shown_file, concat('vol', line_no % 4) AS from_drive, 'sink' AS to_drive, CASE WHEN filesize > 0 THEN {SIZE} ELSE '' END AS shown_bytes FROM (SELECT *, bytes AS filesize FROM action_log) z",
     "run_summary": f"{ctes('action_log')}, c AS (SELECT count(*) FILTER (WHERE status = 'OK' AND action = 'MOVE') AS moved, count(*) FILTER (WHERE status = 'OK' AND action = 'MOVE_DUP') AS duped, count(*) FILTER (WHERE status = 'OK' AND action = 'RENAME_01') AS renamed, count(*) FILTER (WHERE status = 'SKIP') AS skipped, CAST(0 AS BIGINT) AS flagged, count(*) FILTER (WHERE status = 'FAIL') AS failed, CAST(coalesce(sum(bytes) FILTER (WHERE status = 'OK' AND action = 'MOVE'), 0) AS BIGINT) AS moved_bytes FROM action_log) SELECT c.*, concat(moved, ' files moved (', (SELECT {SIZE} FROM (SELECT moved_bytes AS filesize) z), '), ', duped, ' duplicates shelved, ', renamed, ' files renamed, ', skipped, ' skipped, ', failed, ' failures') AS line FROM c",

@@ -18,6 +18,8 @@ from .placement import MAX_DRIVES, drive_sums, in_order, listed_free, place
 
 #: Names that may be tried for a file that collides: as given, with the run's stamp, then with a counter from 2 up to this.
 LAST_NAME = 50
+#: Shares that the files of one name are ranked in.
+SHARES = 32
 
 
 def running_sum(rows: DataFrame, key: str, order: list[Column], value: str, name: str) -> DataFrame:
@@ -56,11 +58,12 @@ def group_order(eps: DataFrame) -> DataFrame:
 
 
 def items(eps: DataFrame) -> DataFrame:
-    """Adds item_key, rename_01, flagged and new_name. An unnumbered file of a numbered group becomes ``# 01``, unless episode 1 stands only with a suffix."""
-    group = Window.partitionBy("base_key")
-    some = lambda cond: F.coalesce(F.bool_or(cond).over(group), F.lit(False))
+    """Adds item_key, rename_01, flagged and new_name. An unnumbered file of a numbered group becomes ``# 01``, unless episode 1 stands only with a suffix. What a group
+    holds is summed up before it meets the files, so that a group of many files isn't one task's."""
     rows = eps.withColumn("vk", variant_key(F.col("variant")))
-    rows = rows.withColumn("numbered", some(F.col("ep").isNotNull())).withColumn("bare", some((F.col("ep") == 1) & (F.col("vk") == ""))).withColumn("suffixed", some((F.col("ep") == 1) & (F.col("vk") != "")))
+    some = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
+    flags = rows.groupBy("base_key").agg(some(F.col("ep").isNotNull()).alias("numbered"), some((F.col("ep") == 1) & (F.col("vk") == "")).alias("bare"), some((F.col("ep") == 1) & (F.col("vk") != "")).alias("suffixed"))
+    rows = rows.join(flags, "base_key")
     plain = F.col("ep").isNull() & (F.col("vk") == "") & F.col("numbered")
     blocked = F.col("suffixed") & ~F.col("bare")
     key = F.when(plain & ~blocked, "EP00001").otherwise(item_key(F.col("ep"), F.col("variant")))
@@ -69,9 +72,12 @@ def items(eps: DataFrame) -> DataFrame:
 
 
 def best_copies(eps: DataFrame) -> DataFrame:
-    """Adds ``keep``: of each item the largest copy, then the newest, then the first path. Both windows use one partitioning, by group."""
-    w = Window.partitionBy("base_key", "item_key").orderBy(F.desc("size"), F.desc("mtime"), "path")
-    return items(eps).withColumn("keep", F.row_number().over(w) == 1)
+    """Adds ``keep``: of each item the largest copy, then the newest, then the first path; found by partial minima and looked up by each file."""
+    rows = items(eps)
+    last = F.lit((1 << 63) - 1)
+    order = F.struct(F.coalesce(-F.col("size"), last).alias("s"), F.coalesce(-F.unix_micros(F.col("mtime").cast("timestamp")), last).alias("m"), F.col("path").alias("p"))
+    best = rows.groupBy("base_key", "item_key").agg(F.min(order)["p"].alias("__best"))
+    return rows.join(best, ["base_key", "item_key"]).withColumn("keep", F.col("path") == F.col("__best")).drop("__best")
 
 
 def drive_ranks(kept: DataFrame, drives: DataFrame) -> DataFrame:
@@ -187,8 +193,13 @@ def free_names(plan: DataFrame, existing: DataFrame, stamp: str, most: int = LAS
     spare = tried.where("no > 0").join(taken, ["target_dir", "name"], "left_anti").select("target_dir", "key", "no", "tail")
     own = tried.where("no = 0").join(held, ["target_dir", "key"], "left_anti").select("target_dir", "key", "no", "tail")
     spare = spare.unionByName(own).withColumn("turn", F.row_number().over(Window.partitionBy("target_dir", "key").orderBy("no"))).drop("no")
-    turns = rows.join(clash.select("target_dir", "key"), ["target_dir", "key"], "left_semi").select("path", "target_dir", "key", F.row_number().over(Window.partitionBy("target_dir", "key").orderBy("path")).alias("turn"))
-    given = turns.join(spare, ["target_dir", "key", "turn"], "left").select("path", "target_dir", "tail", F.lit(True).alias("clashed"))
+    asking = rows.join(clash.select("target_dir", "key"), ["target_dir", "key"], "left_semi").select("path", "target_dir", "key")
+    # There are no more than most + 1 names: the first files of each share, then the first of those.
+    turn = lambda *share: F.row_number().over(Window.partitionBy("target_dir", "key", *share).orderBy("path"))
+    first = asking.withColumn("turn", turn(F.pmod(F.xxhash64("path"), F.lit(SHARES)))).where(F.col("turn") <= most + 1)
+    turns = first.withColumn("turn", turn()).where(F.col("turn") <= most + 1)
+    given = turns.join(spare, ["target_dir", "key", "turn"]).select("path", "target_dir", "tail")
+    given = asking.select("path", "target_dir", F.lit(True).alias("clashed")).join(given, ["path", "target_dir"], "left")
     stem, end = F.regexp_replace("file", r"\.[^.]*$", ""), F.regexp_extract("file", r"(\.[^.]*)$", 1)
     name = F.when(F.col("clashed").isNull(), F.col("file")).when(F.col("tail").isNotNull(), F.concat(stem, F.col("tail"), end))
     return rows.join(given, ["path", "target_dir"], "left").withColumn("free_name", name).withColumn("problem", F.when(name.isNull(), "no_free_name")).drop("key", "tail", "clashed")

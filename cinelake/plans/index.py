@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.core import fold, natural_key, under
 from ..functions.titles import strip_variant
 from ..sources.files import INDEX_EXTENSIONS, distinct_roots, wanted
+from ..sources.store import materialize
 
 PAGE = 50
 #: Roots and queries are short configured lists; more than this many is an error, not a larger broadcast.
@@ -62,7 +63,7 @@ def matching(index: DataFrame, queries: DataFrame) -> DataFrame:
 def search(index: DataFrame, queries: DataFrame, page: int = 0, size: int = PAGE, salts: int = 32) -> DataFrame:
     """Groups by base for each query, in natural order, with totals before paging: one page of each query. Groups are ranked by key alone, first within
     each of ``salts`` shares; files are gathered for the groups of the page only."""
-    found = matching(index, queries).withColumn("base_key", fold(F.col("base")))
+    found = materialize(matching(index, queries).withColumn("base_key", fold(F.col("base"))), "found")  # read for groups, totals and files
     groups = found.groupBy("query", "base_key").agg(F.min("base").alias("base"), F.count("*").alias("n_files"), F.sum("size").alias("bytes"))
     totals = groups.groupBy("query").agg(F.count("*").alias("total_groups"), F.sum("n_files").alias("total_files"))
     order = [natural_key(F.col("base")), F.col("base_key")]

@@ -210,10 +210,15 @@ def normalize_plan(files: DataFrame, names: DataFrame | None = None) -> DataFram
     return rows.withColumn("conflict", conflict).select(F.concat("dir", F.lit("/"), "file_name").alias("path"), F.col("file_name").alias("old_name"), "new_name", "needs_rename", "conflict")
 
 
-def name_worklist(files: DataFrame) -> DataFrame:
-    """Titles whose files end with the scene number, with those files."""
+def worklist_files(files: DataFrame) -> DataFrame:
+    """(key, title, path) of the files that end with the scene number."""
     rows = files.where(ends_with_scene_number(F.col("stem"))).withColumn("title", strip_number(F.regexp_replace("stem", r"(?i)\s*-?\s*Scene_\d+\s*$", "")))
-    return rows.groupBy(F.lower("title").alias("key")).agg(F.min("title").alias("title"), F.count("*").alias("n_files"), F.array_sort(F.collect_list("path")).alias("files"))
+    return rows.select(F.lower("title").alias("key"), "title", "path")
+
+
+def name_worklist(files: DataFrame) -> DataFrame:
+    """(key, title, n_files): titles with files that end with the scene number; ``worklist_files`` has those files, a row for each."""
+    return worklist_files(files).groupBy("key").agg(F.min("title").alias("title"), F.count("*").alias("n_files"))
 
 
 def suggest_names(partials: DataFrame, names: DataFrame, most: int = 12) -> DataFrame:

@@ -430,11 +430,10 @@ def name_length(spark, sf):
 
 @query
 def typed_segment(spark, sf):
-    """Partial lists: a known name, then the beginning of a part's name, without and with a comma between."""
+    """Partial lists: a known name, then the beginning of the next part's, without and with a comma between."""
     own = table(spark, sf, "names").where(F.col("name").contains(" "))
-    some = table(spark, sf, "part").select(F.substring("p_name", 1, 4).alias("p"), F.pmod(F.col("p_partkey"), F.lit(64)).alias("k")).distinct()
-    numbered = own.withColumn("k", F.pmod(F.xxhash64("name"), F.lit(64)))
-    partials = numbered.join(some, "k").select(F.explode(F.array(F.concat_ws(" ", "name", "p"), F.concat_ws(", ", "name", "p"))).alias("partial"))
+    typed = table(spark, sf, "cast_titles").select("n1", F.lower(F.substring("n2", 1, 4)).alias("p")).distinct()
+    partials = typed.select(F.explode(F.array(F.concat_ws(" ", "n1", "p"), F.concat_ws(", ", "n1", "p"))).alias("partial"))
     return names.typed_segment(partials, own)
 
 
