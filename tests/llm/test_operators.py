@@ -244,6 +244,28 @@ def test_jaccard_near_copies(spark):
         assert sorted((str(r[0]), r[1], str(r[2])) for r in jaccard.report(docs, percent).collect()) == brute_components(rows, percent, 4)
 
 
+def test_jaccard_by_differences(spark, monkeypatch):
+    """One large group of copies just inside and just outside the bound, some of which share their edits, so that links pass the hub by."""
+    import random
+
+    monkeypatch.setattr(jaccard, "PART_PAIRS", 0)
+    rng = random.Random(8)
+    base, rows = [f"b{i}" for i in range(90)], []
+    shared = [[(rng.randrange(90), f"s{k}x{j}") for j in range(4)] for k in range(6)]
+    for i in range(220):
+        w = list(base)
+        for at, new in (shared[i % 6][: rng.randrange(5)] if i % 2 else []):
+            w[at] = new
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = [] if rng.random() < 0.3 else [f"n{rng.randrange(10**6)}"]
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 85, 4)
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in jaccard.report(docs).collect()) == want
+    assert len({c for _, _, c in want}) > 5
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = dict(components.components(links).collect())
