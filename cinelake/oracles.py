@@ -28,7 +28,7 @@ matched AS (SELECT title, db_title, title_size, id AS library_id, lib_size AS li
 LIB = f"{ctes('media_files', 'library')}, {SCANNED}, {ROLLUP}, {PRESENCE}, {MATCHED}"
 
 PROBED = rf"""{ctes('media_files', 'probe_raw', 'library')}, {SCANNED}, pr AS (SELECT path, CASE WHEN w > 0 AND h > 0 THEN concat(w, ' x ', h) ELSE '' END AS dimensions, d AS duration FROM (SELECT path, CAST(raw->>'$.streams[1].width' AS BIGINT) AS w, CAST(raw->>'$.streams[1].height' AS BIGINT) AS h, CAST(floor(CAST(raw->>'$.format.duration' AS DOUBLE)) AS BIGINT) AS d FROM probe_raw WHERE raw <> 'not json{{') z),
-rp AS (SELECT lower(t) AS title_key, arg_min(t, path) AS title, CAST(sum(size) AS BIGINT) AS title_size, count(*) AS n_files, min(path) AS title_path, arg_min(coalesce(dimensions, ''), path) AS dimensions, CAST(sum(coalesce(duration, 0)) AS BIGINT) AS duration FROM (SELECT s.*, dimensions, duration, {STEM_TITLE} AS t FROM scanned s LEFT JOIN pr USING (path)) x GROUP BY 1)"""
+rp AS (SELECT lower(t) AS title_key, arg_min(t, path) AS title, CAST(sum(size) AS BIGINT) AS title_size, count(*) AS n_files, min(path) AS title_path, arg_min(coalesce(dimensions, ''), path) AS dimensions, CAST(sum(coalesce(duration, 0)) AS BIGINT) AS duration FROM (SELECT s.*, dimensions, duration, {STEM_TITLE} AS t FROM scanned s JOIN pr USING (path)) x GROUP BY 1)"""
 
 SUFFIXED = "(SELECT *, CASE WHEN regexp_matches({0}, ' - Scene', 'i') THEN regexp_extract({0}, '^(.*?)( - Scene.*)$', 1, 'i') WHEN regexp_matches({0}, ' - CD', 'i') THEN regexp_extract({0}, '^(.*?)( - CD.*)$', 1, 'i') ELSE {0} END AS base_part FROM {1})"
 NUMBER_PLAN = rf"""lib2 AS (SELECT * REPLACE (regexp_replace(title, 'brand#', 'brand ', 'gi') AS title) FROM library), roll2 AS (SELECT * REPLACE (regexp_replace(title, 'brand#', 'brand ', 'gi') AS title) FROM rollup_),

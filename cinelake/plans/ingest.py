@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.core import fold
 from ..functions.titles import base_and_kind, library_title, split_suffix, strip_variant, with_first_number
+from ..sources.files import INGEST_EXTENSIONS
 
 PROBE = T.StructType([T.StructField("streams", T.ArrayType(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))), T.StructField("format", T.StructType([T.StructField("duration", T.StringType())]))])
 
@@ -20,6 +21,13 @@ def parse_probe(raw: DataFrame) -> DataFrame:
     return p.select("path", shown.alias("dimensions"), F.coalesce(F.floor(F.expr("try_cast(p.format.duration AS double)")), F.lit(0)).alias("duration"))
 
 
+def with_probes(files: DataFrame, probes: DataFrame) -> DataFrame:
+    """Adds dimensions and duration to (path, ext, ...). A video whose probe failed is left out; what isn't a video has blank dimensions and no duration."""
+    rows = files.join(probes.withColumn("__read", F.lit(True)), "path", "left")
+    rows = rows.where(F.col("__read") | ~F.lower("ext").isin(INGEST_EXTENSIONS)).drop("__read")
+    return rows.withColumns({"dimensions": F.coalesce("dimensions", F.lit("")), "duration": F.coalesce("duration", F.lit(0).cast("long"))})
+
+
 def title_rollup(files: DataFrame, ascii_fold: bool = False) -> DataFrame:
     """One row for each title of (stem, path, size, ...): sums, and the spelling and path of the first path; with the columns dimensions and duration also the first
     path's dimensions and the sum of durations."""

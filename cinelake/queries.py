@@ -99,7 +99,7 @@ def fill_missing(spark, sf):
 
 
 def probed(spark, sf):
-    return scanned(spark, sf).join(ingest.parse_probe(table(spark, sf, "probe_raw")), "path", "left")
+    return ingest.with_probes(scanned(spark, sf), ingest.parse_probe(table(spark, sf, "probe_raw")))
 
 
 @query

@@ -10,7 +10,7 @@ from cinelake.functions import core, formats
 from cinelake.functions import normalize as norm
 from cinelake.functions import titles
 from cinelake.oracles import ORACLES
-from cinelake.plans import consolidate, index, names, reports
+from cinelake.plans import consolidate, index, ingest, names, reports
 from cinelake.queries import QUERIES
 from cinelake.sources import files
 from cinelake.sources.derive import derived
@@ -282,3 +282,36 @@ def test_typed_segments_of_all_names(spark, sf):
         glued = "," not in r["partial"] and " ".join(words[:2]).lower() in own and not any(n.startswith(" ".join(words[:3]).lower()) for n in own)
         assert (r["typed"], r["glued"]) == ((" ".join(words[2:]), True) if glued else (r["partial"].split(", ")[1], False) if "," in r["partial"] else (r["partial"], False))
     assert any(r["glued"] for r in rows)
+
+
+def test_videos_that_cannot_be_probed_are_left_out(spark):
+    found = spark.createDataFrame([("/a.mp4", "a", "mp4"), ("/b.MKV", "b", "MKV"), ("/c.txt", "c", "txt"), ("/d.mkv", "d", "mkv")], "path string, stem string, ext string")
+    raw = spark.createDataFrame([("/a.mp4", '{"streams":[{"width":4,"height":3}],"format":{"duration":"7.9"}}'), ("/b.MKV", "no json"), ("/d.mkv", '{"streams":[]}')], "path string, raw string")
+    got = {r.path: (r.dimensions, r.duration) for r in ingest.with_probes(found, ingest.parse_probe(raw)).collect()}
+    assert got == {"/a.mp4": ("4 x 3", 7), "/c.txt": ("", 0), "/d.mkv": ("", 0)}
+
+
+def test_best_copies_by_hand(spark):
+    """The largest, then the newest, then the first path; unknown times last. A group of many files has one of each item."""
+    rows = [("/z", "A # 01", 5, None), ("/y", "A # 01", 5, "2020-01-01"), ("/x", "A # 01", 5, "2021-01-01"), ("/w", "A # 01", 5, "2021-01-01"), ("/v", "A", 9, "2019-01-01"), *[(f"/m{i}", f"A # {2 + i % 7:02}", i, "2020-01-01") for i in range(200)]]
+    files = spark.createDataFrame([(f"{d}/f.mp4", d, stem, "mp4", size, t) for d, stem, size, t in rows], "path string, drive string, stem string, ext string, size long, t string").withColumn("mtime", F.to_timestamp("t"))
+    got = consolidate.best_copies(consolidate.episodes(files))
+    assert got.count() == len(rows)
+    assert sorted(r.path for r in got.where("keep").collect()) == sorted(["/v/f.mp4", *[f"/m{i}/f.mp4" for i in range(193, 200)]])
+    assert [r.new_name for r in got.where("rename_01").collect()] == ["A # 01.mp4"]
+    without = consolidate.best_copies(consolidate.episodes(files.where("drive <> '/v'"))).where("keep AND ep = 1").collect()
+    assert [r.path for r in without] == ["/w/f.mp4"]
+
+
+def test_worklist_has_a_row_for_each_file(spark):
+    rows = spark.createDataFrame([("A - Scene_1", "/1"), ("a # 02 - Scene_2", "/2"), ("B", "/3")], "stem string, path string")
+    assert sorted((r.key, r.path) for r in names.worklist_files(rows).collect()) == [("a", "/1"), ("a", "/2")]
+    assert [(r.key, r.n_files) for r in names.name_worklist(rows).collect()] == [("a", 2)]
+
+
+def test_free_names_of_very_many_files(spark):
+    """Only as many as there are names get one, the first paths, however many ask."""
+    plan = spark.range(400).selectExpr("concat('p', lpad(id, 3, '0')) AS path", "'t' AS target_dir", "'x.mp4' AS file")
+    none = spark.createDataFrame([], "dir string, file string")
+    got = sorted((r.path, r.free_name) for r in consolidate.free_names(plan, none, "S").collect() if r.free_name)
+    assert [p for p, _ in got] == [f"p{i:03}" for i in range(51)] and [n for _, n in got][:3] == ["x.mp4", "x__S.mp4", "x__S_2.mp4"]

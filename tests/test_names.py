@@ -8,6 +8,9 @@ from cinelake.plans import names
 # A one-word name, two names with one spelling without spaces, and a name whose spelling without spaces is a name too.
 VOCABULARY = ["Mara Quill", "Otto Vane", "Solace", "Ina Rook", "In Arook", "Lu Cille", "Lucille"]
 # (what the case shows, title, expected or None where nothing changes, further names)
+# Vocabularies of some cases, besides the above.
+LONGER = ["Otto Va", "Otis V", "Lu Cille Quill", "Quill", "One Two Three Four Five", "One", "Two Three Four Five"]
+FURTHER = ["Mara Quill Otto", "One Two Three Four Five"]
 CASES = [
     ("a space comes back", "Film - Scene_1 - MaraQuill", "Film - Scene_1 - Mara Quill", []),
     ("in a list", "Film - Scene_2 - MaraQuill, OttoVane", "Film - Scene_2 - Mara Quill, Otto Vane", []),
@@ -18,15 +21,15 @@ CASES = [
     ("the title isn't touched", "MaraQuill - Scene_1 - Otto Vane", None, []),
     ("no scene", "MaraQuill Collection", None, []),
     ("spaced already", "Film - Scene_1 - Mara Quill", None, []),
-    ("six letters are enough", "Film - Scene_1 - OttoVa", "Film - Scene_1 - Otto Va", ["Otto Va"]),
-    ("five letters are too short", "Film - Scene_1 - OtisV", None, ["Otis V"]),
+    ("six letters are enough", "Film - Scene_1 - OttoVa", "Film - Scene_1 - Otto Va", LONGER),
+    ("five letters are too short", "Film - Scene_1 - OtisV", None, LONGER),
     ("spaces and the comma", "Film - Scene_3 - MaraQuill OttoVane", "Film - Scene_3 - Mara Quill, Otto Vane", []),
     ("the comma alone", "Film - Scene_1 - Mara Quill Otto Vane", "Film - Scene_1 - Mara Quill, Otto Vane", []),
     ("a one-word name in front", "Film - Scene_1 - Solace Mara Quill", "Film - Scene_1 - Solace, Mara Quill", []),
     ("a one-word name at the end", "Film - Scene_1 - Mara Quill Solace", "Film - Scene_1 - Mara Quill, Solace", []),
     ("two words are never split", "Film - Scene_1 - Otto Vane", None, ["Otto", "Vane"]),
     ("a misplaced comma stays", "Film - Scene_1 - Solace Mara, Quill", None, []),
-    ("a part that is a name", "Film - Scene_1 - Lu Cille Quill", None, ["Lu Cille Quill", "Quill"]),
+    ("a part that is a name", "Film - Scene_1 - Lu Cille Quill", None, LONGER),
     ("words left at the end", "Film - Scene_1 - Mara Quill Longer Version", None, []),
     ("words left in front", "Film - Scene_1 - Longer Mara Quill", None, []),
     ("words left between", "Film - Scene_1 - Mara Quill with Otto Vane", None, []),
@@ -36,11 +39,11 @@ CASES = [
     ("a glued one-word name", "Film - Scene_2solace", "Film - Scene_2 - Solace", []),
     ("glued, unknown", "Film - Scene_2whoever", None, []),
     ("glued, two names", "Film - Scene_2inarook", None, []),
-    ("a longer name before its beginning", "Film - Scene_1 - Mara Quill Otto Solace", "Film - Scene_1 - Mara Quill Otto, Solace", ["Mara Quill Otto"]),
-    ("the longer name leaves a rest, the shorter doesn't", "Film - Scene_1 - Mara Quill Otto Vane", "Film - Scene_1 - Mara Quill, Otto Vane", ["Mara Quill Otto"]),
+    ("a longer name before its beginning", "Film - Scene_1 - Mara Quill Otto Solace", "Film - Scene_1 - Mara Quill Otto, Solace", FURTHER),
+    ("the longer name leaves a rest, the shorter doesn't", "Film - Scene_1 - Mara Quill Otto Vane", "Film - Scene_1 - Mara Quill, Otto Vane", FURTHER),
     ("a name twice", "Film - Scene_1 - Solace Solace Mara Quill Solace", "Film - Scene_1 - Solace, Solace, Mara Quill, Solace", []),
-    ("five words as one name", "Film - Scene_1 - One Two Three Four Five", None, ["One Two Three Four Five", "One", "Two Three Four Five"]),
-    ("a name of five words isn't looked up in a longer part", "Film - Scene_1 - One Two Three Four Five Solace", None, ["One Two Three Four Five"]),
+    ("five words as one name", "Film - Scene_1 - One Two Three Four Five", None, LONGER),
+    ("a name of five words isn't looked up in a longer part", "Film - Scene_1 - One Two Three Four Five Solace", None, FURTHER),
     ("one spelling by case", "Film - Scene_1 - Mara Quill Solace", "Film - Scene_1 - Mara Quill, SOLACE", ["SOLACE"]),
 ]
 

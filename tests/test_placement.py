@@ -59,19 +59,19 @@ def case(seed):
     return kept, drives, rng.choice([0, 7])
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(4))
 def test_placement_is_the_serial_loop(spark, seed):
     """In blocks and lists of any size."""
     kept, drives, reserve = case(seed)
     want = serial(kept, drives, reserve)
     given = spark.createDataFrame(kept, "base_key string, drive string, size long"), spark.createDataFrame(drives, "drive string, free_bytes long, is_sink boolean")
-    for block, listed in ((7, 2), (100, 1000)) if seed < 4 else ((30, 1),):
+    for block, listed in (((7, 2), (100, 1000)), ((9, 1000),), ((20, 1),), ((13, 2),))[seed]:
         got = {r[0]: tuple(r)[1:] for r in place(*given, reserve, block=block, listed=listed).collect()}
         assert got == want
 
 
 def test_the_cases_hold_all_outcomes():
-    found = [w for seed in range(6) for w in serial(*case(seed)).values()]
+    found = [w for seed in range(4) for w in serial(*case(seed)).values()]
     assert any(w[3] for w in found) and any(w[0] is None for w in found)
 
 
@@ -88,7 +88,7 @@ def leaves(groups, need, room):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed", range(3))
 def test_evacuation_skips_what_the_sink_cannot_hold(spark, seed):
     rng = random.Random(seed)
     groups = [(f"g{i}", rng.choice(["/a", "/b", "/c"]), rng.choice([0, 1, 3, 3, 50, rng.randrange(200)])) for i in range(80)]
