@@ -174,6 +174,7 @@ ORACLES = {
     "batch_totals": f"{LIB} SELECT count(*) AS n_total, CAST(sum(title_size) AS BIGINT) AS size_total, count(*) FILTER (WHERE action = 'insert') AS n_new, CAST(coalesce(sum(title_size) FILTER (WHERE action = 'insert'), 0) AS BIGINT) AS size_new, count(*) FILTER (WHERE action <> 'insert') AS n_duplicate, CAST(coalesce(sum(title_size) FILTER (WHERE action <> 'insert'), 0) AS BIGINT) AS size_duplicate, CAST(coalesce(sum(title_size - library_size) FILTER (WHERE size_class <> ''), 0) AS BIGINT) AS gain FROM matched",
     "action_summary": f"{ctes('action_log')} SELECT action, status, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM action_log GROUP BY 1, 2",
     "action_tail": f"{ctes('action_log')} SELECT line_no, strftime(ts, {FMT}) AS ts, grp, action, bytes, status FROM (SELECT * FROM action_log WHERE action NOT IN {NOT_ACTIONS} ORDER BY line_no DESC LIMIT 400) z",
+    "log_round_trip": f"{ctes('action_log')} SELECT strftime(ts, {FMT}) AS ts, 'dry-run' AS mode, concat(grp, '\\t\\n#') AS grp, action, 'a\\rb' AS src, '' AS dest, CAST(bytes AS VARCHAR) AS bytes, status, CAST(line_no AS VARCHAR) AS message FROM action_log",
     "recent_terms": f"WITH e AS (SELECT user_id % 20 AS owner, lower(concat(event_type, ' ', event_id % 40)) AS key, ts FROM events), m AS (SELECT owner, key, max(ts) AS ts FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY ts DESC, key) AS rank FROM m) SELECT owner, key, strftime(ts, {FMT}) AS ts, rank FROM r WHERE rank <= 25",
     "debounce_sessions": f"WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, strftime(min(ts), {FMT}) AS started, strftime(max(ts), {FMT}) AS last, strftime(max(ts) + INTERVAL 30 MINUTE, {FMT}) AS due, count(*) AS n FROM g GROUP BY user_id, s",
     "debounce_all": f"WITH e AS (SELECT event_type, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT event_type, strftime(min(ts), {FMT}) AS started, strftime(max(ts), {FMT}) AS last, strftime(max(ts) + INTERVAL 10 MINUTE, {FMT}) AS due, count(*) AS n FROM g GROUP BY event_type, s",

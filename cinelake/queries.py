@@ -14,7 +14,7 @@ from .functions import formats
 from .plans import consolidate, index, ingest, library, names, reports, search, stored
 from .plans.placement import numbered
 from .sources.derive import derived as table
-from .sources.files import INGEST_EXTENSIONS, short_list
+from .sources.files import INGEST_EXTENSIONS, read_log, short_list, write_log
 from .sources.store import fresh_dir, materialize
 from .streaming.jobs import debounced, stale
 
@@ -395,10 +395,11 @@ def restore_names(spark, sf):
 
 @query
 def harvest_names(spark, sf):
-    raw = F.regexp_replace("file_name", r"\.mp4$", "")
-    files = table(spark, sf, "raw_files").select("dir", raw.alias("stem"), norm.normalize(raw).alias("title")).withColumn("id", F.xxhash64("title"))
-    fixed = names.restore_names(files.select("id", "title").distinct(), table(spark, sf, "names")).select("id", "title")
-    return names.mined(files.drop("title").join(fixed, "id"), table(spark, sf, "names").select(F.concat("name", F.lit(" Movies")).alias("folder"))).select("name", "key", "source", "sightings")
+    """Names mined from file names and folders; each different stem is normalised and restored once."""
+    files = table(spark, sf, "raw_files").select("dir", F.regexp_replace("file_name", r"\.mp4$", "").alias("stem"))
+    stems = materialize(files.select("stem").distinct().withColumn("title", norm.normalize(F.col("stem"))), "stems")
+    known = files.join(names.restore_names(stems, table(spark, sf, "names")), "stem")
+    return names.mined(known, table(spark, sf, "names").select(F.concat("name", F.lit(" Movies")).alias("folder"))).select("name", "key", "source", "sightings")
 
 
 @query
@@ -485,6 +486,14 @@ def action_tail(spark, sf):
     return reports.action_tail(table(spark, sf, "action_log")).withColumn("ts", text("ts"))
 
 
+@query
+def log_round_trip(spark, sf):
+    """The action log as it is written, with tabs and line ends in a field, and read again."""
+    log = table(spark, sf, "action_log").select(text("ts").alias("ts"), F.lit("dry-run").alias("mode"), F.concat("grp", F.lit("\t\n#")).alias("group"), "action", F.lit("a\rb").alias("src"), F.lit(None).cast("string").alias("dest"), "bytes", "status", F.col("line_no").alias("message"))
+    write_log(log, at := fresh_dir(spark, "log"))
+    return read_log(spark, at).withColumnRenamed("group", "grp")
+
+
 @query
 def recent_terms(spark, sf):
     events = table(spark, sf, "events").select((F.col("user_id") % 20).alias("owner"), F.concat("event_type", F.lit(" "), (F.col("event_id") % 40).cast("string")).alias("term"), "ts")
