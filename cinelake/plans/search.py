@@ -17,7 +17,7 @@ from ..sources.files import short_list
 from .index import PAGE, SHORT_LIST, valid_queries
 
 #: Folders that pieces are dealt to; a power of two.
-BUCKETS = 256
+BUCKETS = 64
 #: Letters of the longest stored piece.
 LETTERS = 3
 
