@@ -299,7 +299,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = OR
     parts = int(size / (BLOCK_MB * 1e6)) + 1
 
     def pressed(s: pd.Series) -> pd.Series:
-        press = zstandard.ZstdCompressor(level=9).compress
+        press = zstandard.ZstdCompressor(level=12).compress
         return pd.Series([None if t is None else press(t.encode("utf-8", "surrogatepass")) for t in s], dtype=object)
 
     out = held_out(F.col("doc_id"), modulus, remainder).alias("held_out")
