@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cinelake.llm import bpe, components, decontam, edits, entries, gam, jaccard, lm, quality, repeats, revisits, toxicity
+from cinelake.llm import bpe, common, components, decontam, edits, entries, gam, jaccard, lm, quality, repeats, revisits, toxicity
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -593,3 +593,29 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
     assert sum(r.text is None or not r.text.strip() for r in rows) == 3  # empty sets all stay
     assert Counter(r.doc_id for r in rows)[2] == 0 and Counter(r.doc_id for r in rows)[1] == 1
     assert decontam.clean(odd_docs, items).where("text = 'no id here but some words'").count() == 0
+
+
+def test_likely_rows_hold_all_wanted(spark):
+    rows = spark.range(60000).selectExpr("xxhash64(id) AS k", "id")
+    wanted = rows.where("id % 600 = 0").select("k")
+    got = {r.id for r in common.likely(rows, wanted.unionByName(wanted), "k").collect()}
+    assert {*range(0, 60000, 600)} <= got and len(got) < 200
+    assert common.likely(rows, wanted.limit(0), "k").columns == rows.columns and common.likely(rows, wanted.limit(0), "k").count() == 0
+
+
+def test_jaccard_keeps_prefixes_of_candidates_only(spark, monkeypatch):
+    """Texts that share nothing are written with no prefix of the second and third order, and their texts aren't fetched."""
+    kept, write = {}, jaccard.materialize
+
+    def noted(df, name):
+        out = write(df, name)
+        for c in {"second", "third", "packed", "text"} & {*out.columns}:
+            kept[c] = max(kept.get(c, 0), out.where(f"{c} IS NOT NULL").count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", noted)
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(40))) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " tail") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in jaccard.report(docs).collect()) == brute_components(rows, 85, 4)
+    assert 10 <= min(kept.values()) and max(kept.values()) <= 20
