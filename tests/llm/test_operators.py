@@ -619,3 +619,35 @@ def test_jaccard_keeps_prefixes_of_candidates_only(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((str(r[0]), r[1], str(r[2])) for r in jaccard.report(docs).collect()) == brute_components(rows, 85, 4)
     assert 10 <= min(kept.values()) and max(kept.values()) <= 20
+
+
+def test_jaccard_lists_of_one_passage(spark, monkeypatch):
+    """Texts that share passages are linked by none: lists with the same texts are kept once, and two texts with many common lists are paired once."""
+    import random
+
+    kept, write, conf = {}, jaccard.materialize, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def noted(df, name):
+        out = write(df, name)
+        kept.setdefault("batch", set()).add(spark.conf.get(conf))
+        if name == "first":
+            kept[name] = (out.count(), out.select("token").distinct().count(), out.groupBy("token").agg(F.sort_array(F.collect_list("node")).alias("x")).select("x").distinct().count())
+        return out
+
+    def crossed(*args):
+        out = crossing(*args)
+        pairs = out[0] if isinstance(out, tuple) else out
+        kept["pairs"] = (pairs.count(), pairs.distinct().count())
+        return out
+
+    crossing, before = jaccard._crossing, spark.conf.get(conf)
+    monkeypatch.setattr(jaccard, "materialize", noted)
+    monkeypatch.setattr(jaccard, "_crossing", crossed)
+    rng = random.Random(3)
+    rows = [(i, " ".join([f"d{i}"] + [f"p{k}w{j}" for k in sorted(rng.sample(range(9), 5)) for j in range(10)])) for i in range(70)]
+    rows += [(70, rows[0][1] + " tail"), (71, rows[1][1] + " tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in jaccard.report(docs).collect()) == brute_components(rows, 85, 4)
+    assert kept["pairs"][0] == kept["pairs"][1] > 40
+    assert kept["first"][1] == kept["first"][2] > 10
+    assert kept["batch"] == {"4000000"} and spark.conf.get(conf) == before
