@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, groups_for, join_salted, materialize, prepare, row_key
-from .wordhash import INVERSE, Words, mix, pieces, powers, run_hashes, sliding_min, words_of
+from .common import discard, groups_for, join_salted, materialize, prepare, row_key, small_batches
+from .wordhash import Words, mix, pieces, run_hashes, sliding_min, words_of
 
 #: Words of a landmark gram.
 LANDMARK = 8
@@ -43,6 +43,8 @@ CHUNK = 6_000_000
 BUCKET_MB = 24
 #: Suffixes of a group, whose words and names a task holds at once.
 BOUND = 400_000
+#: Bytes of words with equal hashes compared at once.
+COMPARED = 1 << 18
 
 COUNTED = "bucket bigint, marks binary, rows binary, starts binary, counts binary, ahead binary"
 #: ``part``: the group, or KNOWN (``size`` words from each start are repeated), or WHOLE (the window itself is the prefix).
@@ -59,22 +61,37 @@ def _pack(x: np.ndarray, kind) -> bytes:
     return np.ascontiguousarray(x, kind).tobytes()
 
 
+def _ranks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of ``x``, which values in it equal the one before, and each value's place among the distinct ones in 32 bits."""
+    order = np.argsort(x, kind="stable").astype(np.int32)
+    ordered = x[order]
+    same = ordered[1:] == ordered[:-1]
+    del ordered
+    rank = np.zeros(len(x), np.uint32)
+    rank[order[1:]] = np.cumsum(~same, dtype=np.uint32)
+    return order, same, rank
+
+
+def _alike(found: Words, one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether the words ``one`` have the bytes of the words ``two``, pair by pair."""
+    length = found.ends[one] - found.starts[one]
+    if not (length == found.ends[two] - found.starts[two]).all():
+        return False
+    edges = np.append(np.flatnonzero(np.diff((np.cumsum(length) - 1) // COMPARED, prepend=-1)), len(one))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        n = length[a:b]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if not (found.data[np.repeat(found.starts[one[a:b]], n) + step] == found.data[np.repeat(found.starts[two[a:b]], n) + step]).all():
+            return False
+    return True
+
+
 def word_names(found: Words) -> np.ndarray:
     """A number for each word, equal for words with equal bytes only."""
-    order = np.argsort(found.hashes, kind="stable")
-    h = found.hashes[order]
-    same = h[1:] == h[:-1]
-    name = np.empty(len(h), np.int64)
-    name[order] = np.concatenate(([0], np.cumsum(~same))) if len(h) else 0
-    one, two = order[:-1][same], order[1:][same]
-    length = found.ends[one] - found.starts[one]
-    equal = (length == found.ends[two] - found.starts[two]).all()
-    if equal and len(one):
-        step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-        equal = (found.data[np.repeat(found.starts[one], length) + step] == found.data[np.repeat(found.starts[two], length) + step]).all()
-    if not equal:  # two words with one hash
+    order, same, name = _ranks(found.hashes)
+    if not _alike(found, order[:-1][same], order[1:][same]):  # two words with one hash
         raw, known = found.data.tobytes(), {}
-        name = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(found.starts.tolist(), found.ends.tolist(), strict=True)], np.int64)
+        name = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(found.starts.tolist(), found.ends.tolist(), strict=True)], np.uint32)
     return name
 
 
@@ -85,33 +102,44 @@ def _spans(rows: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray,
     return rows[new], starts[new], starts[last] + size
 
 
+def _repeated(found: Words, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of a batch, of those that start ``at``, with the same words as another: each, and the next with the same words."""
+    path = run_hashes(found.hashes, size)[at]
+    order = np.argsort(path).astype(np.int32)
+    path = path[order]
+    same = path[1:] == path[:-1]
+    del path
+    one, two = at[order[:-1][same]], at[order[1:][same]]
+    del order
+    if len(one):  # equal fingerprints: look at the words
+        name, alike = word_names(found), np.ones(len(one), bool)
+        for j in range(size):
+            alike &= name[one + j] == name[two + j]
+        one, two = one[alike], two[alike]
+    return one, two
+
+
 def _batch(keys: np.ndarray, found: Words, size: int, buckets: int) -> pd.DataFrame | None:
+    # A worker holds a batch beside the executor's heap, so arrays are in 32 bits where they can be, and each goes before the next are made.
     flat, lengths = found.hashes, found.lengths
     if len(flat) < size:
         return None
-    ends = np.cumsum(lengths)
-    up, down = powers(len(flat)), powers(len(flat), INVERSE)
-    path, grams = run_hashes(flat, size, up, down), run_hashes(flat, LANDMARK, up, down)
-    mark = sliding_min(grams, size - LANDMARK + 1)
-    doc = np.repeat(np.arange(len(lengths)), lengths)[: len(path)]
-    at = np.flatnonzero(np.arange(len(path)) + size <= ends[doc])
+    ends, n = np.cumsum(lengths), len(flat) - size + 1
+    doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[:n]
+    at = np.flatnonzero(np.arange(n) + size <= ends[doc]).astype(np.int32)
     if not len(at):
         return None
-    order = at[np.argsort(path[at])]
-    same = path[order][1:] == path[order][:-1]
-    one, two = order[:-1][same], order[1:][same]
-    if len(one):  # equal fingerprints: look at the words
-        name, alike = word_names(found), np.ones(len(one), bool)
-        for j in range(size):
-            alike &= name[one + j] == name[two + j]
-        one, two = one[alike], two[alike]
-    deep, send = np.zeros(len(path), bool), np.zeros(len(path), bool)
+    one, two = _repeated(found, at, size)
+    deep, send = np.zeros(n, bool), np.zeros(n, bool)
     deep[one] = deep[two] = True
     send[at] = True
     send[two] = False  # one leaf stands for the others
+    del at, one, two
+    grams = run_hashes(flat, LANDMARK)
+    mark = sliding_min(grams, size - LANDMARK + 1)
     frames = []
     known = np.flatnonzero(deep)
-    start = np.arange(len(path)) - (ends - lengths)[doc]
+    start = (np.arange(n) - (ends - lengths)[doc]).astype(np.int32)
     r, s, e = _spans(doc[known], start[known], size)
     if len(r):  # known repeats pass through the exchange, dealt by their row
         frames.append(_deal(keys[r].view(np.uint64) % np.uint64(buckets), lambda i: (b"", _pack(keys[r[i]], np.int64), _pack(s[i], np.int32), _pack(e[i] - s[i] - size + 1, np.int32), b"")))
@@ -169,12 +197,12 @@ def _group(frame: pd.DataFrame, bound: int) -> pd.DataFrame:
 
 def suffix_tree(name: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes that start ``at`` places of ``name`` in the order of their first ``size`` words, and how many of these each shares with the next."""
-    levels = [(1, np.unique(name, return_inverse=True)[1].astype(np.uint64))]
+    levels, both = [(1, _ranks(name)[2])], lambda a, b: (a.astype(np.uint64) << np.uint64(32)) | b
     while 2 * levels[-1][0] <= size:
         w, x = levels[-1]
-        levels.append((2 * w, np.unique((x[:-w] << np.uint64(32)) | x[w:], return_inverse=True)[1].astype(np.uint64)))
+        levels.append((2 * w, _ranks(both(x[:-w], x[w:]))[2]))
     w, x = levels[-1]
-    order = np.argsort((x[at] << np.uint64(32)) | x[at + size - w])
+    order = np.argsort(both(x[at], x[at + size - w]))
     one, two = at[order][:-1], at[order][1:]
     common = np.zeros(len(one), np.int64)
     for w, x in reversed(levels):
@@ -248,7 +276,8 @@ def _with_spans(docs: DataFrame, size: int, bound: int = BOUND) -> DataFrame:
         raise ValueError(f"a window has at least {LANDMARK} words")
     prepare(docs.sparkSession)
     keyed = docs.withColumn("__key", row_key())
-    parts = _parts(keyed, size, bound)
+    with small_batches(docs.sparkSession):
+        parts = _parts(keyed, size, bound)
     runs = parts.where(F.col("part") != KNOWN).groupBy(F.col("row_key").alias("__row_key")).agg(F.collect_list(F.struct("start", "count", "part")).alias("__runs"))
     # All columns travel along, so that this join and the last one share one exchange of the texts.
     joined = keyed.join(runs, F.col("__key") == F.col("__row_key"))

@@ -1,11 +1,13 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -493,6 +495,42 @@ def test_suffix_tree():
     assert repeats.word_names(found).tolist() == [0, 1, 0, 2, 1, 1]
 
 
+def test_suffix_trees_hold_little_at_once(spark, monkeypatch):
+    """A worker holds at most 110 bytes for each word of a batch or a group, and text comes to it in small batches."""
+    rng = np.random.default_rng(9)
+    words = [" ".join(f"word{k}" for k in rng.integers(0, 9000, 150).tolist()) for _ in range(2000)]
+    found = repeats.words_of([*words, *words[:30]])
+    runs = [" ".join(t.split()[a : a + 48]) for t in words for a in range(0, 98, 14)]
+    n = np.arange(len(runs))
+    group = pd.DataFrame([(1, n.astype(np.int64).tobytes(), n.astype(np.int32).tobytes(), np.full(len(n), 14, np.int32).tobytes(), " ".join(runs).encode())], columns=["part", "rows", "starts", "counts", "words"])
+    for many, work in ((len(found.hashes), lambda: repeats._batch(np.arange(2030), found, 35, 12)), (48 * len(runs), lambda: repeats._subtree(group, 35))):
+        tracemalloc.start()
+        work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 110 * many
+    kept, write, conf = {}, repeats.materialize, "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(repeats, "materialize", lambda df, name: kept.update({name: spark.conf.get(conf)}) or write(df, name))
+    before, rows = spark.conf.get(conf), [(i, t) for i, t in enumerate(words[:20] + words[:3])]
+    assert sorted((str(r[0]), *r[1:]) for r in repeats.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_repeats(rows)
+    assert kept["parts"] == "4000000" and spark.conf.get(conf) == before
+
+
+def test_words_compared_in_blocks(monkeypatch):
+    """Words with equal hashes are told apart in whichever block they are compared."""
+    monkeypatch.setattr(repeats, "COMPARED", 8)
+    texts = ["one two six ten abcdefghijkl one two six ten abcdefghijkl", "ten", ""]
+    found = repeats.words_of(texts)
+    assert repeats.word_names(found)[:5].tolist() == repeats.word_names(found)[5:10].tolist() and len({*repeats.word_names(found).tolist()}) == 5
+    for odd in range(5):
+        found = repeats.words_of(texts)
+        found.data = found.data.copy()
+        found.data[found.ends[odd] - 1] = 33  # its hash stays that of the later word
+        name = repeats.word_names(found).tolist()
+        assert [name[k] == name[k + 5] for k in range(5)] == [k != odd for k in range(5)] and len({*name}) == 6
+    assert repeats.word_names(repeats.words_of([""])).tolist() == []
+
+
 def test_maximal_repeats(spark):
     common = " ".join(f"c{i}" for i in range(50))
     docs = spark.createDataFrame([(1, f"a b {common} d"), (2, f"x {common} y"), (3, "short"), (4, None)], "doc_id long, text string")
