@@ -291,6 +291,11 @@ def test_videos_that_cannot_be_probed_are_left_out(spark):
     assert got == {"/a.mp4": ("4 x 3", 7), "/c.txt": ("", 0), "/d.mkv": ("", 0)}
 
 
+def test_a_probe_that_tells_nothing_is_no_failure(spark):
+    raw = spark.createDataFrame([("/a", "{}"), ("/b", "{\n\n}"), ("/c", "null"), ("/d", ""), ("/e", None), ("/f", "{"), ("/g", '{"format":{}}'), ("/h", "[]")], "path string, raw string")
+    assert sorted((r.path, r.dimensions, r.duration) for r in ingest.parse_probe(raw).collect()) == [(p, "", 0) for p in ("/a", "/b", "/g", "/h")]
+
+
 def test_best_copies_by_hand(spark):
     """The largest, then the newest, then the first path; unknown times last. A group of many files has one of each item."""
     rows = [("/z", "A # 01", 5, None), ("/y", "A # 01", 5, "2020-01-01"), ("/x", "A # 01", 5, "2021-01-01"), ("/w", "A # 01", 5, "2021-01-01"), ("/v", "A", 9, "2019-01-01"), *[(f"/m{i}", f"A # {2 + i % 7:02}", i, "2020-01-01") for i in range(200)]]
