@@ -1,4 +1,5 @@
 import datetime
+import random
 import re
 from collections import Counter
 
@@ -11,8 +12,8 @@ from cinelake.functions import normalize as norm
 from cinelake.functions import titles
 from cinelake.oracles import ORACLES
 from cinelake.plans import consolidate, index, ingest, names, reports
-from cinelake.queries import QUERIES
-from cinelake.sources import files
+from cinelake.queries import QUERIES, snapshot
+from cinelake.sources import derive, files
 from cinelake.sources.derive import derived
 
 
@@ -320,3 +321,23 @@ def test_free_names_of_very_many_files(spark):
     none = spark.createDataFrame([], "dir string, file string")
     got = sorted((r.path, r.free_name) for r in consolidate.free_names(plan, none, "S").collect() if r.free_name)
     assert [p for p, _ in got] == [f"p{i:03}" for i in range(51)] and [n for _, n in got][:3] == ["x.mp4", "x__S.mp4", "x__S_2.mp4"]
+
+
+def test_media_files_on_odd_rows(spark):
+    """As the SQL has them, with nulls, repeated part keys and texts that end as a file's own name can, but without a shuffle of texts of the order lines."""
+    rng = random.Random(5)
+    some = lambda f: None if rng.random() < 0.07 else f()
+    ends = ["a", "a # 01", "a # 01 - CD1", "b - Scene_2", "b", "c # 0-3", "a # 02 # 01", " # 01", "", "é - CD12"]
+    part = [(rng.randrange(1, 25), some(lambda: rng.choice(["x", "y # 01"])), some(lambda: rng.choice("tu")), some(lambda: rng.choice(ends))) for _ in range(60)]
+    line = [(some(lambda: rng.randrange(-60, 400)), some(lambda: rng.randrange(1, 25)), some(lambda: rng.randrange(-9, 9)), some(lambda: rng.choice([1, 2, 3, -5, 0, 2_000_000_000])), some(lambda: float(rng.randrange(-3, 9))), some(lambda: rng.random() * 99 - 20), some(lambda: rng.choice("ARN"))) for _ in range(5000)]
+    part = spark.createDataFrame(part, "p_partkey long, p_name string, p_type string, p_brand string")
+    line = spark.createDataFrame(line, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string").withColumn("l_shipdate", F.expr("timestamp_micros(pmod(xxhash64(l_orderkey, l_extendedprice), 1000000000))"))
+    sql = derive.MEDIA_FILES.replace("VARCHAR(9)", "STRING").replace("FROM lineitem", "FROM {line} lineitem").replace("JOIN part ", "JOIN {part} part ")
+    want, got = spark.sql(sql, line=line, part=part), derive.media_files(line, part)
+    assert got.dtypes == want.dtypes and got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.count() > 2000
+    assert not re.search(r"Exchange hashpartitioning\([^\n]*\b(drive|dir|stem|ext)#", got._jdf.queryExecution().toString())
+
+
+def test_a_snapshot_reads_its_files_once(spark, sf):
+    read = snapshot(spark, sf).inputFiles()
+    assert read and not [f for f in read if "lineitem" in f]
