@@ -1,8 +1,8 @@
 """Search in an index by stored pieces of its names, and pages that begin behind the last key seen.
 
-``build`` stores for each index row the distinct pieces of one, two and three letters of its base and file name. A query is looked up by the rarest of its own
-pieces of three letters (itself, where it is shorter), and what that finds is verified by the literal, case-insensitive test; so every query is answered in whole, and only rows with
-the rarest piece are read. Pieces are stored by hash of their own buckets, so a lookup reads the buckets of its pieces.
+``build`` stores the index in blocks of rows with names near each other, and for each block the distinct pieces of one, two and three letters of its rows' bases and file names. A query is
+looked up by the rarest of its own pieces of three letters (itself, where it is shorter), and the rows of the blocks that have it are verified by the literal, case-insensitive test; so every
+query is answered in whole. Pieces are stored by hash of their own buckets, so a lookup reads the buckets of its pieces.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ from .index import PAGE, SHORT_LIST, valid_queries
 BUCKETS = 64
 #: Letters of the longest stored piece.
 LETTERS = 3
+#: A block has this many rows at least (as a power of two), and more where there would be more than so many blocks: what a lookup finds stays a short list for each query.
+BLOCK_BITS, BLOCKS = 8, 1 << 14
+#: Blocks found for all queries that are broadcast; more are joined by a shuffle.
+BROADCAST = 200_000
 
 
 def _pieces(c: Column, n: int) -> Column:
@@ -34,29 +38,38 @@ def _bucket(c: Column) -> Column:
 
 @dataclass
 class Postings:
-    """``rows``: the index with an id for each row; ``pieces``: (piece, id) by bucket; ``counts``: (piece, n)."""
+    """``rows``: the index with the block of each row; ``pieces``: (piece, block) by bucket; ``counts``: (piece, n)."""
 
     rows: DataFrame
     pieces: DataFrame
     counts: DataFrame
 
 
+def _rows(spark: SparkSession, store: str) -> DataFrame:
+    rows = spark.read.parquet(f"{store}/rows")  # read again, so a row keeps its id
+    bits = max(BLOCK_BITS, (max(rows.count(), 1) // BLOCKS).bit_length())
+    return rows.withColumn("block", F.shiftright("id", bits)).drop("id")
+
+
 def build(index: DataFrame, store: str) -> Postings:
     """Writes the postings of an index (base, file, dir, size, ...) below ``store``."""
-    index.withColumn("id", F.monotonically_increasing_id()).write.parquet(f"{store}/rows")
     spark = index.sparkSession
-    rows = spark.read.parquet(f"{store}/rows")  # read again, so a row keeps its id
+    near = index.sortWithinPartitions("base", "file").withColumn("id", F.monotonically_increasing_id())
+    near.write.option("compression", "zstd").parquet(f"{store}/rows")
     both = F.array_distinct(F.concat(*[_pieces(F.lower(F.coalesce(c, F.lit(""))), n) for c in ("base", "file") for n in range(1, LETTERS + 1)]))
-    pieces = rows.select("id", F.explode(both).alias("piece")).withColumn("bucket", _bucket(F.col("piece")))
-    dealt = pieces.repartition("bucket", F.pmod("id", F.lit(8))).sortWithinPartitions("bucket", "piece")  # a frequent letter's bucket is several tasks'
+    pieces = _rows(spark, store).select("block", F.explode(both).alias("piece")).distinct().withColumn("bucket", _bucket(F.col("piece")))
+    dealt = pieces.repartition("bucket", F.pmod("block", F.lit(8))).sortWithinPartitions("bucket", "piece", "block")  # a frequent letter's bucket is several tasks'
     dealt.write.partitionBy("bucket").parquet(f"{store}/pieces")
-    pieces.groupBy("piece").agg(F.count("*").alias("n")).withColumn("bucket", _bucket(F.col("piece"))).write.parquet(f"{store}/counts")
+    _stored(spark, store).groupBy("bucket", "piece").agg(F.count("*").alias("n")).select("piece", "n", "bucket").write.parquet(f"{store}/counts")
     return load(spark, store)
 
 
+def _stored(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.schema("block long, piece string, bucket int").parquet(f"{store}/pieces")  # an empty index has no files of pieces
+
+
 def load(spark: SparkSession, store: str) -> Postings:
-    pieces, counts = spark.read.schema("id long, piece string, bucket int"), spark.read.schema("piece string, n long, bucket int")  # an empty index has no files of pieces
-    return Postings(spark.read.parquet(f"{store}/rows"), pieces.parquet(f"{store}/pieces"), counts.parquet(f"{store}/counts"))
+    return Postings(_rows(spark, store), _stored(spark, store), spark.read.schema("piece string, n long, bucket int").parquet(f"{store}/counts"))
 
 
 def lookup(postings: Postings, queries: DataFrame) -> DataFrame:
@@ -70,9 +83,9 @@ def lookup(postings: Postings, queries: DataFrame) -> DataFrame:
     rarest = known.where(F.col("found") == F.when(F.length("q") >= LETTERS, F.size(_pieces(F.col("q"), LETTERS))).otherwise(1)).select("query", "q", "piece")
     rarest = short_list(rarest, SHORT_LIST)
     used = [r[0] for r in rarest.select(_bucket(F.col("piece"))).distinct().collect()]
-    hits = postings.pieces.where(F.col("bucket").isin(used)).join(rarest, "piece").select("id", "query", "q")
-    found = postings.rows.join(hits, "id")
-    return found.where(F.lower("base").contains(F.col("q")) | F.lower("file").contains(F.col("q"))).drop("id")
+    hits = postings.pieces.where(F.col("bucket").isin(used)).join(rarest, "piece").select("block", "query", "q")
+    found = postings.rows.join(F.broadcast(hits) if hits.limit(BROADCAST + 1).count() <= BROADCAST else hits, "block")
+    return found.where(F.lower("base").contains(F.col("q")) | F.lower("file").contains(F.col("q"))).drop("block")
 
 
 def groups(found: DataFrame) -> DataFrame:

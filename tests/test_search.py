@@ -42,3 +42,13 @@ def test_pages_by_key_are_the_order(spark):
         page = search.next_page(grouped, done, size=20)
         assert last.count() <= 2
     assert seen == want and page.count() == 0
+
+
+def test_pieces_are_stored_by_block(spark, tmp_path):
+    """Names near each other have their pieces in common, so there are few pieces to a row, however many letters its name has."""
+    indexed = spark.range(20_000).selectExpr("concat('A rather long title of film ', lpad(id % 900, 3, '0')) AS base", "concat('A rather long title of film ', lpad(id % 900, 3, '0'), '.mp4') AS file", "concat('/d', id) AS dir", "id AS size", "timestamp'2020-01-01' AS mtime")
+    postings = search.build(indexed, f"{tmp_path}/pieces")
+    asked = spark.createDataFrame([("film 7",), ("899",), ("a",), ("none",)], "query string")
+    key = lambda df: sorted(map(str, df.select("query", "file", "dir").collect()))
+    assert key(search.lookup(postings, asked)) == key(index.matching(indexed, asked))
+    assert postings.pieces.count() < 2 * indexed.count()
