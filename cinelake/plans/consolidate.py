@@ -18,8 +18,8 @@ from .placement import MAX_DRIVES, drive_sums, in_order, listed_free, place
 
 #: Names that may be tried for a file that collides: as given, with the run's stamp, then with a counter from 2 up to this.
 LAST_NAME = 50
-#: Shares that the files of one name are ranked in.
-SHARES = 32
+#: Shares that the files of one name are ranked in, if they are more than MANY and more than one in MANY of all.
+SHARES, MANY = 32, 10_000
 
 
 def running_sum(rows: DataFrame, key: str, order: list[Column], value: str, name: str) -> DataFrame:
@@ -179,30 +179,51 @@ def collisions(moves: DataFrame, existing: DataFrame, tolerance: int = 2) -> Dat
     return rows.join(same.withColumn("same", F.lit(True)), ["path", "target"], "left").withColumn("class", F.when(F.col("same"), "duplicate").otherwise("suspect")).drop("same")
 
 
+def _stamped(names: DataFrame, tails: list[str]) -> DataFrame:
+    """(target_dir, key, blocked): for the names (target_dir, name) that are another name with one of the ``tails``, that name and the numbers of such tails."""
+    each, dot = F.array(*[F.struct(F.lit(i).alias("no"), F.lower(F.lit(t)).alias("tail")) for i, t in enumerate(tails) if t]), F.regexp_extract("name", r"(\.[^.]*)$", 1)
+    ends = names.select("target_dir", "name", F.explode(F.array_distinct(F.array(F.lit(""), dot))).alias("dot")).withColumn("rest", F.expr("left(name, length(name) - length(dot))"))
+    found = ends.select("*", F.explode(F.filter(each, lambda t: F.col("rest").endswith(t["tail"]))).alias("t")).select("target_dir", "name", F.col("t.no").alias("no"), "t.tail", F.concat(F.expr("left(rest, length(rest) - length(t.tail))"), "dot").alias("key"))
+    body, dot = F.regexp_replace("key", r"\.[^.]*$", ""), F.regexp_extract("key", r"(\.[^.]*)$", 1)
+    return found.where(F.col("name") == F.lower(F.concat(body, "tail", dot))).groupBy("target_dir", "key").agg(F.collect_set("no").alias("blocked"))  # no more than there are tails
+
+
 def free_names(plan: DataFrame, existing: DataFrame, stamp: str, most: int = LAST_NAME) -> DataFrame:
     """Adds free_name to (path, target_dir, file): the name as given, else with the run's stamp, else with a counter from 2 up to ``most``; never a name that
     exists or that another file of the plan asks for. Of several files with one name the first path takes the first free one. No free name: null, and a problem."""
     rows = plan.withColumn("key", F.lower("file"))
+    name = ["target_dir", "key"]
+    tails = ["", f"__{stamp}", *[f"__{stamp}_{i}" for i in range(2, most + 1)]]
     held = existing.select(F.col("dir").alias("target_dir"), F.lower("file").alias("key")).distinct()
-    asked = rows.groupBy("target_dir", "key").agg(F.count("*").alias("n"))
-    clash = asked.join(held.withColumn("held", F.lit(True)), ["target_dir", "key"], "left").where("held OR n > 1")
-    tails = F.array(F.lit(""), F.lit(f"__{stamp}"), *[F.lit(f"__{stamp}_{i}") for i in range(2, most + 1)])
-    body, dot = F.regexp_replace("key", r"\.[^.]*$", ""), F.regexp_extract("key", r"(\.[^.]*)$", 1)
-    tried = clash.select("target_dir", "key", F.posexplode(tails).alias("no", "tail")).withColumn("name", F.lower(F.concat(body, F.col("tail"), dot)))
-    taken = held.withColumnRenamed("key", "name").unionByName(asked.select("target_dir", F.col("key").alias("name"))).distinct()
-    spare = tried.where("no > 0").join(taken, ["target_dir", "name"], "left_anti").select("target_dir", "key", "no", "tail")
-    own = tried.where("no = 0").join(held, ["target_dir", "key"], "left_anti").select("target_dir", "key", "no", "tail")
-    spare = spare.unionByName(own).withColumn("turn", F.row_number().over(Window.partitionBy("target_dir", "key").orderBy("no"))).drop("no")
-    asking = rows.join(clash.select("target_dir", "key"), ["target_dir", "key"], "left_semi").select("path", "target_dir", "key")
-    # There are no more than most + 1 names: the first files of each share, then the first of those.
-    turn = lambda *share: F.row_number().over(Window.partitionBy("target_dir", "key", *share).orderBy("path"))
-    first = asking.withColumn("turn", turn(F.pmod(F.xxhash64("path"), F.lit(SHARES)))).where(F.col("turn") <= most + 1)
-    turns = first.withColumn("turn", turn()).where(F.col("turn") <= most + 1)
-    given = turns.join(spare, ["target_dir", "key", "turn"]).select("path", "target_dir", "tail")
-    given = asking.select("path", "target_dir", F.lit(True).alias("clashed")).join(given, ["path", "target_dir"], "left")
+    # Only names that look like tried ones can be in the way of those.
+    taken = held.unionByName(rows.select(*name)).where(F.col("key").contains(F.lower(F.lit(f"__{stamp}")))).select("target_dir", F.col("key").alias("name")).distinct()
+    blocked = _stamped(taken, tails)
+    held = held.withColumn("held", F.lit(True))
+
+    def chosen(turns: DataFrame) -> DataFrame:
+        """Adds ``no``, the number of the tail that each turn takes."""
+        free = F.filter(F.sequence(F.lit(0), F.lit(len(tails) - 1)), lambda i: F.when(i == 0, F.col("held").isNull()).otherwise(~F.array_contains(F.coalesce("blocked", F.array().cast("array<int>")), i)))
+        known = turns.join(held, name, "left").join(blocked, name, "left")
+        return known.withColumn("no", F.get(free, F.col("turn") - 1)).drop("turn", "held", "blocked")
+
+    turn = lambda *share: F.row_number().over(Window.partitionBy(*name, *share).orderBy("path"))
+    total, code = rows.count(), F.hash(*name)
+    least = max(MANY, total // MANY)
+    many = [r[0] for r in rows.groupBy(code.alias("code")).agg(F.count("*").alias("n")).where(F.col("n") > least).collect()] if total > least else []  # at most MANY
+    few = rows
+    if many:
+        codes = F.broadcast(plan.sparkSession.createDataFrame([(c,) for c in many], "code int"))
+        rows = rows.withColumn("code", code)
+        few, shared = rows.join(codes, "code", "left_anti").drop("code"), rows.join(codes, "code", "left_semi").drop("code")
+    out = chosen(few.withColumn("turn", turn()))
+    if many:
+        # There are no more names than tails: the first files of each share, then the first of those.
+        first = shared.select("path", *name).withColumn("turn", turn(F.pmod(F.xxhash64("path"), F.lit(SHARES)))).where(F.col("turn") <= len(tails))
+        given = chosen(first.withColumn("turn", turn()).where(F.col("turn") <= len(tails))).select("path", *name, "no")
+        out = out.unionByName(shared.join(given, ["path", *name], "left"))
     stem, end = F.regexp_replace("file", r"\.[^.]*$", ""), F.regexp_extract("file", r"(\.[^.]*)$", 1)
-    name = F.when(F.col("clashed").isNull(), F.col("file")).when(F.col("tail").isNotNull(), F.concat(stem, F.col("tail"), end))
-    return rows.join(given, ["path", "target_dir"], "left").withColumn("free_name", name).withColumn("problem", F.when(name.isNull(), "no_free_name")).drop("key", "tail", "clashed")
+    given = F.when(F.col("key").isNull() | F.col("target_dir").isNull(), F.col("file")).otherwise(F.concat(stem, F.get(F.array(*map(F.lit, tails)), F.col("no")), end))
+    return out.select(*plan.columns, given.alias("free_name")).withColumn("problem", F.when(F.col("free_name").isNull(), "no_free_name"))
 
 
 def running_free(moves: DataFrame, drives: DataFrame) -> DataFrame:

@@ -323,6 +323,35 @@ def test_free_names_of_very_many_files(spark):
     assert [p for p, _ in got] == [f"p{i:03}" for i in range(51)] and [n for _, n in got][:3] == ["x.mp4", "x__S.mp4", "x__S_2.mp4"]
 
 
+def freed(plan, there, stamp, most):
+    """free_names, one file after the other."""
+    tails = ["", f"__{stamp}", *[f"__{stamp}_{i}" for i in range(2, most + 1)]]
+    held, asked, out = {(d, f.lower()) for d, f in there}, {(d, f.lower()) for _, d, f in plan}, {}
+    for path, d, f in sorted(plan):
+        stem, dot, end = f.rpartition(".") if "." in f else (f, "", "")
+        own = [f"{stem}{t}{dot}{end}" for t in tails]
+        used = {x.lower() for (_, e, g), x in out.items() if x and e == d and g.lower() == f.lower()}
+        out[path, d, f] = next((x for i, x in enumerate(own) if x.lower() not in used and (d, x.lower()) not in (held | asked if i else held)), None)
+    return out
+
+
+@pytest.mark.parametrize("many", [10_000, 2])
+def test_free_names_on_random_names(spark, monkeypatch, many):
+    """Stamps with dots, names that are stamped already, names without extension; files of a name in one task and in shares of it."""
+    monkeypatch.setattr(consolidate, "MANY", many)
+    rng = random.Random(many)
+    for stamp in ("S", "1.b", "S_2"):
+        parts = ["x", "X", f"x__{stamp}", f"X__{stamp}_2", f"x__{stamp.lower()}_02", f"x__{stamp}_3", "y.z", f"__{stamp}", f"x__{stamp}__{stamp}"]
+        given = [n + e for n in parts for e in ("", ".mp4", ".MP4", ".b", ".")]
+        plan = [(f"/p{i:04}", rng.choice("tu"), rng.choice(given)) for i in range(400)]
+        there = [(rng.choice("tu"), rng.choice(given)) for _ in range(25)]
+        found = consolidate.free_names(spark.createDataFrame(plan, "path string, target_dir string, file string"), spark.createDataFrame(there, "dir string, file string"), stamp, 4)
+        rows = found.collect()
+        assert {(r.path, r.target_dir, r.file): r.free_name for r in rows} == freed(plan, there, stamp, 4) and len(rows) == len(plan)
+        assert all((r.problem == "no_free_name") == (r.free_name is None) for r in rows) and any(r.problem for r in rows)
+        assert "posexplode" not in found._jdf.queryExecution().toString()  # the names tried aren't rows
+
+
 def test_media_files_on_odd_rows(spark):
     """As the SQL has them, with nulls, repeated part keys and texts that end as a file's own name can, but without a shuffle of texts of the order lines."""
     rng = random.Random(5)
