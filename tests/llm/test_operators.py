@@ -689,3 +689,12 @@ def test_jaccard_lists_of_one_passage(spark, monkeypatch):
     assert kept["pairs"][0] == kept["pairs"][1] > 40
     assert kept["first"][1] == kept["first"][2] > 10
     assert kept["batch"] == {"4000000"} and spark.conf.get(conf) == before
+
+
+def test_similarity_join_spills_large_keys(spark, monkeypatch):
+    """While it runs, a merge join keeps few rows of a key as objects on the heap; the setting is put back."""
+    key = "spark.sql.sortMergeJoinExec.buffer.in.memory.threshold"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(jaccard, "_members", lambda docs, percent, size: docs.sparkSession.conf.get(key))
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    assert jaccard.near_duplicates(docs) == "4096" and spark.conf.get(key) == before != "4096"
